@@ -1,9 +1,580 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL.
 
+The driver has no papers, notes or PDF items.  Documents stand for papers (their lines for page items),
+benchmark items for query papers, line items per part for citations, events for job and throttle logs;
+where there is no counterpart, small literal tables are used, which SQL spells as VALUES.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from lectern.functions import citations, ids, responses, rules, text
+from lectern.operators import geometry, identity, markdown, matching, pages, planner, report, tfidf
+from lectern.plans import fixtures
+from lectern.sources import files, html
+from lectern.streaming import queues
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(f: Callable[[SparkSession], DataFrame]):
+    """Registers a query over literal tables; its SQL is the expected rows, from ``fixtures.EXPECTED``."""
+    name = f.__name__
+    _QUERIES[name] = lambda spark, sf_dir: f(spark)
+    _SQL[name] = fixtures.values_sql(*fixtures.EXPECTED[name])
+    return f
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+TERMS = f"list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains({STOP}, w))"
+TFIDF = f"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n),
+w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY doc_id),
+q AS (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM q GROUP BY ALL),
+qw AS (SELECT query_id, qtf.term, qtf.tf * coalesce(idf.idf, ln(n + 1) + 1) AS qw FROM qtf LEFT JOIN idf ON qtf.term = idf.term, n),
+qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
+dots AS (SELECT query_id, doc_id, sum(w * qw) AS dot FROM w JOIN qw USING (term) GROUP BY ALL),
+sims AS (SELECT query_id, doc_id, round(dot / (dn * qn), 6) AS sim FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id))"""
+
+
+# --- relevance (T1, T2, A1, A2, A6, J10, O2) ---
+
+
+@query(f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n_terms, CAST(len(list_distinct(x)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {TERMS} AS x FROM documents)")
+def tokenize_terms(spark, d):
+    x = text.tokenize(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", F.size("x").cast("long").alias("n_terms"), F.size(F.array_distinct("x")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL")
+def term_frequency(spark, d):
+    return tfidf.term_frequencies(read(spark, d, "documents"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term")
+def document_frequency(spark, d):
+    return tfidf.document_frequencies(tfidf.term_frequencies(read(spark, d, "documents")))
+
+
+def _sims(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return tfidf.similarities(q, read(spark, d, "documents").select("doc_id", "text")).withColumn("sim", F.round("sim", 6))
+
+
+@query(TFIDF + "\nSELECT * FROM sims")
+def tfidf_similarity(spark, d):
+    return _sims(spark, d)
+
+
+RANKED = ", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS INTEGER) AS rank FROM sims)"
+
+
+@query(TFIDF + RANKED + "\nSELECT query_id, doc_id, sim, rank FROM ranked WHERE rank <= 15")
+def tfidf_topk(spark, d):
+    """The 15 documents most like each benchmark item."""
+    return tfidf.top_k(_sims(spark, d), "query_id", "sim", "doc_id", 15)
+
+
+@query(TFIDF + RANKED + """
+SELECT r.query_id, r.doc_id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS INTEGER) AS pick,
+       CASE WHEN regexp_extract(d.text, '^[^.!?\\n]{20,260}[.!?]') <> '' THEN trim(regexp_extract(d.text, '^[^.!?\\n]{20,260}[.!?]'), ' ' || chr(10)) ELSE trim(substr(d.text, 1, 220), ' ' || chr(10)) END AS reason
+FROM ranked r JOIN documents d USING (doc_id) WHERE r.rank <= 15 AND d.text <> '' QUALIFY pick <= 5""")
+def recommend_top5(spark, d):
+    """Of the 15 preselected, the first 5 with a reason each."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    picked = tfidf.top_k(_sims(spark, d), "query_id", "sim", "doc_id", 15).join(docs, "doc_id").where("text <> ''")
+    out = picked.withColumn("pick", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("pick <= 5")
+    return out.select("query_id", "doc_id", "pick", text.first_sentence_reason(F.col("text")).alias("reason"))
+
+
+# --- graph ranking (T3, A5, O1, U1, P16) ---
+
+CARDS = "SELECT l_partkey AS part, count(*) AS citations FROM lineitem GROUP BY l_partkey"
+
+
+@query(f"""WITH c AS (SELECT p_brand AS brand, part, citations FROM ({CARDS}) JOIN part ON part = p_partkey), m AS (SELECT brand, max(citations) AS most FROM c GROUP BY brand)
+SELECT brand, part, citations, round(ln(1 + citations) / ln(1 + greatest(most, 1)), 6) AS influence FROM c JOIN m USING (brand)""")
+def influence_score(spark, d):
+    cards = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("citations"))
+    cards = cards.join(read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")), "part")
+    most = cards.groupBy("brand").agg(F.max("citations").alias("most"))
+    return cards.join(most, "brand").select("brand", "part", "citations", F.round(tfidf.influence(F.col("citations"), F.col("most")), 6).alias("influence"))
+
+
+@query(TFIDF + f""",
+cards AS (SELECT query_id, doc_id, sim, coalesce(citations, 0) AS citations FROM sims LEFT JOIN ({CARDS}) ON doc_id = part),
+m AS (SELECT query_id, max(citations) AS most FROM cards GROUP BY query_id),
+f AS (SELECT query_id, doc_id, round(0.7 * sim + 0.3 * ln(1 + citations) / ln(1 + greatest(most, 1)), 7) AS final FROM cards JOIN m USING (query_id))
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 20""")
+def citation_rank_blend(spark, d):
+    cites = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.count("*").alias("citations"))
+    cards = _sims(spark, d).join(cites, "doc_id", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+    out = tfidf.blend(cards, ["query_id"]).withColumn("final", F.round("final", 7))
+    return tfidf.top_k(out, "query_id", "final", "doc_id", 20).select("query_id", "doc_id", "final", "rank")
+
+
+@query("""WITH u AS (SELECT o_custkey AS id, 0 AS src, min(o_orderkey) AS pos FROM orders GROUP BY o_custkey
+UNION ALL SELECT c_custkey, 1, c_custkey FROM customer)
+SELECT id, src, pos FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, pos) = 1""")
+def union_dedupe_first(spark, d):
+    a = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("pos"))
+    b = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("pos"))
+    return tfidf.union_first(a, b, "id").select("id", "src", "pos")
+
+
+# --- page items (S1, A4, W1, W2, P1-P7, C1) ---
+
+ITEMS = """items AS (SELECT doc_id, 1 + (i - 1) // 40 AS page_num, i - 1 AS idx, line AS text, CASE WHEN length(line) < 30 THEN 18.0 ELSE 12.0 END AS height,
+  700.0 - 14.0 * ((i - 1) % 40) - CASE WHEN i % 5 = 0 THEN 10.0 ELSE 0.0 END AS y, i % 3 = 0 AS has_eol
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
+
+
+def line_items(spark, d) -> DataFrame:
+    """Lines of documents as page items, 40 to a page."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    i = F.col("idx") + 1
+    return lines.select(
+        "doc_id", (1 + F.floor(F.col("idx") / 40)).cast("int").alias("page_num"), "idx", "text", F.when(F.char_length("text") < 30, 18.0).otherwise(12.0).alias("height"),
+        (700.0 - 14.0 * (F.col("idx") % 40) - F.when(i % 5 == 0, 10.0).otherwise(0.0)).alias("y"), (i % 3 == 0).alias("has_eol"), F.lit("f1").alias("font_name"), F.lit("sans-serif").alias("font_family"),
+    )
+
+
+@query("WITH " + ITEMS + """, l AS (SELECT *, lag(y) OVER w AS py, lag(height) OVER w AS ph, lag(has_eol) OVER w AS pe, row_number() OVER w AS n FROM items WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY idx))
+SELECT doc_id, CAST(page_num AS INTEGER) AS page_num, md5(string_agg(CASE WHEN n = 1 THEN '' WHEN py - y > 1.2 * ph THEN chr(10) || chr(10) WHEN pe THEN chr(10) ELSE ' ' END || text, '' ORDER BY idx)) AS full_md5 FROM l GROUP BY doc_id, page_num""")
+def page_full_text(spark, d):
+    return pages.page_texts(line_items(spark, d)).select("doc_id", "page_num", F.md5(F.col("full_text").cast("binary")).alias("full_md5"))
+
+
+@query("WITH " + ITEMS + " SELECT doc_id, coalesce(median(CASE WHEN trim(text) <> '' THEN height END), 12.0) AS median FROM items GROUP BY doc_id")
+def body_median_height(spark, d):
+    return pages.body_median(line_items(spark, d))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+s AS (SELECT *, max(CASE WHEN contains(line, '|') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM l)
+SELECT doc_id, count(*) AS n_kept FROM s WHERE stop = 0 GROUP BY doc_id""")
+def stop_at_first_match(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    stop = F.max(F.contains("line", F.lit("|")).cast("int")).over(W.partitionBy("doc_id").orderBy("i"))
+    return lines.withColumn("stop", stop).where("stop = 0").groupBy("doc_id").agg(F.count("*").alias("n_kept"))
+
+
+@query("WITH " + ITEMS + """, m AS (SELECT doc_id, median(CASE WHEN trim(text) <> '' THEN height END) AS med FROM items GROUP BY doc_id)
+SELECT doc_id, CAST(count(*) FILTER (WHERE length(trim(text)) BETWEEN 1 AND 120 AND (height > med * 1.35 OR (height > med * 1.15 AND length(trim(text)) < 50))) AS BIGINT) AS n_headings,
+  CAST(count(*) FILTER (WHERE length(trim(text)) BETWEEN 1 AND 20 AND (length(trim(text)) - length(regexp_replace(trim(text), '[0-9.%±,\\-/]', '', 'g'))) / length(trim(text)) > 0.7 AND height > 0 AND height <= med * 1.1) AS BIGINT) AS n_cells
+FROM items JOIN m USING (doc_id) GROUP BY doc_id""")
+def item_predicates(spark, d):
+    items = line_items(spark, d)
+    items = items.join(pages.body_median(items), "doc_id")
+    c = F.col
+    return items.groupBy("doc_id").agg(F.count_if(rules.is_heading(c("text"), c("height"), c("median"))).alias("n_headings"), F.count_if(rules.is_table_cell(c("text"), c("height"), c("median"))).alias("n_cells"))
+
+
+@query()
+def page_chunks(spark, d):
+    return pages.chunk_pages(line_items(spark, d))
+
+
+# --- Markdown and HTML (C2-C8, H1-H3, P8, P9) ---
+
+
+@query()
+def html_markdown(spark, d):
+    return html.page_markdown(read(spark, d, "pages"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark, d):
+    return html.page_markdown(read(spark, d, "pages")).select("page_id", F.regexp_extract("markdown", r"\A# ([^\n]*)", 1).alias("title"))
+
+
+@query()
+def html_pointers(spark, d):
+    """Pages through Markdown to pointers."""
+    docs = html.page_markdown(read(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), "markdown")
+    return markdown.pointers(docs)
+
+
+@query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sections, CAST(max(len(string_split(line, ' '))) AS BIGINT) AS longest FROM
+(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY doc_id""")
+def markdown_sections(spark, d):
+    """Documents whose lines are made sections: a heading and a line each."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    made = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("# s"), i.cast("string"), F.lit("\n\nx "), F.regexp_replace(x, "[#`]", "-"))), "\n")
+    out = markdown.sections(read(spark, d, "documents").select("doc_id", made.alias("markdown")))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_sections"), (F.max(F.size(F.split("content", " "))) - 1).cast("long").alias("longest"))
+
+
+@query("""WITH x AS (SELECT n_nationkey AS id, n_name AS s FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 200, ''),
+y AS (SELECT * FROM x)
+SELECT id, lower(lpad(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295)), 8, '0')) AS hash FROM x WHERE s <> ''
+UNION ALL SELECT 200, '811c9dc5'""")
+def content_hash(spark, d):
+    x = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("s"))
+    x = x.unionByName(read(spark, d, "region").select((100 + F.col("r_regionkey")).alias("id"), F.col("r_name").alias("s")))
+    x = x.unionByName(spark.range(1).select(F.lit(200).alias("id"), F.lit("").alias("s")))
+    return x.select("id", text.fnv1a(F.col("s")).alias("hash"))
+
+
+# --- matching (M1-M6, J3, U3) ---
+
+
+@query("""WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, lower(a.n_name) AS x, lower(b.n_name) AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
+g AS (SELECT a, b, list_distinct(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i, 3))) AS gx, list_distinct(list_transform(range(1, greatest(length(y) - 1, 1)), lambda i: substr(y, i, 3))) AS gy FROM p)
+SELECT a, b, CASE WHEN len(list_distinct(list_concat(gx, gy))) > 0 THEN round(len(list_intersect(gx, gy)) / len(list_distinct(list_concat(gx, gy))), 6) END AS similarity FROM g""")
+def trigram_jaccard(spark, d):
+    n = read(spark, d, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("s"))
+    pairs = n.alias("l").join(n.alias("r"), (F.col("l.n_regionkey") == F.col("r.n_regionkey")) & (F.col("l.n_nationkey") < F.col("r.n_nationkey")))
+    return pairs.select(F.col("l.n_nationkey").alias("a"), F.col("r.n_nationkey").alias("b"), F.round(text.jaccard_trigrams(F.col("l.s"), F.col("r.s")), 6).alias("similarity"))
+
+
+@query("""WITH q AS (SELECT doc_id, text, substr(text, 101, 40) AS needle FROM documents WHERE length(text) >= 140)
+SELECT doc_id, CAST(instr(text, needle) AS INTEGER) AS pos, substr(text, greatest(instr(text, needle) - 50, 1), instr(text, needle) - greatest(instr(text, needle) - 50, 1) + 40 + 50) AS context FROM q""")
+def selection_context(spark, d):
+    docs = read(spark, d, "documents").where(F.char_length("text") >= 140).withColumn("needle", F.substring("text", 101, 40))
+    return docs.select("doc_id", F.instr("text", F.col("needle")).alias("pos"), text.context_around(F.col("text"), F.col("needle"), 50).alias("context"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS begin_index, 0 AS begin_offset, CAST(i - 1 AS INTEGER) AS end_index, CAST(length(line) AS INTEGER) AS end_offset, 1.0 AS score FROM l
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, i) = 1 AND length(trim(line)) > 0""")
+def exact_quote_spans(spark, d):
+    """The longest line of each document is found again among its lines."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    grouped = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items"), F.max_by("text", F.struct(F.char_length("text"), -F.col("idx"))).alias("needle"))
+    return matching.match_spans(grouped.where(F.trim("needle") != "")).drop("needle")
+
+
+@query()
+def fuzzy_anchors(spark, d):
+    """A misspelt line of each document's second page, looked for from the first."""
+    items = line_items(spark, d).where("page_num <= 2")
+    pick = items.where("page_num = 2").groupBy("doc_id").agg(F.max_by("text", F.char_length("text")).alias("t"))
+    quotes = pick.where(F.char_length("t").between(30, 200)).select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.lit(1).alias("page_num"), F.concat(F.lit("Zq"), F.substring("t", 3, 200)).alias("exact_text"), F.lit("paper.pdf").alias("file_name"))
+    return matching.anchors(quotes, items)
+
+
+# --- planning and reports (J4, O4, O6, O7, A3, A11, K1) ---
+
+SPANS = """l AS (SELECT doc_id, line, i, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS char_end
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, i, char_end - length(line) - 1 AS char_start, char_end FROM l)"""
+
+
+@query("WITH " + SPANS + """, f AS (SELECT doc_id, CAST(instr(text, ',') - 1 AS BIGINT) AS char_start, CAST(instr(text, ',') + 29 AS BIGINT) AS char_end FROM documents WHERE contains(text, ','))
+SELECT f.doc_id, f.char_start, f.char_end, CAST(min(s.i) AS VARCHAR) AS owner_id FROM f LEFT JOIN s ON f.doc_id = s.doc_id AND s.char_start <= f.char_start AND s.char_end >= f.char_end GROUP BY ALL""")
+def interval_owner(spark, d):
+    docs = read(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    order = W.partitionBy("doc_id").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    sections = lines.withColumn("char_end", F.sum(F.char_length("line") + 1).over(order)).select("doc_id", (F.col("p") + 1).cast("string").alias("id"), (F.col("p") + 1).alias("ordinal"), (F.col("char_end") - F.char_length("line") - 1).alias("char_start"), "char_end")
+    at = F.instr("text", ",").cast("long") - 1
+    inner = docs.where(F.contains("text", F.lit(","))).select("doc_id", F.lit("f").alias("id"), at.alias("char_start"), (at + 30).alias("char_end"))
+    return planner.owning_section(inner, sections).drop("id")
+
+
+@query("""WITH r AS (SELECT event_id AS pos, user_id AS doc_id, event_type AS type, CASE event_type WHEN 'view' THEN 'abstract' WHEN 'click' THEN 'method' WHEN 'purchase' THEN 'conclusion' ELSE 'other' END AS tag,
+  CASE WHEN event_type = 'error' THEN 'Errors' END AS heading FROM events),
+g AS (SELECT doc_id, coalesce(heading, tag) AS k, min(pos) AS first_pos, string_agg('- **[' || type || ']** [[p' || pos || ']]  ' || chr(10) || '  t' || pos, chr(10) ORDER BY pos) AS lines, min(tag) AS tag, min(heading) AS heading FROM r GROUP BY ALL)
+SELECT doc_id, coalesce(heading, CASE tag WHEN 'abstract' THEN 'Abstract' WHEN 'method' THEN 'Method' WHEN 'conclusion' THEN 'Conclusion' ELSE 'Other' END) AS label,
+  CASE tag WHEN 'abstract' THEN 0 WHEN 'method' THEN 3 WHEN 'conclusion' THEN 5 ELSE 6 END AS priority, first_pos, md5(lines) AS lines_md5 FROM g""")
+def report_groups(spark, d):
+    kind = F.col("event_type")
+    tag = F.when(kind == "view", "abstract").when(kind == "click", "method").when(kind == "purchase", "conclusion").otherwise("other")
+    rows = read(spark, d, "events").select(
+        F.col("event_id").alias("pos"), F.col("user_id").alias("doc_id"), kind.alias("type"), tag.alias("section_tag"), F.when(kind == "error", "Errors").alias("heading_text"),
+        F.concat(F.lit("t"), "event_id").alias("exact_text"), F.concat(F.lit("[[p"), "event_id", F.lit("]]")).alias("link"),
+    )
+    return report.grouped(rows).withColumn("lines_md5", F.md5(F.col("lines").cast("binary"))).drop("lines")
+
+
+@query("""SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN text ELSE rtrim(text, ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || chr(10) || b || chr(10) END AS note FROM (SELECT doc_id, text,
+ '<!-- lectern:summary:start -->' || chr(10) || '## AI Summary' || chr(10) || '- Effort: low' || chr(10) || '- Model: unknown' || chr(10) || '- Generated: now' || chr(10) || chr(10) || 'S' || doc_id || chr(10) || '<!-- lectern:summary:end -->' AS b FROM documents)""")
+def managed_block_append(spark, d):
+    docs = read(spark, d, "documents")
+    block = report.summary_block(F.concat(F.lit(" S"), F.col("doc_id").cast("string")), F.lit("low"), F.lit(" "), F.lit("now"))
+    return docs.select("doc_id", report.upsert_block(F.col("text"), block).alias("note"))
+
+
+# --- citations (B3-B7, K5) ---
+
+
+def _records(spark, d) -> DataFrame:
+    """Parts as papers: the supplier of each first line item is its author."""
+    first = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey"))
+    p = read(spark, d, "part").join(first, F.col("p_partkey") == F.col("l_partkey")).join(read(spark, d, "supplier"), "s_suppkey")
+    return p.select(
+        "p_partkey", F.col("p_name").alias("title"), F.array(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("authors"), F.when(F.col("p_size") > 25, 2000 + F.col("p_size")).otherwise(0).alias("year"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("2301."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))).alias("arxiv_id"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("10.1000/"), "p_partkey")).alias("doi"),
+        F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).alias("venue"), F.lit(None).cast("string").alias("entry_type"), F.concat(F.lit("https://x.org/"), "p_partkey").alias("url"),
+    )
+
+
+RECORDS = """rec AS (SELECT p_partkey, p_name AS title, replace(s_name, '#', ' ') AS author, CASE WHEN p_size > 25 THEN 2000 + p_size ELSE 0 END AS year,
+  CASE WHEN p_partkey % 3 = 0 THEN '2301.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') END AS arxiv_id, CASE WHEN p_partkey % 5 = 0 THEN '10.1000/' || p_partkey END AS doi,
+  CASE WHEN p_partkey % 7 = 0 THEN p_brand END AS venue, 'https://x.org/' || p_partkey AS url
+  FROM part JOIN (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey JOIN supplier s ON l.s_suppkey = s.s_suppkey),
+keyed AS (SELECT *, regexp_replace(lower(list_extract(regexp_split_to_array(trim(author), '\\s+'), -1)), '[^a-z]', '', 'g') || CASE WHEN year > 0 THEN CAST(year AS VARCHAR) ELSE '0000' END
+  || coalesce(list_extract(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains(['the', 'and', 'for', 'with', 'from', 'are', 'has'], w)), 1), 'paper') AS cite_key FROM rec)"""
+
+
+@query("WITH " + RECORDS + " SELECT p_partkey, cite_key FROM keyed")
+def cite_key(spark, d):
+    return _records(spark, d).select("p_partkey", citations.cite_key(F.col("title"), F.col("authors"), F.col("year")).alias("cite_key"))
+
+
+@query("WITH " + RECORDS + """, e AS (SELECT *, regexp_replace(title, '([&%$#_{}])', '\\\\\\1', 'g') AS t, regexp_replace(author, '([&%$#_{}])', '\\\\\\1', 'g') AS a, regexp_replace(venue, '([&%$#_{}])', '\\\\\\1', 'g') AS v,
+ CASE WHEN venue IS NOT NULL THEN 'inproceedings' WHEN doi IS NOT NULL THEN 'article' ELSE 'misc' END AS kind FROM keyed)
+SELECT p_partkey, '@' || kind || '{' || cite_key || ',' || chr(10) || '  title     = {' || t || '},' || chr(10) || '  author    = {' || a || '},' || chr(10) || CASE WHEN year > 0 THEN '  year      = {' || year || '},' || chr(10) ELSE '' END
+ || CASE WHEN kind = 'inproceedings' THEN '  booktitle = {' || v || '},' || chr(10) WHEN kind = 'misc' AND arxiv_id IS NOT NULL THEN '  howpublished = {arXiv preprint arXiv:' || arxiv_id || '},' || chr(10) ELSE '' END
+ || CASE WHEN doi IS NOT NULL THEN '  doi       = {' || doi || '},' || chr(10) ELSE '' END || '  url       = {' || url || '},' || chr(10) || '}' AS entry FROM e""")
+def bibtex_entry(spark, d):
+    return _records(spark, d).select("p_partkey", citations.bibtex().alias("entry"))
+
+
+@query("WITH " + RECORDS + """ SELECT p_partkey, '[' || p_partkey || '] ' || upper(substr(author, 1, 1)) || '. ' || list_extract(regexp_split_to_array(author, '\\s+'), -1) || ', "' || title || '"'
+ || CASE WHEN coalesce(venue, arxiv_id) IS NOT NULL THEN ', in *' || coalesce(venue, 'arXiv:' || arxiv_id) || '*' ELSE '' END || ', ' || CASE WHEN year > 0 THEN CAST(year AS VARCHAR) ELSE 'n.d.' END || CASE WHEN doi IS NOT NULL THEN '. doi: ' || doi ELSE '' END || '.' AS entry FROM keyed""")
+def ieee_entry(spark, d):
+    return _records(spark, d).select("p_partkey", citations.ieee(F.col("p_partkey")).alias("entry"))
+
+
+# --- responses (P15, N1, N5) ---
+
+
+@query("SELECT doc_id AS id, CAST(i - 1 AS INTEGER) AS pos, line AS exact_text, 'key' AS type FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) >= 10")
+def highlight_parse(spark, d):
+    """Lines are put in a JSON answer and parsed from it again."""
+    body = F.to_json(F.struct(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("exact_text"), F.lit("key").alias("type"))).alias("highlights")))
+    return responses.parse_highlights(read(spark, d, "documents").select(F.col("doc_id").alias("id"), body.alias("body")))
+
+
+# --- queues, throttling, time (X1, X2, X6, A8, A14, W10) ---
+
+EVENTS = "e AS (SELECT user_id, event_id AS pos, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms, CASE event_type WHEN 'error' THEN 'overload' WHEN 'click' THEN 'failure' ELSE 'success' END AS kind FROM events)"
+
+
+def throttle_events(spark, d) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "overload").when(F.col("event_type") == "click", "failure").otherwise("success")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return read(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), ms.alias("ts_ms"), kind.alias("kind"), F.lit(None).cast("long").alias("retry_after_ms"))
+
+
+@query("WITH " + EVENTS + " SELECT user_id, pos, ts_ms, kind, CAST(sum(CASE WHEN kind = 'overload' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM e")
+def overloads_in_window(spark, d):
+    return queues.recent_overloads(throttle_events(spark, d).drop("retry_after_ms"), "user_id")
+
+
+@query()
+def throttle_states(spark, d):
+    return queues.throttle_trace(throttle_events(spark, d), "user_id")
+
+
+@query("WITH " + EVENTS + " SELECT user_id, pos, ts_ms FROM (SELECT *, lead(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms, pos) - ts_ms AS gap FROM e) WHERE gap IS NULL OR gap >= 3600000")
+def debounce_events(spark, d):
+    return queues.debounce(throttle_events(spark, d).select("user_id", "pos", "ts_ms"), "user_id", 3_600_000)
+
+
+def _jobs(spark, d) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("running")
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pdf"), F.col("o_orderdate").alias("added_at"), status.alias("status"))
+
+
+JOBS = "j AS (SELECT o_orderkey AS id, o_custkey AS pdf, o_orderdate AS added_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS status FROM orders)"
+
+
+@query("WITH " + JOBS + " SELECT id, pdf FROM (SELECT id + 10000000 AS id, pdf, added_at FROM j WHERE status = 'done') n WHERE pdf NOT IN (SELECT pdf FROM j WHERE status IN ('pending', 'running') AND id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY added_at, id) = 1")
+def queue_admission(spark, d):
+    jobs = _jobs(spark, d)
+    fresh = jobs.where("status = 'done'").select((F.col("id") + 10_000_000).alias("id"), "pdf", "added_at")
+    return queues.admit(jobs.where("id % 2 = 0"), fresh, ["pdf"]).select("id", "pdf")
+
+
+@query("WITH " + JOBS + " SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'error') AS error FROM j")
+def queue_counts(spark, d):
+    return queues.queue_statistics(_jobs(spark, d))
+
+
+@query("WITH " + JOBS + " SELECT pdf, id, status FROM j QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY added_at DESC, id DESC) = 1")
+def latest_job(spark, d):
+    return queues.latest(_jobs(spark, d), "pdf", ["added_at", "id"]).select("pdf", "id", "status")
+
+
+# --- geometry (W8, A12) ---
+
+RECTS = "r AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, l_quantity * 10 AS l, l_quantity * 10 + 60 AS r, 100 + floor(l_discount * 1000) AS t, 112 + floor(l_discount * 1000) AS b FROM lineitem)"
+
+
+@query("WITH " + RECTS + """, a AS (SELECT *, (t + b) / 2 AS cy, b - t AS h FROM r),
+j AS (SELECT *, CASE WHEN coalesce(abs(lag(cy) OVER w - cy) > 0.55 * greatest(lag(h) OVER w, h), true) THEN 1 ELSE 0 END AS jump FROM a WINDOW w AS (PARTITION BY page_id ORDER BY cy, l, pos)),
+n AS (SELECT *, sum(jump) OVER (PARTITION BY page_id ORDER BY cy, l, pos) AS row_no FROM j),
+k AS (SELECT *, l - lag(r) OVER w AS gap, (least(lag(b) OVER w, b) - greatest(lag(t) OVER w, t)) / greatest(1, least(lag(h) OVER w, h)) AS ov, greatest(3, least(7, greatest(lag(h) OVER w, h) * 0.45)) AS near, row_number() OVER w AS i FROM n WINDOW w AS (PARTITION BY page_id, row_no ORDER BY l, pos)),
+c AS (SELECT *, CASE WHEN i = 1 OR NOT (gap <= near AND ov >= 0.45) THEN 1 ELSE 0 END AS fresh FROM k)
+SELECT page_id, pos, CAST(row_no AS BIGINT) AS row_no, CAST(sum(fresh) OVER (PARTITION BY page_id, row_no ORDER BY l, pos) AS BIGINT) AS cluster_no FROM c""")
+def rectangle_clusters(spark, d):
+    q = F.col("l_quantity") * 10
+    t = 100 + F.floor(F.col("l_discount") * 1000)
+    r = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos"), q.alias("left"), (q + 60).alias("right"), t.cast("double").alias("top"), (t + 12).cast("double").alias("bottom"), F.lit("word").alias("text"))
+    return geometry.clustered(r).select("page_id", "pos", "row_no", "cluster_no")
+
+
+# --- literal tables: identifiers, notes, plans, responses ---
+
+
+@literal
+def arxiv_ids(spark):
+    return fixtures.table(spark, "arxiv_inputs").select("input", ids.arxiv_id(F.col("input")).alias("id"))
+
+
+@literal
+def paper_identities(spark):
+    found = ids.paper_identity(F.col("input"))
+    return fixtures.table(spark, "identity_inputs").select("input", found["id"].alias("id"), found["type"].alias("type"))
+
+
+@literal
+def graph_records(spark):
+    r = ids.graph_record(F.struct("*"))
+    return fixtures.table(spark, "graph").select(*[r[c].alias(c) for c in ("id", "title", "year", "citation_count", "url")], F.size(r["authors"]).alias("n_authors"))
+
+
+@literal
+def note_identities(spark):
+    return identity.resolve_notes(fixtures.table(spark, "notes"))
+
+
+@literal
+def note_pdf_links(spark):
+    return identity.link_pdfs(fixtures.table(spark, "pdfs"), fixtures.table(spark, "notes"))
+
+
+@literal
+def pdf_identities(spark):
+    return identity.resolve_pdfs(fixtures.table(spark, "pdfs"), fixtures.table(spark, "notes")).select("path", "id", "type", "resolution_source", "related_note")
+
+
+@literal
+def tag_counts(spark):
+    return identity.tag_histogram(fixtures.table(spark, "notes"))
+
+
+@literal
+def note_records(spark):
+    meta = spark.createDataFrame([("2301.00001", ["Ada Lovelace", "Alan Turing"], "2023-01-02")], "arxiv_id string, m_authors array<string>, m_published string")
+    out = identity.citation_records(fixtures.table(spark, "notes"), meta)
+    return out.select("path", "title", F.array_join("authors", "; ").alias("authors"), "year", "url", F.array_join("missing", ",").alias("missing"))
+
+
+@literal
+def atom_records(spark):
+    e = files.atom_entry(F.col("xml"))
+    return fixtures.table(spark, "atom").select("k", e["id"].alias("id"), e["title"].alias("title"), F.array_join(e["authors"], "; ").alias("authors"), e["published"].alias("published"), e["pdf_url"].alias("pdf_url"))
+
+
+@literal
+def heading_tags(spark):
+    return fixtures.table(spark, "headings").select("h", rules.heading_tag(F.col("h")).alias("tag"), rules.is_stop_heading(F.col("h")).alias("stop"), rules.is_caption(F.col("h")).alias("caption"))
+
+
+@literal
+def trivial_formulas(spark):
+    return fixtures.table(spark, "formulas").select("f", rules.is_trivial_formula(F.col("f")).alias("trivial"))
+
+
+@literal
+def markdown_pointers(spark):
+    return markdown.pointers(fixtures.table(spark, "markdown")).select("doc_id", "kind", "ordinal", F.array_join("section_path", " > ").alias("path"), "excerpt", "line_start", "char_start", "char_end")
+
+
+@literal
+def section_plans(spark):
+    return planner.section_plan(fixtures.table(spark, "plan_sections")).select("doc_id", "pointer_id", "target_heading")
+
+
+@literal
+def failed_calls(spark):
+    f = responses.failure(F.col("status"), F.col("body"))
+    return fixtures.table(spark, "failures").select("status", "body", f["request_id"].alias("request_id"), f["overloaded"].alias("overloaded"), f["retryable"].alias("retryable"))
+
+
+@literal
+def response_texts(spark):
+    r = responses.response_text(F.col("provider"), F.col("body"))
+    return fixtures.table(spark, "responses").select("k", r["text"].alias("text"), r["stop_reason"].alias("stop_reason"), r["truncated"].alias("truncated"))
+
+
+@literal
+def salvaged_markdown(spark):
+    return fixtures.table(spark, "raw_answers").select("k", responses.markdown_of(F.col("raw")).alias("markdown"), responses.looks_truncated(F.col("raw")).alias("cut"))
+
+
+@literal
+def stream_tokens(spark):
+    return fixtures.table(spark, "sse").select("k", responses.stream_token(F.col("line"), F.col("provider")).alias("token"))
+
+
+@literal
+def retry_delays(spark):
+    return fixtures.table(spark, "retries").select("k", rules.retry_delay_ms(F.col("attempt"), F.col("after")).alias("delay_ms"))
+
+
+@literal
+def quote_matches(spark):
+    return matching.match_spans(fixtures.table(spark, "quotes")).withColumn("score", F.round("score", 6)).drop("needle")
+
+
+@literal
+def throttle_vector(spark):
+    return queues.throttle_trace(fixtures.table(spark, "throttle"), "k").select("pos", "concurrency", "recent_overloads")
+
+
+@literal
+def queue_states(spark):
+    return queues.run_queue(fixtures.table(spark, "queue_events"))
+
+
+@literal
+def file_names(spark):
+    return fixtures.table(spark, "titles").select("title", ids.file_path(F.col("title"), F.lit("Papers/"), "pdf").alias("path"))
+
+
+@literal
+def source_priority(spark):
+    return identity.first_source(fixtures.table(spark, "attempts"))
+
+
+@literal
+def escaped_bibtex(spark):
+    return fixtures.table(spark, "escapes").select("s", citations.escape_bibtex(F.col("s")).alias("escaped"))

@@ -1,0 +1,202 @@
+"""Operators on hand-made rows: folds, offsets, state and rendering."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.functions import citations, responses, rules, text
+from lectern.operators import geometry, identity, markdown, matching, pages, planner, report
+from lectern.plans import fixtures
+from lectern.sources import files, html
+from lectern.streaming import queues
+
+ITEM = "doc_id string, page_num int, idx int, text string, height double, y double, font_name string, font_family string, has_eol boolean"
+
+
+def items(spark, lines):
+    """lines: (page, text, height)"""
+    rows = [("d", p, i, t, float(h), 700.0 - 14 * i, "f1", "serif", False) for i, (p, t, h) in enumerate(lines)]
+    return spark.createDataFrame(rows, ITEM)
+
+
+def chunks(spark, lines):
+    return [r.asDict() for r in pages.chunk_pages(items(spark, lines)).orderBy("pos").collect()]
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_chunks_take_page_and_stop_at_references(spark):
+    found = chunks(spark, [(5, "Main body.", 12), (6, "7. References", 12), (7, "Smith et al. 2023.", 12)])
+    assert [c["page_num"] for c in found] == [5] and found[0]["text"] == "Main body." and found[0]["section_tag"] == "other"
+
+
+def test_captions_go_and_bodies_stay(spark):
+    found = " ".join(c["text"] for c in chunks(spark, [(1, "Main body.", 12), (1, "Figure 1: Architecture overview.", 12), (1, "More body.", 12)]))
+    assert "Main body." in found and "More body." in found and "Figure" not in found
+
+
+def test_headings_set_tag_and_long_text_splits(spark):
+    found = chunks(spark, [(1, "1 Introduction", 18), *[(1, f"sentence number {i} here.", 12) for i in range(200)], (2, "Conclusion", 18), (2, "The end.", 12)])
+    assert len(found) > 3 and found[0]["section_tag"] == "introduction" and found[0]["heading_text"] == "Introduction"
+    assert found[-1]["section_tag"] == "conclusion" and all(len(c["text"]) <= 1600 for c in found)
+    assert all(c["text"].endswith(".") for c in found)
+
+
+def test_heading_pieces_on_a_line_are_one(spark):
+    rows = [("d", 1, 0, "3", 18.0, 700.0, "f", "s", False), ("d", 1, 1, "Method", 18.0, 700.0, "f", "s", False), ("d", 1, 2, "Words that follow here.", 12.0, 680.0, "f", "s", False), ("d", 1, 3, "And more of those words.", 12.0, 666.0, "f", "s", False), ("d", 1, 4, "Still more of them here.", 12.0, 652.0, "f", "s", False)]
+    found = pages.chunk_pages(spark.createDataFrame(rows, ITEM)).collect()
+    assert [(r["section_tag"], r["heading_text"]) for r in found] == [("method", "Method")]
+
+
+def test_no_items_no_chunks(spark):
+    assert pages.chunk_pages(items(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("s", ["", "abc", "é€", "section\nTitle\nx"])
+def test_hash_in_both_forms(spark, s):
+    assert value(spark, text.fnv1a(F.lit(s))) == markdown.fnv1a(s)
+
+
+def test_astral_offsets_count_code_points():
+    (found,) = [p for p in markdown.pointers_of("a 😀 $x=1$ b") if p[1] == "formula"]
+    assert found[7:9] == (4, 9)
+
+
+def test_prose_between_display_blocks_counts_as_inline():
+    kinds = [p[-1] for p in markdown.pointers_of("$$a=b$$ words = here $$c=d$$") if p[1] == "formula"]
+    assert "$$a=b$$" in kinds and "$$c=d$$" in kinds and len(kinds) == 3
+
+
+def test_html_walk():
+    page = '<body><nav>skip</nav><main><h1>Paper  Title</h1><p>One<b>two<p>three<figure><img src="/fig1.png"><figcaption>Figure 1</figcaption></figure><div class="ltx_Math" alttext="\\bm{x} = y + z"></div><ul><li>a<li>b</ul><pre> code </pre></main>'
+    out = html.to_markdown(page, "https://arxiv.org/html/2604.04184")
+    for part in ("# Paper Title", "Onetwo", "three", "![Figure](https://arxiv.org/fig1.png)", "Figure 1", "$$\n\\boldsymbol{x} = y + z\n$$", "- a\n\n- b", "```\ncode\n```"):
+        assert part in out
+    assert "skip" not in out and html.to_markdown("", "") == "# Paper"
+
+
+def test_boldsymbol_keeps_longer_names():
+    assert html.boldsymbol(r"a \bmod b \bm{x{y}} \bm z") == r"a \bmod b \boldsymbol{x{y}} \boldsymbol{z}"
+
+
+def test_matches_with_thresholds_and_neighbours(spark):
+    assert matching.find("hello world foo XXXXXXXX", ["hello world foo", "bar baz"], [0, 1], 0.9) is None
+    assert matching.find("zz", ["a"], [0]) is None
+    lines = items(spark, [(1, "first page text", 10), (2, "a quoted sentence stands here", 10)])
+    quote = spark.createDataFrame([("q", "d", 1, "quoted sentence", "p.pdf"), ("n", "d", 1, "qqqq wwww zzzz", "p.pdf")], "id string, doc_id string, page_num int, exact_text string, file_name string")
+    got = {r["id"]: r for r in matching.anchors(quote, lines).collect()}
+    assert (got["q"]["match_page"], got["q"]["score"], got["q"]["link"]) == (2, 1.0, "[[p.pdf#page=2]]")
+    assert (got["n"]["match_page"], got["n"]["score"], got["n"]["begin_index"]) == (1, 0.0, None)
+    assert matching.stored(matching.anchors(quote, lines)).count() == 1
+
+
+def test_owner_needs_containment(spark):
+    sections = spark.createDataFrame([("d", "s1", 1, 0, 120), ("d", "s2", 2, 121, 260), ("d", "s3", 3, 261, 420)], "doc_id string, id string, ordinal int, char_start int, char_end int")
+    inner = spark.createDataFrame([("d", "f1", 210, 320), ("d", "f2", 130, 140)], "doc_id string, id string, char_start int, char_end int")
+    assert {r["id"]: r["owner_id"] for r in planner.owning_section(inner, sections).collect()} == {"f1": None, "f2": "s2"}
+
+
+def test_block_is_replaced_once_by_position(spark):
+    block = report.summary_block(F.lit("New $$x$$ $& \\1"), F.lit("low"), F.lit("m"), F.lit("t"))
+    once = report.upsert_block(F.lit("Note"), block)
+    again = report.upsert_block(once, report.summary_block(F.lit("Two $$y$$"), F.lit("low"), F.lit("m"), F.lit("t")))
+    out = value(spark, again)
+    assert out.startswith("Note\n\n" + report.START) and out.count(report.START) == 1 and "$$y$$" in out and "$$x$$" not in out
+    assert value(spark, report.upsert_block(F.lit("Note"), F.lit(""))) == "Note"
+    assert value(spark, report.upsert_block(F.lit(" "), F.lit("B"))) == "B\n"
+
+
+def test_report_orders_fixed_sections_first(spark):
+    rows = [("d", 0, "t", "other", "Custom", "x", "[[l]]"), ("d", 1, "t", "experiment", None, "y", "[[l]]"), ("d", 2, "t", "abstract", None, "z", "[[l]]")]
+    out = report.render_report(spark.createDataFrame(rows, "doc_id string, pos int, type string, section_tag string, heading_text string, exact_text string, link string")).first()["report"]
+    assert out.index("### Abstract") < out.index("### Experiment") < out.index("### Custom")
+
+
+def test_templates_keep_unknown_names(spark):
+    paper = spark.createDataFrame([("i", 'A "t"', ["X \"Y\""], "2020-01-01", "l1\n\nl2")], "id string, title string, authors array<string>, published string, abstract string")
+    out = paper.select(citations.note_from_template(F.lit("{{arxiv_id}}|{{title_frontmatter}}|{{authors_yaml}}|{{abstract}}|{{pdf_file}}|{{constructor}}|{{what}}"), F.lit("p.pdf")).alias("v")).first()["v"]
+    assert out == "i|A 't'|  - \"X 'Y'\"|l1 l2|p.pdf|{{constructor}}|{{what}}"
+
+
+def test_ieee_and_presets(spark):
+    r = spark.createDataFrame([("T", ["A B", "C D", "E F", "G H"], 0, "2301.1", None, None, None, None)], "title string, authors array<string>, year int, arxiv_id string, doi string, venue string, entry_type string, url string")
+    assert r.select(citations.ieee(F.lit(2)).alias("v")).first()["v"] == '[2] A. B et al., "T", in *arXiv:2301.1*, n.d..'
+    entry = r.select(citations.bibtex(F.lit("icml")).alias("v")).first()["v"]
+    assert entry.startswith("@inproceedings{b0000paper") and citations.VENUES["icml"] in entry and "year" not in entry
+    assert r.select(citations.custom(F.lit("{title} {year}{x}")).alias("v")).first()["v"] == "T {x}"
+    out = citations.export_text(spark.createDataFrame([(2, "b", ["year"]), (1, "a", [])], "pos int, entry string, missing array<string>")).first()["output"]
+    assert out == "a\n\n% missing: year\nb"
+
+
+def test_draft_merges_in_heading_order(spark):
+    headings = spark.createDataFrame([("b", 1, "B", "none yet"), ("a", 0, "A", "none yet"), ("f", 2, "F", None)], "heading string, heading_pos int, title string, filler string")
+    blocks = spark.createDataFrame([("d", "a", 2, "two"), ("d", "a", 1, "one")], "doc_id string, heading string, seq int, markdown string")
+    assert planner.merge_draft(blocks, headings).first()["draft"] == "## A\n\none\n\ntwo\n\n## B\n\nnone yet"
+
+
+def test_placeholders(spark):
+    drafts = spark.createDataFrame([("d", "x {{image:image:1:ab}} y {{image:2:cd}} z {{image:none}}"), ("e", "plain")], "doc_id string, draft string")
+    images = spark.createDataFrame([("d", "image:1:ab", "![a](u)"), ("d", "image:2:cd", "![b](v)")], "doc_id string, id string, content string")
+    assert {r["doc_id"]: r["draft"] for r in planner.replace_image_placeholders(drafts, images).collect()} == {"d": "x ![a](u) y ![b](v) z ", "e": "plain"}
+
+
+def test_rectangles_merge_to_percent(spark):
+    schema = "page_id int, pos int, left double, right double, top double, bottom double, text string"
+    rects = spark.createDataFrame([(1, 0, 0.0, 10.0, 0.0, 10.0, "abc"), (1, 1, 12.0, 20.0, 0.0, 10.0, "def"), (1, 2, 50.0, 60.0, 0.0, 10.0, "∑∫"), (1, 3, 0.0, 30.0, 40.0, 50.0, "next line"), (1, 4, 5.0, 5.0, 0.0, 9.0, "flat")], schema)
+    page = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0)], "page_id int, page_left double, page_top double, page_width double, page_height double")
+    got = geometry.merged_rows(rects, page).orderBy("row_no", "cluster_no").collect()
+    assert [(r["text"], r["left"], r["width"], r["top"], r["height"]) for r in got] == [("abcdef", 0.0, 20.6, 0.0, 10.0), ("next line", 0.0, 30.6, 40.0, 10.0)]
+
+
+def test_highlights_and_provider_stub(spark):
+    calls = spark.createDataFrame([("a", "mark", "A sentence that is long enough. More.", 10), ("b", "", "x", 10)], "id string, system string, user string, max_tokens int")
+    answered = files.call_provider(calls, files.stub_provider, parallel=2)
+    got = responses.parse_highlights(answered.select("id", "body")).collect()
+    assert [(r["id"], r["exact_text"]) for r in got] == [("a", "A sentence that is long enough.")]
+    bad = spark.createDataFrame([("1", "{oops"), ("2", '{"highlights":[{"exact_text":"short","type":"x"},{"exact_text":5,"type":"x"},{"type":"x"}]}')], "id string, body string")
+    assert responses.parse_highlights(bad).count() == 0
+
+
+def test_source_leak_and_language(spark):
+    source = "word " * 60
+    assert value(spark, rules.is_source_leak(F.lit(source), F.lit(source))) is True
+    assert value(spark, rules.is_insufficient(F.lit("An own account, quite different. " * 3), F.lit(source))) is False
+    assert value(spark, rules.is_insufficient(F.lit("An own account, quite different. " * 3), F.lit(source), "zh-CN")) is True
+
+
+def test_notes_are_split_and_parsed(spark):
+    raw = spark.createDataFrame([("v/N one.md", "---\ntags: [a, '#B']\ndoi: 10.1000/x\n---\nBody #Inline\n```\n#no\n```"), ("v/two.md", "plain"), ("v/bad.md", "---\n: [\n---\nx")], "path string, value string")
+    notes = files.with_frontmatter(raw.select(*files.split_note(F.col("path"), F.col("value"))))
+    got = {r["basename"]: r for r in notes.collect()}
+    assert got["N one"]["frontmatter"]["doi"] == "10.1000/x" and list(got["N one"]["inline_tags"]) == ["Inline"] and got["two"]["frontmatter"] == {} and got["bad"]["frontmatter"] == {}
+    assert {r["tag"] for r in identity.tag_histogram(notes).collect()} == {"a", "b", "inline"} and identity.tagged(notes, "#B").count() == 1
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path):
+    events = fixtures.table(spark, "throttle")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    out = queues.throttle_stream(stream, "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination(90)
+    key = lambda r: r["pos"]
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(queues.throttle_trace(events, "k").collect(), key=key)
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    rows = spark.sql("SELECT 'u' AS k, timestamp_millis(t) AS ts FROM VALUES (0L), (100L), (1000L), (600000L) AS v(t)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+    q = queues.debounce_stream(stream, "k", "ts").writeStream.format("memory").queryName("sessions").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted(r["n"] for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_queue_helpers(spark):
+    q = spark.createDataFrame([("1", "a", "running", 1), ("2", "b", "pending", 2), ("3", "c", "odd", 3), (None, "d", "done", 4)], "id string, pdf string, status string, added_at int")
+    assert queues.next_job(q).count() == 0
+    again = queues.recover(q)
+    assert queues.next_job(again).first()["id"] == "1" and again.count() == 2
+    assert queues.clear_done(q).count() == 3
+    starts = queues.paced(spark.createDataFrame([(0, 0), (1, 100), (2, 9000)], "pos int, ts_ms int")).orderBy("pos").collect()
+    assert [r["start_ms"] for r in starts] == [0, 3000, 9000]

@@ -222,15 +222,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
     shared = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "cid")).alias("p")).where("c > 1")
     shared = table(shared.select("token", "p"), "shared-tokens")
     lists = table(lists.join(shared, "token"), "lists")
-    wanted = small(table(lists.select("cid").distinct(), "wanted"))
-    wanted = table(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "k1", "k2"), "wanted-classes")
-    ids = small(table(wanted.select("rep").distinct(), "wanted-ids"))
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole_sets(shingle), "k1 long, k2 long, members binary")
-    sets = sets.join(small(wanted.select("cid", "k1", "k2")), ["k1", "k2"]).select("cid", "members").dropDuplicates(["cid"])
-    sets = table(sets, "sets")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the written pairs whose whole sets are alike; only texts that are in a pair are read again."""
+        wanted = table(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "wanted")
+        wanted = table(classes.select("cid", "rep", "k1", "k2").join(small(wanted), "cid", "left_semi"), "wanted-classes")
+        ids = small(table(wanted.select("rep").distinct(), "wanted-ids"))
+        texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+        sets = texts.mapInArrow(_whole_sets(shingle), "k1 long, k2 long, members binary")
+        sets = sets.join(small(wanted.select("cid", "k1", "k2")), ["k1", "k2"]).select("cid", "members").dropDuplicates(["cid"])
+        sets = table(sets, "sets")
         left = sets.select(F.col("cid").alias("u"), F.col("members").alias("mu"))
         right = sets.select(F.col("cid").alias("v"), F.col("members").alias("mv"))
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv")

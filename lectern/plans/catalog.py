@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.functions import citations, ids, responses, rules, text
-from lectern.operators import geometry, identity, markdown, matching, pages, planner, report, tfidf
+from lectern.operators import cascade, geometry, identity, markdown, matching, pages, planner, report, tfidf
 from lectern.plans import fixtures
 from lectern.sources import files, html
 from lectern.streaming import queues
@@ -578,3 +578,53 @@ def source_priority(spark):
 @literal
 def escaped_bibtex(spark):
     return fixtures.table(spark, "escapes").select("s", citations.escape_bibtex(F.col("s")).alias("escaped"))
+
+
+@literal
+def explanations(spark):
+    return cascade.explained(fixtures.table(spark, "answers"), fixtures.table(spark, "repairs"))
+
+
+@literal
+def import_ids(spark):
+    return fixtures.table(spark, "import_inputs").select("k", cascade.import_id(F.col("url"), F.col("pdf_url"), F.col("id")).alias("arxiv"))
+
+
+@literal
+def setting_values(spark):
+    c = F.col
+    return fixtures.table(spark, "settings").select("k", rules.hex_color(c("color")).alias("color"), F.array_join(rules.aliases(c("names"), ["doi"]), "|").alias("names"), rules.one_of(c("effort"), ["low", "medium", "high"], "low").alias("effort"))
+
+
+@literal
+def prose_texts(spark):
+    c = F.col("s")
+    return fixtures.table(spark, "prose").select("k", text.strip_to_prose(c).alias("prose"), text.strip_images(c).alias("without_images"), text.upgrade_inline_math(c).alias("math"), text.selection_kind(c).alias("kind"))
+
+
+@literal
+def abstracts(spark):
+    return planner.bundle_abstract(markdown.pointers(fixtures.table(spark, "abstract_docs")))
+
+
+@literal
+def provider_requests(spark):
+    c = F.col
+    body = responses.request_body(c("provider"), F.lit("m"), F.lit("sys"), F.lit("hi"), F.lit(10), F.lit(0.1))
+    return fixtures.table(spark, "urls").withColumn("provider", responses.provider_of(c("url"))).select("url", "provider", body.alias("body"))
+
+
+@literal
+def recommended(spark):
+    return responses.recommendations(fixtures.table(spark, "picks")).select("id", "pos", "paper_id", "reason")
+
+
+@literal
+def image_owners(spark):
+    found = markdown.pointers(fixtures.table(spark, "markdown"))
+    return planner.image_owner(found.where("kind = 'image'"), found.where("kind = 'section'")).select("doc_id", F.regexp_extract("section_id", r"\A\w+:\d+", 0).alias("section"), F.regexp_extract("image_id", r"\A\w+:\d+", 0).alias("image"), "n")
+
+
+@literal
+def chosen_pdfs(spark):
+    return identity.summary_pdf(fixtures.table(spark, "pdf_candidates"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BODY = "Body text that goes on."
+EXPLAINED = "This section sets out why the method works and what each of its steps adds."
 METHOD = "We describe the method in detail here."
 
 #: name: (schema, rows)
@@ -120,6 +121,18 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "titles": ("title string", [("A/B: C?",), ("  two\nlines ",), ("x" * 120,)]),
     "attempts": ("paper_id string, priority int, kind string, status int, text string", [("p", 1, "hf-markdown", 404, None), ("p", 2, "arxiv-html", 404, None), ("p", 3, "ar5iv-html", 200, "text"), ("p", 4, "reader", 200, "other"), ("q", 1, "hf-markdown", 200, "  "), ("q", 5, "pdf", 200, "pdf text")]),
+    "answers": (
+        "id string, text string, label string, content string",
+        [("good", '{"markdown":"' + EXPLAINED + '"}', "M", "Source."), ("leak", "word " * 40, "L", "word " * 40), ("lost", "short", "S", "The  source text.")],
+    ),
+    "repairs": ("id string, text string", [("leak", EXPLAINED), ("lost", "no")]),
+    "import_inputs": ("k int, url string, pdf_url string, id string", [(1, "https://arxiv.org/abs/2301.00001", None, "x"), (2, "https://doi.org/10.1/x", "https://arxiv.org/pdf/2302.00002", "x"), (3, "https://x.org", None, "arxiv:2303.00003"), (4, "https://x.org", None, "abc")]),
+    "settings": ("k int, color string, names array<string>, effort string", [(1, " #FFF ", [" arxiv", "ArXiv", "", "id"], "high"), (2, "#12AB34", [" "], "extreme"), (3, "red", [], None)]),
+    "prose": ("k int, s string", [(1, "# H\n> quote *b* [l](u) ![i](v)\n\n\n\n```\ncode\n``` end"), (2, "$x+y$\nword"), (3, "word")]),
+    "abstract_docs": ("doc_id string, markdown string", [("a", "# T\nFirst.\n## Abstract\nThe  abstract\ntext."), ("b", "# T\n\nOnly paragraph here.")]),
+    "urls": ("url string", [("https://api.anthropic.com/v1/messages",), ("https://api.openai.com/v1/chat/completions",)]),
+    "picks": ("id string, body string", [("q", '```json\n{"recommendations":[{"paperId":"p1","reason":"r"},{"reason":"no id"},{"paperId":"p2"}]}\n```'), ("z", "nothing")]),
+    "pdf_candidates": ("note_path string, pdf_path string, priority int", [("n", "b.pdf", 2), ("n", "a.pdf", 1), ("m", "c.pdf", 3)]),
     "escapes": ("s string", [("a\\b",), ("50% & {x}_1",), ("~^",)]),
 }
 
@@ -178,6 +191,28 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "queue_states": ("pdf, id, status, error", [("a", "1", "done", N), ("a", "3", "pending", N), ("b", "4", "error", "Cancelled"), ("c", "5", "pending", N)]),
     "file_names": ("title, path", [("A/B: C?", "Papers/A-B- C-.pdf"), ("  two\nlines ", "Papers/two-lines.pdf"), ("x" * 120, f"Papers/{_LONG}.pdf")]),
     "source_priority": ("paper_id, kind, text", [("p", "ar5iv-html", "text"), ("q", "pdf", "pdf text")]),
+    "explanations": ("id, markdown, step", [("good", EXPLAINED, "answer"), ("leak", EXPLAINED, "repair"), ("lost", "**S**\n\n> The source text.", "safety-net")]),
+    "import_ids": ("k, arxiv", [(1, "2301.00001"), (2, "2302.00002"), (3, "2303.00003"), (4, N)]),
+    "setting_values": ("k, color, names, effort", [(1, "#ffffff", "arxiv|id", "high"), (2, "#12ab34", "doi", "low"), (3, "#ffd400", "doi", "low")]),
+    "prose_texts": (
+        "k, prose, without_images, math, kind",
+        [
+            (1, "H quote b l end", "# H\n> quote *b* [l](u) \n\n```\ncode\n``` end", TABLES["prose"][1][0][1], "sentence"),
+            (2, "word", "$x+y$\nword", "$$\nx+y\n$$\nword", "sentence"),
+            (3, "word", "word", "word", "word"),
+        ],
+    ),
+    "abstracts": ("doc_id, abstract", [("a", "The abstract text."), ("b", "Only paragraph here.")]),
+    "provider_requests": (
+        "url, provider, body",
+        [
+            (TABLES["urls"][1][0][0], "anthropic", '{"model":"m","max_tokens":10,"temperature":0.1,"system":"sys","messages":[{"role":"user","content":"hi"}]}'),
+            (TABLES["urls"][1][1][0], "openai", '{"model":"m","max_tokens":10,"temperature":0.1,"messages":[{"role":"system","content":"sys"},{"role":"user","content":"hi"}]}'),
+        ],
+    ),
+    "recommended": ("id, pos, paper_id, reason", [("q", 0, "p1", "r"), ("q", 2, "p2", N)]),
+    "image_owners": ("doc_id, section, image, n", [("mixed", "section:1", "image:1", 1)]),
+    "chosen_pdfs": ("note_path, pdf_path", [("n", "a.pdf"), ("m", "c.pdf")]),
     "escaped_bibtex": ("s, escaped", [("a\\b", "a\\textbackslash\\{\\}b"), ("50% & {x}_1", "50\\% \\& \\{x\\}\\_1"), ("~^", "\\textasciitilde{}\\textasciicircum{}")]),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import table
+from lectern.llm.store import drop, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = table(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(least, "u").select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = table(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, table(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(last, large)
         state = _state(now)
         if state == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.store import prepare, small, table
+from lectern.llm.store import drop, prepare, small, table
 from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
 #: Hashed shingle counters, in rows of SLICE.
@@ -222,6 +222,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
     shared = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "cid")).alias("p")).where("c > 1")
     shared = table(shared.select("token", "p"), "shared-tokens")
     lists = table(lists.join(shared, "token"), "lists")
+    drop(shared)
+    used: list[DataFrame] = []
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the written pairs whose whole sets are alike; only texts that are in a pair are read again."""
@@ -232,6 +234,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
         sets = texts.mapInArrow(_whole_sets(shingle), "k1 long, k2 long, members binary")
         sets = sets.join(small(wanted.select("cid", "k1", "k2")), ["k1", "k2"]).select("cid", "members").dropDuplicates(["cid"])
         sets = table(sets, "sets")
+        drop(wanted)
+        used.append(sets)
         left = sets.select(F.col("cid").alias("u"), F.col("members").alias("mu"))
         right = sets.select(F.col("cid").alias("v"), F.col("members").alias("mv"))
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "mu", "mv")
@@ -247,15 +251,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
     placed = lists.join(roots, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
     mixed = table(placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token"), "mixed-tokens")
     placed = table(placed.join(mixed, "token", "left_semi"), "placed")
+    drop(mixed, lists)
     a, b = placed.alias("a"), placed.alias("b")
     more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _feasible(percent, limit))
     more = more.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    edges = edges.unionByName(alike(table(more, "cross-pairs")))
-    roots = connected_components(edges)
+    more = table(more, "cross-pairs")
+    roots = connected_components(edges.unionByName(alike(more)))
+    drop(*used, tried, placed, more, edges, least)
 
     # back to documents
     placed = classes.select("k1", "k2", "cid", "rep").join(roots, F.col("cid") == F.col("node"), "left")
     placed = table(placed.select("k1", "k2", "rep", F.coalesce("root", "cid").alias("root")), "class-roots")
+    drop(classes)
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = placed.join(named, "root").select("k1", "k2", "component_id")
     full = signed.where("n > 0").select("doc_id", "n", "k1", "k2").join(placed, ["k1", "k2"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, quality, substring_dedup
-from lectern.llm.store import bucket_of
+from lectern.llm.store import bucket_of, small
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = _read(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit_quality(docs.join(learnt, "doc_id").select("text", "label"))
+    model = quality.fit_quality(docs.join(small(learnt), "doc_id").select("text", "label"))
     scored = quality.score_quality(docs, model)
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from lectern.llm.store import bucket_of, shared_dir, text_key
+from lectern.llm.store import bucket_of, shared_dir, small, table, text_key
 
 #: A prediction less probable than this is no language of the corpus (chance, with four, is 0.25).
 MIN_LANGUAGE_SCORE = 0.3
 
 
-def _same_row(docs: DataFrame):
-    """The condition that joins a row of ``docs`` to (lectern_id, lectern_key)."""
-    return docs["doc_id"].eqNullSafe(F.col("lectern_id")) & (text_key(F.coalesce(docs["text"], F.lit(""))) == F.col("lectern_key"))
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows in ``gone`` (doc_id, row_key).  The keys are written and counted first: if they are few
+    they are broadcast, and no text is shuffled."""
+    keys = gone.select(F.col("doc_id").alias("lectern_id"), F.col("row_key").alias("lectern_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("lectern_id")) & (text_key(F.coalesce(docs["text"], F.lit(""))) == F.col("lectern_key"))
+    return docs.join(small(table(keys, "gone")), same, "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     net = language_id.fit_language_net(docs.where(bucket_of(F.col("doc_id"), 5) != 0).select("text", "lang"))
     told = language_id.predict_languages(docs.select("doc_id", "text"), net)
     gone = told.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    gone = gone.select(F.col("doc_id").alias("lectern_id"), F.col("row_key").alias("lectern_key")).distinct()
-    return docs.join(gone, _same_row(docs), "left_anti").select(*docs.columns)
+    return _without(docs, gone)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +50,15 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows (equal id and text) stay once.  Empty texts are in no group and stay."""
     grouped = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
     gone = grouped.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("lectern_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("lectern_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(small(table(gone, "gone")), docs["doc_id"] == F.col("lectern_id"), "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id", text_key(F.col("text")).alias("row_key")).agg(F.count("*").alias("rows")).where("rows > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of ten words of a benchmark item (or a whole shorter item)."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.remove_documents(docs, found).select(*docs.columns)
+    return _without(docs, found.where("n_hit > 0"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import prepare
+from lectern.llm.store import hash_sample, prepare
 from lectern.llm.text_bytes import chunks
 
 WINDOW = 256
@@ -119,8 +119,8 @@ class ByteNet:
 def fit_language_net(labelled: DataFrame, sample_rows: int = 3000, sample_chars: int = 4000) -> ByteNet:
     """The network for ``labelled`` (text, lang), learned from a bounded sample: the ``sample_rows`` rows whose
     text and language have the smallest hashes, ``sample_chars`` code points of each at most."""
-    known = labelled.where("lang is not null and text is not null").select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text", "lang").alias("h"))
-    rows = known.orderBy("h", "lang").limit(sample_rows).select("lang", "text").toArrow()
+    known = labelled.where("lang is not null and text is not null")
+    rows = hash_sample(known, F.xxhash64("text", "lang"), sample_rows).select("lang", F.substring("text", 1, sample_chars).alias("text")).toArrow()
     net = ByteNet(sorted(set(rows.column("lang").to_pylist())))
     if net.classes:
         labels = np.array([net.classes.index(x) for x in rows.column("lang").to_pylist()])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import prepare
+from lectern.llm.store import hash_sample, prepare
 from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
 PASSAGE = 512
@@ -122,8 +122,8 @@ class AttentionBags:
 def fit_quality(labelled: DataFrame, sample_rows: int = 4000, sample_chars: int = 12_000) -> AttentionBags:
     """The classifier for ``labelled`` (text, label 0 or 1), learned from a bounded sample: the ``sample_rows``
     rows of smallest hash, ``sample_chars`` code points of each at most.  Without rows it is untrained."""
-    known = labelled.where("label is not null").select(F.col("label").cast("double").alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"), F.xxhash64("text").alias("h"))
-    rows = known.orderBy("h", "label").limit(sample_rows).select("label", "text").toArrow()
+    known = hash_sample(labelled.where("label is not null"), F.xxhash64("text", "label"), sample_rows)
+    rows = known.select(F.col("label").cast("double").alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text")).toArrow()
     model = AttentionBags()
     bags: list[np.ndarray] = []
     for first, last, data, offsets in chunks(rows.column("text")):

@@ -87,8 +87,9 @@ class AttentionBags:
 
     def train(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.004, decay: float = 2e-4, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
-        flat = np.concatenate(bags)
-        self.mean, self.scale = flat.mean(axis=0), flat.std(axis=0) + 0.02
+        count = sum(map(len, bags))  # bag by bag, as a copy of all passages would be large
+        self.mean = (sum(b.sum(axis=0, dtype=np.float64) for b in bags) / count).astype(np.float32)
+        self.scale = np.sqrt(sum(np.square(b - self.mean).sum(axis=0, dtype=np.float64) for b in bags) / count).astype(np.float32) + np.float32(0.02)
         params = self.params()
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import hash_sample, prepare, table
+from lectern.llm.store import prepare, table
 from lectern.llm.text_bytes import CHUNK_BYTES, GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
 #: Counts are quantised to powers of this.
@@ -33,8 +33,8 @@ BITS_PER_BYTE, MAX_BITS, SPARE = 0.6, 1 << 31, 5
 HOT_TOKENS = 1 << 17
 #: Distinct grams that a map task holds before it emits them.
 HELD = 3_000_000
-#: Levels of the token before that have a weight of their own, and training documents that fit the weights.
-LEVELS, WEIGHT_DOCS, WEIGHT_CHARS = 64, 500, 20_000
+#: Levels of the token before that have a weight of their own.
+LEVELS = 64
 #: Bytes of training text for each slice.
 SLICE_BYTES = 8 << 20
 END = int(mix(np.array([0xE0F], np.uint64))[0])
@@ -170,45 +170,73 @@ class Model:
             level += 1
         return q
 
-    def parts(self, h: np.ndarray, doc: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its own probability, its share after the token before it, and the level of that one's
-        count; with ``left_out`` 1 as if the token itself had not been counted."""
-        uniq, back = np.unique(h, return_inverse=True)
-        level = self.level_of(uniq, 0)
-        count = level_value(level)
-        own = (np.maximum(count[back] - left_out, 0) + 1) / (self.n + self.v + 1)
-        g_uniq, g_back = np.unique(pairs(h, doc), return_inverse=True)
-        after = level_value(self.level_of(g_uniq, 1))[g_back]
-        first = np.concatenate(([True], doc[1:] != doc[:-1]))
-        end = self.level_of(np.array([END], np.uint64), 0)[0]
-        level = np.where(first, end, np.concatenate(([0], level[back][:-1])))
-        before = level_value(level)
-        after = np.minimum(after, np.minimum(before, count[back]))  # a pair is no more frequent than its parts
-        share = np.maximum(after - left_out, 0) / np.maximum(before - left_out, 1)
-        return own, share, np.minimum(level, LEVELS - 1)
-
-    def fit_weights(self, h: np.ndarray, doc: np.ndarray, rounds: int = 20) -> None:
-        """The weight of the share by the level of the token before, by expectation maximisation with each token left out."""
-        own, share, level = self.parts(h, doc, 1)
-        seen = np.bincount(level, minlength=LEVELS)
+    def fit_weights(self, told: np.ndarray, times: np.ndarray, rounds: int = 20) -> None:
+        """The weight of the share by the level of the token before, by expectation maximisation with each token left
+        out; ``times`` counts the tokens that have each row of levels."""
+        own, share, level = shares(told, self.n, self.v, 1)
+        seen = np.bincount(level, times, minlength=LEVELS)
         for _ in range(rounds):
             w = self.weights[level]
-            won = np.bincount(level, w * share / (w * share + (1 - w) * own), minlength=LEVELS)
+            won = np.bincount(level, times * (w * share / (w * share + (1 - w) * own)), minlength=LEVELS)
             self.weights = np.minimum((won + 0.05) / (seen + 1), 0.95)
         self.weights[0] = 0.0
 
-    def log_probabilities(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, told: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
-        own, share, level = self.parts(h, doc)
+        own, share, level = shares(told, self.n, self.v)
         w = self.weights[level]
         return np.log10(w * share + (1 - w) * own)
 
 
+def told_levels(h: np.ndarray, doc: np.ndarray, level_of) -> np.ndarray:
+    """For each token the levels of the counts of the token before it, of itself and of the pair of both."""
+    uniq, back = np.unique(h, return_inverse=True)
+    level = level_of(uniq, 0)
+    own = level[back]
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    before = np.where(first, level[np.searchsorted(uniq, END)], np.concatenate(([0], own[:-1])))
+    uniq, back = np.unique(pairs(h, doc), return_inverse=True)
+    return np.stack([before, own, level_of(uniq, 1)[back]], 1).astype(np.uint8)
+
+
+def shares(told: np.ndarray, n: int, v: int, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``told_levels``: the token's own probability, its share after the token before it, and the level
+    of that one's count; with ``left_out`` 1 as if the token itself had not been counted."""
+    before, count, after = level_value(np.arange(256))[told].T
+    own = (np.maximum(count - left_out, 0) + 1) / (n + v + 1)
+    after = np.minimum(after, np.minimum(before, count))  # a pair is no more frequent than its parts
+    share = np.maximum(after - left_out, 0) / np.maximum(before - left_out, 1)
+    return own, share, np.minimum(told[:, 0].astype(np.int64), LEVELS - 1)
+
+
+def _count_levels(batches):
+    """How many tokens of a task have each row of levels, as one number."""
+    codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for _, _, data, _ in chunks(batch.column(0)):
+            told = data.reshape(-1, 3).astype(np.int64)
+            part = np.unique(told[:, 0] << 16 | told[:, 1] << 8 | told[:, 2], return_counts=True)
+            codes, times = _merge(np.concatenate((codes, part[0])), np.concatenate((times, part[1])))
+    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], ["code", "times"])
+
+
+def _log_score(model: Model):
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("levels")
+            score = np.zeros(batch.num_rows)
+            for first, last, data, offsets in chunks(batch.column(at)):
+                docs = np.repeat(np.arange(last - first), np.diff(offsets) // 3)
+                score[first:last] = np.bincount(docs, model.log_probabilities(data.reshape(-1, 3)), minlength=last - first)
+            yield batch.set_column(at, "score", pa.array(score))
+
+    return run
+
+
 def fit(train: DataFrame, bits_per_byte: float = BITS_PER_BYTE, max_bits: int = MAX_BITS) -> tuple[DataFrame, Model]:
     """The written table of exact token counts (slice, hashes, counts) and the model of ``train`` (text).
 
-    All counts are of all of ``train``; only the interpolation weights are fitted on a bounded sample, the
-    WEIGHT_DOCS texts of smallest hash, WEIGHT_CHARS of each.
+    All counts are of all of ``train``; the interpolation weights are fitted later, from the levels of all its tokens.
     """
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
@@ -249,28 +277,26 @@ def fit(train: DataFrame, bits_per_byte: float = BITS_PER_BYTE, max_bits: int =
     hot = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in slices.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toLocalIterator()]
     hot = _merge(np.concatenate([x[0] for x in hot] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in hot] or [np.zeros(0, np.int64)]))
     model = Model(bits, slice_bits, own_bits, n, v, hot)
-    some = hash_sample(train, F.xxhash64("text"), WEIGHT_DOCS).select(F.substring("text", 1, WEIGHT_CHARS).alias("text")).toArrow().column("text")
-    for _, _, data, offsets in chunks(some):
-        model.fit_weights(*tokens(data, offsets))
-        break
     return slices, model
 
 
 def _score(broadcast, slice_bits: int):
     """Rows of two kinds: one for each document (slice null), and requests for the counts of rarer tokens."""
-    names = ["batch", "slice", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "hashes", "rows", "times"]
+    names = ["batch", "slice", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels", "hashes", "rows", "times"]
 
     def run(batches):
         model: Model = broadcast.value
         task, number = TaskContext.get().partitionId(), 0
-        kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(2)):
                 label = (task << 32) | number
                 number += 1
                 h, doc = tokens(data, offsets)
                 rows = last - first
-                score = np.bincount(doc, model.log_probabilities(h, doc), minlength=rows)
+                told = told_levels(h, doc, model.level_of)
+                ends = np.cumsum(np.bincount(doc, minlength=rows))
+                told = [x.tobytes() for x in np.split(told, ends[:-1])]
                 # each token of each document once
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
@@ -288,7 +314,7 @@ def _score(broadcast, slice_bits: int):
                 ids = batch.column(0)[span]
                 kinds[3] = ids.type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, label)), pa.nulls(rows, pa.int64()), pa.array(np.arange(rows), pa.int32()), ids, batch.column(1)[span], pa.array(total, pa.int64()), pa.array(known), pa.array(base), pa.array(score), none, none, none], names
+                    [pa.array(np.full(rows, label)), pa.nulls(rows, pa.int64()), pa.array(np.arange(rows), pa.int32()), ids, batch.column(1)[span], pa.array(total, pa.int64()), pa.array(known), pa.array(base), pa.array(told, pa.binary()), none, none, none], names
                 )
                 h, doc, times = h[~hot], doc[~hot], times[~hot]
                 order = np.argsort(h, kind="stable")
@@ -344,10 +370,16 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     slices, model = fit(rows.where("not held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"batch long, slice long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, hashes binary, rows binary, times binary"
+    schema = f"batch long, slice long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, levels binary, hashes binary, rows binary, times binary"
     scored = table(rows.mapInArrow(_score(spark.sparkContext.broadcast(model), model.slice_bits), schema), "scored")
     asked = scored.where("slice is not null").select("batch", "slice", "hashes", "rows", "times")
     answers = slices.select("slice", "hashes", "counts").groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(_answer, "batch long, rows binary, base binary, times binary")
-    own = scored.where("slice is null").select("batch", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
+    own = scored.where("slice is null").select("batch", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels")
+    # the share's weights depend on the levels only, so counts of equal rows of levels are all that fitting needs
+    counted = own.where("not held_out").select("levels").mapInArrow(_count_levels, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code").toPandas()
+    code = counted["code"].to_numpy(np.int64)
+    model.fit_weights(np.stack([code >> 16, code >> 8 & 255, code & 255], 1).astype(np.uint8), counted["times"].to_numpy(np.int64))
+    model.bits = model.hot = None  # what is left needs the weights only
+    own = own.mapInArrow(_log_score(model), f"batch long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
     out = own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

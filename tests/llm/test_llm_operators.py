@@ -265,6 +265,15 @@ def test_filter_reads_levels_back():
     assert (model.level_of(lm_score.mix(np.arange(5000, 7000, dtype=np.uint64)), 0) > 0).mean() < 0.1
 
 
+def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    rows = [(i, "same words here", None, None, None) for i in range(600)] + [(1000 + i, f"t{i} u{i % 7} " * (i % 5 + 1) + "last", None, None, None) for i in range(300)]
+    rows += [(2000, "long " * 600_000, None, None, None), (2001, None, None, None, None), (3000, "held out " * 50, None, None, None)]
+    seen, fit = [], lm_score.Model.fit_weights
+    monkeypatch.setattr(lm_score.Model, "fit_weights", lambda self, told, times, *a: (seen.append(int(times.sum())), fit(self, told, times, *a))[1])
+    got = lm_score.score_documents(frame(spark, rows), F.col("doc_id") >= 3000).collect()
+    assert seen == [sum(len(words(t)) + 1 for i, t, *_ in rows if i < 3000)] == [got[0]["train_tokens"]]
+
+
 def test_language_net_learns_and_rejects(spark):
     rng = random.Random(12)
     sounds = {"xx": ["ka", "ri", "to"], "yy": ["schu", "ße", "bö"]}

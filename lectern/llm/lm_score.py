@@ -3,8 +3,9 @@
 Training tokens and pairs of tokens are counted over all training documents: map tasks add up what
 they see, and packed arrays of (hash, count) meet by leading bits of the hash.  A count is quantised on
 a logarithmic scale to a level q, and (gram, 1) ... (gram, q) are entered in a Bloom filter, whose slices
-are built where the counts are and whose bits, of bounded size, are broadcast.  A count is read by probing
-level after level until one is missing.
+are built where the counts are, each with SPARE bits or more for an entry.  A count is read by probing level
+after level until one is missing.  All slices' bits are broadcast while they are BROADCAST_BITS at most;
+beyond that, grams are sent to their slices and the levels come back.
 
 Exact counts, for the base score, do not come from the filter: the most frequent tokens are broadcast as
 a table of bounded size, all others are looked up by shuffling packed arrays of hashes.
@@ -26,9 +27,8 @@ from lectern.llm.text_bytes import CHUNK_BYTES, GOLDEN, LOWER, U, Rolling, chunk
 LEVEL_BASE = 1.4
 #: Probes for each level of a gram.
 PROBES = 4
-#: Bits for a byte of training text, rounded up to a power of two, and the most bits there are.  Where
-#: the most binds, each slice leaves out its rarest pairs, so that it holds an entry for each SPARE bits.
-BITS_PER_BYTE, MAX_BITS, SPARE = 0.6, 1 << 31, 5
+#: Bits for an entry of the filter, rounded up to a power of two by slice, and the most bits that are broadcast.
+SPARE, BROADCAST_BITS = 5, 1 << 30
 #: Broadcast exact counts at most.
 HOT_TOKENS = 1 << 17
 #: Distinct grams that a map task holds before it emits them.
@@ -114,14 +114,17 @@ def level_value(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (low + high) / 2, 0.0)
 
 
-def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, slice_bits: int, own_bits: int) -> np.ndarray:
+def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray) -> np.ndarray:
     """PROBES bit numbers within the gram's slice of 2**own_bits bits, for a level of each gram."""
+    down = U(64) - np.asarray(own_bits).astype(np.uint64)
     seed = mix(h + (level.astype(np.uint64) * U(2) + U(kind)) * GOLDEN)
     step = mix(seed) | U(1)
-    return np.stack([((seed + U(i) * step) >> U(64 - own_bits)).astype(np.int64) for i in range(PROBES)])
+    return np.stack([((seed + U(i) * step) >> down).astype(np.int64) for i in range(PROBES)])
 
 
-def _build_slice(slice_bits: int, own_bits: int):
+def _build_slice(slice_bits: int, own_bits: int | None = None):
+    """Counts and bits of a slice; without ``own_bits``, of the size that its entries need."""
+
     def run(key, frame):
         counted = []
         for kind in (0, 1):
@@ -129,46 +132,50 @@ def _build_slice(slice_bits: int, own_bits: int):
             h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["hashes"]] or [np.zeros(0, np.uint64)])
             c = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
             counted.append(_merge(h, c))
-        least = 1
-        room = (1 << own_bits) // SPARE
-        q = levels(counted[1][1])
-        while int(levels(counted[0][1]).sum() + q[counted[1][1] >= least].sum()) > room and least < (counted[1][1].max() if len(q) else 0):
-            least += 1
-        filled = np.zeros(1 << own_bits, bool)
+        entries = sum(int(levels(c).sum()) for _, c in counted)
+        own = own_bits or max(3, int(np.ceil(np.log2(max(entries * SPARE, 1)))))
+        filled = np.zeros(1 << own, bool)
         for kind, (h, c) in enumerate(counted):
-            if kind:
-                h, c = h[c >= least], c[c >= least]
             q = levels(c)
             for level in range(1, int(q.max()) + 1 if len(q) else 1):
                 some = h[q >= level]
-                filled[probe_bits(some, np.full(len(some), level), kind, slice_bits, own_bits).ravel()] = True
+                filled[probe_bits(some, np.full(len(some), level), kind, slice_bits, own).ravel()] = True
         h, c = counted[0]
-        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "least": [least]})
+        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "entries": [entries]})
 
     return run
 
 
+def read_levels(bits: np.ndarray, h: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray, start: int | np.ndarray) -> np.ndarray:
+    """Levels read by probing, from 1 on, until one is missing; each gram's slice has 2**own_bits bits from bit ``start``."""
+    own_bits, start = np.broadcast_to(own_bits, len(h)), np.broadcast_to(start, len(h))
+    q = np.zeros(len(h), np.int64)
+    at = np.arange(len(h))
+    level = 1
+    while len(at):
+        probes = probe_bits(h[at], np.full(len(at), level), kind, slice_bits, own_bits[at]) + start[at]
+        there = np.ones(len(at), bool)
+        for p in probes:
+            there &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        at = at[there]
+        q[at] = level
+        level += 1
+    return q
+
+
 class Model:
-    """What is broadcast: the filter's bits, frequent tokens' exact counts, totals."""
+    """What is broadcast: the filter's bits (None: too many), frequent tokens' exact counts, totals."""
 
-    def __init__(self, bits: np.ndarray, slice_bits: int, own_bits: int, n: int, v: int, hot: tuple[np.ndarray, np.ndarray]):
-        self.bits, self.slice_bits, self.own_bits, self.n, self.v, self.hot = bits, slice_bits, own_bits, n, v, hot
+    def __init__(self, bits: np.ndarray | None, slice_bits: int, own_bits: int | np.ndarray, n: int, v: int, hot: tuple[np.ndarray, np.ndarray]):
+        self.bits, self.slice_bits, self.n, self.v, self.hot = bits, slice_bits, n, v, hot
+        self.own_bits = np.broadcast_to(np.asarray(own_bits, np.int64), 1 << slice_bits)
+        self.starts = np.concatenate(([0], np.cumsum(1 << self.own_bits)[:-1]))
         self.weights = np.full(LEVELS, 0.05)
 
     def level_of(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Levels read by probing, from 1 on, until one is missing."""
-        q = np.zeros(len(h), np.int64)
-        at = np.arange(len(h))
-        level = 1
-        while len(at):
-            probes = probe_bits(h[at], np.full(len(at), level), kind, self.slice_bits, self.own_bits) + (slice_of(h[at], self.slice_bits) << self.own_bits)
-            there = np.ones(len(at), bool)
-            for p in probes:
-                there &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            at = at[there]
-            q[at] = level
-            level += 1
-        return q
+        """Levels as ``read_levels`` reads them."""
+        at = slice_of(h, self.slice_bits)
+        return read_levels(self.bits, h, kind, self.slice_bits, self.own_bits[at], self.starts[at])
 
     def fit_weights(self, told: np.ndarray, times: np.ndarray, rounds: int = 20) -> None:
         """The weight of the share by the level of the token before, by expectation maximisation with each token left
@@ -233,25 +240,28 @@ def _log_score(model: Model):
     return run
 
 
-def fit(train: DataFrame, bits_per_byte: float = BITS_PER_BYTE, max_bits: int = MAX_BITS) -> tuple[DataFrame, Model]:
-    """The written table of exact token counts (slice, hashes, counts) and the model of ``train`` (text).
+def fit(train: DataFrame) -> tuple[DataFrame, Model]:
+    """The written table of slices (slice, bits, hashes and counts of tokens) and the model of ``train`` (text).
 
-    All counts are of all of ``train``; the interpolation weights are fitted later, from the levels of all its tokens.
+    All counts are of all of ``train``, and all are in the filter; the interpolation weights are fitted later, from the levels of all its tokens.
     """
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     slice_bits = int(np.ceil(np.log2(max(size / SLICE_BYTES, 1))))
-    total = min(max_bits, 1 << int(np.ceil(np.log2(max(size * bits_per_byte, 1 << 16)))))
-    own_bits = max(3, int(np.log2(total)) - slice_bits)
     grams = train.select("text").mapInArrow(_count_grams(slice_bits), "kind int, slice long, hashes binary, counts binary")
-    schema = "slice long, hashes binary, counts binary, bits binary, n long, v long, pairs long, least int"
-    slices = table(grams.groupBy("slice").applyInPandas(_build_slice(slice_bits, own_bits), schema), "gram-slices")
-    bits = np.zeros((1 << slice_bits + own_bits) // 8, np.uint8)
+    schema = "slice long, hashes binary, counts binary, bits binary, n long, v long, pairs long, entries long"
+    slices = table(grams.groupBy("slice").applyInPandas(_build_slice(slice_bits), schema), "gram-slices")
+    own_bits = np.full(1 << slice_bits, 3)
     n = v = 0
-    for row in slices.select("slice", "bits", "n", "v").toLocalIterator():  # max_bits / 8 bytes in all
-        at = row["slice"] << own_bits >> 3
-        bits[at : at + (1 << own_bits >> 3)] = np.frombuffer(row["bits"], np.uint8)
+    for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v").toLocalIterator():
+        own_bits[row["slice"]] = int(row["size"]).bit_length() + 2
         n, v = n + row["n"], v + row["v"]
+    starts = np.concatenate(([0], np.cumsum(1 << own_bits)))
+    bits = None
+    if starts[-1] <= BROADCAST_BITS:
+        bits = np.zeros(starts[-1] >> 3, np.uint8)
+        for row in slices.select("slice", "bits").toLocalIterator():
+            bits[starts[row["slice"]] >> 3 : starts[row["slice"] + 1] >> 3] = np.frombuffer(row["bits"], np.uint8)
 
     def histogram(batches):
         for batch in batches:
@@ -281,22 +291,33 @@ def fit(train: DataFrame, bits_per_byte: float = BITS_PER_BYTE, max_bits: int =
 
 
 def _score(broadcast, slice_bits: int):
-    """Rows of two kinds: one for each document (slice null), and requests for the counts of rarer tokens."""
-    names = ["batch", "slice", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels", "hashes", "rows", "times"]
+    """Rows of three kinds: one for each document (slice null), requests for the counts of rarer tokens and, where the
+    filter is not broadcast (then documents have their text and no levels), requests for levels (pairs not null)."""
+    names = ["batch", "slice", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels", "hashes", "rows", "times", "text", "pairs"]
+
+    def cut(h, *more):
+        at = np.searchsorted(slice_of(h, slice_bits), np.arange((1 << slice_bits) + 1))
+        used = np.flatnonzero(np.diff(at))
+        return used, [[x[at[i] : at[i + 1]].tobytes() for i in used] for x in (h, *more)]
 
     def run(batches):
         model: Model = broadcast.value
         task, number = TaskContext.get().partitionId(), 0
-        kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(2)):
                 label = (task << 32) | number
                 number += 1
                 h, doc = tokens(data, offsets)
                 rows = last - first
-                told = told_levels(h, doc, model.level_of)
-                ends = np.cumsum(np.bincount(doc, minlength=rows))
-                told = [x.tobytes() for x in np.split(told, ends[:-1])]
+                if model.bits is None:
+                    told, text = pa.nulls(rows, pa.binary()), batch.column(2)[first:last].cast(pa.string())
+                    asked = [dict(zip(used, parts[0], strict=True)) for used, parts in (cut(np.unique(h)), cut(np.unique(pairs(h, doc))))]
+                    used = sorted(asked[0].keys() | asked[1].keys())
+                    empty = [pa.nulls(len(used), k) for k in kinds]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), label)), pa.array(used, pa.int64()), *empty[2:3], pa.nulls(len(used), batch.column(0).type), *empty[4:9], pa.array([asked[0].get(i, b"") for i in used], pa.binary()), *empty[10:13], pa.array([asked[1].get(i, b"") for i in used], pa.binary())], names)
+                else:
+                    told, text = pack(told_levels(h, doc, model.level_of), doc, rows), pa.nulls(rows, pa.string())
                 # each token of each document once
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
@@ -314,20 +335,49 @@ def _score(broadcast, slice_bits: int):
                 ids = batch.column(0)[span]
                 kinds[3] = ids.type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, label)), pa.nulls(rows, pa.int64()), pa.array(np.arange(rows), pa.int32()), ids, batch.column(1)[span], pa.array(total, pa.int64()), pa.array(known), pa.array(base), pa.array(told, pa.binary()), none, none, none], names
+                    [pa.array(np.full(rows, label)), pa.nulls(rows, pa.int64()), pa.array(np.arange(rows), pa.int32()), ids, batch.column(1)[span], pa.array(total, pa.int64()), pa.array(known), pa.array(base), told, none, none, none, text, none], names
                 )
                 h, doc, times = h[~hot], doc[~hot], times[~hot]
                 order = np.argsort(h, kind="stable")
                 h, doc, times = h[order], doc[order], times[order]
-                cut = np.searchsorted(slice_of(h, slice_bits), np.arange((1 << slice_bits) + 1))
-                used = np.flatnonzero(np.diff(cut))
-                packed = [[x[cut[i] : cut[i + 1]].astype(t).tobytes() for i in used] for x, t in ((h, np.uint64), (doc, np.uint32), (times, np.uint32))]
+                used, packed = cut(h, doc.astype(np.uint32), times.astype(np.uint32))
                 empty = [pa.nulls(len(used), k) for k in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), label)), pa.array(used, pa.int64()), *empty[2:9], *[pa.array(x, pa.binary()) for x in packed]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), label)), pa.array(used, pa.int64()), *empty[2:9], *[pa.array(x, pa.binary()) for x in packed], *empty[12:]], names)
 
     return run
 
 
+def pack(told: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
+    """The rows of ``told_levels`` of each text, as bytes."""
+    ends = np.cumsum(np.bincount(doc, minlength=rows))
+    return pa.array([x.tobytes() for x in np.split(told, ends[:-1])], pa.binary())
+
+
+def _tell(slice_bits: int):
+    """The levels that a slice's bits have for the tokens and pairs of each request."""
+
+    def run(key, known, asked):
+        out = {"batch": asked["batch"], "slice": asked["slice"]}
+        bits = np.frombuffer(known["bits"].iloc[0], np.uint8) if len(known) else np.zeros(1, np.uint8)
+        own = len(bits).bit_length() + 2
+        for kind, name in enumerate(("hashes", "pairs")):
+            out[name] = [read_levels(bits, np.frombuffer(h, np.uint64), kind, slice_bits, own, 0).astype(np.uint8).tobytes() for h in asked[name]]
+        return pd.DataFrame(out)
+
+    return run
+
+
+def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a batch with levels in place of the text; answers in order of slices are in order of hashes."""
+    docs, answers = docs.sort_by("row"), answers.sort_by("slice")
+    level = [np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint8).astype(np.int64) for x in ("hashes", "pairs")]
+    text = docs.column("text").cast(pa.large_binary()).to_pylist()
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in text])))
+    h, doc = tokens(np.frombuffer(b"".join(text), np.uint8), offsets)
+    told = told_levels(h, doc, lambda _, kind: level[kind])
+    return docs.drop_columns(["text"]).append_column("levels", pack(told, doc, len(text)))
+
+
 def _answer(key, known, asked):
     h = np.frombuffer(known["hashes"].iloc[0], np.uint64) if len(known) else np.zeros(0, np.uint64)
     c = np.frombuffer(known["counts"].iloc[0], np.int64) if len(known) else np.zeros(0, np.int64)
@@ -370,11 +420,16 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     slices, model = fit(rows.where("not held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"batch long, slice long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, levels binary, hashes binary, rows binary, times binary"
+    schema = f"batch long, slice long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, levels binary, hashes binary, rows binary, times binary, text string, pairs binary"
     scored = table(rows.mapInArrow(_score(spark.sparkContext.broadcast(model), model.slice_bits), schema), "scored")
-    asked = scored.where("slice is not null").select("batch", "slice", "hashes", "rows", "times")
+    asked = scored.where("slice is not null and pairs is null").select("batch", "slice", "hashes", "rows", "times")
     answers = slices.select("slice", "hashes", "counts").groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(_answer, "batch long, rows binary, base binary, times binary")
     own = scored.where("slice is null").select("batch", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels")
+    if model.bits is None:
+        asked = scored.where("pairs is not null").select("batch", "slice", "hashes", "pairs")
+        told = slices.select("slice", "bits").groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(_tell(model.slice_bits), "batch long, slice long, hashes binary, pairs binary")
+        texts = scored.where("slice is null").select(*own.columns[:-1], "text")
+        own = table(texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_assemble, own.schema), "levels")
     # the share's weights depend on the levels only, so counts of equal rows of levels are all that fitting needs
     counted = own.where("not held_out").select("levels").mapInArrow(_count_levels, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code").toPandas()
     code = counted["code"].to_numpy(np.int64)

@@ -265,6 +265,26 @@ def test_filter_reads_levels_back():
     assert (model.level_of(lm_score.mix(np.arange(5000, 7000, dtype=np.uint64)), 0) > 0).mean() < 0.1
 
 
+def test_filter_holds_rare_pairs():
+    h = lm_score.mix(np.arange(1, 40_001, dtype=np.uint64))
+    frame = __import__("pandas").DataFrame({"kind": [1], "hashes": [h.tobytes()], "counts": [np.ones(len(h), np.uint32).tobytes()]})
+    row = lm_score._build_slice(0)((0,), frame).iloc[0]
+    bits = np.frombuffer(row["bits"], np.uint8)
+    assert len(bits) * 8 >= lm_score.SPARE * len(h) == lm_score.SPARE * row["entries"]
+    model = lm_score.Model(bits, 0, len(bits).bit_length() + 2, row["n"], row["v"], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert (model.level_of(h, 1) >= 1).all()
+
+
+def test_levels_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "HOT_TOKENS", 20)
+    docs, found = frame(spark, odd_rows() + corpus(4), CLASH), []
+    for most in (lm_score.BROADCAST_BITS, 0):
+        monkeypatch.setattr(lm_score, "BROADCAST_BITS", most)
+        found.append(sorted([tuple(r) for r in lm_score.score_documents(docs, bucket_of(F.col("doc_id"), 7) == 2).collect()], key=repr))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
     rows = [(i, "same words here", None, None, None) for i in range(600)] + [(1000 + i, f"t{i} u{i % 7} " * (i % 5 + 1) + "last", None, None, None) for i in range(300)]
     rows += [(2000, "long " * 600_000, None, None, None), (2001, None, None, None, None), (3000, "held out " * 50, None, None, None)]

@@ -4,7 +4,8 @@ An assistant message whose text is a JSON object with ``tool_calls`` (a list of
 arguments and, optionally, after: ids whose results the call needs) makes calls; a message of role ``tool``
 whose text is a JSON object with ``tool_call_id`` is a result.  Calls and results are joined by
 conversation and identifier, put in topological order, arguments are checked against schemas, and every
-message, call and result becomes one line of canonical JSON (sorted keys, no blanks).
+message, call and result becomes one line of canonical JSON (sorted keys, no blanks).  What else a message with
+calls or a result holds, such as content beside calls, becomes a message line of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ def _canonical(value: Column) -> Column:
     return F.to_json(value)
 
 
+def _others(value: Column, *names: str) -> Column:
+    """JSON of an object's fields but for ``names``; null if there are no others."""
+    kept = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: ~k.isin(*names))
+    return F.when(F.size(kept) > 0, F.to_json(kept, {"ignoreNullFields": "false"}))
+
+
 def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """For each message of ``messages`` (conv_id, turn, role, text), or each call in it: conv_id, turn, idx,
     role, kind (message, call, result), call_id, linked_turn, ready_turn, depth, status, line.
@@ -36,6 +43,9 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     id); cycle (calls that wait for each other, or for such calls: each stays at its turn); invalid
     (arguments break the schema).  Text that is no such JSON, null and empty text are messages; null
     conv_id, turn and role are values like others.  Repeated rows give repeated lines.
+
+    A calling or answering message with more fields than these also gives a line of kind message, idx -1: its content
+    (of a calling one) and all other fields under ``fields``; a call's own other fields are under ``fields`` of its line.
     """
     spark = messages.sparkSession
     prepare(spark)
@@ -54,11 +64,17 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     if acts.isEmpty():
         return out
     acts = acts.withColumn("v", F.parse_json("body"))
+    content = F.when(F.col("n_calls") > 0, F.to_json(F.try_variant_get("v", "$.content", "variant")))
+    fields = F.when(F.col("n_calls") > 0, _others(F.col("v"), "tool_calls", "content")).otherwise(_others(F.col("v"), "tool_call_id", "content"))
+    beside = acts.withColumn("content", content).withColumn("fields", fields).where("content is not null or fields is not null")
+    line = _canonical(F.struct(F.parse_json("content").alias("content"), "conv_id", F.parse_json("fields").alias("fields"), "role", "turn"))
+    out = out.unionByName(beside.select("conv_id", "turn", F.lit(-1).alias("idx"), "role", F.lit("message").alias("kind"), none.cast("string").alias("call_id"), none.cast("long").alias("linked_turn"), F.col("turn").cast("long").alias("ready_turn"), F.lit(0).alias("depth"), F.lit("ok").alias("status"), line.alias("line")))
     calls = acts.where("n_calls > 0").select("conv_id", "turn", "role", F.posexplode(F.variant_get("v", "$.tool_calls", "array<variant>")).alias("idx", "c"))
     calls = calls.select(
         "conv_id", "turn", "role", "idx",
         F.try_variant_get("c", "$.id", "string").alias("call_id"), F.try_variant_get("c", "$.name", "string").alias("name"),
         F.to_json(F.try_variant_get("c", "$.arguments", "variant")).alias("arguments"), F.coalesce(F.try_variant_get("c", "$.after", "array<string>"), F.array().cast("array<string>")).alias("after"),
+        F.to_json(F.try_variant_get("c", "$.after", "variant")).alias("after_json"), _others(F.col("c"), "id", "name", "arguments", "after").alias("fields"),
     )
     calls = table(calls, "calls")
     results = acts.where("result_of is not null").select("conv_id", "turn", "role", F.col("result_of").alias("call_id"), F.to_json(F.try_variant_get("v", "$.content", "variant")).alias("content"))
@@ -111,7 +127,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
         .when(F.col("ready").isNull() & F.col("k_id").isNotNull(), "cycle").when(F.col("answer").isNull(), "unanswered").otherwise("ok")
     )
     ready = F.when(F.col("own"), F.coalesce("ready", "turn")).otherwise(F.col("turn")).cast("long")
-    line = _canonical(F.struct(F.parse_json("arguments").alias("arguments"), "conv_id", F.col("call_id").alias("id"), F.lit("call").alias("kind"), "name", "role", "turn"))
+    line = _canonical(F.struct(F.parse_json("after_json").alias("after"), F.parse_json("arguments").alias("arguments"), "conv_id", F.parse_json("fields").alias("fields"), F.col("call_id").alias("id"), F.lit("call").alias("kind"), "name", "role", "turn"))
     made = calls.select("conv_id", "turn", "idx", "role", F.lit("call").alias("kind"), "call_id", F.when(F.col("own"), F.col("answer")).cast("long").alias("linked_turn"), ready.alias("ready_turn"), F.when(F.col("own"), F.coalesce("depth", F.lit(0))).otherwise(0).alias("depth"), status.alias("status"), line.alias("line"))
     linked = keyed(results).join(firsts, key, "left").join(done.select(*key, "ready", "depth"), key, "left")
     line = _canonical(F.struct(F.parse_json("content").alias("content"), "conv_id", F.col("call_id").alias("id"), F.lit("result").alias("kind"), "role", "turn"))

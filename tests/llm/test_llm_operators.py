@@ -375,6 +375,22 @@ def test_chat_links_orders_and_checks(spark):
     assert by[1, 0]["line"] == '{"content":"hi","conv_id":1,"role":"user","turn":0}'
 
 
+def test_chat_keeps_fields_beside_calls_and_results(spark):
+    rows = [
+        (1, 0, "assistant", '{"content":"let me look","model":"m","none":null,"tool_calls":[{"id":"a","name":"f","arguments":{"y":1,"x":null},"after":["q"],"type":"function"},{"id":"q","name":"g"}]}'),
+        (1, 1, "tool", '{"tool_call_id":"a","content":"ok","seconds":2}'), (1, 2, "tool", '{"tool_call_id":"q","content":null}'),
+    ]
+    out = {(r["turn"], r["idx"]): r["line"] for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {
+        (0, -1): '{"content":"let me look","conv_id":1,"fields":{"model":"m","none":null},"role":"assistant","turn":0}',
+        (0, 0): '{"after":["q"],"arguments":{"x":null,"y":1},"conv_id":1,"fields":{"type":"function"},"id":"a","kind":"call","name":"f","role":"assistant","turn":0}',
+        (0, 1): '{"conv_id":1,"id":"q","kind":"call","name":"g","role":"assistant","turn":0}',
+        (1, -1): '{"conv_id":1,"fields":{"seconds":2},"role":"tool","turn":1}',
+        (1, 0): '{"content":"ok","conv_id":1,"id":"a","kind":"result","role":"tool","turn":1}',
+        (2, 0): '{"content":null,"conv_id":1,"id":"q","kind":"result","role":"tool","turn":2}',
+    }
+
+
 EMPTY = {
     "fingerprint": lambda s, d: fingerprint.fingerprint_documents(d),
     "lines": lambda s, d: line_dedup.dedup_lines(d),

@@ -7,6 +7,7 @@ go to the vectorised matcher, whose later passes normalise, shorten and compare
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -94,9 +95,18 @@ def best_window(text: str, needle: str, least: float) -> tuple[int, float] | Non
     if n < 6 or len(text) < n:
         return None
     wanted, best, at = _trigrams(needle), least - 0.001, -1
+    grams = [text[i : i + 3] for i in range(len(text) - 2)]
+    own = Counter(grams[: n - 2])
+    both = len(wanted & own.keys())
     for s in range(len(text) - n + 1):
-        own = _trigrams(text[s : s + n])
-        both = len(wanted & own)
+        if s:  # the window without its first trigram and with the next
+            gone, come = grams[s - 1], grams[s + n - 3]
+            own[gone] -= 1
+            if not own[gone]:
+                del own[gone]
+                both -= gone in wanted
+            both += come in wanted and come not in own
+            own[come] += 1
         score = both / (len(wanted) + len(own) - both)
         if score > best:
             best, at = score, s

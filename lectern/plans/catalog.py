@@ -280,10 +280,11 @@ def exact_quote_spans(spark, d):
 
 @query()
 def fuzzy_anchors(spark, d):
-    """A misspelt line of each document's second page, looked for from the first."""
-    items = line_items(spark, d).where("page_num <= 2")
-    pick = items.where("page_num = 2").groupBy("doc_id").agg(F.max_by("text", F.char_length("text")).alias("t"))
-    quotes = pick.where(F.char_length("t").between(30, 200)).select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.lit(1).alias("page_num"), F.concat(F.lit("Zq"), F.substring("t", 3, 200)).alias("exact_text"), F.lit("paper.pdf").alias("file_name"))
+    """The longest line of every page, misspelt, looked for from its own page, the one before and the one after."""
+    items = line_items(spark, d)
+    pick = items.where(F.trim("text") != "").groupBy("doc_id", "page_num").agg(F.max_by("text", F.struct(F.char_length("text"), -F.col("idx"))).alias("t"))
+    hints = pick.select("doc_id", "t", F.col("page_num").alias("p"), F.explode(F.array(*[F.col("page_num") + i for i in (0, -1, 1)])).alias("page_num"))
+    quotes = hints.select(F.concat_ws("-", "doc_id", "p", "page_num").alias("id"), "doc_id", "page_num", F.concat(F.lit("Zq"), F.substring("t", 3, 200)).alias("exact_text"), F.lit("paper.pdf").alias("file_name"))
     return matching.anchors(quotes, items)
 
 

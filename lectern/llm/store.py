@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder; a local one only where none is set and Spark runs in one process, as in tests."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get("lectern.own.checkpoint.dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="lectern-")
@@ -56,6 +60,34 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def counted_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` (rows of a few numbers each), written, and whether it has at most ``rows`` rows, in which case it has a
+    broadcast hint."""
+    df = table(df, name)
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df, few
+
+
+#: Bits of a key filter: 32 MB at any size of the data.  Beyond about as many keys it lets most others through.
+FILTER_BITS = 28
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of one probe for the column ``k`` of evenly hashed 64-bit keys; see ``may_hold``."""
+    place = F.shiftrightunsigned("k", 64 - FILTER_BITS)
+    parts = keys.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for row in parts.toLocalIterator():  # 4 KB for each of at most 2 ** (FILTER_BITS - 15) buckets
+        bits[row["bucket"] << 12 : (row["bucket"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that were not given to ``key_filter``; true for all others and, by chance, for some of these."""
+    place = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
     """A sample of at most ``rows`` rows of ``df``, those of smallest hash ``by``, the same on every run.
 

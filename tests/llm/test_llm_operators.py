@@ -110,23 +110,88 @@ def repeat_truth(rows, length):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 8 << 20])
+@pytest.mark.parametrize("group", [1, 600, 2 << 20])
 def test_suffix_dedup(spark, group):
     rows = [r for r in odd_rows() if len(r[1] or "") < 5000] + corpus(5, 40)
     got = substring_dedup.remove_repeats(frame(spark, rows, CLASH), 40, group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert canon(tuple(r) for r in got) == canon(repeat_truth(rows, 40))
 
 
+def later_truth(rows, length):
+    """What stays if only windows with an earlier match go; rows in the order of id and of the text's hash."""
+    seen, out = set(), []
+    for i, _, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if w in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(w)
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("group", [1, 600, 2 << 20])
+def test_suffix_dedup_keeps_the_first_copy(spark, group):
+    rows = [(i, t, l, s, n) for i, t, l, s, n in corpus(5, 60) + [(600, "abc" * 60, None, None, None)]]
+    docs = frame(spark, rows, CLASH)
+    keyed = [tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
+    got = substring_dedup.remove_repeats(docs, 40, group, keep_text=True, keep_first=True).collect()
+    assert canon((r["doc_id"], bytes(r["kept"])) for r in got) == canon(later_truth(keyed, 40))
+    assert sum(r["n_removed"] for r in got) > 1000
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdef ") for _ in range(5000))
+    rows = [(1, long, None, None, 0), (2, "x" + long[900:1300] + "y", None, None, 0), (3, long[2000:2050], None, None, 0), (4, "z" * 3000, None, None, 0)]
+    texts = pa.array([r[1] for r in rows])
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 512)
+    assert max(len(d) for _, d, _, _ in substring_dedup.stretches(texts, 40)) >= 512
+    found = collections.Counter()
+    for first, data, offsets, base in substring_dedup.stretches(texts, 40):
+        doc, start, count, *_ = substring_dedup.segments(data, offsets, 40, 2)
+        for d, s, c in zip(doc, start, count):
+            found.update((first + int(d), int(s) + base + k) for k in range(c))
+    assert found == collections.Counter((i, k) for i, r in enumerate(rows) for k in range(len(r[1]) - 39))
+    got = substring_dedup.remove_repeats(frame(spark, rows), 40).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert canon(tuple(r) for r in got) == canon(repeat_truth(rows, 40))
+
+
 def test_suffix_order_and_factors():
     rng = random.Random(3)
-    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(8)]
-    length, flat = 6, b"".join(pieces)
-    earlier, later, starts = substring_dedup.repeated_windows(pieces, length)
-    windows = [(starts[i] + k, p[k : k + length]) for i, p in enumerate(pieces) for k in range(len(p) - length + 1)]
-    for at, w in windows:
-        assert earlier[at] == any(o == w and p < at for p, o in windows) and later[at] == any(o == w and p > at for p, o in windows)
-    order, _ = substring_dedup.suffix_order(np.frombuffer(flat, np.uint8), len(flat))
-    assert [flat[i:] for i in order] == sorted(flat[i:] for i in range(len(flat)))
+    for _ in range(30):
+        text = bytes(rng.choice(b"ab") for _ in range(60))
+        length = rng.randint(1, 6)
+        windows = [text[i : i + length] for i in range(len(text) - length + 1)]
+        order = np.array(sorted(range(len(windows)), key=lambda i: (windows[i], rng.random())))
+        same = np.array([k > 0 and windows[order[k]] == windows[order[k - 1]] for k in range(len(order))])
+        previous, following = substring_dedup.longest_factors(order, same, length)
+        for i, w in enumerate(windows):
+            assert previous[i] == length * (w in windows[:i]) and following[i] == length * (w in windows[i + 1 :])
+        values = np.array(rng.sample(range(100), 50))
+        near = substring_dedup.nearest_smaller(values)
+        assert near.tolist() == [max([k for k in range(i) if values[k] < values[i]], default=-1) for i in range(50)]
+
+
+def test_pieces_are_matched_in_suffix_order():
+    rng, length = random.Random(4), 24
+    k = substring_dedup.kmer_size(length)
+    pieces, anchors = [], []
+    for _ in range(60):
+        before, after = (bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 18))) for _ in range(2))
+        pieces.append(before[-rng.randint(0, 18) :] + b"#" * k + after)
+        anchors.append(pieces[-1].index(b"#"))
+    ok = [len(p) >= length and a <= length - k and len(p) - a <= length for p, a in zip(pieces, anchors)]
+    pieces, anchors = ([x for x, o in zip(xs, ok) if o] for xs in (pieces, anchors))
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    twice = np.array([rng.random() < 0.2 for _ in pieces])
+    piece, window, second, previous, following = substring_dedup.match_pieces(np.zeros(len(pieces), np.int64), twice, np.array(anchors), np.frombuffer(b"".join(pieces), np.uint8), offsets, length)
+    text = [pieces[p][w : w + length] for p, w in zip(piece, window)]
+    for i, t in enumerate(text):
+        assert (previous[i] > 0) == (t in text[:i]) and (following[i] > 0) == (t in text[i + 1 :])
+    assert any(previous) and any(second) and not all(previous)
 
 
 def jaccard_truth(rows, n, percent):

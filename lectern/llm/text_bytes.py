@@ -95,3 +95,33 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def word_hashes(texts: pa.Array, is_word: np.ndarray = NOT_SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hashes of all words with A-Z lower-cased, the text of each as an index).
+
+    A text longer than a chunk is hashed in pieces that end between words, so memory grows with its
+    words, not with its bytes (a single word longer than a chunk is hashed as one).
+    """
+    for first, last, data, offsets in chunks(texts):
+        if len(offsets) > 2 or len(data) <= CHUNK_BYTES:
+            data = LOWER[data]
+            starts, ends, doc = words(data, offsets, is_word)
+            yield first, last, Rolling(data).spans(starts, ends), doc
+            continue
+        found, at = [], 0
+        while at < len(data):
+            end = at + CHUNK_BYTES
+            if end < len(data):
+                gaps = np.flatnonzero(~is_word[data[at:end]])
+                if len(gaps):
+                    end = at + int(gaps[-1]) + 1
+                else:
+                    while end < len(data) and is_word[data[end]]:
+                        end += 1
+            some = LOWER[data[at:end]]
+            starts, ends, _ = words(some, np.array([0, len(some)]), is_word)
+            found.append(Rolling(some).spans(starts, ends))
+            at = end
+        each = np.concatenate(found)
+        yield first, last, each, np.zeros(len(each), np.int64)

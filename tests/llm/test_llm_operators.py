@@ -221,13 +221,48 @@ def jaccard_truth(rows, n, percent):
 @pytest.mark.parametrize("n,percent,limit", [(3, 90, None), (5, 80, None), (3, 90, 0), (2, 60, 12), (3, 80, 30)])
 def test_jaccard_join(spark, n, percent, limit):
     rows = [r for r in corpus(7, 90) if len(words(r[1])) < (40 if limit else 1000)]
-    got = jaccard_join.jaccard_components(frame(spark, rows, CLASH), n, percent, limit).collect()
+    got = jaccard_join.jaccard_components(frame(spark, rows, CLASH), n, percent, limit).drop("row_key").collect()
     assert canon(tuple(r) for r in got) == canon(jaccard_truth(rows, n, percent))
 
 
+def test_jaccard_join_in_many_slices_and_packs(spark, monkeypatch):
+    rows = corpus(21, 120)
+    monkeypatch.setattr(jaccard_join, "SLICE_BYTES", 700)
+    got = jaccard_join.jaccard_components(frame(spark, rows), 3, 80).drop("row_key").collect()
+    assert canon(tuple(r) for r in got) == canon(jaccard_truth(rows, 3, 80))
+
+
+def test_packs_and_stretches(monkeypatch):
+    texts = pa.array([t for _, t, *_ in corpus(22, 40)] + ["lo ng " * 4000, None])
+    whole = [s.tolist() for s in jaccard_join.shingle_sets(texts, 3)]
+    from lectern.llm import text_bytes
+
+    monkeypatch.setattr(text_bytes, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(jaccard_join, "STRETCH", 16)
+    assert [s.tolist() for s in jaccard_join.shingle_sets(texts, 3)] == whole
+
+
+def test_boundary_is_chosen_by_cost():
+    # lists that cost nothing to scan leave no set light; long lists make sets light as far as subsets cost less
+    assert jaccard_join.light_limit({n: (10, 0) for n in range(1, 30)}, 90) == 0
+    far = jaccard_join.light_limit({n: (10, 1_000_000) for n in range(1, 30)}, 90)
+    near = jaccard_join.light_limit({n: (10, 600) for n in range(1, 30)}, 90)
+    assert 0 < near < far <= jaccard_join.most_light(90)
+
+
+def test_bitmaps_never_rule_out_like_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        a = np.unique(jaccard_join.mix(rng.integers(0, 1 << 60, size).astype(np.uint64)))
+        b = np.unique(np.concatenate([a[: int(len(a) * rng.random())], jaccard_join.mix(rng.integers(0, 1 << 60, int(rng.integers(0, 60))).astype(np.uint64))]))
+        if len(b):
+            assert jaccard_join.least_difference(jaccard_join.parity_bitmap(a), jaccard_join.parity_bitmap(b)) <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_join_of_odd_rows(spark):
     rows = odd_rows()
-    got = jaccard_join.jaccard_components(frame(spark, rows, CLASH), 3, 90).collect()
+    got = jaccard_join.jaccard_components(frame(spark, rows, CLASH), 3, 90).drop("row_key").collect()
     assert canon(tuple(r) for r in got) == canon(jaccard_truth(rows, 3, 90))
 
 

@@ -353,7 +353,8 @@ def sign_documents(rows: DataFrame, shingle: int, percent: int, most: int) -> Da
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, limit: int | None = None) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that
-    links lead to, and row_key, a hash of the text (null as empty).  Two texts link if 100 * shared >= percent *
+    links lead to, row_key, a hash of the text (null as empty), and component, a number that all rows of a
+    component have in common (null for empty sets).  Two texts link if 100 * shared >= percent *
     union of their sets of ``shingle``-word n-grams (words are runs of non-blanks, A-Z lower-cased).
 
     Null and wordless texts have empty sets and link with nothing, also not with each other; component_id is
@@ -428,8 +429,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
         return pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
     second = table(apart(tried.join(begun, ["u", "v"], "left_anti")), "second-pairs")
-    edges = table(edges.unionByName(alike(second, "more-links")), "links")
-    roots = connected_components(edges)
+    if not second.isEmpty():
+        edges = edges.unionByName(alike(second, "more-links"))
+        roots = connected_components(edges)
 
     # what is left: sets that share a list but are in different components so far
     placed = lists.join(roots, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
@@ -438,15 +440,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
     a, b = placed.alias("a"), placed.alias("b")
     more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _feasible(percent, limit))
     more = likely(more.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "cross-pairs")
-    roots = connected_components(edges.unionByName(alike(more, "cross-links")))
-    drop(whole, subsets, tried, begun, second, mixed, placed, more, edges)
+    if not more.isEmpty():
+        roots = connected_components(edges.unionByName(alike(more, "cross-links")))
+    drop(whole, subsets, tried, begun, second, mixed, placed, more)
 
     # back to documents
     placed = classes.select("k1", "k2", "cid", "least").join(roots, F.col("cid") == F.col("node"), "left")
     placed = table(placed.select("k1", "k2", "least", F.coalesce("root", "cid").alias("root")), "class-roots")
     drop(classes)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(named, "root").select("k1", "k2", "component_id")
+    placed = placed.join(named, "root").select("k1", "k2", "component_id", F.col("root").alias("component"))
     full = signed.where("n > 0").select("doc_id", "n", "k1", "k2").join(placed, ["k1", "k2"])
-    out = full.select("doc_id.doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "doc_id.row_key")
-    return out.unionByName(signed.where("n = 0").select("doc_id.doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id.doc_id").alias("component_id"), "doc_id.row_key"))
+    out = full.select("doc_id.doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "doc_id.row_key", "component")
+    return out.unionByName(signed.where("n = 0").select("doc_id.doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id.doc_id").alias("component_id"), "doc_id.row_key", F.lit(None).cast("long").alias("component")))

@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words found in documents.
 
-DataFrame functions only.  Each window of a benchmark item is entered in a table under its rarest word
-(by the corpus), the table is broadcast if its counted rows allow it, every document word probes it,
-and each hit is verified word for word before it counts.
+DataFrame functions only.  The hashes of all windows of the benchmark's normalised words form a set, which is
+broadcast if its counted rows allow it (8 bytes each); all token windows of the documents are scanned against
+it, and each hit is verified word for word before it counts.  From the hits come spans or documents to remove.
 """
 
 from __future__ import annotations
@@ -27,30 +27,48 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i + 1, width))).alias("win")).distinct()
 
 
+def window_hashes(ws: Column, lengths: list[int]) -> Column:
+    """An array of (at, len, h): the hashes of all windows of these numbers of words in the array ``ws``."""
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(ws, i + 1, n)).alias("h")))
+
+    return F.concat(*[of_length(n) for n in lengths])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items (sorted, as strings), row_key,
     and spans, the merged word ranges [from, to) that are hit (null if none).
 
     Null or wordless texts and items have no windows.  Rows with equal doc_id and text get equal
-    results; a null item_id is left out of ``items`` but its windows still hit.
+    results, also if repeated; a null item_id is left out of ``items`` but its windows still hit.  Texts of any length
+    are scanned whole.  An empty table of documents gives no rows, one of items no hits.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    rid = F.struct("doc_id", text_key(text).alias("row_key")).cast(f"struct<doc_id:{kind},row_key:bigint>").alias("rid")
+    rows = docs.select(rid, text.alias("text"))
     wins = table(benchmark_windows(benchmark, width).withColumn("w_id", F.xxhash64("win")), "windows")
-    vocabulary = small(table(wins.select(F.explode("win").alias("w")).distinct(), "window-words"))
-    words = rows.select("doc_id", text_key(F.col("text")).alias("row_key"), word_array(F.col("text")).alias("ws"))
-    counts = words.select(F.explode("ws").alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-    # the rarest word of each window; a word the corpus lacks rules the window out
-    spots = wins.select("w_id", F.posexplode("win").alias("off", "w")).distinct().join(counts, "w", "left")
-    anchor = spots.groupBy("w_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("off"), F.col("w"))).alias("a"))
-    anchor = anchor.where("a.n > 0").select("w_id", F.col("a.w").alias("w"), F.col("a.off").alias("off"))
-    index = wins.select("w_id", "win").distinct().join(anchor, "w_id").select("w", "off", "win")
-    index = small(table(index, "window-index"))
-    probes = words.select("doc_id", "row_key", "ws", F.posexplode("ws").alias("pos", "w")).join(index, "w")
-    found = probes.where((F.col("pos") >= F.col("off")) & (F.slice("ws", F.greatest(F.col("pos") - F.col("off"), F.lit(0)) + 1, F.size("win")) == F.col("win")))
-    found = found.select("doc_id", "row_key", (F.col("pos") - F.col("off")).alias("at"), F.size("win").alias("len"), F.xxhash64("win").alias("w_id"))
-    found = table(found.distinct(), "window-hits")
-    spans = found.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + F.col("len")).alias("e")))).alias("sp"))
+    lengths = sorted(r["n"] for r in wins.select(F.size("win").alias("n")).distinct().collect())  # width numbers at most
+    words = rows.select("rid", word_array(F.col("text")).alias("ws"))
+    if lengths:
+        # the set of hashes is broadcast if it is counted to be small; else hashes, not texts, are shuffled
+        known = small(table(wins.select(F.col("w_id").alias("h")).distinct(), "window-hashes"))
+        seen = words.select("rid", F.explode(window_hashes(F.col("ws"), lengths)).alias("w")).select("rid", "w.at", "w.len", "w.h")
+        probed = table(seen.join(known, "h").distinct(), "probed")
+        # word for word: only texts with a hash hit are read again
+        places = table(probed.groupBy("rid").agg(F.collect_list(F.struct("at", "len", "h")).alias("places")), "places")
+        again = rows.join(small(places.select("rid")), "rid", "left_semi").join(places, "rid").dropDuplicates(["rid"])
+        again = again.select("rid", word_array(F.col("text")).alias("ws"), "places")
+        again = again.select("rid", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["len"].alias("len"), p["h"].alias("h"), F.slice("ws", p["at"] + 1, p["len"]).alias("got")))).alias("p"))
+        texts = wins.select(F.col("w_id").alias("h"), "win").distinct()
+        found = again.select("rid", "p.*").join(texts, "h").where(F.col("got") == F.col("win")).select("rid", "at", "len", "win")
+        found = table(found.distinct(), "window-hits")
+    else:
+        found = words.where("false").select("rid", F.lit(0).alias("at"), F.lit(0).alias("len"), "ws").withColumnRenamed("ws", "win")
+    spans = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + F.col("len")).alias("e")))).alias("sp"))
     merged = F.expr(
         """aggregate(sp, array(named_struct('b', -1, 'e', -1)), (acc, x) ->
              if(element_at(acc, -1).e >= x.b and element_at(acc, -1).b >= 0,
@@ -59,21 +77,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
                 concat(acc, array(x))))"""
     )
     covered = F.expr("aggregate(sp, named_struct('n', 0L, 'e', 0), (acc, x) -> named_struct('n', acc.n + greatest(x.e - greatest(x.b, acc.e), 0), 'e', greatest(acc.e, x.e))).n")
-    spans = spans.select("doc_id", "row_key", covered.alias("n_hit"), F.slice(merged, 2, 1_000_000_000).alias("spans"))
-    by_item = small(wins.select("w_id", "item_id"))
-    items = found.select("doc_id", "row_key", "w_id").distinct().join(by_item, "w_id")
-    items = items.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    hits = spans.join(items, (spans.doc_id.eqNullSafe(items.doc_id)) & (spans.row_key == items.row_key)).select(
-        spans.doc_id.alias("h_id"), spans.row_key.alias("h_key"), "n_hit", "spans", "items"
-    )
-    sizes = rows.select("doc_id", text_key(F.col("text")).alias("row_key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
-    return sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row_key") == F.col("h_key")), "left").select(
-        "doc_id",
+    spans = spans.select("rid", covered.alias("n_hit"), F.slice(merged, 2, 1_000_000_000).alias("spans"))
+    items = found.select("rid", "win").distinct().join(wins.select("win", "item_id"), "win")
+    items = items.groupBy("rid").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    hits = table(spans.join(items, "rid"), "hit-documents")
+    sizes = rows.select("rid", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    return sizes.join(small(hits), "rid", "left").select(
+        "rid.doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         "spans",
-        "row_key",
+        "rid.row_key",
     )
 
 

@@ -33,6 +33,8 @@ SPARE, BROADCAST_BITS = 5, 1 << 30
 HOT_TOKENS = 1 << 17
 #: Distinct grams that a map task holds before it emits them.
 HELD = 3_000_000
+#: The highest level there is: that of 2 ** 63.  Probing ends there, whatever the filter holds.
+TOP_LEVEL = 1 + int(63 * np.log(2) / np.log(LEVEL_BASE))
 #: Levels of the token before that have a weight of their own.
 LEVELS = 64
 #: Bytes of training text for each slice.
@@ -147,12 +149,13 @@ def _build_slice(slice_bits: int, own_bits: int | None = None):
 
 
 def read_levels(bits: np.ndarray, h: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray, start: int | np.ndarray) -> np.ndarray:
-    """Levels read by probing, from 1 on, until one is missing; each gram's slice has 2**own_bits bits from bit ``start``."""
+    """Levels read by probing, from 1 on, until one is missing or TOP_LEVEL is reached; each gram's slice has 2**own_bits
+    bits from bit ``start``."""
     own_bits, start = np.broadcast_to(own_bits, len(h)), np.broadcast_to(start, len(h))
     q = np.zeros(len(h), np.int64)
     at = np.arange(len(h))
     level = 1
-    while len(at):
+    while len(at) and level <= TOP_LEVEL:
         probes = probe_bits(h[at], np.full(len(at), level), kind, slice_bits, own_bits[at]) + start[at]
         there = np.ones(len(at), bool)
         for p in probes:
@@ -413,7 +416,8 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
 
     Tokens are words (runs of non-blanks, A-Z lower-cased) and an end; a null text is empty and has the
     end only.  The base score is exact: add-one probabilities of single tokens.  If all rows are held
-    out, nothing is known and both scores rest on the one unseen token.
+    out, nothing is known and both scores rest on the one unseen token.  Repeated rows count, and are scored, as
+    often as they occur; texts of any length are counted and scored whole.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)

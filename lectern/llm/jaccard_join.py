@@ -37,7 +37,7 @@ from lectern.llm.store import drop, prepare, small, table
 from lectern.llm.text_bytes import GOLDEN, U, mix, word_hashes
 
 #: Bytes of text for each slice of the hash space.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Shingles, and sets, that a map task packs together.
 PACK_SHINGLES, PACK_SETS = 1 << 19, 1 << 16
 #: Words of a long text whose shingles are made at once.
@@ -190,7 +190,7 @@ def _pack(n: int, slices: int, most: int):
         of = {p: s for p, s in zip(place, sets, strict=True)}
         ids = pa.concat_arrays(ids) if len(ids) > 1 else ids[0]
         rows = len(sets)
-        none, home = pa.nulls(rows, pa.binary()), label % slices
+        none, home = pa.nulls(rows, pa.binary()), -1 - label  # documents pass by themselves
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(rows, home)), pa.array(np.full(rows, label)), ids, pa.array(place, pa.int32()), pa.array([len(s) for s in sets], pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
              pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() if 0 < len(s) <= most else None for s in sets], pa.binary()), none, none, none], names

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import prepare, small, table
+from lectern.llm.store import drop, prepare, small, table
 
 #: Types that a schema may name, as prefixes of what Spark calls a JSON value's type.
 JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
@@ -29,6 +29,32 @@ def _others(value: Column, *names: str) -> Column:
     return F.when(F.size(kept) > 0, F.to_json(kept, {"ignoreNullFields": "false"}))
 
 
+def as_tool_log(messages: DataFrame) -> DataFrame:
+    """Plain conversations (conv_id, turn, role, text) read as a log of calls and results, for tables without any.
+
+    A user's message is a call of the tool ``reply``, made by the assistant, with arguments prompt (the text) and
+    chars; its id is q and the turn.  It needs the result of the call half as many turns into the conversation
+    (of the same parity).  An assistant's message is the result of the call of the turn before.  All other
+    messages stay.  So that every case occurs, one message in 16 by the first digit of its text's md5 looks ahead (0: the call
+    also needs the one two turns later), has the id of the call two turns before (1), lacks chars (2) or needs an
+    id that no call has (3).  A null turn gives null ids; a null text a call without prompt.
+    """
+    turn, lot = F.col("turn").cast("long"), F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int")
+
+    def name(at: Column) -> Column:
+        return F.concat(F.lit("q"), at.cast("string"))
+
+    half = 2 * F.floor(turn / 4) + turn % 2
+    needs = F.array_compact(F.array(F.when(half < turn, name(half)), F.when(lot == 0, name(turn + 2)), F.when(lot == 3, F.lit("none"))))
+    own = F.when((lot == 1) & (turn >= 2), name(turn - 2)).otherwise(name(turn))
+    arguments = F.struct(F.when(lot != 2, F.char_length("text")).alias("chars"), F.col("text").alias("prompt"))
+    call = F.to_json(F.struct(F.array(F.struct(needs.alias("after"), arguments.alias("arguments"), own.alias("id"), F.lit("reply").alias("name"))).alias("tool_calls")))
+    result = F.to_json(F.struct(F.col("text").alias("content"), name(turn - 1).alias("tool_call_id")))
+    by_user, by_assistant = F.col("role") == "user", F.col("role") == "assistant"
+    role = F.when(by_user, "assistant").when(by_assistant, "tool").otherwise(F.col("role"))
+    return messages.select("conv_id", "turn", role.alias("role"), F.when(by_user, call).when(by_assistant, result).otherwise(F.col("text")).alias("text"))
+
+
 def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """For each message of ``messages`` (conv_id, turn, role, text), or each call in it: conv_id, turn, idx,
     role, kind (message, call, result), call_id, linked_turn, ready_turn, depth, status, line.
@@ -42,7 +68,12 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     by an earlier call of the conversation: the first is linked); missing (a call that needs an unknown
     id); cycle (calls that wait for each other, or for such calls: each stays at its turn); invalid
     (arguments break the schema).  Text that is no such JSON, null and empty text are messages; null
-    conv_id, turn and role are values like others.  Repeated rows give repeated lines.
+    conv_id, turn and role are values like others.  Repeated rows give repeated lines.  Texts of any length are taken
+    whole.  An empty table gives no lines.
+
+    A line is canonical JSON: sorted keys, no blanks; a field whose column is null (conv_id, role, turn, text, a call's
+    id, name, arguments or after) is left out, a null inside a message's own JSON stays.  Numbers keep their
+    value, not their spelling: 1.0 is written as 1.
 
     A calling or answering message with more fields than these also gives a line of kind message, idx -1: its content
     (of a calling one) and all other fields under ``fields``; a call's own other fields are under ``fields`` of its line.
@@ -110,17 +141,21 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     lost = needs.join(known, ["k_conv", "need"], "left_anti").select(*key).distinct().withColumn("lost", F.lit(True))
     needs = table(needs.join(known, ["k_conv", "need"]).distinct(), "needs")
     base_turn = calls.where("own and k_id is not null").groupBy(*key).agg(F.max("turn").cast("long").alias("turn"), F.max("answer").cast("long").alias("answer"))
+    base_turn = table(base_turn, "own-calls")
     waiting = needs.select(*key).distinct()
     done = base_turn.join(waiting, key, "left_anti").select(*key, F.col("turn").alias("ready"), F.greatest("turn", "answer").alias("free"), F.lit(0).alias("depth"))
-    done, waiting = table(done, "done"), table(waiting, "waiting")
-    while not waiting.isEmpty():
+    done, levels = table(done, "done-0"), 1
+    waiting = table(waiting, "waiting")
+    while not waiting.isEmpty():  # a round for each level; a level is written once
         met = needs.join(waiting, key, "left_semi").join(done.select("k_conv", F.col("k_id").alias("need"), "free", F.col("depth").alias("d")), ["k_conv", "need"], "left")
         met = met.groupBy(*key).agg(F.max(F.col("d").isNull()).alias("open"), F.max("free").alias("after_turn"), F.max("d").alias("d")).where("not open")
         new = met.join(base_turn, key).select(*key, F.greatest("turn", "after_turn").alias("ready"), F.greatest("turn", "after_turn", "answer").alias("free"), (F.col("d") + 1).alias("depth"))
-        new = table(new, "ready")
+        new, levels = table(new, f"done-{levels}"), levels + 1
         if new.isEmpty():
             break
-        done, waiting = table(done.unionByName(new), "done"), table(waiting.join(new, key, "left_anti"), "waiting")
+        left = table(waiting.join(new, key, "left_anti"), "waiting")
+        drop(waiting)
+        done, waiting = done.unionByName(new), left
     calls = calls.join(done.select(*key, "ready", "depth"), key, "left").join(lost, key, "left")
     status = (
         F.when(~F.col("own"), "repeated").when(F.col("invalid"), "invalid").when(F.col("lost"), "missing")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.llm.store import partitions, prepare, text_key
+from lectern.llm.store import prepare, text_key
 from lectern.llm.text_bytes import GOLDEN, U, chunks, mix
 
 BUCKETS = 256
@@ -25,6 +25,8 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 BOUND = 1.625 * BUCKETS
 #: Lengths that differ by this factor differ by 1.
 LENGTH_BASE = 1.3
+#: Bytes of text in a range of doc_id, about.
+RANGE_BYTES = 4 << 20
 
 _tables = (mix(np.arange(len(TRIPLETS) * 3 * 256, dtype=np.uint64) * GOLDEN + U(1)) >> U(56)).astype(np.uint8).reshape(len(TRIPLETS), 3, 256)
 
@@ -99,13 +101,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the
     next document (ascending doc_id, nulls first, equal ids by a hash of the text; after the last
     comes the first).  A null text is empty.  Texts travel once, to ranges of doc_id; each range also
-    gets the first row of the next.
+    gets the first row of the next.  Repeated rows follow each other, in any order; rows without or of one id are
+    in one range.  Texts of any length are digested whole.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    count = 4 * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(2, -(-size // RANGE_BYTES))
     bounds = np.unique(np.array(docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / count for i in range(1, count)], 0.1 / count), np.float64)).astype(np.int64)
 
     def in_part(batches):

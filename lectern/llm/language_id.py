@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import hash_sample, prepare
+from lectern.llm.store import hash_sample, prepare, spread
 from lectern.llm.text_bytes import chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
+#: Windows of a text in training at most, spread over all of it; prediction reads all.
+TRAIN_WINDOWS = 16
 #: Windows that go through the network at a time.
 BLOCK = 64
 UNKNOWN = "und"
@@ -116,18 +118,23 @@ class ByteNet:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def fit_language_net(labelled: DataFrame, sample_rows: int = 3000, sample_chars: int = 4000) -> ByteNet:
+def fit_language_net(labelled: DataFrame, sample_rows: int = 3000) -> ByteNet:
     """The network for ``labelled`` (text, lang), learned from a bounded sample: the ``sample_rows`` rows whose
-    text and language have the smallest hashes, ``sample_chars`` code points of each at most."""
+    text and language have the smallest hashes, and TRAIN_WINDOWS windows of each at most, spread evenly from the
+    first to the last code point.
+
+    Null texts and languages, and windows without a letter, are left out; a text that occurs repeatedly is learned as
+    often as it is drawn.  Without rows the network has no classes.
+    """
     known = labelled.where("lang is not null and text is not null")
-    rows = hash_sample(known, F.xxhash64("text", "lang"), sample_rows).select("lang", F.substring("text", 1, sample_chars).alias("text")).toArrow()
+    rows = hash_sample(known, F.xxhash64("text", "lang"), sample_rows).select("lang", spread(F.col("text"), TRAIN_WINDOWS, WINDOW).alias("text")).toArrow()
     net = ByteNet(sorted(set(rows.column("lang").to_pylist())))
     if net.classes:
         labels = np.array([net.classes.index(x) for x in rows.column("lang").to_pylist()])
         xs, ys = [], []
         for first, last, data, offsets in chunks(rows.column("text")):
             x, doc = windows(data, offsets)
-            full = (x != 32).sum(axis=1) >= 20  # a window of few letters tells nothing
+            full = (x != 32).any(axis=1)
             xs.append(x[full])
             ys.append(labels[first:last][doc[full]])
         net.train(np.concatenate(xs), np.concatenate(ys))
@@ -138,7 +145,8 @@ def predict_languages(docs: DataFrame, net: ByteNet) -> DataFrame:
     """``docs`` (doc_id, text) with lang_pred, one of the network's classes, and score, its probability.
 
     A text that is null or has no letter, and any text if the network has no classes, is ``und`` with
-    score 0.  Long texts are read in whole, window by window.
+    score 0.  Long texts are read in whole, window by window.  Repeated rows get equal results; an empty table
+    gives no rows.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)

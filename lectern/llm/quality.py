@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import hash_sample, prepare
+from lectern.llm.store import hash_sample, prepare, spread
 from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
 PASSAGE = 512
 HIDDEN, GATE = 24, 12
-#: Passages of a document in training at most, spread over it; scoring reads all.
+#: Passages of a document in training at most, spread over all of it; scoring reads all.
 TRAIN_PASSAGES = 16
+#: Bytes of a long text that are encoded at a time, in whole passages.
+BLOCK = 512 * PASSAGE
 
 _marks = b"\n \t.,;:!?'\"()|-_#*$%&@/\\<>{}[]=+~^`"
 CLASS = np.full(256, 4, np.int64)  # other controls
@@ -31,9 +33,11 @@ EXTRA = 4
 FEATURES = CLASSES + CLASSES * CLASSES + EXTRA
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages and the text of each; an empty text has one empty passage."""
+def passages(data: np.ndarray, offsets: np.ndarray, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages and the text of each; an empty text has one empty passage.  ``told`` has the bytes of the
+    texts where only pieces of them are given."""
     size = np.diff(offsets)
+    told = size if told is None else told
     count = np.maximum(-(-size // PASSAGE), 1)
     start = np.concatenate(([0], np.cumsum(count)))
     n = int(start[-1])
@@ -53,7 +57,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     distinct = np.bincount(place[at], minlength=n)
     letters = np.bincount(place, (ends - starts).astype(np.float64), minlength=n)
     some = np.maximum(length, 1)[:, None]
-    extra = np.stack([np.log1p(length), distinct / np.maximum(n_words, 1), letters / np.maximum(n_words, 1) / 10, np.log1p(np.repeat(size, count)) / 10], axis=1)
+    extra = np.stack([np.log1p(length), distinct / np.maximum(n_words, 1), letters / np.maximum(n_words, 1) / 10, np.log1p(np.repeat(told, count)) / 10], axis=1)
     return np.concatenate([np.sqrt(ones / some), np.sqrt(twos / some), extra], axis=1).astype(np.float32), doc
 
 
@@ -115,20 +119,42 @@ class AttentionBags:
     def score(self, texts: pa.Array) -> np.ndarray:
         out = []
         for _, _, data, offsets in chunks(texts):
-            x, doc = passages(data, offsets)
-            out.append(self.forward(x, doc, len(offsets) - 1)[0])
+            if len(offsets) > 2 or len(data) <= BLOCK:
+                x, doc = passages(data, offsets)
+                out.append(self.forward(x, doc, len(offsets) - 1)[0])
+            else:
+                out.append(self.score_long(data))
         return np.concatenate(out) if out else np.zeros(0)
 
-
-def fit_quality(labelled: DataFrame, sample_rows: int = 4000, sample_chars: int = 12_000) -> AttentionBags:
-    """The classifier for ``labelled`` (text, label 0 or 1), learned from a bounded sample: the ``sample_rows``
-    rows of smallest hash, ``sample_chars`` code points of each at most.  Without rows it is untrained."""
+    def score_long(self, data: np.ndarray) -> np.ndarray:
+        """The score of one text, whose passages are encoded block by block; only hidden vectors and attention are kept."""
+        size, hidden, marks = np.array([len(data)]), [], []
+        for b in range(0, len(data), BLOCK):
+            some = data[b : b + BLOCK]
+            x, doc = passages(some, np.array([0, len(some)]), size)
+            _, (_, h, t, s, _, _, _) = self.forward(x, doc, 1)
+            hidden.append(h)
+            marks.append((t * s) @ self.a)
+        h, e = np.concatenate(hidden), np.concatenate(marks)
+        e = np.exp(e - e.max())
+        return _sigmoid(((e / e.sum()) @ h)[None, :] @ self.c + self.cb[0])
+
+
+def fit_quality(labelled: DataFrame, sample_rows: int = 4000) -> AttentionBags:
+    """The classifier for ``labelled`` (text, label 0 or 1), learned from a bounded sample: ``sample_rows`` rows, those of
+    smallest hash, and TRAIN_PASSAGES passages of each at most, spread evenly from the first to the last byte.
+
+    Null labels are left out; a null text is empty; a text that occurs with both labels, or repeatedly, is learned as
+    often as it is drawn.  Without rows the classifier is untrained.
+    """
     known = hash_sample(labelled.where("label is not null"), F.xxhash64("text", "label"), sample_rows)
-    rows = known.select(F.col("label").cast("double").alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text")).toArrow()
+    text = F.coalesce("text", F.lit(""))
+    rows = known.select(F.col("label").cast("double").alias("label"), spread(text, TRAIN_PASSAGES, PASSAGE).alias("text"), F.octet_length(text).cast("long").alias("size")).toArrow()
     model = AttentionBags()
     bags: list[np.ndarray] = []
+    size = rows.column("size").to_numpy()
     for first, last, data, offsets in chunks(rows.column("text")):
-        x, doc = passages(data, offsets)
+        x, doc = passages(data, offsets, size[first:last])
         cut = np.searchsorted(doc, np.arange(last - first + 1))
         for b, e in zip(cut[:-1], cut[1:], strict=True):
             bags.append(x[b:e] if e - b <= TRAIN_PASSAGES else x[np.linspace(b, e - 1, TRAIN_PASSAGES).astype(int)])
@@ -139,7 +165,8 @@ def fit_quality(labelled: DataFrame, sample_rows: int = 4000, sample_chars: int
 
 def score_quality(docs: DataFrame, model: AttentionBags) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id and score, the probability of label 1.  Null and empty
-    texts are one empty passage."""
+    texts are one empty passage; repeated rows are scored alike; texts of any length are scored whole, block by
+    block.  An empty table gives no rows."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -54,16 +54,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-MIX_POWER, MIX_ROUNDS, MIX_SEED = 0.8, 10, 11
+MIX_POWER, MIX_ROUNDS, MIX_SEED = 0.8, 12, 11
+#: Token shares that the mix is to have; all other values share the rest by their weights to MIX_POWER.
+MIX_TARGETS = {"lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}, "topic": {"table": 0.02}}
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixing_probabilities(_read(spark, sf_dir, "documents"), power=MIX_POWER, rounds=MIX_ROUNDS, seed=MIX_SEED)
+    out = mixing.mixing_probabilities(_read(spark, sf_dir, "documents"), power=MIX_POWER, rounds=MIX_ROUNDS, seed=MIX_SEED, targets=MIX_TARGETS)
     return out.select("doc_id", "n_tokens", "topic", F.round("probability", 6).alias("probability"), "sampled")
 
 
+#: Arguments that the calls of ``chat.as_tool_log`` must have.
+TOOL_SCHEMAS = [("reply", "prompt", "string", True), ("reply", "chars", "integer", True)]
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "name string, param string, type string, required boolean")
+    return chat.format_chats(chat.as_tool_log(_read(spark, sf_dir, "conversations")), schemas)
 
 
 def queries() -> dict:
@@ -81,8 +88,11 @@ def _mixing_sql() -> str:
         "r0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS weight, CAST(sum(n_tokens) AS DOUBLE) AS raked FROM counted GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for m in mixing.MARGINS:
-        parts.append(f"p_{m} AS (SELECT {m}, pow(sum(weight), {MIX_POWER}) AS p FROM r0 GROUP BY {m})")
-        parts.append(f"t_{m} AS (SELECT {m}, p / (SELECT sum(p) FROM p_{m}) * (SELECT sum(weight) FROM r0) AS target FROM p_{m})")
+        asked = " UNION ALL ".join(f"SELECT '{k}', CAST({v} AS DOUBLE)" for k, v in MIX_TARGETS.get(m, {}).items()) or "SELECT '', CAST(0 AS DOUBLE) WHERE false"
+        parts.append(f"a_{m}(v, share) AS ({asked})")
+        parts.append(f"p_{m} AS (SELECT {m}, share, CASE WHEN share IS NULL THEN pow(w, {MIX_POWER}) END AS p FROM (SELECT {m}, sum(weight) AS w FROM r0 GROUP BY {m}) LEFT JOIN a_{m} ON {m} = v)")
+        parts.append(f"g_{m} AS (SELECT coalesce(sum(share), 0) AS given, sum(p) AS rest, CASE WHEN sum(p) IS NULL THEN 0 ELSE greatest(1 - coalesce(sum(share), 0), 0) END AS remain FROM p_{m})")
+        parts.append(f"t_{m} AS (SELECT {m}, CASE WHEN share IS NOT NULL THEN share * (1 - remain) / given ELSE p / rest * remain END * (SELECT sum(weight) FROM r0) AS target FROM p_{m}, g_{m})")
     k = 0
     for _ in range(MIX_ROUNDS):
         for m in mixing.MARGINS:
@@ -100,6 +110,41 @@ def _mixing_sql() -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, n_tokens, topic, round(p, 6) AS probability, draw < p AS sampled FROM d"
 
 
+CHAT_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, CAST('0x' || substr(md5(text), 1, 1) AS BIGINT) AS lot FROM conversations),
+c0 AS (SELECT conv_id, turn, text, lot, CASE WHEN lot = 1 AND turn >= 2 THEN 'q' || (turn - 2) ELSE 'q' || turn END AS id,
+         CASE WHEN 2 * (turn // 4) + turn % 2 < turn THEN ['q' || (2 * (turn // 4) + turn % 2)] ELSE [] END
+         || CASE WHEN lot = 0 THEN ['q' || (turn + 2)] ELSE [] END || CASE WHEN lot = 3 THEN ['none'] ELSE [] END AS after FROM m WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text, 'q' || (turn - 1) AS id FROM m WHERE role = 'assistant'),
+ans AS (SELECT conv_id, id, min(turn) AS answer FROM r GROUP BY ALL),
+c AS (SELECT c0.*, answer, row_number() OVER (PARTITION BY c0.conv_id, c0.id ORDER BY turn) = 1 AS own, min(turn) OVER (PARTITION BY c0.conv_id, c0.id) AS first_turn FROM c0 LEFT JOIN ans ON c0.conv_id = ans.conv_id AND c0.id = ans.id),
+o AS (SELECT conv_id, id, turn, greatest(turn, answer) AS free FROM c WHERE own),
+n0 AS (SELECT conv_id, id, unnest(list_distinct(after)) AS need FROM c WHERE own),
+lost AS (SELECT DISTINCT conv_id, id FROM n0 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.conv_id = n0.conv_id AND o.id = n0.need)),
+n AS (SELECT n0.* FROM n0 WHERE EXISTS (SELECT 1 FROM o WHERE o.conv_id = n0.conv_id AND o.id = n0.need)),
+reach AS (SELECT conv_id, id, need FROM n UNION SELECT reach.conv_id, reach.id, n.need FROM reach JOIN n ON reach.conv_id = n.conv_id AND reach.need = n.id),
+loops AS (SELECT DISTINCT conv_id, id FROM reach WHERE id = need),
+stuck AS (SELECT conv_id, id FROM loops UNION SELECT reach.conv_id, reach.id FROM reach JOIN loops ON reach.conv_id = loops.conv_id AND reach.need = loops.id),
+paths AS (SELECT conv_id, id, need, 1 AS len FROM n WHERE NOT EXISTS (SELECT 1 FROM stuck WHERE stuck.conv_id = n.conv_id AND stuck.id = n.id)
+  UNION SELECT paths.conv_id, paths.id, n.need, len + 1 FROM paths JOIN n ON paths.conv_id = n.conv_id AND paths.need = n.id),
+done AS (SELECT o.conv_id, o.id, greatest(any_value(o.turn), max(f.free)) AS ready, coalesce(max(len), 0) AS depth
+  FROM o LEFT JOIN paths ON o.conv_id = paths.conv_id AND o.id = paths.id LEFT JOIN o f ON f.conv_id = paths.conv_id AND f.id = paths.need
+  WHERE NOT EXISTS (SELECT 1 FROM stuck WHERE stuck.conv_id = o.conv_id AND stuck.id = o.id) GROUP BY o.conv_id, o.id)
+SELECT conv_id, turn, 0 AS idx, role, 'message' AS kind, NULL AS call_id, CAST(NULL AS BIGINT) AS linked_turn, turn AS ready_turn, 0 AS depth, 'ok' AS status,
+  '{"content":' || to_json(text) || ',"conv_id":' || conv_id || ',"role":' || to_json(role) || ',"turn":' || turn || '}' AS line
+FROM m WHERE role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT c.conv_id, c.turn, 0, 'assistant', 'call', c.id, CASE WHEN own THEN answer END, CASE WHEN own THEN coalesce(ready, c.turn) ELSE c.turn END, CAST(CASE WHEN own THEN coalesce(depth, 0) ELSE 0 END AS INTEGER),
+  CASE WHEN NOT own THEN 'repeated' WHEN lot = 2 THEN 'invalid' WHEN lost.id IS NOT NULL THEN 'missing' WHEN done.id IS NULL THEN 'cycle' WHEN answer IS NULL THEN 'unanswered' ELSE 'ok' END,
+  '{"after":[' || array_to_string(list_transform(after, lambda x: '"' || x || '"'), ',') || '],"arguments":{' || CASE WHEN lot <> 2 THEN '"chars":' || length(text) || ',' ELSE '' END || '"prompt":' || to_json(text) || '},"conv_id":' || c.conv_id
+  || ',"id":"' || c.id || '","kind":"call","name":"reply","role":"assistant","turn":' || c.turn || '}'
+FROM c LEFT JOIN done ON own AND c.conv_id = done.conv_id AND c.id = done.id LEFT JOIN lost ON c.conv_id = lost.conv_id AND c.id = lost.id
+UNION ALL
+SELECT r.conv_id, r.turn, 0, 'tool', 'result', r.id, first_turn, greatest(r.turn, coalesce(ready, first_turn, r.turn)), CAST(coalesce(depth, 0) + CASE WHEN first_turn IS NULL THEN 0 ELSE 1 END AS INTEGER), CASE WHEN first_turn IS NULL THEN 'orphan' ELSE 'ok' END,
+  '{"content":' || to_json(text) || ',"conv_id":' || r.conv_id || ',"id":"' || r.id || '","kind":"result","role":"tool","turn":' || r.turn || '}'
+FROM r LEFT JOIN (SELECT DISTINCT conv_id, id, first_turn FROM c) k ON r.conv_id = k.conv_id AND r.id = k.id LEFT JOIN done ON r.conv_id = done.conv_id AND r.id = done.id"""
+
+
 def oracle_sql() -> dict[str, str]:
     blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return {
@@ -127,4 +172,5 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN c ON dw.doc_id = c.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id""",
         "op9_mixing": _mixing_sql(),
+        "op10_chat": CHAT_SQL,
     }

@@ -100,6 +100,14 @@ def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
     return some.orderBy(place).limit(rows)
 
 
+def spread(text: Column, pieces: int, width: int) -> Column:
+    """``text``, or where it is longer than ``pieces`` times ``width`` code points, that many pieces of it, spread evenly
+    from its first to its last code point."""
+    size = F.char_length(text)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * (size - width) / max(pieces - 1, 1)).cast("int") + 1, F.lit(width)))
+    return F.when(size > pieces * width, F.array_join(cut, "")).otherwise(text)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

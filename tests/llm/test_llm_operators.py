@@ -418,6 +418,30 @@ def test_quality_model_learns(spark):
     assert len(quality.score_quality(frame(spark, rows[:2]), untrained).collect()) == 2
 
 
+def test_long_texts_are_scored_block_by_block(monkeypatch):
+    model = quality.AttentionBags()
+    texts = pa.array(["some words of a text " * 300, "short"])
+    whole = model.score(texts)
+    monkeypatch.setattr("lectern.llm.text_bytes.CHUNK_BYTES", 1000)
+    monkeypatch.setattr(quality, "BLOCK", 2 * quality.PASSAGE)
+    assert np.allclose(model.score(texts), whole, atol=0.02)
+
+
+def test_training_pieces_are_spread_over_the_whole_text(spark):
+    from lectern.llm.store import spread
+
+    text = "".join(chr(97 + i // 100) for i in range(2600))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(spread(F.col("t"), 5, 20)).collect()
+    assert got[0][0][:20] == "a" * 20 and got[0][0][-20:] == "z" * 20 and len(got[0][0]) == 100 and len(set(got[0][0])) >= 5
+    assert [r[0] for r in got[1:]] == ["short", None]
+
+
+def test_probing_ends_in_a_full_filter():
+    full = np.full(16, 255, np.uint8)
+    h = lm_score.mix(np.arange(1, 50, dtype=np.uint64))
+    assert (lm_score.read_levels(full, h, 0, 0, 7, 0) == lm_score.TOP_LEVEL).all() and lm_score.TOP_LEVEL < 256
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = quality.AttentionBags()
@@ -446,10 +470,29 @@ def test_mixing(spark, cells):
 def test_raking_meets_targets():
     rng = np.random.default_rng(1)
     codes, w = [np.repeat(np.arange(4), 6), np.tile(np.arange(6), 4)], rng.random(24) + 0.1
-    out = mixing.rake(w, codes, 0.5, 60)
-    for code in codes:
-        target = np.bincount(code, w) ** 0.5
-        assert np.allclose(np.bincount(code, out), target / target.sum() * w.sum(), rtol=1e-6)
+    targets = [np.bincount(c, w) ** 0.5 for c in codes]
+    targets = [t / t.sum() * w.sum() for t in targets]
+    out, residual = mixing.rake(w, codes, targets, 60)
+    assert residual < mixing.TOLERANCE and all(np.allclose(np.bincount(c, out), t, rtol=1e-9) for c, t in zip(codes, targets))
+    few = mixing.rake(w, codes, targets, 1)[1]
+    assert few > 0.01
+
+
+def test_targets_of_values():
+    sums = {"a": 60.0, "b": 30.0, None: 10.0}
+    assert mixing.target_sums(sums, {"a": 0.2, "absent": 0.5}, 1.0) == pytest.approx({"a": 20.0, "b": 60.0, None: 20.0})
+    assert mixing.target_sums(sums, {"a": 1.0, "b": 2.0, None: 1.0}, 1.0) == pytest.approx({"a": 25.0, "b": 50.0, None: 25.0})
+    assert mixing.target_sums(sums, None, 1.0) == pytest.approx(sums) and mixing.target_sums({}, {"a": 1}, 1.0) == {}
+
+
+@pytest.mark.parametrize("cells", [200_000, 0])
+def test_mix_meets_explicit_targets(spark, cells):
+    rows = [(i, "word " * (i % 50 + 1), ["en", "fr", None][i % 3], f"s{i % 4}", 0) for i in range(600)]
+    out = mixing.mixing_probabilities(frame(spark, rows, CLASH), targets={"lang": {"en": 0.2, "fr": 0.7}, "source": {"s1": 0.4}}, rounds=40, driver_cells=cells, keep=("lang", "source")).collect()
+    total = sum(r["n_tokens"] * r["probability"] for r in out)
+    share = lambda name, v: sum(r["n_tokens"] * r["probability"] for r in out if r[f"lectern_{name}"] == v) / total
+    assert share("lang", "en") == pytest.approx(0.2) and share("lang", "fr") == pytest.approx(0.7) and share("source", "s1") == pytest.approx(0.4)
+    assert out[0]["residual"] < 1e-9 and max(r["probability"] for r in out) == pytest.approx(1.0)
 
 
 CALL = '{"tool_calls":[{"id":"%s","name":"%s","arguments":%s,"after":%s}]}'
@@ -491,6 +534,26 @@ def test_chat_keeps_fields_beside_calls_and_results(spark):
     }
 
 
+def test_chat_lines_of_nulls_and_numbers(spark):
+    rows = [(None, None, None, None), (1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1,"y":1.0,"z":null}}]}')]
+    out = {r["kind"]: r["line"] for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out["message"] == "{}"
+    assert out["call"] == '{"arguments":{"x":1,"y":1,"z":null},"conv_id":1,"id":"a","kind":"call","name":"f","role":"assistant","turn":0}'
+
+
+def test_tool_log_of_plain_conversations(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(60)] + [(2, 0, "system", "rules"), (2, 1, "user", "unanswered"), (3, None, "user", None), (3, 0, None, "x"), (4, 5, "assistant", "no call before")]
+    log = chat.as_tool_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    schemas = spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "chars", "integer", True)], "name string, param string, type string, required boolean")
+    out = chat.format_chats(log, schemas).collect()
+    assert len(out) == len(rows) and {r["kind"] for r in out} == {"call", "result", "message"}
+    calls = {r["call_id"]: r for r in out if r["conv_id"] == 1 and r["kind"] == "call" and r["status"] != "repeated"}
+    for r in calls.values():
+        for need in [n for n in __import__("json").loads(r["line"])["after"] if n in calls and r["status"] in ("ok", "unanswered", "invalid", "missing") and calls[n]["status"] != "cycle"]:
+            assert r["depth"] > calls[need]["depth"] or r["depth"] == 0
+    assert {r["status"] for r in out if r["conv_id"] == 4} == {"orphan"} and {r["status"] for r in out if r["conv_id"] == 3 and r["kind"] == "call"} == {"invalid"}
+
+
 EMPTY = {
     "fingerprint": lambda s, d: fingerprint.fingerprint_documents(d),
     "lines": lambda s, d: line_dedup.dedup_lines(d),
@@ -499,6 +562,9 @@ EMPTY = {
     "decontaminate": lambda s, d: decontaminate.find_contamination(d, benchmark(s)),
     "jaccard": lambda s, d: jaccard_join.jaccard_components(d),
     "mixing": lambda s, d: mixing.mixing_probabilities(d),
+    "quality": lambda s, d: quality.score_quality(d, quality.AttentionBags()),
+    "language": lambda s, d: language_id.predict_languages(d, language_id.ByteNet(["en"])),
+    "first copies": lambda s, d: substring_dedup.remove_repeats(d, keep_first=True),
     "chat": lambda s, d: chat.format_chats(d.select(F.col("doc_id").alias("conv_id"), F.col("doc_id").alias("turn"), F.col("lang").alias("role"), "text")),
 }
 

@@ -46,11 +46,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, similarity 0.8): that of smallest id.
-    Repeated rows (equal id and text) stay once.  Empty texts are in no group and stay."""
-    grouped = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    gone = grouped.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("lectern_id")).distinct()
-    kept = docs.join(small(table(gone, "gone")), docs["doc_id"] == F.col("lectern_id"), "left_anti").select(*docs.columns)
+    """Keeps one document of each group of near duplicates (five words, similarity 0.8): that of smallest id (a null id
+    counts as largest) and, among rows of that id, of smallest hash of the text.  A document is a row of doc_id and
+    text, so a text that only shares its id with a copy stays.  Repeated rows (equal id and text) stay once.
+    Empty texts are in no group and stay."""
+    grouped = table(jaccard_join.jaccard_components(docs, shingle=5, percent=80).where("n_shingles > 0").select("component", "doc_id", "row_key"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    firsts = grouped.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    kept = _without(docs, grouped.join(firsts, "component").where(place != F.col("first")))
     again = docs.groupBy("doc_id", text_key(F.col("text")).alias("row_key")).agg(F.count("*").alias("rows")).where("rows > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

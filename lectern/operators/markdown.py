@@ -1,173 +1,137 @@
 """Markdown documents: sections by heading, and pointers to sections, paragraphs, formulas and images.
 
-Lines, heading matches and content spans are columns and windows.  The heading stack and the offset-bearing
-scans have no expression that gives match positions, so each document is read once by a vectorised function.
-Offsets count code points.
+A text is cut at its heading lines, and a section at every match of what is looked for, into rows of
+(what lies before, match).  Sums of their lengths over windows give offsets and lines, so nothing is
+scanned by hand.  Offsets count code points of the text with unix lines and trimmed ends.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-HEADING = re.compile(r"(#{1,6})\s+(.*)")
-IMAGE = re.compile(r'!\[([^\]]*)\]\([^\s)]+(?:\s+"[^"]*")?\)')
-DISPLAY = [re.compile(p) for p in (r"\$\$[\s\S]+?\$\$", r"\\\[[\s\S]+?\\\]", r"\\begin\{equation\*?\}[\s\S]+?\\end\{equation\*?\}")]
-INLINE = re.compile(r"\$(?!\$)([^$\n]{2,}?)\$")
-POINTER = "doc_id {kind}, id string, kind string, ordinal int, section_path array<string>, excerpt string, line_start int, line_end int, char_start int, char_end int, content_hash string, content string"
-SECTION = "doc_id {kind}, pos int, heading string, level int, path array<string>, normalized_heading string, content string, line_start int, line_end int, char_start int, char_end int"
-
-
-def plain(text: str) -> str:
-    text = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", text)
-    text = re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", text)
-    return re.sub(r"\s+", " ", re.sub("[*_`~]", "", re.sub(r"\A\s*#+\s*", "", text))).strip()
-
-
-def clip(text: str) -> str:
-    return text if len(text) <= 120 else text[:117].rstrip() + "..."
-
-
-def fnv1a(text: str) -> str:
-    h = 0x811C9DC5
-    for c in text:
-        h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
-    return f"{h:08x}"
-
-
-def sections_of(markdown: str) -> list[dict]:
-    """Sections with content; the path of headings drops entries until it is shorter than the heading's level."""
-    body = re.sub(r"\r\n?", "\n", markdown or "").strip()
-    if not body:
-        return []
-    heading, level, path, found = "Document", 1, ["Document"], []
-    start, start_line, at = 0, 1, 0
-    lines = body.split("\n")
-
-    def close(end: int) -> None:
-        raw = body[start:end]
-        content = raw.strip()
-        if content:
-            first = start + raw.index(content)
-            line = start_line + raw[: raw.index(content)].count("\n")
-            found.append({"heading": heading, "level": level, "path": list(path), "content": content, "line_start": line, "line_end": line + content.count("\n"), "char_start": first, "char_end": first + len(content)})
-
-    skipped: list[tuple[int, int]] = []
-    for number, line in enumerate(lines, 1):
-        m = HEADING.fullmatch(line)
-        if m and not plain(m[2]):
-            skipped.append((at, at + len(line) + 1))  # a heading without text is swallowed
-        elif m:
-            close(at)
-            level = len(m[1])
-            del path[level - 1 :]
-            heading = plain(m[2])
-            path.append(heading)
-            start, start_line = min(at + len(line) + 1, len(body)), number + 1
-        at += len(line) + 1
-    close(len(body))
-    if skipped:
-        for s in found:
-            for b, e in skipped:
-                if s["char_start"] <= b < s["char_end"]:
-                    s["content"] = s["content"].replace(body[b:e], "", 1).strip()
-            s["char_end"] = s["char_start"] + len(s["content"])
-    if not found:
-        found = [{"heading": "Document", "level": 1, "path": ["Document"], "content": body, "line_start": 1, "line_end": len(lines), "char_start": 0, "char_end": len(body)}]
-    return found
-
-
-def paragraph_spans(content: str):
-    at = 0
-    for block in re.split(r"\n\n", content):
-        text = block.strip()
-        if text and not re.fullmatch(r"!\[[^\]]*\]\([^)]*\)", text) and not re.fullmatch(r"\$\$[\s\S]*\$\$", text):
-            b = at + block.index(text)
-            yield b, b + len(text), text
-        at += len(block) + 2
-
-
-def formula_spans(content: str):
-    blocks = [(m.start(), m.end(), m[0]) for p in DISPLAY for m in p.finditer(content)]
-    inline = [(m.start(), m.end(), m[0]) for m in INLINE.finditer(content)]
-    return sorted(blocks + [x for x in inline if not any(b <= x[0] and x[1] <= e for b, e, _ in blocks)], key=lambda x: x[0])
-
-
-def is_trivial(formula: str) -> bool:
-    inner = formula
-    for p in (r"\A\$\$?", r"\$\$?\Z", r"\A\\\[", r"\\\]\Z", r"\A\\begin\{equation\*?\}", r"\\end\{equation\*?\}\Z"):
-        inner = re.sub(p, "", inner)
-    inner = re.sub(r"\s+", "", inner)
-    if len(inner) <= 2:
-        return True
-    telling = re.search(r"[=<>+\-*/]|\\(?:frac|sum|prod|operatorname|mathrm|softmax|argmax|argmin)", inner) or (len(inner) >= 8 and re.search(r"[()\[\]{}]", inner)) or (len(inner) >= 6 and re.search(r"[\^_]", inner))
-    return not telling and bool(re.fullmatch(r"\\?[A-Za-z]+(?:_[A-Za-z0-9{}]+|\^[A-Za-z0-9{}]+)*", inner))
-
-
-def snippet(text: str) -> str:
-    """The first sentence, at most 120 characters."""
-    flat = re.sub(r"\s+", " ", text).strip()
-    m = re.match(r"(.+?[.!?。！？])(?:\s|$)", flat)
-    return clip(m[1] if m else flat).strip()
-
-
-def caption_of(content: str, b: int, e: int) -> str:
-    """From the paragraph after an image, the one before, or its alternative text."""
-    after = re.split(r"\n\s*\n", content[e:].lstrip("\n"))[0].strip()
-    text = snippet(plain(after))
-    if text and not after.startswith("![") and (re.match(r"(figure|fig\.?|table|图|表)", text, re.I) or len(text) >= 12):
-        return text
-    before = re.split(r"\n\s*\n", content[:b].rstrip("\n"))[-1].strip()
-    text = snippet(plain(before))
-    if text and not before.startswith("![") and len(text) >= 12:
-        return text
-    return IMAGE.match(content[b:e])[1].strip()
-
-
-def pointers_of(markdown: str) -> list[tuple]:
-    rows: dict[str, list[tuple]] = {k: [] for k in ("section", "paragraph", "formula", "image")}
-
-    def add(kind: str, s: dict, b: int, e: int, content: str, shown: str) -> None:
-        n = len(rows[kind]) + 1
-        digest = fnv1a(f"{kind}\n{' > '.join(s['path'])}\n{content.strip()}")
-        line = [s["line_start"] + s["content"][:x].count("\n") for x in (b, e)]
-        rows[kind].append((f"{kind}:{n}:{digest}", kind, n, s["path"], clip(plain(shown)), *line, s["char_start"] + b, s["char_start"] + e, digest, content.strip()))
-
-    for s in sections_of(markdown):
-        add("section", s, 0, len(s["content"]), s["content"], s["content"])
-        for b, e, text in paragraph_spans(s["content"]):
-            add("paragraph", s, b, e, text, text)
-        for b, e, text in formula_spans(s["content"]):
-            if not is_trivial(text):
-                add("formula", s, b, e, text, text)
-        for m in IMAGE.finditer(s["content"]):
-            add("image", s, m.start(), m.end(), m[0], caption_of(s["content"], *m.span()) or m[0])
-    return [r for kind in rows.values() for r in kind]
-
-
-def _kind(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from lectern.functions.rules import is_trivial_formula
+from lectern.functions.text import collapse, excerpt, fnv1a, normalize_heading, shorten, strip_markdown_inline, trim_all, unix_lines
+
+# Patterns of Markdown.
+HEADING = r"(?dm)^#{1,6}[^\S\n]+[^\n]*"
+IMAGE = r'!\[([^\]]*)\]\([^\s)]+(?:\s+"[^"]*")?\)'
+DISPLAY = [r"\$\$[\s\S]+?\$\$", r"\\\[[\s\S]+?\\\]", r"\\begin\{equation\*?\}[\s\S]+?\\end\{equation\*?\}"]
+INLINE = r"\$(?!\$)([^$\n]{2,}?)\$"
+LONE_IMAGE, LONE_DISPLAY = r"\A!\[[^\]]*\]\([^)]*\)\z", r"\A\$\$[\s\S]*\$\$\z"
+FIGURE_WORD = r"(?i)\A(figure|fig\.?|table|图|表)"
+
+KINDS = ["section", "paragraph", "formula", "image"]
+
+
+def newlines(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """An array of (before, match): what lies before each match, and the match."""
+    gaps = F.split(text, pattern, -1)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m, i: F.struct(F.get(gaps, i).alias("before"), m.alias("match")))
+
+
+def _section_rows(docs: DataFrame) -> DataFrame:
+    """Sections with a number ``rid`` for the row of ``docs`` that they are from."""
+    body = trim_all(unix_lines(F.coalesce("markdown", F.lit(""))))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), body.alias("body")).where("body <> ''")
+    heads, gaps = F.regexp_extract_all("body", F.lit(HEADING), 0), F.split("body", HEADING, -1)
+    cut = F.transform(gaps, lambda g, i: F.struct(F.coalesce(F.get(heads, i - 1), F.lit("")).alias("head"), g.alias("text")))
+    bare = trim_all(F.regexp_replace("body", HEADING, "")) == ""  # headings only: one section, of all
+    rows = rows.select("doc_id", "rid", F.posexplode(F.when(bare, F.array(F.struct(F.lit("").alias("head"), F.col("body").alias("text")))).otherwise(cut)).alias("i", "p"))
+    level, title = F.char_length(F.regexp_extract("p.head", r"\A#*", 0)), strip_markdown_inline(F.regexp_replace("p.head", r"\A#+\s+", ""))
+    rows = rows.select("doc_id", "rid", "i", "p.head", "p.text", F.when(F.col("i") == 0, 1).otherwise(level).alias("level"), F.when(F.col("i") == 0, "Document").otherwise(title).alias("heading"))
+    # a heading without text opens no section: its line goes
+    rows = rows.withColumn("opens", F.col("heading") != "").withColumn("kept", F.when(F.col("opens"), F.col("text")).otherwise(F.regexp_replace("text", r"\A\n", "")))
+    upto = W.partitionBy("rid").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    titles = F.collect_list(F.when(F.col("opens"), F.struct("level", "heading"))).over(upto)
+    path = F.aggregate(titles, F.array().cast("array<string>"), lambda p, t: F.concat(F.slice(p, F.lit(1), t["level"] - 1), F.array(t["heading"])))
+    rows = rows.select(
+        "*", F.sum(F.col("opens").cast("int")).over(upto).alias("section"), path.alias("path"),
+        (F.sum(F.char_length("head") + F.char_length("text")).over(upto) - F.char_length("text")).alias("at"), (F.sum(newlines(F.col("text"))).over(upto) - newlines(F.col("text"))).alias("line"),
+    )
+    first = F.min(F.struct("i", "heading", "level", "path", "at", "line")).alias("f")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "kept"))), lambda x: x["kept"]), "")
+    found = rows.groupBy("doc_id", "rid", "section").agg(first, whole.alias("raw")).withColumn("content", trim_all(F.col("raw"))).where("content <> ''")
+    lead = F.regexp_extract("raw", r"\A\s*", 0)
+    found = found.select("doc_id", "rid", "section", "f.heading", "f.level", "f.path", "content", (F.col("f.line") + 1 + newlines(lead)).cast("int").alias("line_start"), (F.col("f.at") + F.char_length(lead)).cast("int").alias("char_start"))
+    return found.withColumn("pos", F.row_number().over(W.partitionBy("rid").orderBy("section")) - 1)
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Sections of docs (doc_id, markdown)."""
-
-    def run(frames):
-        for f in frames:
-            rows = [(d, i, s["heading"], s["level"], s["path"], plain(s["heading"]).lower(), s["content"], s["line_start"], s["line_end"], s["char_start"], s["char_end"]) for d, m in zip(f["doc_id"], f["markdown"], strict=True) for i, s in enumerate(sections_of(m))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "heading", "level", "path", "normalized_heading", "content", "line_start", "line_end", "char_start", "char_end"])
-
-    return docs.select("doc_id", "markdown").mapInPandas(run, SECTION.format(kind=_kind(docs)))
+    """Sections of docs (doc_id, markdown): doc_id, pos, heading, level, path, normalized_heading, content, line_start,
+    line_end, char_start, char_end.
+
+    Text before the first heading belongs to ``Document``; sections without content are left out, but a text of
+    headings only is one section.  A heading's path keeps as many entries as its level is deep, less one.
+    Null and empty texts have none.
+    """
+    c = F.col
+    return _section_rows(docs).select(
+        "doc_id", "pos", "heading", "level", "path", normalize_heading(c("heading")).alias("normalized_heading"), "content", "line_start", (c("line_start") + newlines(c("content"))).alias("line_end"),
+        "char_start", (c("char_start") + F.char_length("content")).alias("char_end"),
+    )
+
+
+def _snippet(text: Column) -> Column:
+    """The first sentence, shortened."""
+    flat = collapse(strip_markdown_inline(text))
+    sentence = F.regexp_extract(flat, r"\A(.+?[.!?。！？])(?:\s|\z)", 1)
+    return shorten(F.when(sentence != "", sentence).otherwise(flat))
+
+
+def _caption(content: Column, b: Column, e: Column, image: Column) -> Column:
+    """From the paragraph after an image if it names a figure or has 12 characters, from the one before, or its
+    alternative text."""
+    after = trim_all(F.element_at(F.split(F.regexp_replace(F.substring(content, e + 1, F.char_length(content)), r"\A\n+", ""), r"\n\s*\n", -1), 1))
+    before = trim_all(F.element_at(F.split(F.regexp_replace(F.substring(content, F.lit(1), b), r"\n+\z", ""), r"\n\s*\n", -1), -1))
+    next_, last = _snippet(after), _snippet(before)
+    return (
+        F.when((next_ != "") & ~after.startswith("![") & (next_.rlike(FIGURE_WORD) | (F.char_length(next_) >= 12)), next_)
+        .when((F.char_length(last) >= 12) & ~before.startswith("!["), last).otherwise(trim_all(F.regexp_extract(image, IMAGE, 1)))
+    )
 
 
 def pointers(docs: DataFrame) -> DataFrame:
-    """Pointers to the sections, paragraphs, formulas and images of docs (doc_id, markdown)."""
-
-    def run(frames):
-        for f in frames:
-            rows = [(d, *p) for d, m in zip(f["doc_id"], f["markdown"], strict=True) for p in pointers_of(m)]
-            yield pd.DataFrame(rows, columns=["doc_id", "id", "kind", "ordinal", "section_path", "excerpt", "line_start", "line_end", "char_start", "char_end", "content_hash", "content"])
-
-    return docs.select("doc_id", "markdown").mapInPandas(run, POINTER.format(kind=_kind(docs)))
+    """Pointers to the sections, paragraphs, formulas and images of docs (doc_id, markdown): doc_id, id, kind, ordinal,
+    section_path, excerpt, line_start, line_end, char_start, char_end, content_hash, content.
+
+    Paragraphs are parted by an empty line; those that are an image or a display formula only are left out.  Inline
+    formulas within a display formula, and trivial ones, are left out.  Ordinals count by document and kind.
+    """
+    content = F.col("content")
+    blocks = F.transform(F.split(content, "\n\n", -1), lambda x, i: F.struct(F.when(i > 0, "\n\n").otherwise("").alias("before"), x.alias("match")))
+    scans = [("section", F.array(F.struct(F.lit("").alias("before"), content.alias("match")))), ("paragraph", blocks)]
+    scans += [("formula", _pieces(content, p)) for p in [*DISPLAY, INLINE]] + [("image", _pieces(content, IMAGE))]
+    inline = 2 + len(DISPLAY)
+
+    def tagged(scan: int, kind: str, pieces: Column) -> Column:
+        around = content if kind == "image" else F.lit(None).cast("string")
+        return F.transform(pieces, lambda p, j: F.struct(F.lit(scan).alias("scan"), F.lit(kind).alias("kind"), j.alias("j"), p["before"].alias("before"), p["match"].alias("match"), around.alias("around")))
+
+    rows = _section_rows(docs).select("doc_id", "rid", "pos", "path", "line_start", "char_start", F.explode(F.concat(*[tagged(i, k, p) for i, (k, p) in enumerate(scans)])).alias("t"))
+    rows = rows.select("doc_id", "rid", "pos", "path", "line_start", "char_start", "t.*")
+    upto = W.partitionBy("rid", "pos", "scan").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
+    lead = F.regexp_extract("match", r"\A\s*", 0)  # paragraphs have blanks at their ends, the others none
+    rows = rows.withColumn("b", F.sum(F.char_length("before") + F.char_length("match")).over(upto) - F.char_length("match") + F.char_length(lead))
+    rows = rows.withColumn("line", F.sum(newlines(F.col("before")) + newlines(F.col("match"))).over(upto) - newlines(F.col("match")) + newlines(lead)).withColumn("match", trim_all(F.col("match")))
+    rows = rows.withColumn("e", F.col("b") + F.char_length("match"))
+    displays = F.collect_list(F.when((F.col("scan") > 1) & (F.col("scan") < inline), F.struct("b", "e"))).over(W.partitionBy("rid", "pos"))
+    within = F.exists(displays, lambda d: (d["b"] <= F.col("b")) & (F.col("e") <= d["e"]))
+    lone = F.col("match").rlike(LONE_IMAGE) | F.col("match").rlike(LONE_DISPLAY)
+    rows = rows.withColumn("within", within).where((F.col("match") != "") & ~((F.col("scan") == inline) & F.col("within")) & ~((F.col("kind") == "paragraph") & lone))
+    rows = rows.where((F.col("kind") != "formula") | ~is_trivial_formula(F.col("match")))
+    rows = rows.withColumn("ordinal", F.row_number().over(W.partitionBy("rid", "kind").orderBy("pos", "b", "scan")))
+    caption = _caption(F.col("around"), F.col("b").cast("int"), F.col("e").cast("int"), F.col("match"))
+    shown = F.when((F.col("kind") == "image") & (caption != ""), caption).otherwise(F.col("match"))
+    digest = fnv1a(F.concat("kind", F.lit("\n"), F.array_join("path", " > "), F.lit("\n"), "match"))
+    c = F.col
+    return rows.withColumn("content_hash", digest).select(
+        "doc_id", F.concat("kind", F.lit(":"), c("ordinal").cast("string"), F.lit(":"), "content_hash").alias("id"), "kind", "ordinal", c("path").alias("section_path"), excerpt(shown).alias("excerpt"),
+        (c("line_start") + c("line")).cast("int").alias("line_start"), (c("line_start") + c("line") + newlines(c("match"))).cast("int").alias("line_end"),
+        (c("char_start") + c("b")).cast("int").alias("char_start"), (c("char_start") + c("e")).cast("int").alias("char_end"), "content_hash", c("match").alias("content"),
+    )

@@ -1,143 +1,122 @@
-"""Locating quoted text in the items of a page: an exact-to-fuzzy cascade, with offsets in the items.
+"""Locating quoted text in the items of a page: exactly, else in folded form, by a prefix, or by trigrams.
 
-Exact and case-folded hits are found by expressions over the joined items.  Only quotes without such a hit
-go to the vectorised matcher, whose later passes normalise, shorten and compare trigrams.
+Exact and case-folded hits are found by expressions over the joined items; only quotes without one go to the
+vectorised matcher.  It folds a page once into a table with a row for each folded character (the character, its
+item, the places in the item's text where a span that begins or ends with it does), so that any hit in
+the folded text gives its span by two look-ups.  Offsets count code points.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
-from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Marks that a span takes in at its end; the least share and score of a prefix by form; the least quote.
 CLOSING = "])}\"'’”.,;:!?"
+PREFIX_SHARE, PREFIX_LEAST, PREFIX_SCORES = 0.6, 6, [("light", 0.85), ("heavy", 0.80)]
+LEAST, LEAST_TRIGRAMS, SURE = 3, 6, 0.95
 SPAN = "begin_index int, begin_offset int, end_index int, end_offset int, score double"
 
 
-def fold(text: str, heavy: bool) -> str:
-    """Decomposed, lower-cased, without soft hyphens; heavy: all but a-z, 0-9 and white space blanked."""
-    text = unicodedata.normalize("NFKD", text).replace("\u00ad", "").lower()
-    return "".join(c if c.isspace() or "a" <= c <= "z" or "0" <= c <= "9" else " " for c in text) if heavy else text
-
-
-def normalize(text: str, heavy: bool = True) -> str:
-    return " ".join(fold(text, heavy).split())
-
-
-def compact(text: str) -> str:
-    return "".join(fold(text, True).split())
-
-
-@dataclass
-class Flat:
-    """Joined items, where each begins, and for each of their characters the place in the item's own text."""
-
-    text: str
-    starts: list[int]
-    places: list[list[int]] | None
-
-
-def flatten(texts: list[str], mode: str) -> Flat:
-    parts, starts, places, at = [], [], [], 0
-    for text in texts:
-        if mode in ("exact", "lower"):
-            out, where = (text if mode == "exact" else text.lower()), None
-        else:
-            chars, where = [], []
-            for i, c in enumerate(text):
-                for f in fold(c, mode != "light"):
-                    if not f.isspace():
-                        chars.append(f)
-                        where.append(i)
-                    elif mode != "compact" and chars and chars[-1] != " ":
-                        chars.append(" ")
-                        where.append(i)
-            if chars and chars[-1] == " ":
-                chars.pop()
-                where.pop()
-            # a blank counts to the character after it
-            where = [where[k + 1] if chars[k] == " " else where[k] for k in range(len(chars))]
-            out = "".join(chars)
-        starts.append(at)
-        places.append(where)
-        out += "" if mode == "compact" else " "
-        parts.append(out)
-        at += len(out)
-    return Flat("".join(parts), starts, None if mode in ("exact", "lower") else places)
-
-
-def span_of(flat: Flat, b: int, e: int, texts: list[str], index: list[int], score: float) -> tuple:
-    first = max(i for i, s in enumerate(flat.starts) if s <= b) if flat.starts and flat.starts[0] <= b else 0
-    last = next((i for i in range(first, len(texts)) if i + 1 == len(texts) or e - 1 < flat.starts[i + 1]), len(texts) - 1)
-    own_b, own_e = b - flat.starts[first], e - flat.starts[last]
-    if flat.places is None:
-        begin, end = min(own_b, len(texts[first])), min(own_e, len(texts[last]))
-    else:
-        pb, pe = flat.places[first], flat.places[last]
-        begin = pb[own_b] if own_b < len(pb) else len(texts[first])
-        end = 0 if own_e <= 0 else (pe[min(own_e, len(pe)) - 1] + 1 if pe else len(texts[last]))
-        while end < len(texts[last]) and texts[last][end] in CLOSING:
-            end += 1
-    return index[first], begin, index[last], end, score
-
-
-def _trigrams(s: str) -> set[str]:
-    return {s[i : i + 3] for i in range(len(s) - 2)}
+@lru_cache(maxsize=1 << 16)
+def fold(char: str, heavy: bool) -> str:
+    """A character decomposed and lower-cased, soft hyphens gone; heavy: all but a-z, 0-9 and white space is a blank."""
+    out = unicodedata.normalize("NFKD", char).replace("\u00ad", "").lower()
+    return "".join(c if c.isspace() or "a" <= c <= "z" or "0" <= c <= "9" else " " for c in out) if heavy else out
+
+
+def folded(text: str, form: str) -> str:
+    """A quote in the form ``light``, ``heavy``, or ``dense`` (heavy without blanks)."""
+    words = "".join(fold(c, form != "light") for c in unicodedata.normalize("NFKD", text)).split()
+    return ("" if form == "dense" else " ").join(words)
+
+
+class PageTable:
+    """A page in one form: its text and, for each character, the item and where spans begin and end."""
+
+    def __init__(self, texts: list[str], form: str):
+        chars, self.item, self.begin, self.end = [], [], [], []
+        for number, text in enumerate(texts):
+            blank, any_ = False, False
+            for place, char in enumerate(text):
+                for c in fold(char, form != "light"):
+                    if c.isspace():
+                        blank = any_
+                        continue
+                    if blank and form != "dense":  # a blank belongs to the character after it
+                        self._add(chars, " ", number, place, place + 1)
+                    self._add(chars, c, number, place, place + 1)
+                    blank, any_ = False, True
+            if form != "dense":
+                self._add(chars, " ", number, len(text), self.end[-1] if any_ else len(text))
+        self.text, self.texts = "".join(chars), texts
+
+    def _add(self, chars: list[str], char: str, item: int, begin: int, end: int) -> None:
+        chars.append(char)
+        self.item.append(item)
+        self.begin.append(begin)
+        self.end.append(end)
+
+    def span(self, b: int, e: int) -> tuple[int, int, int, int]:
+        last = self.item[e - 1]
+        rest = self.texts[last][self.end[e - 1] :]
+        return self.item[b], self.begin[b], last, self.end[e - 1] + len(rest) - len(rest.lstrip(CLOSING))
+
+
+def window_scores(text: str, needle: str) -> np.ndarray:
+    """The Jaccard similarity of the trigrams of each window of ``text`` as long as ``needle`` with those of ``needle``.
+
+    A trigram counts in the windows that hold it but not its occurrence before: a range of windows, so
+    differences at its ends and their sums give all counts.
+    """
+    wide, known = len(needle) - 2, {needle[i : i + 3] for i in range(len(needle) - 2)}
+    grams = [text[i : i + 3] for i in range(len(text) - 2)]
+    seen: dict[str, int] = {}
+    first = np.empty(len(grams), np.int64)
+    for i, g in enumerate(grams):
+        first[i] = max(seen.get(g, -1) + 1, i - wide + 1)
+        seen[g] = i
+    wanted = np.fromiter((g in known for g in grams), bool, len(grams))
+    windows = len(text) - len(needle) + 1
+
+    def per_window(which: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(which)
+        steps = np.bincount(first[at].clip(0), minlength=len(grams) + 1) - np.bincount(at + 1, minlength=len(grams) + 1)
+        return np.cumsum(steps)[:windows]
+
+    both = per_window(wanted)
+    return both / (len(known) + per_window(np.ones(len(grams), bool)) - both)
 
 
 def best_window(text: str, needle: str, least: float) -> tuple[int, float] | None:
-    """The first best window by trigram Jaccard above ``least`` (less 0.001); one above 0.95 ends the search."""
-    n = len(needle)
-    if n < 6 or len(text) < n:
+    """The first of the best windows, if it reaches ``least`` (less 0.001); the first that is nearly sure, if any is."""
+    if len(needle) < LEAST_TRIGRAMS or len(text) < len(needle):
         return None
-    wanted, best, at = _trigrams(needle), least - 0.001, -1
-    grams = [text[i : i + 3] for i in range(len(text) - 2)]
-    own = Counter(grams[: n - 2])
-    both = len(wanted & own.keys())
-    for s in range(len(text) - n + 1):
-        if s:  # the window without its first trigram and with the next
-            gone, come = grams[s - 1], grams[s + n - 3]
-            own[gone] -= 1
-            if not own[gone]:
-                del own[gone]
-                both -= gone in wanted
-            both += come in wanted and come not in own
-            own[come] += 1
-        score = both / (len(wanted) + len(own) - both)
-        if score > best:
-            best, at = score, s
-            if score > 0.95:
-                break
-    return None if at < 0 else (at, best)
-
-
-def find(needle: str, texts: list[str], index: list[int], threshold: float = 0.55) -> tuple | None:
-    """The span of the best match, or None."""
-    if not (needle or "").strip() or not texts:
-        return None
-    for mode, wanted in (("exact", needle), ("lower", needle.lower())):
-        flat = flatten(texts, mode)
-        at = flat.text.find(wanted)
-        if at >= 0:
-            return span_of(flat, at, at + len(wanted), texts, index, 1.0)
-    light, heavy, dense = normalize(needle, False), normalize(needle), compact(needle)
-    if len(heavy) < 3:
+    scores = window_scores(text, needle)
+    at = int(np.argmax(scores > SURE)) if (scores > SURE).any() else int(np.argmax(scores))
+    return (at, float(scores[at])) if scores[at] > least - 0.001 else None
+
+
+def find_folded(needle: str, texts: list[str], threshold: float = 0.55) -> tuple | None:
+    """(first item, offset, last item, offset, score) of the best match in folded form, or None; for quotes and pages
+    without an exact or case-folded one."""
+    quote = {form: folded(needle or "", form) for form in ("light", "heavy", "dense")}
+    if not texts or len(quote["heavy"]) < LEAST:
         return None
-    flats = {m: flatten(texts, m) for m in ("light", "heavy", "compact")}
-    for mode, wanted in (("light", light), ("heavy", heavy), ("compact", dense)):
-        at = flats[mode].text.find(wanted) if len(wanted) >= 3 else -1
+    page = {form: PageTable(texts, form) for form in quote}
+    tries = [(form, quote[form], 1.0) for form in quote if len(quote[form]) >= LEAST]
+    tries += [(form, quote[form][: max(PREFIX_LEAST, int(len(quote[form]) * PREFIX_SHARE))], score) for form, score in PREFIX_SCORES if score >= threshold]
+    for form, part, score in tries:
+        at = page[form].text.find(part)
         if at >= 0:
-            return span_of(flats[mode], at, at + len(wanted), texts, index, 1.0)
-    for mode, wanted, score in (("light", light, 0.85), ("heavy", heavy, 0.80)):
-        at = flats[mode].text.find(wanted[: max(6, int(len(wanted) * 0.6))])
-        if at >= 0 and score >= threshold:
-            return span_of(flats[mode], at, min(at + len(wanted), len(flats[mode].text)), texts, index, score)
-    hit = best_window(flats["heavy"].text, heavy, threshold)
-    return span_of(flats["heavy"], hit[0], hit[0] + len(heavy), texts, index, hit[1]) if hit else None
+            return *page[form].span(at, min(at + len(quote[form]), len(page[form].text))), score
+    hit = best_window(page["heavy"].text, quote["heavy"], threshold)
+    return (*page["heavy"].span(hit[0], hit[0] + len(quote["heavy"])), hit[1]) if hit else None
 
 
 def page_items(items: DataFrame) -> DataFrame:
@@ -145,22 +124,57 @@ def page_items(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items"))
 
 
+def _exact_hits(quotes: DataFrame) -> DataFrame:
+    """quotes (…, needle, items) with exact_hit, the span of the first hit of ``needle`` in the items' texts joined by
+    blanks, or null."""
+    needle, items = F.col("needle"), F.col("items")
+    texts = F.transform(items, lambda x: F.coalesce(x["text"], F.lit("")))
+    rows = quotes.withColumn("exact_texts", texts).withColumn("exact_joined", F.array_join("exact_texts", " "))
+    joined = F.col("exact_joined")
+    same = F.char_length(F.lower(joined)) == F.char_length(joined)
+    at = F.coalesce(F.nullif(F.instr(joined, needle), F.lit(0)), F.when(same, F.nullif(F.instr(F.lower(joined), F.lower(needle)), F.lit(0))))
+    rows = rows.withColumn("exact_at", F.when((F.regexp_replace(needle, r"\s", "") != "") & (F.size(items) > 0), at - 1))
+    # one pass over the items: the last that begins at or before the hit's first place, and at or before its last
+    start = F.struct(F.col("exact_at").alias("b"), (F.col("exact_at") + F.char_length(needle)).alias("e"), F.lit(0).alias("place"), F.lit(0).alias("i"), *[F.lit(0).alias(x) for x in ("first", "first_at", "last", "last_at")])
+
+    def step(acc: Column, text: Column) -> Column:
+        before, within = acc["place"] <= acc["b"], acc["place"] < acc["e"]
+        pick = lambda when, new, name: F.when(when, acc[new]).otherwise(acc[name]).alias(name)
+        return F.struct(
+            acc["b"].alias("b"), acc["e"].alias("e"), (acc["place"] + F.char_length(text) + 1).alias("place"), (acc["i"] + 1).alias("i"),
+            pick(before, "i", "first"), pick(before, "place", "first_at"), pick(within, "i", "last"), pick(within, "place", "last_at"),
+        )
+
+    rows = rows.withColumn("exact_place", F.when(F.col("exact_at").isNotNull(), F.aggregate("exact_texts", start, step)))
+    p = F.col("exact_place")
+    span = F.struct(
+        F.get(items, p["first"])["idx"].cast("int").alias("begin_index"), F.least(p["b"] - p["first_at"], F.char_length(F.get("exact_texts", p["first"]))).alias("begin_offset"),
+        F.get(items, p["last"])["idx"].cast("int").alias("end_index"), F.least(p["e"] - p["last_at"], F.char_length(F.get("exact_texts", p["last"]))).alias("end_offset"), F.lit(1.0).alias("score"),
+    )
+    return rows.withColumn("exact_hit", F.when(p.isNotNull(), span))
+
+
 def match_spans(quotes: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """quotes (…, needle, items) with the span of the match, nulls without one."""
+    """quotes (…, needle, items) with the span of the match, nulls without one.  Blank and null quotes and pages
+    without items have none."""
     kept = [f for f in quotes.schema if f.name != "items"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + SPAN
+    told = _exact_hits(quotes)
+    names = [f.name for f in kept]
 
     def run(frames):
         for f in frames:
             spans = []
             for needle, items in zip(f["needle"], f["items"], strict=True):
                 rows = [] if items is None else list(items)
-                spans.append(find(needle, [r["text"] for r in rows], [int(r["idx"]) for r in rows], threshold) or (None,) * 5)
+                hit = find_folded(needle, [r["text"] or "" for r in rows], threshold)
+                spans.append((int(rows[hit[0]]["idx"]), hit[1], int(rows[hit[2]]["idx"]), hit[3], hit[4]) if hit else (None,) * 5)
             out = f.drop(columns="items").reset_index(drop=True)
             found = pd.DataFrame(spans, columns=["begin_index", "begin_offset", "end_index", "end_offset", "score"], dtype=object)
             yield pd.concat([out, found], axis=1)
 
-    return quotes.mapInPandas(run, schema)
+    exact = told.where("exact_hit is not null").select(*names, "exact_hit.*")
+    return exact.unionByName(told.where("exact_hit is null").select(*names, "items").mapInPandas(run, schema))
 
 
 def anchors(highlights: DataFrame, items: DataFrame, threshold: float = 0.55) -> DataFrame:

@@ -1,8 +1,8 @@
 """Relevance ranking by TF-IDF cosine and influence.
 
 Terms are counted by document with map-side combine, document frequencies by term.  Only terms of a
-query meet the corpus in a join, and norms are summed where the counts are; no pair of query and
-document is made unless they share a term or a score of every pair is asked for.
+query meet the corpus in a join, and norms are summed with the products; pairs of a document and a query
+are made last, one for each of the stated queries, as every candidate has a score.
 """
 
 from __future__ import annotations
@@ -29,21 +29,31 @@ def idf(df: Column, n_docs: Column) -> Column:
 
 
 def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, sim) for pairs that share a term, of queries (query_id, text) and docs (doc_id, text).
+    """(query_id, doc_id, sim) for every one of the queries (query_id, text; a stated set) and docs (doc_id, text).
 
-    All other pairs have similarity 0.  Terms that the corpus lacks lengthen the query's vector.
+    A pair without a term in common has 0, as has any pair with a text without terms; terms that the corpus lacks
+    lengthen the query's vector.  Squares for the norms and products with all queries' weights are summed in one
+    aggregate by document and query (null: the document itself); only then do documents meet the list of queries.
     """
-    tf = term_frequencies(docs)
+    tf = docs.select("doc_id", F.explode_outer(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n_docs"))
-    df = document_frequencies(tf).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
-    weights = tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    qtf = term_frequencies(queries, "query_id")
+    df = document_frequencies(tf.where("term is not null")).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
     absent = F.log(F.col("n_docs") + 1) + 1
-    qw = qtf.join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
-    qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = weights.join(qw, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("d_norm") * F.col("q_norm"))).alias("sim"))
+    qw = term_frequencies(queries, "query_id").join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
+    by_term = qw.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
+    w = F.col("tf") * F.col("idf")
+    weights = tf.join(df, "term", "left").join(by_term, "term", "left").select("doc_id", w.alias("w"), "asked")
+    none = F.array().cast(by_term.schema["asked"].dataType)
+    own = F.struct(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), (F.col("w") * F.col("w")).alias("v"))
+    terms = F.concat(F.array(own), F.transform(F.coalesce("asked", none), lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v"))))
+    sums = weights.select("doc_id", F.explode(terms).alias("t")).groupBy("doc_id", "t.query_id").agg(F.sum("t.v").alias("v"))
+    dots = F.map_from_entries(F.collect_list(F.when(F.col("query_id").isNotNull(), F.struct("query_id", "v"))))
+    per_doc = sums.groupBy("doc_id").agg(F.sqrt(F.max(F.when(F.col("query_id").isNull(), F.col("v")))).alias("d_norm"), dots.alias("dots"))
+    norms = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    asked = queries.select("query_id").join(norms, "query_id", "left").agg(F.collect_list(F.struct("query_id", "q_norm")).alias("queries"))
+    pairs = per_doc.crossJoin(F.broadcast(asked)).select("doc_id", "d_norm", "dots", F.explode("queries").alias("q"))
+    sim = F.try_element_at("dots", F.col("q.query_id")) / (F.col("d_norm") * F.col("q.q_norm"))
+    return pairs.select("q.query_id", "doc_id", F.coalesce(sim, F.lit(0.0)).alias("sim"))
 
 
 def top_k(scored: DataFrame, by: str, score: str, position: str, k: int) -> DataFrame:
@@ -59,9 +69,9 @@ def influence(count: Column, most: Column) -> Column:
 def blend(cards: DataFrame, by: list[str]) -> DataFrame:
     """Cards (…, citations, sim) with influence, the share of the most cited of its list on a log scale, and final,
     0.7 similarity and 0.3 influence."""
-    most = cards.groupBy(*by).agg(F.max("citations").alias("most"))
-    cards = cards.join(most, by).withColumn("influence", influence(F.col("citations"), F.col("most")))
-    return cards.drop("most").withColumn("final", 0.7 * F.col("sim") + 0.3 * F.col("influence"))
+    most = F.max("citations").over(W.partitionBy(*by))
+    cards = cards.withColumn("influence", influence(F.col("citations"), most))
+    return cards.withColumn("final", 0.7 * F.col("sim") + 0.3 * F.col("influence"))
 
 
 def union_first(first: DataFrame, second: DataFrame, key: str, position: str = "pos") -> DataFrame:
@@ -69,8 +79,3 @@ def union_first(first: DataFrame, second: DataFrame, key: str, position: str = "
     both = first.withColumn("src", F.lit(0)).unionByName(second.withColumn("src", F.lit(1)))
     order = W.partitionBy(key).orderBy("src", position)
     return both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-
-
-def candidates(papers: DataFrame, target: Column) -> DataFrame:
-    """Papers with id and abstract that are not the target."""
-    return papers.where((F.coalesce("id", F.lit("")) != "") & (F.coalesce("abstract", F.lit("")) != "") & (F.col("id") != target))

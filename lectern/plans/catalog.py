@@ -67,7 +67,8 @@ qtf AS (SELECT query_id, term, count(*) AS tf FROM q GROUP BY ALL),
 qw AS (SELECT query_id, qtf.term, qtf.tf * coalesce(idf.idf, ln(n + 1) + 1) AS qw FROM qtf LEFT JOIN idf ON qtf.term = idf.term, n),
 qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
 dots AS (SELECT query_id, doc_id, sum(w * qw) AS dot FROM w JOIN qw USING (term) GROUP BY ALL),
-sims AS (SELECT query_id, doc_id, round(dot / (dn * qn), 6) AS sim FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id))"""
+sims AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(round(dot / (dn * qn), 6), 0) AS sim FROM benchmark b CROSS JOIN documents d
+  LEFT JOIN dots ON b.item_id = dots.query_id AND d.doc_id = dots.doc_id LEFT JOIN dn ON d.doc_id = dn.doc_id LEFT JOIN qn ON b.item_id = qn.query_id)"""
 
 
 # --- relevance (T1, T2, A1, A2, A6, J10, O2) ---
@@ -409,18 +410,18 @@ def debounce_events(spark, d):
 
 
 def _jobs(spark, d) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("running")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderpriority") == "1-URGENT", "pending").otherwise("error")
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("pdf"), F.col("o_orderdate").alias("added_at"), status.alias("status"))
 
 
-JOBS = "j AS (SELECT o_orderkey AS id, o_custkey AS pdf, o_orderdate AS added_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS status FROM orders)"
+JOBS = "j AS (SELECT o_orderkey AS id, o_custkey AS pdf, o_orderdate AS added_at, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderpriority = '1-URGENT' THEN 'pending' ELSE 'error' END AS status FROM orders)"
 
 
-@query("WITH " + JOBS + " SELECT id, pdf FROM (SELECT id + 10000000 AS id, pdf, added_at FROM j WHERE status = 'done') n WHERE pdf NOT IN (SELECT pdf FROM j WHERE status IN ('pending', 'running') AND id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY added_at, id) = 1")
+@query("WITH " + JOBS + " SELECT id, pdf FROM (SELECT id + 10000000 AS id, pdf, added_at FROM j WHERE status = 'done') n WHERE pdf NOT IN (SELECT pdf FROM j WHERE status IN ('pending', 'running')) QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY added_at, id) = 1")
 def queue_admission(spark, d):
     jobs = _jobs(spark, d)
     fresh = jobs.where("status = 'done'").select((F.col("id") + 10_000_000).alias("id"), "pdf", "added_at")
-    return queues.admit(jobs.where("id % 2 = 0"), fresh, ["pdf"]).select("id", "pdf")
+    return queues.admit(jobs, fresh, ["pdf"]).select("id", "pdf")
 
 
 @query("WITH " + JOBS + " SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'error') AS error FROM j")

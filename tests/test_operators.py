@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import citations, responses, rules, text
-from lectern.operators import geometry, identity, markdown, matching, pages, planner, report
+from lectern.operators import geometry, identity, markdown, matching, pages, planner, report, tfidf
 from lectern.plans import fixtures
 from lectern.sources import files, html
 from lectern.streaming import queues
@@ -54,18 +54,43 @@ def test_no_items_no_chunks(spark):
 
 
 @pytest.mark.parametrize("s", ["", "abc", "é€", "section\nTitle\nx"])
-def test_hash_in_both_forms(spark, s):
-    assert value(spark, text.fnv1a(F.lit(s))) == markdown.fnv1a(s)
+def test_hash(spark, s):
+    h = 0x811C9DC5
+    for c in s:
+        h = (h ^ ord(c)) * 0x01000193 % 2**32
+    assert value(spark, text.fnv1a(F.lit(s))) == f"{h:08x}"
 
 
-def test_astral_offsets_count_code_points():
-    (found,) = [p for p in markdown.pointers_of("a 😀 $x=1$ b") if p[1] == "formula"]
-    assert found[7:9] == (4, 9)
+def pointers(spark, *texts, kind=None):
+    found = markdown.pointers(spark.createDataFrame(list(enumerate(texts)), "doc_id int, markdown string")).orderBy("doc_id", "kind", "ordinal").collect()
+    return [p for p in found if kind in (None, p["kind"])]
 
 
-def test_prose_between_display_blocks_counts_as_inline():
-    kinds = [p[-1] for p in markdown.pointers_of("$$a=b$$ words = here $$c=d$$") if p[1] == "formula"]
-    assert "$$a=b$$" in kinds and "$$c=d$$" in kinds and len(kinds) == 3
+def test_astral_offsets_count_code_points(spark):
+    (found,) = pointers(spark, "a 😀 $x=1$ b", kind="formula")
+    assert (found["char_start"], found["char_end"]) == (4, 9)
+
+
+def test_prose_between_display_blocks_counts_as_inline(spark):
+    found = [p["content"] for p in pointers(spark, "$$a=b$$ words = here $$c=d$$", kind="formula")]
+    assert "$$a=b$$" in found and "$$c=d$$" in found and len(found) == 3
+
+
+def test_sections_and_offsets(spark):
+    md = "Before.\r\n\r\n# A\n\ntext *one*.\n\n### B\nb text\n# \nmore b\n\n## C\n\n\n## D\nd"
+    found = markdown.sections(spark.createDataFrame([(1, md), (2, "# only\n## headings"), (3, ""), (4, None), (1, "x")], "doc_id int, markdown string")).collect()
+    first = sorted((r for r in found if r["doc_id"] == 1 and r["content"] != "x"), key=lambda r: r["pos"])
+    assert [(r["heading"], list(r["path"]), r["content"]) for r in first] == [("Document", ["Document"], "Before."), ("A", ["A"], "text *one*."), ("B", ["A", "B"], "b text\nmore b"), ("D", ["A", "D"], "d")]
+    body = md.replace("\r\n", "\n")
+    for r in (first[0], first[1], first[3]):
+        assert body[r["char_start"] : r["char_end"]] == r["content"] and body[: r["char_start"]].count("\n") + 1 == r["line_start"]
+    assert [(r["heading"], r["content"]) for r in found if r["doc_id"] == 2] == [("Document", "# only\n## headings")] and not [r for r in found if r["doc_id"] in (3, 4)]
+    assert sum(r["content"] == "x" for r in found) == 1
+
+
+def test_captions_come_from_neighbours(spark):
+    found = pointers(spark, "![a](u)\n\nFigure 1: Short. Rest.", "A paragraph before it.\n\n![b](u)\n\nbrief", "![alt text](u)", "![c](u) and words that follow it", kind="image")
+    assert [p["excerpt"] for p in found] == ["Figure 1: Short.", "A paragraph before it.", "alt text", "and words that follow it"]
 
 
 def test_html_walk():
@@ -81,8 +106,9 @@ def test_boldsymbol_keeps_longer_names():
 
 
 def test_matches_with_thresholds_and_neighbours(spark):
-    assert matching.find("hello world foo XXXXXXXX", ["hello world foo", "bar baz"], [0, 1], 0.9) is None
-    assert matching.find("zz", ["a"], [0]) is None
+    assert matching.find_folded("hello world foo XXXXXXXX", ["hello world foo", "bar baz"], 0.9) is None
+    assert matching.find_folded("hello world foo XXXXXXXX", ["hello world foo", "bar baz"])[4] == 0.85
+    assert matching.find_folded("zz", ["a"]) is None and matching.find_folded(None, ["abc"]) is None and matching.find_folded("abc", []) is None
     lines = items(spark, [(1, "first page text", 10), (2, "a quoted sentence stands here", 10)])
     quote = spark.createDataFrame([("q", "d", 1, "quoted sentence", "p.pdf"), ("n", "d", 1, "qqqq wwww zzzz", "p.pdf")], "id string, doc_id string, page_num int, exact_text string, file_name string")
     got = {r["id"]: r for r in matching.anchors(quote, lines).collect()}
@@ -91,6 +117,40 @@ def test_matches_with_thresholds_and_neighbours(spark):
     assert matching.stored(matching.anchors(quote, lines)).count() == 1
 
 
+def test_exact_spans_by_expression(spark):
+    rows = [
+        ("over two", "world again", ["hello world", "again and", "again"]), ("other case", "HELLO", ["", "say hello"]), ("none", "absent", ["hello"]), ("blank", " ", ["a b"]), ("no items", "a", []),
+        ("null", None, ["a"]), ("null text", "b", [None, "ab"]),
+    ]
+    quotes = spark.createDataFrame([(k, n, [(10 + i, t) for i, t in enumerate(ts)]) for k, n, ts in rows], "k string, needle string, items array<struct<idx int, text string>>")
+    got = {r["k"]: tuple(r)[2:] for r in matching.match_spans(quotes).collect()}
+    assert got["over two"] == (10, 6, 11, 5, 1.0) and got["other case"] == (11, 4, 11, 9, 1.0) and got["null text"] == (11, 1, 11, 2, 1.0)
+    assert all(got[k] == (None,) * 5 for k in ("none", "blank", "no items", "null"))
+    plan = matching.match_spans(quotes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.index("exact_hit") < plan.index("MapInPandas")
+
+
+def test_window_scores_equal_sets():
+    import random
+
+    rng = random.Random(1)
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    for _ in range(50):
+        page, needle = ("".join(rng.choice("ab c") for _ in range(rng.randint(lo, 60))) for lo in (30, 6))
+        needle = needle[:25]
+        want = [len(grams(page[i : i + len(needle)]) & grams(needle)) / len(grams(page[i : i + len(needle)]) | grams(needle)) for i in range(len(page) - len(needle) + 1)]
+        assert matching.window_scores(page, needle).tolist() == pytest.approx(want)
+
+
+def test_every_candidate_has_a_similarity(spark):
+    docs = spark.createDataFrame([(1, "cooking recipes pasta pizza"), (2, "machine learning is great"), (3, ""), (4, None)], "doc_id int, text string")
+    queries = spark.createDataFrame([("q", "machine learning is great"), ("empty", ""), ("far", "quantum entanglement")], "query_id string, text string")
+    got = {(r["query_id"], r["doc_id"]): r["sim"] for r in tfidf.similarities(queries, docs).collect()}
+    assert len(got) == 12 and got["q", 2] == pytest.approx(1.0) and got["q", 1] == got["empty", 2] == got["far", 1] == got["q", 3] == got["q", 4] == 0.0
+    cards = spark.createDataFrame([("q", 1, 0.0, 90), ("q", 2, 0.5, 0)], "query_id string, doc_id int, sim double, citations int")
+    assert {r["doc_id"]: round(r["final"], 6) for r in tfidf.blend(cards, ["query_id"]).collect()} == {1: 0.3, 2: 0.35}
+
+
 def test_owner_needs_containment(spark):
     sections = spark.createDataFrame([("d", "s1", 1, 0, 120), ("d", "s2", 2, 121, 260), ("d", "s3", 3, 261, 420)], "doc_id string, id string, ordinal int, char_start int, char_end int")
     inner = spark.createDataFrame([("d", "f1", 210, 320), ("d", "f2", 130, 140)], "doc_id string, id string, char_start int, char_end int")

@@ -81,6 +81,19 @@ def mentions_pdf(value: Column, path: Column, name: Column) -> Column:
     return names_pdf_path(value, path) | names_pdf_file(value, name) | F.contains(low, F.concat(F.lit("[["), F.lower(name), F.lit("]]"))) | F.contains(low, F.lower(normalize_path(path)))
 
 
+def source_keys(value: Column) -> Column:
+    """The keys by which ``mentions_pdf`` finds a field's value: ``path:`` with the value and every stretch of it that ends
+    in .pdf, and ``name:`` with the value and its wiki links."""
+    low = F.lower(value)
+    paths = F.array(F.lower(normalize_path(strip_wiki_link(value))))
+    names = F.concat(F.array(F.lower(trim_all(strip_wiki_link(value)))), F.regexp_extract_all(low, F.lit(r"\[\[([^\[\]]*)\]\]"), 1))
+    pieces = F.split(low, r"(?<=\.pdf)", -1)
+    heads = F.transform(F.filter(pieces, lambda x: x.endswith(".pdf")), lambda x, i: F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))
+    ends = F.flatten(F.transform(heads, lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.substring(x, i, F.char_length(x)))))
+    keys = F.concat(F.transform(F.concat(paths, ends), lambda x: F.concat(F.lit("path:"), x)), F.transform(names, lambda x: F.concat(F.lit("name:"), x)))
+    return F.when(value.isNotNull(), F.array_distinct(keys))
+
+
 def safe_file_name(title: Column) -> Column:
     return F.substring(collapse(F.regexp_replace(title, r'[\\/:*?"<>|#\n\r]', "-")), 1, 100)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
-from lectern.functions.text import trim_all
+from lectern.functions.text import collapse, trim_all
 
 FENCE = r"\A```(?:[A-Za-z0-9_-]+)?\s*\n?"
 
@@ -86,18 +86,62 @@ def response_text(provider: Column, body: Column) -> Column:
     return F.struct(text.alias("text"), stop.alias("stop_reason"), rules.is_truncated(stop).alias("truncated"))
 
 
-def failure(status: Column, body: Column) -> Column:
-    """struct(error_type, message, request_id, overloaded, retryable) of a failed call; nested fields before outer ones."""
-    v = F.try_parse_json(body)
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fields(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _string_field(v: Column, *names: str) -> Column:
+    """The first of the fields of an object that is a string and not blank, trimmed."""
+    found = [F.try_variant_get(v, f"$.{n}", "variant") for n in names]
+    return F.coalesce(*[F.when(F.schema_of_variant(x) == "STRING", F.nullif(trim_all(F.try_variant_get(x, "$", "string")), F.lit(""))) for x in found])
+
+
+def nested_string(v: Column, name: str, depth: int = 6) -> Column:
+    """The first string that is not blank under a key which is ``name`` but for case, blanks, - and _, in objects and
+    lists up to ``depth`` deep; a level's own keys (in alphabetical order) before what is below them."""
+    entries = F.filter(F.map_entries(_fields(v)), lambda e: (F.lower(F.regexp_replace(e["key"], r"[\s_-]", "")) == name) & (F.schema_of_variant(e["value"]) == "STRING"))
+    own = F.filter(F.transform(entries, lambda e: trim_all(F.try_variant_get(e["value"], "$", "string"))), lambda x: x != "")
+    if depth == 1:
+        return F.get(own, F.lit(0))
+    below = F.coalesce(F.map_values(_fields(v)), F.try_variant_get(v, "$", "array<variant>"))
+    found = F.array_compact(F.transform(below, lambda x: nested_string(x, name, depth - 1)))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(found, F.lit(0)))
+
+
+# Headers that name a request.
+REQUEST_HEADERS = ["x-request-id", "request-id", "anthropic-request-id"]
+
+
+def header(headers: Column, name: str) -> Column:
+    """A header's value, whatever the case of its name."""
+    return F.get(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name)), F.lit(0))
+
 
-    def first(*paths: str) -> Column:
-        return F.coalesce(*[F.nullif(trim_all(F.try_variant_get(v, p, "string")), F.lit("")) for p in paths])
+def failure(status: Column, body: Column, headers: Column | None = None) -> Column:
+    """struct(error_type, message, request_id, overloaded, retryable) of a failed call.
 
-    message = F.coalesce(first("$.error.message", "$.message", "$.error", "$.detail"), F.nullif(trim_all(body), F.lit("")))
-    kind = first("$.error.type", "$.error.code", "$.type", "$.code")
-    request = first("$.error.request_id", "$.error.requestId", "$.request_id", "$.requestId", "$.id")
-    over = rules.is_overloaded(status, F.concat_ws(" ", kind, message))
-    return F.struct(kind.alias("error_type"), message.alias("message"), request.alias("request_id"), over.alias("overloaded"), (rules.is_retryable(status) | over).alias("retryable"))
+    Fields of the object ``error`` come before those beside it; a body without a message is its own, collapsed, 240
+    characters of it.  The request id is sought throughout the body, then in the headers (a map).
+    """
+
+    def told(v: Column) -> Column:
+        nested = F.try_variant_get(v, "$.error", "variant")
+        nested = F.when(F.schema_of_variant(nested).startswith("OBJECT"), nested)
+        plain = F.substring(collapse(F.coalesce(body, F.lit(""))), 1, 240)
+        message = F.coalesce(_string_field(nested, "message", "detail", "error"), _string_field(v, "message", "detail", "error_description"), plain)
+        request = [nested_string(v, "requestid")] + ([header(headers, h) for h in REQUEST_HEADERS] if headers is not None else [])
+        return F.struct(F.coalesce(_string_field(nested, "type", "code"), _string_field(v, "type", "code")).alias("kind"), message.alias("message"), F.coalesce(*request).alias("request"))
+
+    def judged(x: Column) -> Column:
+        over = rules.is_overloaded(status, F.concat_ws(" ", x["kind"], x["message"]))
+        return F.struct(x["kind"].alias("error_type"), x["message"].alias("message"), x["request"].alias("request_id"), over.alias("overloaded"), (rules.is_retryable(status) | over).alias("retryable"))
+
+    return _once(_once(F.try_parse_json(body), told), judged)
 
 
 def parse_highlights(responses: DataFrame) -> DataFrame:
@@ -114,11 +158,12 @@ def parse_highlights(responses: DataFrame) -> DataFrame:
 
 
 def recommendations(responses: DataFrame) -> DataFrame:
-    """(id, body, ...) to (…, pos, paper_id, reason) for each listed recommendation that names a paper."""
-    v = F.try_parse_json(unfence(F.col("body")))
-    listed = F.coalesce(F.try_variant_get(v, "$.recommendations", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    """(id, body, ...) to (…, pos, paper_id, reason) for each entry of the list ``recommendations`` that names a paper;
+    both trimmed, a reason that is missing or no string is empty."""
+    listed = F.try_variant_get(F.try_parse_json(unfence(F.col("body"))), "$.recommendations", "array<variant>")
     rows = responses.select(*[c for c in responses.columns if c != "body"], F.posexplode(listed).alias("pos", "r"))
-    return rows.select("*", F.try_variant_get("r", "$.paperId", "string").alias("paper_id"), F.try_variant_get("r", "$.reason", "string").alias("reason")).drop("r").where(F.coalesce("paper_id", F.lit("")) != "")
+    rows = rows.select("*", _string_field(F.col("r"), "paperId").alias("paper_id"), F.coalesce(_string_field(F.col("r"), "reason"), F.lit("")).alias("reason"))
+    return rows.drop("r").where("paper_id is not null")
 
 
 def stream_token(line: Column, provider: Column) -> Column:
@@ -129,15 +174,44 @@ def stream_token(line: Column, provider: Column) -> Column:
 
 
 def provider_of(url: Column) -> Column:
-    low = F.lower(url)
-    return F.when(F.contains(low, F.lit("anthropic")) | low.rlike(r"/v1/messages/?\z"), "anthropic").otherwise("openai")
+    low = F.lower(F.regexp_replace(trim_all(url), r"/+\z", ""))
+    host = F.regexp_extract(low, r"\A[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    return F.when(F.contains(low, F.lit("anthropic")) | F.contains(host, F.lit("claude")) | F.contains(low, F.lit("/v1/messages")) | low.endswith("/messages"), "anthropic").otherwise("openai")
+
+
+def chosen_provider(url: Column, setting: Column) -> Column:
+    """The provider that a setting names, else the one that the address tells (setting auto, or none)."""
+    return F.when(setting.isin("anthropic", "openai"), setting).otherwise(provider_of(url))
+
+
+def request_url(provider: Column, url: Column) -> Column:
+    """The address of a provider's calls from a base address, which may have it already."""
+    base = F.regexp_replace(url, r"/+\z", "")
+    messages = F.when(base.rlike(r"(?i)/messages\z"), base).when(base.rlike(r"(?i)/v1\z"), F.concat(base, F.lit("/messages"))).otherwise(F.concat(base, F.lit("/v1/messages")))
+    return F.when(provider == "anthropic", messages).when(base.rlike(r"(?i)/chat/completions\z"), base).otherwise(F.concat(base, F.lit("/chat/completions")))
+
+
+# The version that one provider's calls name.
+ANTHROPIC_VERSION = "2023-06-01"
+
+
+def request_headers(provider: Column, key: Column) -> Column:
+    """A map of the headers of a provider's calls."""
+    kind = F.lit("Content-Type"), F.lit("application/json")
+    anthropic = F.create_map(*kind, F.lit("x-api-key"), key, F.lit("anthropic-version"), F.lit(ANTHROPIC_VERSION))
+    return F.when(provider == "anthropic", anthropic).otherwise(F.create_map(*kind, F.lit("Authorization"), F.concat(F.lit("Bearer "), key)))
 
 
-def request_body(provider: Column, model: Column, system: Column, user: Column, max_tokens: Column, temperature: Column) -> Column:
-    """The JSON body of a call in the provider's shape."""
-    user_message = F.struct(F.lit("user").alias("role"), user.alias("content"))
-    anthropic = F.to_json(F.struct(model.alias("model"), max_tokens.alias("max_tokens"), temperature.alias("temperature"), system.alias("system"), F.array(user_message).alias("messages")))
-    openai = F.to_json(F.struct(model.alias("model"), max_tokens.alias("max_tokens"), temperature.alias("temperature"), F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), user_message).alias("messages")))
+def request_body(provider: Column, model: Column, system: Column, user: Column, max_tokens: Column, temperature: Column, as_json: bool = True, thinking: bool = False) -> Column:
+    """The JSON body of a call in the provider's shape; ``as_json`` asks for a JSON answer, and ``thinking`` for a
+    process of 512 tokens, where the shape has a field for it."""
+    asked = [model.alias("model"), max_tokens.alias("max_tokens"), temperature.alias("temperature")]
+    block = F.struct(F.lit("text").alias("type"), user.alias("text"))
+    anthropic = F.to_json(F.struct(*asked, system.alias("system"), F.array(F.struct(F.lit("user").alias("role"), F.array(block).alias("content"))).alias("messages")))
+    extra = [F.lit(thinking).alias("enable_thinking")] + ([F.lit(512).alias("thinking_budget_tokens")] if thinking else [])
+    extra += [F.struct(F.lit("json_object").alias("type")).alias("response_format")] if as_json else []
+    messages = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user))])
+    openai = F.to_json(F.struct(*asked, *extra, messages.alias("messages")))
     return F.when(provider == "anthropic", anthropic).otherwise(openai)
 
 

@@ -158,10 +158,34 @@ def is_truncated(stop_reason: Column) -> Column:
     return out
 
 
-def retry_delay_ms(attempt: Column, retry_after: Column | None = None, base: int = 1000, most: int = 8000) -> Column:
-    """Doubling delays, or what the server asks for in seconds, up to ``most``."""
+# What an error says that a later try may not.
+TRANSPORT_WORDS = ["timeout", "timed out", "network", "econnreset", "econnrefused", "socket hang up", "fetch failed", "temporarily unavailable"]
+# The layout of dates in headers, without the day of the week.
+HTTP_DATE, HTTP_LAYOUT = r"\A[A-Za-z]{3}, *(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\z", "d MMM yyyy HH:mm:ss xx"
+
+
+def is_transport_error(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    word = F.lit(False)
+    for w in TRANSPORT_WORDS:
+        word = word | F.contains(low, F.lit(w))
+    return word
+
+
+def asked_delay_ms(retry_after: Column, now: Column | None = None) -> Column:
+    """What a server asks to wait, as seconds or as a date (then from ``now``, the present by default); null otherwise."""
+    value = trim_all(retry_after)
+    seconds = F.when(value.rlike(r"\A\+?(\d+\.?\d*|\.\d+)\z"), F.round(value.try_cast("double") * 1000))
+    dated = F.nullif(F.regexp_extract(value, HTTP_DATE, 1), F.lit(""))
+    at = F.coalesce(F.try_to_timestamp(F.concat(dated, F.lit(" +0000")), F.lit(HTTP_LAYOUT)), F.when(value.rlike(r"\A\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value)))
+    left = F.unix_millis(at) - F.unix_millis(F.current_timestamp() if now is None else now)
+    return F.coalesce(seconds, F.when(left.isNotNull(), F.greatest(left, F.lit(0)))).cast("long")
+
+
+def retry_delay_ms(attempt: Column, retry_after: Column | None = None, base: int = 1000, most: int = 8000, now: Column | None = None) -> Column:
+    """Doubling delays, or what the server asks for, up to ``most``."""
     own = F.lit(base) * F.pow(F.lit(2), F.greatest(attempt, F.lit(0)))
-    asked = F.lit(None).cast("double") if retry_after is None else F.when(trim_all(retry_after).rlike(r"\A\d+(\.\d+)?\z"), F.round(trim_all(retry_after).try_cast("double") * 1000))
+    asked = F.lit(None).cast("long") if retry_after is None else asked_delay_ms(retry_after, now)
     return F.least(F.coalesce(asked, own), F.lit(most)).cast("long")
 
 

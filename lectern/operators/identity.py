@@ -38,52 +38,66 @@ def frontmatter_identity(arxiv_aliases: list[str] = ARXIV_ALIASES, doi_aliases:
     return F.coalesce(*tries)
 
 
+def note_query() -> Column:
+    """What a note's paper is looked for by: its name, title and abstract."""
+    return trim_all(F.concat_ws(" ", "basename", field("title"), field("abstract")))
+
+
 def resolve_notes(notes: DataFrame) -> DataFrame:
     """(path, id, type, matched_field, resolution_source, query_text): by frontmatter, else by the body's first 8000
     characters; notes without an identity are left out."""
     own = notes.withColumn("fm", frontmatter_identity()).withColumn("txt", ids.paper_identity(F.substring(F.coalesce("body", F.lit("")), 1, BODY_CHARS)))
-    query = trim_all(F.concat_ws(" ", "basename", field("title"), field("abstract")))
+    query = note_query()
     return own.where("fm is not null or txt is not null").select(
         "path", F.coalesce("fm.id", "txt.id").alias("id"), F.coalesce("fm.type", "txt.type").alias("type"), F.col("fm.matched_field").alias("matched_field"),
         F.when(F.col("fm").isNotNull(), "frontmatter").otherwise("note-text").alias("resolution_source"), query.alias("query_text"),
     )
 
 
+def _tagged(tier: int, keys: Column) -> Column:
+    """The keys, each once, with the rule that they are for."""
+    return F.transform(F.array_distinct(F.array_compact(F.coalesce(keys, F.array().cast("array<string>")))), lambda k: F.struct(F.lit(tier).alias("tier"), k.alias("k")))
+
+
 def link_pdfs(pdfs: DataFrame, notes: DataFrame, folder: str = "") -> DataFrame:
     """(pdf_path, note_path, tier): rules in order (path, name, source, file title, title); a rule counts only where it
     finds exactly one note, and the first that does wins.
 
-    Every rule is an equi-join on a normalised key, except references inside the field source, which compare
-    the notes that have such a field.
+    Every rule is an equi-join on a normalised key, of which each note has one, or, for the field source, those of
+    all file names and paths that end in it.  Notes are counted by key before they meet PDFs; empty keys meet none.
     """
     n = notes.where(ids.within_folder(F.col("path"), F.lit(folder))).select("path", "basename", field("pdf_file").alias("pdf_file"), field("source").alias("source"), field("title").alias("title"))
     p = pdfs.select(F.col("path").alias("pdf_path"), "name", F.col("basename").alias("pdf_base"))
     as_path, as_name = (lambda x: F.lower(ids.normalize_path(ids.strip_wiki_link(x)))), (lambda x: F.lower(trim_all(ids.strip_wiki_link(x))))
     path_key, name_key, title_key = F.lower(ids.normalize_path(F.col("pdf_path"))), F.lower(F.col("name")), ids.normalize_title(F.col("pdf_base"))
-
-    def tier(number: int, pdf_key: Column, note_key: Column) -> DataFrame:
-        left, right = p.select("pdf_path", pdf_key.alias("k")), n.select(F.col("path").alias("note_path"), note_key.alias("k")).where("k is not null")
-        return left.join(right, "k").select("pdf_path", "note_path", F.lit(number).alias("tier"))
-
-    sources = n.where("source is not null").select(F.col("path").alias("note_path"), "source")
-    inside = p.join(sources, ids.mentions_pdf(F.col("source"), F.col("pdf_path"), F.col("name"))).select("pdf_path", "note_path", F.lit(3).alias("tier"))
-    found = tier(1, path_key, as_path(F.col("pdf_file"))).unionByName(tier(2, name_key, as_name(F.col("pdf_file")))).unionByName(inside)
-    found = found.unionByName(tier(4, title_key, ids.normalize_title(F.col("basename")))).unionByName(tier(5, title_key, ids.normalize_title(F.col("title"))))
-    single = found.distinct().groupBy("pdf_path", "tier").agg(F.count("*").alias("n"), F.min("note_path").alias("note_path")).where("n = 1")
-    return single.groupBy("pdf_path").agg(F.min_by("note_path", "tier").alias("note_path"), F.min("tier").alias("tier"))
+    source_keys = ids.source_keys(F.col("source"))
+    keys = [
+        (1, path_key, F.array(as_path(F.col("pdf_file")))), (2, name_key, F.array(as_name(F.col("pdf_file")))), (3, F.concat(F.lit("path:"), path_key), source_keys), (3, F.concat(F.lit("name:"), name_key), source_keys),
+        (4, title_key, F.array(ids.normalize_title(F.col("basename")))), (5, title_key, F.array(ids.normalize_title(F.col("title")))),
+    ]
+    asked = p.select("pdf_path", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), k.alias("k")) for t, k, _ in keys])).alias("x")).select("pdf_path", "x.*").where("k <> ''")
+    offered = {t: k for t, _, k in keys}  # rule 3 has both its forms in one array
+    have = n.select(F.col("path").alias("note_path"), F.explode(F.concat(*[_tagged(t, k) for t, k in offered.items()])).alias("x")).select("note_path", "x.*")
+    counted = have.where("k <> ''").groupBy("tier", "k").agg(F.count_distinct("note_path").alias("n"), F.min("note_path").alias("least"), F.max("note_path").alias("most"))
+    hits = asked.join(counted, ["tier", "k"]).groupBy("pdf_path", "tier").agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    single = hits.where("n = 1 and least = most")
+    return single.groupBy("pdf_path").agg(F.min_by("least", "tier").alias("note_path"), F.min("tier").alias("tier"))
 
 
 def resolve_pdfs(pdfs: DataFrame, notes: DataFrame, folder: str = "") -> DataFrame:
     """(path, id, type, resolution_source, related_note, query_text) of pdfs (path, name, basename, preview): the linked
-    note's identity, else what the first pages' text tells; PDFs without either are left out."""
-    known = resolve_notes(notes).select(F.col("path").alias("note_path"), F.col("id").alias("n_id"), F.col("type").alias("n_type"), F.col("query_text").alias("n_query"))
-    linked = link_pdfs(pdfs, notes, folder).join(known, "note_path").select(F.col("pdf_path"), "note_path", "n_id", "n_type", "n_query")
-    out = pdfs.join(linked, F.col("path") == F.col("pdf_path"), "left").withColumn("txt", ids.paper_identity(F.coalesce("preview", F.lit(""))))
-    own_query = trim_all(F.concat_ws(" ", "basename", F.substring(collapse(F.coalesce("preview", F.lit(""))), 1, PREVIEW_CHARS)))
+    note's identity, else what the first pages' text tells; PDFs without either are left out.
+
+    A linked note without an identity is related all the same, and its text is the query.
+    """
+    own = notes.select(F.col("path").alias("note_path"), note_query().alias("n_query"))
+    known = resolve_notes(notes).select(F.col("path").alias("known_path"), F.col("id").alias("n_id"), F.col("type").alias("n_type"))
+    linked = link_pdfs(pdfs, notes, folder).join(own, "note_path").join(known, F.col("note_path") == F.col("known_path"), "left")
+    out = pdfs.join(linked.select("pdf_path", "note_path", "n_id", "n_type", "n_query"), F.col("path") == F.col("pdf_path"), "left").withColumn("txt", ids.paper_identity(F.coalesce("preview", F.lit(""))))
+    pdf_query = trim_all(F.concat_ws(" ", "basename", F.substring(collapse(F.coalesce("preview", F.lit(""))), 1, PREVIEW_CHARS)))
     return out.where("n_id is not null or txt is not null").select(
-        "path", F.coalesce("n_id", "txt.id").alias("id"), F.coalesce("n_type", "txt.type").alias("type"),
-        F.when(F.col("n_id").isNotNull(), "linked-note").otherwise("pdf-text").alias("resolution_source"), F.when(F.col("n_id").isNotNull(), F.col("note_path")).alias("related_note"),
-        F.coalesce("n_query", own_query).alias("query_text"),
+        "path", F.coalesce("n_id", "txt.id").alias("id"), F.coalesce("n_type", "txt.type").alias("type"), F.when(F.col("n_id").isNotNull(), "linked-note").otherwise("pdf-text").alias("resolution_source"),
+        F.col("note_path").alias("related_note"), F.coalesce(F.nullif("n_query", F.lit("")), pdf_query).alias("query_text"),
     )
 
 
@@ -137,7 +151,41 @@ def summary_pdf(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("note_path").agg(F.min_by("pdf_path", F.struct("priority", "pdf_path")).alias("pdf_path"))
 
 
+# The kinds of source in order, with their names.
+SOURCES = [("huggingface-markdown", "Hugging Face paper markdown"), ("arxiv-html", "arXiv HTML"), ("ar5iv-html", "ar5iv HTML"), ("jina-reader", "Jina Reader"), ("pdf", "PDF parser")]
+
+
 def first_source(attempts: DataFrame) -> DataFrame:
     """(paper_id, kind, text): of attempts (paper_id, priority, kind, status, text) the first that has text."""
     good = attempts.where((F.col("status") == 200) & (trim_all(F.coalesce("text", F.lit(""))) != ""))
     return good.groupBy("paper_id").agg(F.min_by(F.struct("kind", "text"), "priority").alias("s")).select("paper_id", "s.kind", "s.text")
+
+
+def source_bundle(papers: DataFrame, responses: DataFrame, prefer_markdown: bool = True) -> DataFrame:
+    """(paper_id, kind, label, text, attempts): the first source in order that has text, and what became of each.
+
+    papers (paper_id, arxiv_id, pdf_text); responses (paper_id, kind, status, text) of the remote sources, at most one
+    for a paper and kind.  404 and blank text are ``skipped``, other answers but 200 an ``error``.  The first kind is
+    tried before all others, and only if preferred; all remote others at once; the PDF's text only if none has any.
+    """
+    order = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("kind"), F.lit(n).alias("label")) for i, (k, n) in enumerate(SOURCES)])
+    first, last = SOURCES[0][0], SOURCES[-1][0]
+    grid = papers.select("paper_id", "arxiv_id", "pdf_text", F.explode(order).alias("s")).select("paper_id", "arxiv_id", "pdf_text", "s.*")
+    got = grid.join(responses.select("paper_id", "kind", "status", F.col("text").alias("answer")), ["paper_id", "kind"], "left")
+    wanted = F.col("arxiv_id").isNotNull() & (F.lit(prefer_markdown) | (F.col("kind") != first))
+    body = trim_all(F.coalesce("answer", F.lit("")))
+    text = F.when(F.col("kind") == last, F.coalesce("pdf_text", F.lit(""))).when(wanted & (F.col("status") == 200) & (body != ""), body)
+    missing = F.when(F.col("kind") == first, "Markdown page not found").otherwise("Source not available")
+    failed = wanted & F.col("status").isNotNull() & ~F.col("status").isin(200, 404)
+    reason = (
+        F.when(text.isNotNull(), F.lit(None).cast("string")).when((F.col("kind") == first) & ~F.lit(prefer_markdown), "Preference disabled").when(F.col("arxiv_id").isNull(), "No arXiv ID available")
+        .when(failed, F.concat(F.lit("Source request returned "), F.col("status").cast("string"), F.lit(": "), F.substring(F.coalesce("answer", F.lit("")), 1, 200))).otherwise(missing)
+    )
+    status = F.when(text.isNotNull(), "success").when(failed, "error").otherwise("skipped")
+    entry = F.struct("priority", "kind", "label", status.alias("status"), reason.alias("reason"), text.alias("text"))
+    rows = got.groupBy("paper_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    rows = rows.withColumn("won", F.get(F.filter("all", lambda a: a["status"] == "success"), F.lit(0)))
+    # after the first kind nothing else is tried; after a remote one, not the PDF
+    tried = F.filter("all", lambda a: (a["priority"] == 0) | ((F.col("won.priority") > 0) & (a["kind"] != last)) | (F.col("won.kind") == last))
+    log = F.transform(tried, lambda a: F.struct(a["kind"].alias("kind"), a["label"].alias("label"), a["status"].alias("status"), a["reason"].alias("reason")))
+    return rows.select("paper_id", "won.kind", "won.label", "won.text", log.alias("attempts"))

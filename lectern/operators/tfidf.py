@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.functions.text import tokenize
+from lectern.functions.text import first_sentence_reason, tokenize, trim_all
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,3 +79,13 @@ def union_first(first: DataFrame, second: DataFrame, key: str, position: str = "
     both = first.withColumn("src", F.lit(0)).unionByName(second.withColumn("src", F.lit(1)))
     order = W.partitionBy(key).orderBy("src", position)
     return both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
+def recommended_papers(picks: DataFrame, candidates: DataFrame, most: int = 5, least_reason: int = 8) -> DataFrame:
+    """(id, rank, paper_id, title, url, reason): picks (id, pos, paper_id, reason) that are among the candidates (id, paper_id,
+    title, url, abstract), the first ``most`` in order; a reason shorter than ``least_reason`` is made from the abstract."""
+    known = candidates.dropDuplicates(["id", "paper_id"])
+    order = W.partitionBy("id").orderBy("pos")
+    reason = F.when(F.char_length(trim_all(F.col("reason"))) >= least_reason, trim_all(F.col("reason"))).otherwise(first_sentence_reason(F.col("abstract")))
+    rows = picks.join(known, ["id", "paper_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return rows.select("id", "rank", "paper_id", "title", "url", reason.alias("reason"))

@@ -528,7 +528,7 @@ def section_plans(spark):
 @literal
 def failed_calls(spark):
     f = responses.failure(F.col("status"), F.col("body"))
-    return fixtures.table(spark, "failures").select("status", "body", f["request_id"].alias("request_id"), f["overloaded"].alias("overloaded"), f["retryable"].alias("retryable"))
+    return fixtures.table(spark, "failures").select("status", "body", f["message"].alias("message"), f["request_id"].alias("request_id"), f["overloaded"].alias("overloaded"), f["retryable"].alias("retryable"))
 
 
 @literal
@@ -613,7 +613,7 @@ def abstracts(spark):
 def provider_requests(spark):
     c = F.col
     body = responses.request_body(c("provider"), F.lit("m"), F.lit("sys"), F.lit("hi"), F.lit(10), F.lit(0.1))
-    return fixtures.table(spark, "urls").withColumn("provider", responses.provider_of(c("url"))).select("url", "provider", body.alias("body"))
+    return fixtures.table(spark, "urls").withColumn("provider", responses.provider_of(c("url"))).select("url", "provider", responses.request_url(c("provider"), c("url")).alias("address"), body.alias("body"))
 
 
 @literal

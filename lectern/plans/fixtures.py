@@ -81,6 +81,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (529, "{}"),
             (500, "plain text"),
             (400, '{"error":{"message":"overloaded","request_id":"r-2"}}'),
+            (400, '{"id":"msg_1","error":{"detail":"quota used up","meta":{"Request-Id":"r9"}}}'),
+            (500, '{"error":"plain","error_description":" told twice "}'),
         ],
     ),
     "responses": (
@@ -116,8 +118,12 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "throttle": ("k string, pos long, ts_ms long, kind string, retry_after_ms long", [("a", 0, 100_000, "overload", None), *[("a", i, 100_000 + i, "success", None) for i in range(1, 6)], *[("a", i, 115_000 + i, "success", None) for i in range(6, 11)], *[("a", i, 125_020 + i, "success", None) for i in range(11, 16)]]),
     "queue_events": (
-        "seq long, pdf string, id string, event string",
-        [(1, "a", "1", "enqueue"), (2, "a", "2", "enqueue"), (3, "a", "1", "start"), (4, "a", "1", "finish"), (5, "a", "3", "enqueue"), (6, "b", "4", "enqueue"), (7, "b", "4", "start"), (8, "b", "4", "cancel"), (9, "c", "5", "enqueue"), (10, "c", "5", "start"), (11, "c", "5", "restart"), (12, "d", "6", "enqueue"), (13, "d", "6", "fail"), (14, "d", "", "clear")],
+        "queue string, seq long, pdf string, id string, event string",
+        [
+            ("q", 1, "a", "1", "enqueue"), ("q", 2, "a", "2", "enqueue"), ("q", 3, "a", "1", "start"), ("q", 4, "a", "1", "finish"), ("q", 5, "a", "3", "enqueue"), ("q", 6, "b", "4", "enqueue"), ("q", 7, "b", "4", "start"),
+            ("q", 8, "b", "4", "cancel"), ("q", 9, "c", "5", "enqueue"), ("q", 10, "c", "5", "finish"), ("q", 11, "a", "3", "start"), ("q", 12, "a", "3", "restart"), ("q", 13, "d", "6", "enqueue"), ("q", 14, "d", "6", "fail"), ("q", 15, "", "", "clear"),
+            ("r", 1, "x", "1", "enqueue"), ("r", 2, "y", "2", "enqueue"), ("r", 3, "x", "1", "start"), ("r", 4, "y", "2", "start"), ("r", 5, "x", "1", "finish"), ("r", 6, "y", "2", "start"), ("r", 7, "y", "2", "fail"), ("r", 8, "z", "3", "enqueue"), ("r", 9, "z", "3", "start"),
+        ],
     ),
     "titles": ("title string", [("A/B: C?",), ("  two\nlines ",), ("x" * 120,)]),
     "attempts": ("paper_id string, priority int, kind string, status int, text string", [("p", 1, "hf-markdown", 404, None), ("p", 2, "arxiv-html", 404, None), ("p", 3, "ar5iv-html", 200, "text"), ("p", 4, "reader", 200, "other"), ("q", 1, "hf-markdown", 200, "  "), ("q", 5, "pdf", 200, "pdf text")]),
@@ -130,8 +136,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "settings": ("k int, color string, names array<string>, effort string", [(1, " #FFF ", [" arxiv", "ArXiv", "", "id"], "high"), (2, "#12AB34", [" "], "extreme"), (3, "red", [], None)]),
     "prose": ("k int, s string", [(1, "# H\n> quote *b* [l](u) ![i](v)\n\n\n\n```\ncode\n``` end"), (2, "$x+y$\nword"), (3, "word")]),
     "abstract_docs": ("doc_id string, markdown string", [("a", "# T\nFirst.\n## Abstract\nThe  abstract\ntext."), ("b", "# T\n\nOnly paragraph here.")]),
-    "urls": ("url string", [("https://api.anthropic.com/v1/messages",), ("https://api.openai.com/v1/chat/completions",)]),
-    "picks": ("id string, body string", [("q", '```json\n{"recommendations":[{"paperId":"p1","reason":"r"},{"reason":"no id"},{"paperId":"p2"}]}\n```'), ("z", "nothing")]),
+    "urls": ("url string", [("https://api.anthropic.com/v1/messages",), ("https://api.openai.com/v1/chat/completions",), ("https://claude.example.org/",), ("http://localhost:8080/v1//",)]),
+    "picks": ("id string, body string", [("q", '```json\n{"recommendations":[{"paperId":"p1","reason":"r"},{"reason":"no id"},{"paperId":"p2"}]}\n```'), ("z", "nothing"), ("y", '[{"paperId":"bare"}]'), ("x", '{"recommendations":[{"paperId":" p3 ","reason":5},{"paperId":4}]}')]),
     "pdf_candidates": ("note_path string, pdf_path string, priority int", [("n", "b.pdf", 2), ("n", "a.pdf", 1), ("m", "c.pdf", 3)]),
     "escapes": ("s string", [("a\\b",), ("50% & {x}_1",), ("~^",)]),
 }
@@ -139,6 +145,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 T, N = True, None
 _LONG = "x" * 100
 #: name: (columns, rows)
+ANTHROPIC_BODY = '{"model":"m","max_tokens":10,"temperature":0.1,"system":"sys","messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}'
+OPENAI_BODY = '{"model":"m","max_tokens":10,"temperature":0.1,"enable_thinking":false,"response_format":{"type":"json_object"},"messages":[{"role":"system","content":"sys"},{"role":"user","content":"hi"}]}'
 EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "arxiv_ids": ("input, id", [("https://arxiv.org/abs/2303.08774v2", "2303.08774"), ("https://arxiv.org/pdf/2303.08774", "2303.08774"), ("2301.123456", "2301.123456"), ("https://arxiv.org/abs/cs/0610101", "cs/0610101"), ("cs/0610101", "cs/0610101"), ("not-an-arxiv-url", N), ("", N), ("see 10.1145/1234567.8901234", "4567.890123")]),
     "paper_identities": ("input, id, type", [("DOI: 10.1145/1234567.8901234", "10.1145/1234567.8901234", "doi"), ("https://doi.org/10.1000/xyz-123.", "10.1000/xyz-123", "doi"), ("arXiv:2303.08774 and doi 10.1/x", "2303.08774", "arxiv"), ("as in 2303.08774", "2303.08774", "arxiv"), ("arXiv: cs/0610101", "cs/0610101", "arxiv"), ("nothing here", N, N)]),
@@ -176,8 +184,12 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         ],
     ),
     "failed_calls": (
-        "status, body, request_id, overloaded, retryable",
-        [(429, TABLES["failures"][1][0][1], N, T, T), (503, TABLES["failures"][1][1][1], "r-1", T, T), (503, TABLES["failures"][1][2][1], N, False, T), (529, "{}", N, T, T), (500, "plain text", N, False, T), (400, TABLES["failures"][1][5][1], "r-2", False, False)],
+        "status, body, message, request_id, overloaded, retryable",
+        [
+            (429, TABLES["failures"][1][0][1], "slow down", N, T, T), (503, TABLES["failures"][1][1][1], "server busy", "r-1", T, T), (503, TABLES["failures"][1][2][1], "maintenance", N, False, T),
+            (529, "{}", "{}", N, T, T), (500, "plain text", "plain text", N, False, T), (400, TABLES["failures"][1][5][1], "overloaded", "r-2", False, False),
+            (400, TABLES["failures"][1][6][1], "quota used up", "r9", False, False), (500, TABLES["failures"][1][7][1], "told twice", N, False, T),
+        ],
     ),
     "response_texts": ("k, text, stop_reason, truncated", [(1, "Hi\nthere", "max_tokens", T), (2, "Hello", "stop", False), (3, "a\nb", "length", T), (4, "{}", N, False), (5, "{}", N, False)]),
     "salvaged_markdown": ("k, markdown, cut", [(1, "Hello", False), (2, "In a fence", False), (3, 'cut off here "so', T), (4, "Just text", False), (5, "", False), (6, "", T), (7, "plain body", False)]),
@@ -188,7 +200,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         [("exact", 1, 0, 1, 11, 1.0), ("two", 0, 0, 1, 9, 1.0), ("case", 0, 0, 1, 9, 1.0), ("prefix", 0, 0, 1, 7, 0.85), ("none", N, N, N, N, N), ("inside", 0, 7, 0, 18, 1.0), ("dash", 0, 7, 0, 26, 1.0), ("hyphen", 0, 7, 0, 17, 1.0), ("joined", 0, 0, 0, 29, 1.0), ("blank", N, N, N, N, N)],
     ),
     "throttle_vector": ("pos, concurrency, recent_overloads", [(0, 1, 1), *[(i, 1, 1) for i in range(1, 6)], *[(i, 2, 1) for i in range(6, 11)], *[(i, 3, 1) for i in range(11, 16)]]),
-    "queue_states": ("pdf, id, status, error", [("a", "1", "done", N), ("a", "3", "pending", N), ("b", "4", "error", "Cancelled"), ("c", "5", "pending", N)]),
+    "queue_states": ("queue, pdf, id, status, error", [("q", "a", "3", "pending", N), ("q", "c", "5", "pending", N), ("q", "d", "6", "pending", N), ("r", "x", "1", "done", N), ("r", "y", "2", "error", "Failed"), ("r", "z", "3", "running", N)]),
     "file_names": ("title, path", [("A/B: C?", "Papers/A-B- C-.pdf"), ("  two\nlines ", "Papers/two-lines.pdf"), ("x" * 120, f"Papers/{_LONG}.pdf")]),
     "source_priority": ("paper_id, kind, text", [("p", "ar5iv-html", "text"), ("q", "pdf", "pdf text")]),
     "explanations": ("id, markdown, step", [("good", EXPLAINED, "answer"), ("leak", EXPLAINED, "repair"), ("lost", "**S**\n\n> The source text.", "safety-net")]),
@@ -204,13 +216,13 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     ),
     "abstracts": ("doc_id, abstract", [("a", "The abstract text."), ("b", "Only paragraph here.")]),
     "provider_requests": (
-        "url, provider, body",
+        "url, provider, address, body",
         [
-            (TABLES["urls"][1][0][0], "anthropic", '{"model":"m","max_tokens":10,"temperature":0.1,"system":"sys","messages":[{"role":"user","content":"hi"}]}'),
-            (TABLES["urls"][1][1][0], "openai", '{"model":"m","max_tokens":10,"temperature":0.1,"messages":[{"role":"system","content":"sys"},{"role":"user","content":"hi"}]}'),
+            (TABLES["urls"][1][0][0], "anthropic", "https://api.anthropic.com/v1/messages", ANTHROPIC_BODY),
+            (TABLES["urls"][1][1][0], "openai", "https://api.openai.com/v1/chat/completions", OPENAI_BODY), (TABLES["urls"][1][2][0], "anthropic", "https://claude.example.org/v1/messages", ANTHROPIC_BODY), (TABLES["urls"][1][3][0], "openai", "http://localhost:8080/v1/chat/completions", OPENAI_BODY),
         ],
-    ),
-    "recommended": ("id, pos, paper_id, reason", [("q", 0, "p1", "r"), ("q", 2, "p2", N)]),
+    ),
+    "recommended": ("id, pos, paper_id, reason", [("q", 0, "p1", "r"), ("q", 2, "p2", ""), ("x", 0, "p3", "")]),
     "image_owners": ("doc_id, section, image, n", [("mixed", "section:1", "image:1", 1)]),
     "chosen_pdfs": ("note_path, pdf_path", [("n", "a.pdf"), ("m", "c.pdf")]),
     "escaped_bibtex": ("s, escaped", [("a\\b", "a\\textbackslash\\{\\}b"), ("50% & {x}_1", "50\\% \\& \\{x\\}\\_1"), ("~^", "\\textasciitilde{}\\textasciicircum{}")]),

@@ -85,33 +85,30 @@ def flat(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def _braced(text: str, at: int) -> int:
+    """Where the group that opens at ``at`` ends (after its brace), or -1."""
+    depth = 0
+    for m in re.finditer(r"[{}]", text[at:]):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return at + m.end()
+    return -1
+
+
 def boldsymbol(text: str) -> str:
-    r"""``\bm`` followed by a braced group or a single character becomes ``\boldsymbol{…}``; longer names like ``\bmod`` stay."""
-    out, i = [], 0
+    r"""``\bm`` and its argument (a braced group, a command or one character) become ``\boldsymbol{…}``; longer names like
+    ``\bmod`` stay."""
+    out, at = [], 0
     for m in re.finditer(r"\\bm(?![A-Za-z])\s*", text):
-        if m.start() < i:
+        b = m.end()
+        if m.start() < at or b == len(text):
             continue
-        out.append(text[i : m.start()])
-        at = m.end()
-        if at < len(text) and text[at] == "{":
-            depth, end = 0, at
-            while end < len(text):
-                depth += (text[end] == "{") - (text[end] == "}")
-                end += 1
-                if depth == 0:
-                    break
-            if depth:
-                out.append(text[m.start() :])
-                return "".join(out)
-            out.append("\\boldsymbol{" + boldsymbol(text[at + 1 : end - 1]) + "}")
-            i = end
-        elif at < len(text):
-            out.append("\\boldsymbol{" + text[at] + "}")
-            i = at + 1
-        else:
-            out.append(text[m.start() : at])
-            i = at
-    return "".join(out) + text[i:]
+        group = _braced(text, b) if text[b] == "{" else -1
+        command = re.compile(r"\\[A-Za-z]+").match(text, b)
+        e = group if group > 0 else command.end() if command else b + 1
+        out += [text[at : m.start()], "\\boldsymbol{", text[b + 1 : e - 1] if group > 0 else text[b:e], "}"]
+        at = e
+    return "".join(out) + text[at:]
 
 
 def _formula(node: Node) -> str:

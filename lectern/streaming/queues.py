@@ -130,30 +130,43 @@ def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def run_queue(events: DataFrame) -> DataFrame:
-    """(pdf, id, status, error): the state of jobs after events (seq, pdf, id, event: enqueue, start, finish, fail, cancel,
-    restart, clear), per pdf in order.  A job that is pending or running is not enqueued again; a cancelled job is
-    an error ``Cancelled``; clear drops what is done or failed."""
+    """(queue, pdf, id, status, error): the state of jobs after events (queue, seq, pdf, id, event: enqueue, start, finish,
+    fail, cancel, restart, clear), per queue in order.
+
+    A queue has one consumer, which takes the oldest pending job: another start, or one while a job runs, is
+    ignored, as is the end of a job that does not run.  A file with a pending or running job is not enqueued again.
+    A cancelled job, running or pending, is an error ``Cancelled``; a restart puts the running job back; clear drops
+    what is done or failed.
+    """
 
     def run(k, frame):
-        jobs: dict[str, list] = {}
+        jobs: dict[str, dict] = {}
+        ends = {"finish": ("done", None), "fail": ("error", "Failed"), "cancel": ("error", "Cancelled")}
         for e in frame.sort_values("seq").itertuples():
-            busy = any(s in ("pending", "running") for s, _ in jobs.values())
-            if e.event == "enqueue" and not busy:
-                jobs[e.id] = ["pending", None]
-            elif e.event == "clear":
-                jobs = {i: j for i, j in jobs.items() if j[0] not in ("done", "error")}
+            waiting = [i for i, j in jobs.items() if j["status"] == "pending"]
+            running = [i for i, j in jobs.items() if j["status"] == "running"]
+            if e.event == "enqueue":
+                if e.pdf not in {jobs[i]["pdf"] for i in waiting + running}:
+                    jobs[e.id] = {"pdf": e.pdf, "status": "pending", "error": None}
+            elif e.event == "start":
+                if not running and waiting[:1] == [e.id]:
+                    jobs[e.id]["status"] = "running"
+            elif e.event in ends:
+                if e.id in running or (e.event == "cancel" and e.id in waiting):
+                    jobs[e.id]["status"], jobs[e.id]["error"] = ends[e.event]
             elif e.event == "restart":
-                for j in jobs.values():
-                    j[0] = "pending" if j[0] == "running" else j[0]
-            elif e.id in jobs:
-                now = jobs[e.id][0]
-                if e.event == "start" and now == "pending":
-                    jobs[e.id] = ["running", None]
-                elif e.event in ("finish", "fail", "cancel") and now in ("pending", "running"):
-                    jobs[e.id] = ["done", None] if e.event == "finish" else ["error", "Cancelled" if e.event == "cancel" else "Failed"]
-        return pd.DataFrame([(k[0], i, *j) for i, j in jobs.items()], columns=["pdf", "id", "status", "error"])
-
-    return events.groupBy("pdf").applyInPandas(run, "pdf string, id string, status string, error string")
+                for i in running:
+                    jobs[i]["status"] = "pending"
+            elif e.event == "clear":
+                jobs = {i: j for i, j in jobs.items() if j["status"] in ("pending", "running")}
+        return pd.DataFrame([(k[0], j["pdf"], i, j["status"], j["error"]) for i, j in jobs.items()], columns=["queue", "pdf", "id", "status", "error"])
+
+    return events.groupBy("queue").applyInPandas(run, "queue string, pdf string, id string, status string, error string")
+
+
+def without_old_highlights(highlights: DataFrame, admitted: DataFrame) -> DataFrame:
+    """highlights (pdf, …) but for those of files that were admitted to the queue, which are made anew."""
+    return highlights.join(admitted.select("pdf").distinct(), "pdf", "left_anti")
 
 
 def retry_schedule(attempt: Column, base: int = 3000, least: int = 3000, most: int = 15_000) -> Column:

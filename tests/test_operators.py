@@ -103,6 +103,81 @@ def test_html_walk():
 
 def test_boldsymbol_keeps_longer_names():
     assert html.boldsymbol(r"a \bmod b \bm{x{y}} \bm z") == r"a \bmod b \boldsymbol{x{y}} \boldsymbol{z}"
+    assert html.boldsymbol(r"\bm\alpha + \bm {ab} \bm") == r"\boldsymbol{\alpha} + \boldsymbol{ab} \bm"
+    assert html.boldsymbol(r"\bm{open \bm x") == r"\boldsymbol{{}open \boldsymbol{x}"
+
+
+def test_blocks_of_known_pointers(spark):
+    outputs = spark.createDataFrame([("d", 1, "p", "a", "## Title\nBody"), ("d", 2, "gone", "a", "x"), ("d", 3, "p", "a", "  "), ("e", 4, "p", "a", "other document")], "doc_id string, seq int, pointer_id string, target_heading string, markdown string")
+    known = spark.createDataFrame([("d", "p"), ("d", "p")], "doc_id string, id string")
+    assert [tuple(r) for r in planner.explainer_blocks(outputs, known).collect()] == [("d", "a", 1, "Body")]
+
+
+def test_images_of_a_section_by_path_and_by_number(spark):
+    sections = spark.createDataFrame([("d", "s1", ["A"], "see Fig. 2 and figure 3"), ("d", "s2", ["B"], "nothing")], "doc_id string, id string, section_path array<string>, content string")
+    images = spark.createDataFrame([("d", "i1", 1, ["B"], "![Figure 1](u)"), ("d", "i2", 2, ["C"], "![Figure 2](u)"), ("d", "i3", 3, ["C"], "![image 31](u)"), ("d", "i4", 4, ["A"], "![x](u)")], "doc_id string, id string, ordinal int, section_path array<string>, content string")
+    got = sorted(tuple(r) for r in planner.image_owner(images, sections, 3).collect())
+    assert got == [("d", "s1", "i2", 1), ("d", "s1", "i3", 3), ("d", "s1", "i4", 2), ("d", "s2", "i1", 1)]
+
+
+def test_picks_meet_candidates(spark):
+    picks = spark.createDataFrame([("q", i, f"p{i}", "short" if i == 1 else "long enough reason") for i in range(8)] + [("q", 9, "p1", "again")], "id string, pos int, paper_id string, reason string")
+    papers = spark.createDataFrame([("q", f"p{i}", f"T{i}", f"u{i}", "A first sentence that is long enough. More.") for i in range(1, 8)], "id string, paper_id string, title string, url string, abstract string")
+    got = tfidf.recommended_papers(picks, papers).orderBy("rank").collect()
+    assert [r["paper_id"] for r in got] == ["p1", "p2", "p3", "p4", "p5"] and got[0]["reason"] == "A first sentence that is long enough." and got[1]["reason"] == "long enough reason"
+
+
+def test_failures_and_headers(spark):
+    f = responses.failure(F.col("status"), F.col("body"), F.col("headers"))
+    rows = [(400, '{"id":"msg_1","error":{"detail":"quota used up","meta":{"Request-Id":"r9"}}}', None), (500, None, {"X-Request-ID": "h1"}), (500, "a  b\n" * 200, {}), (429, '{"list":[{"a":{"request id":" deep "}}]}', {"request-id": "h2"})]
+    got = [r["f"] for r in spark.createDataFrame(rows, "status int, body string, headers map<string,string>").select(f.alias("f")).collect()]
+    assert (got[0]["message"], got[0]["request_id"]) == ("quota used up", "r9") and (got[1]["message"], got[1]["request_id"]) == ("", "h1")
+    assert len(got[2]["message"]) == 240 and got[3]["request_id"] == "deep" and got[3]["overloaded"] and got[3]["retryable"]
+
+
+def test_retries_wait_for_dates_too(spark):
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    asked = lambda x: value(spark, rules.asked_delay_ms(F.lit(x), now))
+    assert asked("3") == 3000 and asked("0.5") == 500 and asked("Thu, 01 Jan 2026 00:00:05 GMT") == 5000 and asked("Wed, 31 Dec 2025 23:00:00 GMT") == 0 and asked("soon") is None and asked("") is None
+    assert value(spark, rules.is_transport_error(F.lit("Error: ECONNRESET"))) is True and value(spark, rules.is_transport_error(F.lit("bad key"))) is False
+
+
+def test_sources_are_tried_in_order(spark):
+    papers = spark.createDataFrame([("p", "2301.00001", "pdf text"), ("none", "2301.00002", "pdf text"), ("no id", None, "text"), ("first", "2301.00003", "")], "paper_id string, arxiv_id string, pdf_text string")
+    rows = [("p", "huggingface-markdown", 404, ""), ("p", "arxiv-html", 404, ""), ("p", "ar5iv-html", 200, " <p>x "), ("p", "jina-reader", 500, "oops"), ("first", "huggingface-markdown", 200, "# md"), ("first", "arxiv-html", 200, "h"), ("none", "arxiv-html", 200, "  ")]
+    answers = spark.createDataFrame(rows, "paper_id string, kind string, status int, text string")
+    got = {r["paper_id"]: r for r in identity.source_bundle(papers, answers).collect()}
+    told = lambda p: [a["status"] for a in got[p]["attempts"]]
+    assert (got["p"]["kind"], got["p"]["text"], told("p")) == ("ar5iv-html", "<p>x", ["skipped", "skipped", "success", "error"]) and got["p"]["attempts"][3]["reason"] == "Source request returned 500: oops"
+    assert got["none"]["kind"] == "pdf" and told("none") == ["skipped"] * 4 + ["success"] and got["no id"]["attempts"][1]["reason"] == "No arXiv ID available"
+    assert got["first"]["kind"] == "huggingface-markdown" and told("first") == ["success"]
+    other = {r["paper_id"]: r for r in identity.source_bundle(papers, answers, prefer_markdown=False).collect()}
+    assert other["first"]["kind"] == "arxiv-html" and other["first"]["attempts"][0]["reason"] == "Preference disabled"
+
+
+def note(path, front=None, body=""):
+    base = path.split("/")[-1]
+    return (path, base, base.rsplit(".", 1)[0], "md", front or {}, body, [])
+
+
+NOTE = "path string, name string, basename string, ext string, frontmatter map<string,string>, body string, inline_tags array<string>"
+
+
+def test_linked_note_without_identity_is_related(spark):
+    notes = spark.createDataFrame([note("n/My Note.md", {"pdf_file": "a.pdf", "title": "Of things"}), note("n/é.md"), note("n/ü.md"), note("n/src.md", {"source": "see [[b.pdf]] and x/Papers/c.pdf, v2"})], NOTE)
+    pdfs = spark.createDataFrame([("Papers/a.pdf", "a.pdf", "a", "DOI: 10.1145/1234567.8901234"), ("Papers/é.pdf", "é.pdf", "é", "arXiv:2301.00001"), ("Papers/b.pdf", "b.pdf", "b", "arXiv:2301.00002"), ("Papers/c.pdf", "c.pdf", "c", "")], "path string, name string, basename string, preview string")
+    got = {r["path"]: r for r in identity.resolve_pdfs(pdfs, notes).collect()}
+    assert (got["Papers/a.pdf"]["related_note"], got["Papers/a.pdf"]["resolution_source"], got["Papers/a.pdf"]["query_text"]) == ("n/My Note.md", "pdf-text", "My Note Of things")
+    assert got["Papers/é.pdf"]["related_note"] is None and got["Papers/b.pdf"]["related_note"] == "n/src.md"
+    links = {r["pdf_path"]: (r["note_path"], r["tier"]) for r in identity.link_pdfs(pdfs, notes).collect()}
+    assert links == {"Papers/a.pdf": ("n/My Note.md", 2), "Papers/b.pdf": ("n/src.md", 3), "Papers/c.pdf": ("n/src.md", 3)}
+    plan = identity.link_pdfs(pdfs, notes)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_old_highlights_go_with_admission(spark):
+    marks, fresh = spark.createDataFrame([("a", 1), ("b", 2)], "pdf string, n int"), spark.createDataFrame([("a", "7"), ("a", "8")], "pdf string, id string")
+    assert [r["pdf"] for r in queues.without_old_highlights(marks, fresh).collect()] == ["b"]
 
 
 def test_matches_with_thresholds_and_neighbours(spark):
@@ -192,7 +267,10 @@ def test_ieee_and_presets(spark):
 def test_draft_merges_in_heading_order(spark):
     headings = spark.createDataFrame([("b", 1, "B", "none yet"), ("a", 0, "A", "none yet"), ("f", 2, "F", None)], "heading string, heading_pos int, title string, filler string")
     blocks = spark.createDataFrame([("d", "a", 2, "two"), ("d", "a", 1, "one")], "doc_id string, heading string, seq int, markdown string")
-    assert planner.merge_draft(blocks, headings).first()["draft"] == "## A\n\none\n\ntwo\n\n## B\n\nnone yet"
+    assert planner.merge_draft(blocks, headings).first()["draft"] == "## A\none\n\ntwo\n\n## B\nnone yet"
+    focus = spark.createDataFrame([("d", ["first", "then"]), ("e", []), ("f", ["alone"])], "doc_id string, entries array<string>")
+    got = {r["doc_id"]: r["draft"] for r in planner.merge_draft(blocks, headings, focus, map_heading="a").collect()}
+    assert got == {"d": "## A\n> [!tip] Reading map\n- first\n- then\n\none\n\ntwo\n\n## B\nnone yet", "f": "## A\n> [!tip] Reading map\n- alone\n\n## B\nnone yet"}
 
 
 def test_placeholders(spark):

@@ -49,7 +49,7 @@ def merged_rows(rects: DataFrame, pages: DataFrame) -> DataFrame:
     row = W.partitionBy("page_id", "row_no").orderBy("cluster_no")
     beside = F.coalesce(F.lag("formula").over(row), F.lit(False)) | F.coalesce(F.lead("formula").over(row), F.lit(False))
     tiny = beside & size.between(1, 4) & (F.col("n") <= 2) & ((F.col("r") - F.col("l")) <= F.greatest(F.lit(16.0), (F.col("b") - F.col("t")) * 2.5))
-    c = c.withColumn("tiny", tiny).where("not formula and not tiny").join(F.broadcast(pages), "page_id")
+    c = c.withColumn("tiny", tiny).where("not formula and not tiny").join(pages, "page_id")
     pad = F.least(F.lit(1.25), F.greatest(F.lit(0.5), (F.col("b") - F.col("t")) * 0.06))
     left = F.greatest(F.col("page_left"), F.col("l") - pad)
     right = F.least(F.col("page_left") + F.col("page_width"), F.col("r") + pad)

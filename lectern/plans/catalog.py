@@ -452,6 +452,152 @@ def rectangle_clusters(spark, d):
     return geometry.clustered(r).select("page_id", "pos", "row_no", "cluster_no")
 
 
+# --- more tables: sources, picks, links, failures, drafts, retries (S10-S13, J1, J2, J7, N4, A11, P9, P18, X5) ---
+
+
+@query("""SELECT doc_id, 'https://huggingface.co/papers/2301.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '.md' AS markdown, 'https://arxiv.org/html/2301.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS html,
+ 'https://ar5iv.labs.arxiv.org/html/2301.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS ar5iv, 'https://arxiv.org/pdf/2301.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS pdf FROM documents""")
+def source_links(spark, d):
+    urls = ids.source_urls(F.concat(F.lit("2301."), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    return read(spark, d, "documents").select("doc_id", urls.alias("u")).select("doc_id", "u.*")
+
+
+SOURCE_CASE = """CASE WHEN (doc_id + k) % 5 = 0 THEN 200 WHEN (doc_id + k) % 5 = 1 THEN 500 ELSE 404 END"""
+
+
+@query(f"""WITH a AS (SELECT doc_id, k, {SOURCE_CASE} AS status, lang FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k)),
+w AS (SELECT doc_id, min(k) AS k FROM a WHERE status = 200 AND lang <> 'de' GROUP BY doc_id)
+SELECT d.doc_id, CASE w.k WHEN 0 THEN 'huggingface-markdown' WHEN 1 THEN 'arxiv-html' WHEN 2 THEN 'ar5iv-html' WHEN 3 THEN 'jina-reader' ELSE 'pdf' END AS kind,
+  CASE WHEN w.k IS NULL THEN coalesce(text, '') ELSE 'answer ' || w.k END AS text, CAST(CASE WHEN w.k = 0 THEN 1 WHEN w.k IS NULL THEN 5 ELSE 4 END AS INTEGER) AS n_attempts,
+  CAST(CASE WHEN lang = 'de' OR w.k = 0 THEN 0 ELSE (SELECT count(*) FROM a WHERE a.doc_id = d.doc_id AND status = 500) END AS INTEGER) AS n_errors
+FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id""")
+def source_bundles(spark, d):
+    """Documents as papers; German ones have no identifier, and the remote sources answer by a rule."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "lang", "text")
+    papers = docs.select("paper_id", F.when(F.col("lang") != "de", F.concat(F.lit("2301."), "paper_id")).alias("arxiv_id"), F.col("text").alias("pdf_text"))
+    lot = (F.col("paper_id") + F.col("k")) % 5
+    kinds = F.array(*[F.lit(k) for k, _ in identity.SOURCES])
+    answers = docs.select("paper_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("k"))
+    answers = answers.select("paper_id", F.get(kinds, F.col("k")).alias("kind"), F.when(lot == 0, 200).when(lot == 1, 500).otherwise(404).alias("status"), F.concat(F.lit(" answer "), F.col("k").cast("string")).alias("text"))
+    out = identity.source_bundle(papers, answers)
+    return out.select(F.col("paper_id").alias("doc_id"), "kind", "text", F.size("attempts").alias("n_attempts"), F.size(F.filter("attempts", lambda a: a["status"] == "error")).alias("n_errors"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, CAST(o_orderkey AS VARCHAR) AS paper_id, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS pos FROM orders)
+SELECT CAST(id AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) AS INTEGER) AS rank, paper_id, CASE WHEN length(o_orderpriority) >= 8 THEN o_orderpriority ELSE 'An abstract of order ' || paper_id || '.' END AS reason
+FROM p WHERE o_orderstatus <> 'O' QUALIFY rank <= 5""")
+def candidate_picks(spark, d):
+    """Customers as queries: their orders, latest first, are picked in a JSON answer; those that are not open are candidates."""
+    orders = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("key"), "o_orderstatus", "o_orderpriority")
+    entry = F.struct((-F.col("key")).alias("at"), F.concat(F.lit(" "), F.col("key").cast("string")).alias("paperId"), F.col("o_orderpriority").alias("reason"))
+    listed = orders.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("l", lambda x: F.struct(x["paperId"].alias("paperId"), x["reason"].alias("reason"))).alias("recommendations"))), F.lit("\n```"))
+    picks = responses.recommendations(listed.select("id", body.alias("body")))
+    abstract = F.concat(F.lit("An abstract of order "), F.col("key").cast("string"), F.lit(". And more of it."))
+    papers = orders.where("o_orderstatus <> 'O'").select("id", F.col("key").cast("string").alias("paper_id"), F.lit("t").alias("title"), F.lit("u").alias("url"), abstract.alias("abstract"))
+    return tfidf.recommended_papers(picks, papers).select("id", "rank", "paper_id", "reason")
+
+
+@query("""SELECT 'Papers/' || p_partkey || '.pdf' AS pdf_path, 'n/' || p_partkey || '.md' AS note_path, CAST(CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 5 END AS INTEGER) AS tier
+FROM part WHERE p_partkey % 7 <> 0""")
+def linked_pdfs(spark, d):
+    """Parts as PDFs, each named by a note in one of five ways; every seventh by two notes, which links it to none."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumn("name", F.concat(F.col("k").cast("string"), F.lit(".pdf"))).withColumn("base", F.col("k").cast("string"))
+    pdfs = p.select(F.concat(F.lit("Papers/"), "name").alias("path"), "name", F.concat(F.lit("title "), "base").alias("basename"), F.lit("").alias("preview"))
+    way = F.col("k") % 5
+    path = F.concat(F.lit("Papers/"), "name")
+    front = (
+        F.when(way == 0, F.create_map(F.lit("pdf_file"), F.concat(F.lit("/"), F.upper(path)))).when(way == 1, F.create_map(F.lit("PDF_file"), F.concat(F.lit("[["), "name", F.lit("]]"))))
+        .when(way == 2, F.create_map(F.lit("source"), F.concat(F.lit("kept in "), path, F.lit(", page 3")))).when(way == 3, F.create_map(F.lit("source"), F.concat(F.lit("see [["), "name", F.lit("]]"))))
+        .otherwise(F.create_map(F.lit("title"), F.concat(F.lit("Title: "), "base")))
+    )
+    copies = F.explode(F.when(F.col("k") % 7 == 0, F.array(F.lit(""), F.lit("-2"))).otherwise(F.array(F.lit(""))))
+    notes = p.select("*", copies.alias("copy")).select(
+        F.concat(F.lit("n/"), "base", "copy", F.lit(".md")).alias("path"), F.concat("base", "copy", F.lit(".md")).alias("name"), F.concat(F.lit("note of "), "base", "copy").alias("basename"), F.lit("md").alias("ext"),
+        front.alias("frontmatter"), F.lit("").alias("body"), F.array().cast("array<string>").alias("inline_tags"),
+    )
+    return identity.link_pdfs(pdfs, notes)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'quota ' || user_id WHEN 'click' THEN 'told ' || user_id WHEN 'view' THEN 'plain text ' || user_id ELSE 'outer' END AS message,
+  CASE event_type WHEN 'error' THEN 'r' || event_id WHEN 'click' THEN 'deep' || event_id WHEN 'view' THEN 'h' || event_id END AS request_id,
+  CASE WHEN event_type = 'error' THEN true ELSE event_id % 3 = 0 END AS overloaded, CASE WHEN event_type = 'error' THEN true ELSE event_id % 3 <> 1 END AS retryable FROM events""")
+def failure_fields(spark, d):
+    """Events as failed calls, with bodies of four shapes."""
+    e = read(spark, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"), F.col("event_id").cast("string").alias("i"))
+    kind = F.col("event_type")
+    body = (
+        F.when(kind == "error", F.concat(F.lit('{"id":"m","error":{"message":" ","detail":"quota '), "u", F.lit('","type":"rate limit","meta":{"Request-Id":"r'), "i", F.lit('"}}}')))
+        .when(kind == "click", F.concat(F.lit('{"error":"x","error_description":"told '), "u", F.lit('","list":[1,{"more":{"request_id":" deep'), "i", F.lit(' "}}]}')))
+        .when(kind == "view", F.concat(F.lit("plain\n text  "), "u")).otherwise('{"error":{"code":7},"message":"outer"}')
+    )
+    headers = F.when(kind == "view", F.create_map(F.lit("X-Request-Id"), F.concat(F.lit("h"), "i")))
+    status = F.when(F.col("event_id") % 3 == 0, 529).when(F.col("event_id") % 3 == 1, 400).otherwise(500)
+    f = responses.failure(F.when(kind == "error", F.lit(500)).otherwise(status), body, headers)
+    return e.select("event_id", f.alias("f")).select("event_id", "f.message", "f.request_id", "f.overloaded", "f.retryable")
+
+
+@query("""WITH b AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'limitations_open_questions' WHEN 'click' THEN 'method_breakdown' WHEN 'view' THEN 'research_question' ELSE 'formula_mechanism' END AS heading, event_id FROM events),
+g AS (SELECT user_id, heading, string_agg('text ' || event_id, chr(10) || chr(10) ORDER BY event_id) AS body FROM b GROUP BY ALL),
+h(heading, pos, title) AS (VALUES ('research_question', 0, 'Research question'), ('core_intuition', 1, 'Core intuition'), ('method_breakdown', 2, 'Method breakdown'), ('formula_mechanism', 3, 'Formula and mechanism explanation'),
+  ('experimental_pipeline', 4, 'Experimental pipeline and evidence'), ('results_takeaways', 5, 'Results and takeaways'), ('limitations_open_questions', 6, 'Limitations and open questions')),
+u AS (SELECT DISTINCT user_id FROM events),
+t AS (SELECT u.user_id, h.pos, '## ' || title || chr(10) || coalesce(CASE WHEN h.heading = 'core_intuition' AND u.user_id % 2 = 0 THEN '> [!tip] Reading map' || chr(10) || '- user ' || u.user_id || chr(10) || '- end' END, body, CASE WHEN h.heading <> 'formula_mechanism' THEN 'Nothing found.' END) AS part
+  FROM u CROSS JOIN h LEFT JOIN g ON u.user_id = g.user_id AND h.heading = g.heading)
+SELECT user_id, string_agg(part, chr(10) || chr(10) ORDER BY pos) AS draft FROM t WHERE part IS NOT NULL GROUP BY user_id""")
+def merged_drafts(spark, d):
+    """Users as papers, their events as explained pointers: blocks under the headings, and a reading map for some."""
+    e = read(spark, d, "events")
+    kind = F.col("event_type")
+    heading = F.when(kind == "error", "limitations_open_questions").when(kind == "click", "method_breakdown").when(kind == "view", "research_question").otherwise("formula_mechanism")
+    outputs = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("pointer_id"), heading.alias("target_heading"), F.concat(F.lit("\n# A heading\n\ntext "), F.col("event_id").cast("string")).alias("markdown"))
+    known = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("id"))
+    user = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    focus = e.select(F.col("user_id").alias("doc_id"), F.when(F.col("user_id") % 2 == 0, F.array(user, F.lit("end"))).otherwise(F.array().cast("array<string>")).alias("entries")).distinct()
+    titles = spark.createDataFrame([(h, i, t, None if h == "formula_mechanism" else "Nothing found.") for i, (h, t) in enumerate(planner.TITLES.items())], "heading string, heading_pos int, title string, filler string")
+    return planner.merge_draft(planner.explainer_blocks(outputs, known), titles, focus).withColumnRenamed("doc_id", "user_id")
+
+
+@query("""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN least(8000, 1000 * pow(2, event_id % 6)) WHEN 1 THEN least(8000, 500 * (event_id % 30)) WHEN 2 THEN 5000 ELSE 0 END AS BIGINT) AS delay_ms,
+  CAST(least(15000, 3000 * pow(2, event_id % 6)) AS BIGINT) AS metadata_ms, event_type = 'error' AS transport FROM events""")
+def retry_plan(spark, d):
+    """Events as failed tries, with waits that a server asks for in seconds or as a date, or not."""
+    i = F.col("event_id")
+    asked = F.when(i % 4 == 1, ((i % 30) / 2).cast("string")).when(i % 4 == 2, "Thu, 01 Jan 2026 00:00:05 GMT").when(i % 4 == 3, "Wed, 31 Dec 2025 00:00:00 GMT").otherwise("when it suits")
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    message = F.when(F.col("event_type") == "error", "Request TIMED OUT").otherwise("bad request")
+    return read(spark, d, "events").select("event_id", rules.retry_delay_ms(i % 6, asked, now=now).alias("delay_ms"), queues.retry_schedule(i % 6).alias("metadata_ms"), rules.is_transport_error(message).alias("transport"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM documents""")
+def note_bodies(spark, d):
+    """Documents as notes: a title before, blanks and empty lines after each line's end are tidied away."""
+    made = F.concat(F.lit("# A title\r\n## And another\n\n"), F.col("text"), F.lit("  \n\n\n\n"))
+    return read(spark, d, "documents").select("doc_id", text.normalize_markdown(made).alias("body"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus <> 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders")
+def import_tally(spark, d):
+    return cascade.tally(read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "failed").alias("error")))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '#' || substr(md5(p_name), 1, 6) WHEN 1 THEN '#' || repeat(substr(md5(p_name), 1, 1), 2) || repeat(substr(md5(p_name), 2, 1), 2) || repeat(substr(md5(p_name), 3, 1), 2) ELSE '#ffd400' END AS color,
+  CAST('0x' || CASE p_partkey % 3 WHEN 0 THEN substr(md5(p_name), 1, 6) WHEN 1 THEN repeat(substr(md5(p_name), 1, 1), 2) || repeat(substr(md5(p_name), 2, 1), 2) || repeat(substr(md5(p_name), 3, 1), 2) ELSE 'ffd400' END AS INTEGER) AS number FROM part""")
+def color_numbers(spark, d):
+    digest, lot = F.md5(F.col("p_name").cast("binary")), F.col("p_partkey") % 3
+    told = F.when(lot == 0, F.concat(F.lit(" #"), F.upper(F.substring(digest, 1, 6)))).when(lot == 1, F.concat(F.lit("#"), F.substring(digest, 1, 3))).otherwise("red")
+    return read(spark, d, "part").select("p_partkey", rules.hex_color(told).alias("color")).withColumn("number", rules.color_number(F.col("color")))
+
+
+@query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, length(v) >= 80 OR (i % 2 = 0 AND length(v) >= 30) AS substantive FROM (SELECT doc_id, i, trim(regexp_replace(regexp_replace(line, '[#>*_`~|\-\\{}\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS v
+  FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\\', ' ', 'g') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))""")
+def substantive_lines(spark, d):
+    """Lines of documents as sections, by turns of a heading and of none."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    path = F.when(F.col("pos") % 2 == 1, F.array(F.lit("Top"), F.lit("Method"))).otherwise(F.array(F.lit("Document")))
+    return lines.select("doc_id", "pos", rules.is_substantive(F.regexp_replace("line", r"\\", " "), path).alias("substantive"))
+
+
 # --- literal tables: identifiers, notes, plans, responses ---
 
 

@@ -117,17 +117,39 @@ def custom(template: Column) -> Column:
     return fill_template(template, values, r"\{", r"\}")
 
 
+# The note that a blank template stands for.
+NOTE_TEMPLATE = """
+---
+arxiv_id: "{{arxiv_id}}"
+title: "{{title_frontmatter}}"
+published: "{{published}}"
+pdf_file: "[[{{pdf_file}}]]"
+tags:
+  - summary
+type:
+  - paper
+---
+"""
+
+
 def note_from_template(template: Column, pdf_name: Column) -> Column:
-    """A note for columns id, title, authors, published, abstract."""
+    """A note for columns id, title, authors, published, abstract; a blank or null template is NOTE_TEMPLATE."""
     c = F.col
+    template = F.when(trim_all(F.coalesce(template, F.lit(""))) == "", NOTE_TEMPLATE).otherwise(template)
     quoted = F.replace(c("title"), F.lit('"'), F.lit("'"))
     authors = F.array_join(F.transform(c("authors"), lambda a: F.concat(F.lit('  - "'), F.replace(a, F.lit('"'), F.lit("'")), F.lit('"'))), "\n")
     values = {"arxiv_id": c("id"), "title_frontmatter": quoted, "title": c("title"), "authors_yaml": authors, "published": c("published"), "abstract": trim_all(F.regexp_replace(c("abstract"), r"\n+", " ")), "pdf_file": pdf_name}
     return fill_template(template, values, r"\{\{", r"\}\}")
 
 
-def export_text(records: DataFrame) -> DataFrame:
-    """One row: all formatted records (pos, entry, missing array) with a warning line each where fields are missing."""
+def export_lines(records: DataFrame) -> DataFrame:
+    """(pos, line): each formatted record (pos, entry, missing array), after a warning where fields are missing."""
     line = F.when(F.size("missing") > 0, F.concat(F.lit("% missing: "), F.array_join("missing", ", "), F.lit("\n"), F.col("entry"))).otherwise(F.col("entry"))
-    ordered = records.agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
+    return records.select("pos", line.alias("line"))
+
+
+def export_text(records: DataFrame) -> DataFrame:
+    """One row: the lines in order, parted by empty lines.  For what a user puts on a clipboard; a whole corpus is
+    written from ``export_lines``."""
+    ordered = export_lines(records).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
     return ordered.select(F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("output"))

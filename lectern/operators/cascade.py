@@ -5,12 +5,14 @@ Each stage is a table; only the rows that need it go to the next call, and answe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import responses, rules
+from lectern.functions.text import excerpt
 from lectern.sources.files import call_provider
 
 Call = Callable[[str, str, int], tuple[int, str]]
@@ -34,21 +36,49 @@ def call_with_retry(requests: DataFrame, call: Call, parallel: int = 3) -> DataF
     return both.select("id", F.when(better, F.col("again")).otherwise(F.col("text")).alias("text"), F.when(F.col("again").isNull(), 1).otherwise(2).alias("tries"))
 
 
-def safety_net(label: Column, content: Column) -> Column:
-    """What stands in for an explanation that could not be had: the section's name and its first 300 characters."""
-    return F.concat(F.lit("**"), label, F.lit("**\n\n> "), F.substring(F.regexp_replace(content, r"\s+", " "), 1, 300))
+# What stands in for an explanation that could not be had.
+SECTION_NET = [
+    "> [!note] This part corresponds to **{name}** in the paper.",
+    "The safest confirmed focus is: {focus}",
+    "Finer technical details still need to be checked against the original section, so this fallback keeps the explanation intentionally minimal.",
+]
+FORMULA_NET = [
+    "{formula}",
+    "> [!note] Minimal formula note",
+    '> This formula appears in **{name}** and is directly tied to "{focus}".',
+    "> Finer variable definitions still need to be checked against the nearby source context, so this fallback keeps only the safest role-level explanation.",
+]
+
+
+def _filled(parts: list[str], **values: Column) -> Column:
+    """The parts with values in place of their names, parted by empty lines; empty parts are left out."""
+    made = []
+    for part in parts:
+        pieces = re.split(r"\{(\w+)\}", part)
+        made.append(F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces)]))
+    return F.array_join(F.filter(F.array(*made), lambda x: x != ""), "\n\n")
+
+
+def safety_net(label: Column, focus: Column) -> Column:
+    """For a section of that name whose goal, or excerpt, is ``focus``."""
+    return _filled(SECTION_NET, name=label, focus=focus)
+
+
+def formula_net(formula: Column, label: Column, focus: Column) -> Column:
+    return _filled(FORMULA_NET, formula=responses.formula_block(formula), name=label, focus=focus)
 
 
 def explained(answers: DataFrame, repairs: DataFrame, language: str = "en", least: int = 60) -> DataFrame:
-    """(id, markdown, step): answers (id, text, label, content), else repairs (id, text), else the safety net, by which is
-    sufficient first."""
+    """(id, markdown, step): answers (id, text, label, content, and focus or else the excerpt of content), else repairs
+    (id, text), else the safety net, by which is sufficient first."""
+    focus = F.col("focus") if "focus" in answers.columns else excerpt(F.col("content"))
     own = answers.withColumn("markdown", responses.markdown_of(F.col("text")))
     fixed = repairs.select("id", responses.markdown_of(F.col("text")).alias("repaired"))
     both = own.join(fixed, "id", "left")
     good = ~rules.is_insufficient(F.col("markdown"), F.col("content"), language, least)
     mended = F.col("repaired").isNotNull() & ~rules.is_insufficient(F.coalesce("repaired", F.lit("")), F.col("content"), language, least)
     return both.select(
-        "id", F.when(good, F.col("markdown")).when(mended, F.col("repaired")).otherwise(safety_net(F.col("label"), F.col("content"))).alias("markdown"),
+        "id", F.when(good, F.col("markdown")).when(mended, F.col("repaired")).otherwise(safety_net(F.col("label"), focus)).alias("markdown"),
         F.when(good, "answer").when(mended, "repair").otherwise("safety-net").alias("step"),
     )
 

@@ -146,6 +146,32 @@ def citation_records(notes: DataFrame, arxiv_meta: DataFrame | None = None) -> D
     return rows.withColumn("url", url).withColumn("missing", missing).drop("own_url")
 
 
+def is_graph_file(path: Column) -> Column:
+    """Whether a file may stand for a paper: a note or a PDF."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1)).isin("md", "pdf")
+
+
+def pdf_candidates(notes: DataFrame, pdfs: DataFrame, folder: str) -> DataFrame:
+    """(note_path, pdf_path, priority) of notes (…, path, basename, frontmatter, body) and pdfs (path, name) that there are.
+
+    A note's candidates in order: its field pdf_file, its first embedded PDF, and the PDF of its own name in ``folder``.
+    Each may be a path, else the name of a file anywhere (the shortest path counts), else a name in ``folder``.
+    """
+    embedded = F.get(F.filter(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"!\[\[([^\]]*)\]\]"), 1), lambda x: F.lower(F.split(x, r"[|#]")[0]).endswith(".pdf")), F.lit(0))
+    base = ids.normalize_path(F.lit(folder))
+    own = F.concat(base, F.lit("/"), "basename", F.lit(".pdf"))
+    tries = F.array(*[F.struct(F.lit(i).alias("n"), c.alias("c")) for i, c in enumerate((field("pdf_file"), embedded, own))])
+    clean = trim_all(F.split(ids.strip_wiki_link(trim_all(F.col("t.c"))), r"\|")[0])
+    links = notes.select(F.col("path").alias("note_path"), F.explode(tries).alias("t")).select("note_path", "t.n", clean.alias("link")).where("link <> ''")
+    paths = pdfs.where(F.lower("path").endswith(".pdf")).select(F.col("path").alias("pdf_path"), "name").distinct()
+    direct = links.join(paths, F.col("link") == F.col("pdf_path")).select("note_path", "pdf_path", (F.col("n") * 3).alias("priority"))
+    shortest = paths.groupBy("name").agg(F.min_by("pdf_path", F.struct(F.char_length("pdf_path"), "pdf_path")).alias("pdf_path"))
+    named = links.join(shortest, F.col("link") == F.col("name")).select("note_path", "pdf_path", (F.col("n") * 3 + 1).alias("priority"))
+    attached = links.where(~F.contains("link", F.lit("/"))).withColumn("link", F.concat(base, F.lit("/"), "link"))
+    attached = attached.join(paths, F.col("link") == F.col("pdf_path")).select("note_path", "pdf_path", (F.col("n") * 3 + 2).alias("priority"))
+    return direct.unionByName(named).unionByName(attached)
+
+
 def summary_pdf(candidates: DataFrame) -> DataFrame:
     """(note_path, pdf_path): of candidates (note_path, pdf_path, priority) that exist, the one of least priority."""
     return candidates.groupBy("note_path").agg(F.min_by("pdf_path", F.struct("priority", "pdf_path")).alias("pdf_path"))

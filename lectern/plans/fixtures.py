@@ -145,6 +145,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 T, N = True, None
 _LONG = "x" * 100
 #: name: (columns, rows)
+LOST = "> [!note] This part corresponds to **S** in the paper.\n\nThe safest confirmed focus is: The source text.\n\nFiner technical details still need to be checked against the original section, so this fallback keeps the explanation intentionally minimal."
 ANTHROPIC_BODY = '{"model":"m","max_tokens":10,"temperature":0.1,"system":"sys","messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}'
 OPENAI_BODY = '{"model":"m","max_tokens":10,"temperature":0.1,"enable_thinking":false,"response_format":{"type":"json_object"},"messages":[{"role":"system","content":"sys"},{"role":"user","content":"hi"}]}'
 EXPECTED: dict[str, tuple[str, list[tuple]]] = {
@@ -203,7 +204,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "queue_states": ("queue, pdf, id, status, error", [("q", "a", "3", "pending", N), ("q", "c", "5", "pending", N), ("q", "d", "6", "pending", N), ("r", "x", "1", "done", N), ("r", "y", "2", "error", "Failed"), ("r", "z", "3", "running", N)]),
     "file_names": ("title, path", [("A/B: C?", "Papers/A-B- C-.pdf"), ("  two\nlines ", "Papers/two-lines.pdf"), ("x" * 120, f"Papers/{_LONG}.pdf")]),
     "source_priority": ("paper_id, kind, text", [("p", "ar5iv-html", "text"), ("q", "pdf", "pdf text")]),
-    "explanations": ("id, markdown, step", [("good", EXPLAINED, "answer"), ("leak", EXPLAINED, "repair"), ("lost", "**S**\n\n> The source text.", "safety-net")]),
+    "explanations": ("id, markdown, step", [("good", EXPLAINED, "answer"), ("leak", EXPLAINED, "repair"), ("lost", LOST, "safety-net")]),
     "import_ids": ("k, arxiv", [(1, "2301.00001"), (2, "2302.00002"), (3, "2303.00003"), (4, N)]),
     "setting_values": ("k, color, names, effort", [(1, "#ffffff", "arxiv|id", "high"), (2, "#12ab34", "doi", "low"), (3, "#ffd400", "doi", "low")]),
     "prose_texts": (

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import citations, responses, rules, text
-from lectern.operators import geometry, identity, markdown, matching, pages, planner, report, tfidf
+from lectern.operators import cascade, geometry, identity, markdown, matching, pages, planner, report, tfidf
 from lectern.plans import fixtures
-from lectern.sources import files, html
+from lectern.sources import files, html, remote
 from lectern.streaming import queues
 
 ITEM = "doc_id string, page_num int, idx int, text string, height double, y double, font_name string, font_family string, has_eol boolean"
@@ -338,3 +338,83 @@ def test_queue_helpers(spark):
     assert queues.clear_done(q).count() == 3
     starts = queues.paced(spark.createDataFrame([(0, 0), (1, 100), (2, 9000)], "pos int, ts_ms int")).orderBy("pos").collect()
     assert [r["start_ms"] for r in starts] == [0, 3000, 9000]
+
+
+def test_sources_are_fetched_by_policy(spark):
+    pages = {
+        "https://huggingface.co/papers/2301.00001.md": (404, "no"), "https://arxiv.org/html/2301.00001": (503, "busy"), "https://ar5iv.labs.arxiv.org/html/2301.00001": (200, "<html><body><main><h1>T</h1><p>Body</p></main></body></html>"),
+        "https://r.jina.ai/https://arxiv.org/pdf/2301.00001": (200, "plain\r\n\n\n\ntext"), "https://huggingface.co/papers/2301.00002.md": (200, "  "), "https://r.jina.ai/https://arxiv.org/pdf/2301.00002": (200, "<!DOCTYPE html><html><body><article><h1>R</h1></article></body></html>"),
+    }
+
+    def fetch(url, headers):
+        if url not in pages:
+            raise OSError("unreachable")
+        return pages[url]
+
+    papers = spark.createDataFrame([("a", "2301.00001", "p"), ("b", "2301.00002", "p"), ("c", None, "from the PDF")], "paper_id string, arxiv_id string, pdf_text string")
+    got = {r["paper_id"]: r for r in remote.paper_sources(papers, fetch).collect()}
+    assert got["a"]["kind"] == "ar5iv-html" and got["a"]["text"].startswith("# T\n") and got["a"]["text"].endswith("\n\nBody") and [x["status"] for x in got["a"]["attempts"]] == ["skipped", "error", "success", "success"]
+    assert got["b"]["kind"] == "jina-reader" and got["b"]["text"].startswith("# R") and got["b"]["attempts"][1]["reason"].startswith("Source request returned 0: unreachable")
+    assert (got["c"]["kind"], got["c"]["text"]) == ("pdf", "from the PDF")
+
+
+def test_graph_is_fetched_again_without_a_rejected_key(spark):
+    import json
+
+    answer = json.dumps({"data": [{"citingPaper": {"paperId": "x", "title": "T", "authors": [{"name": "A"}], "externalIds": {"ArXiv": "2301.00009"}}}, {"citingPaper": None}]})
+
+    def fetch(url, headers):
+        if headers or "limit=7" not in url:
+            return 403, "no"
+        return (200, answer) if "ArXiv:2301.1" in url else (200, "not json") if "bad" in url else (500, "")
+
+    papers = spark.createDataFrame([("arxiv:2301.1",), ("bad",), ("down",)], "paper_id string")
+    (row,) = remote.fetch_graph(papers, fetch, most=7, key="k").collect()
+    assert (row["paper_id"], row["record"]["id"], row["record"]["url"], row["record"]["year"]) == ("arxiv:2301.1", "x", "https://arxiv.org/abs/2301.00009", 0)
+    assert remote.fetch_graph(papers, fetch, "references", 7).count() == 0
+
+
+def test_downloads_are_idempotent(spark):
+    papers = spark.createDataFrame([(1, "2301.1", "One"), (2, "2301.2", "Two"), (3, "2301.3", "Two"), (4, "gone", "Four"), (5, None, "Five")], "paper_id int, arxiv_id string, title string")
+    files = spark.createDataFrame([("Papers/One.pdf",)], "path string")
+    fetch = lambda url: (404, b"") if url.endswith("gone") else (200, b"%PDF")
+    got = sorted((r["path"], r["step"]) for r in remote.downloads(papers, files, fetch, F.lit("Papers/")).collect())
+    assert got == [("Papers/Four.pdf", "failed"), ("Papers/One.pdf", "kept"), ("Papers/Two.pdf", "fetched")]
+    assert {r["step"] for r in remote.downloads(papers, files, fetch, F.lit("Papers"), overwrite=True).collect()} == {"fetched", "failed"}
+
+
+def test_pdf_of_a_note(spark):
+    notes = spark.createDataFrame([note("n/a.md", {"pdf_file": "[[x.pdf|shown]]"}), note("n/b.md", {}, "see ![[pic.png]] and ![[deep.pdf]]"), note("n/c.md"), note("n/d.md", {"pdf_file": "Papers/y.pdf"}), note("n/e.md", {"pdf_file": "none.pdf"})], NOTE)
+    pdfs = spark.createDataFrame([("Papers/x.pdf", "x.pdf"), ("z/long/deep.pdf", "deep.pdf"), ("z/deep.pdf", "deep.pdf"), ("Papers/c.pdf", "c.pdf"), ("Papers/y.pdf", "y.pdf")], "path string, name string")
+    found = identity.summary_pdf(identity.pdf_candidates(notes, pdfs, "Papers/"))
+    assert {r["note_path"]: r["pdf_path"] for r in found.collect()} == {"n/a.md": "Papers/x.pdf", "n/b.md": "z/deep.pdf", "n/c.md": "Papers/c.pdf", "n/d.md": "Papers/y.pdf"}
+    assert [value(spark, identity.is_graph_file(F.lit(p))) for p in ("a/b.MD", "c.pdf", "d.png", "e")] == [True, True, False, False]
+
+
+def test_blank_template_is_the_default(spark):
+    paper = spark.createDataFrame([("2301.1", 'A "t"', ["X"], "2020-01-01", "a")], "id string, title string, authors array<string>, published string, abstract string")
+    out = paper.select(citations.note_from_template(F.lit("  "), F.lit("p.pdf")).alias("v")).first()["v"]
+    assert out == "\n---\narxiv_id: \"2301.1\"\ntitle: \"A 't'\"\npublished: \"2020-01-01\"\npdf_file: \"[[p.pdf]]\"\ntags:\n  - summary\ntype:\n  - paper\n---\n"
+
+
+def test_nets_name_the_section(spark):
+    out = value(spark, cascade.formula_net(F.lit("$$ a=b $$"), F.lit("Method"), F.lit("how it works")))
+    assert out.split("\n\n")[0] == "$$ a=b $$" and '> This formula appears in **Method** and is directly tied to "how it works".' in out
+
+
+def test_second_calls(spark):
+    import json
+
+    def call(system, user, tokens):
+        whole = json.dumps({"markdown": "the whole answer " * 3})
+        text = whole if user == "fine" or tokens > 100 else whole[:20]
+        return 200, json.dumps({"choices": [{"finish_reason": "stop" if text == whole else "length", "message": {"content": text}}]})
+
+    requests = spark.createDataFrame([("a", "openai", "s", "fine", 100), ("b", "openai", "s", "long", 100)], "id string, provider string, system string, user string, max_tokens int")
+    got = {r["id"]: (r["tries"], responses) for r in cascade.call_with_retry(requests, call).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 1, "b": 2}
+
+
+def test_summary_source(spark):
+    chunks = spark.createDataFrame([("d", 1, "method", None, "m"), ("d", 0, "other", "Own", "o"), ("d", 2, "other", None, "x")], "doc_id string, pos int, section_tag string, heading_text string, text string")
+    assert report.summary_source("T", chunks).first()["source"] == "# T\n\n### Own\no\n\n### Method\nm\n\n### Other\nx"

@@ -399,7 +399,16 @@ def overloads_in_window(spark, d):
     return queues.recent_overloads(throttle_events(spark, d).drop("retry_after_ms"), "user_id")
 
 
-@query()
+@query("WITH RECURSIVE " + EVENTS + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, pos) AS rn FROM e),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS ts_ms, CAST(0 AS BIGINT) AS rn, 3 AS now, CAST(0 AS BIGINT) AS changed, 0 AS streak, CAST(0 AS BIGINT) AS until FROM e
+  UNION ALL SELECT n.user_id, n.pos, n.ts_ms, n.rn,
+    CASE WHEN kind = 'overload' THEN greatest(1, now // 2) WHEN kind = 'success' AND now < 3 AND until <= n.ts_ms AND n.ts_ms - changed >= 10000 AND streak >= 4 THEN now + 1 ELSE now END,
+    CASE WHEN kind = 'overload' OR (kind = 'success' AND now < 3 AND until <= n.ts_ms AND n.ts_ms - changed >= 10000 AND streak >= 4) THEN n.ts_ms ELSE changed END,
+    CASE WHEN kind <> 'success' OR (now < 3 AND until <= n.ts_ms AND n.ts_ms - changed >= 10000 AND streak >= 4) THEN 0 ELSE streak + 1 END,
+    CASE WHEN kind = 'overload' THEN n.ts_ms + 15000 ELSE until END
+  FROM s JOIN n ON s.user_id = n.user_id AND n.rn = s.rn + 1)
+SELECT user_id, ts_ms, pos, now AS concurrency, CAST((SELECT count(*) FROM n WHERE n.user_id = s.user_id AND n.kind = 'overload' AND n.rn <= s.rn AND n.ts_ms >= s.ts_ms - 60000) AS INTEGER) AS recent_overloads, until > ts_ms AS cooling
+FROM s WHERE rn > 0""")
 def throttle_states(spark, d):
     return queues.throttle_trace(throttle_events(spark, d), "user_id")
 

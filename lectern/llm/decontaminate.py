@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.store import ascii_lower, prepare, small, table, text_key
+from lectern.llm.store import ascii_lower, drop, prepare, small, table, text_key
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,6 +66,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
         texts = wins.select(F.col("w_id").alias("h"), "win").distinct()
         found = again.select("rid", "p.*").join(texts, "h").where(F.col("got") == F.col("win")).select("rid", "at", "len", "win")
         found = table(found.distinct(), "window-hits")
+        drop(probed, places)
     else:
         found = words.where("false").select("rid", F.lit(0).alias("at"), F.lit(0).alias("len"), "ws").withColumnRenamed("ws", "win")
     spans = found.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + F.col("len")).alias("e")))).alias("sp"))

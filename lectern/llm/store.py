@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: A side is broadcast only when its counted rows are at most this many.
 BROADCAST_ROWS = 1_000_000
+#: And a written table, only when its files have at most this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -37,26 +41,58 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths that ``table`` has made, by open scope; see ``scratch``.
+_scopes: list[list[str]] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _scopes[-1:]:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lectern_path = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, place = _file_system(spark, path)
+        fs.delete(place, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that ``table`` returned; for those that nothing will read any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.lectern_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.lectern_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At its end all tables made within are deleted; what they were made for must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_scopes.pop())
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if its counted rows allow it; otherwise a
-    shuffled join remains, whose hot keys adaptive execution splits."""
+    """``df`` with a broadcast hint if its counted rows allow it and, for a written table, its counted bytes; otherwise a
+    shuffled join remains, whose hot keys adaptive execution splits.  A selection from a table must be of a few
+    numbers a row."""
+    path = getattr(df, "lectern_path", None)
+    if path:
+        fs, place = _file_system(df.sparkSession, path)
+        if fs.getContentSummary(place).getLength() > BROADCAST_BYTES:
+            return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

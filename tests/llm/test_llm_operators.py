@@ -330,6 +330,48 @@ def test_fingerprints(spark):
         assert r["near_edited"] == fingerprint.likeness([f], [e])[0] and r["near_next"] == fingerprint.likeness([f], [x])[0]
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    for _ in range(2):
+        x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & MASK
+    return x ^ x >> 32
+
+
+def digest_truth(text):
+    """The digest, byte by byte and from its description only."""
+    b = text.encode()
+    counts = [0] * 256
+    for k in range(len(b)):
+        for t, places in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))):
+            if k + places[-1] < len(b):
+                h = 0
+                for p, place in enumerate(places):
+                    h ^= mixed((((t * 3 + p) * 256 + b[k + place]) * 0x9E3779B97F4A7C15 + 1) & MASK) >> 56
+                counts[h] += 1
+    cuts = [sorted(counts)[q * 64 - 1] for q in (1, 2, 3)]
+    code = [sum(c > x for x in cuts) for c in counts]
+    body = bytes(code[i] | code[i + 1] << 2 | code[i + 2] << 4 | code[i + 3] << 6 for i in range(0, 256, 4))
+    return (bytes([sum(b) % 251, min(int(math.log1p(len(b)) / math.log(1.3)), 255)]) + body).hex()
+
+
+def likeness_truth(x, y):
+    a, b = bytes.fromhex(x), bytes.fromhex(y)
+    far = abs(a[1] - b[1]) + (a[0] != b[0])
+    for p, q in zip(a[2:], b[2:]):
+        far += sum([0, 1, 2, 6][abs((p >> s & 3) - (q >> s & 3))] for s in (0, 2, 4, 6))
+    return 1 - min(far, 416) / 416
+
+
+def test_digests_by_brute_force():
+    texts = [t for _, t, *_ in corpus(31, 25)] + ["", "ab", "abc", "é" * 40, "aaaaaaaaaa" * 30]
+    got = fingerprint.digests(pa.array(texts))
+    assert got == [digest_truth(t) for t in texts]
+    pairs = [(got[i], got[j]) for i in range(len(got)) for j in range(0, i, 3)]
+    assert fingerprint.likeness(*map(list, zip(*pairs))).tolist() == pytest.approx([likeness_truth(*p) for p in pairs])
+
+
 def test_fingerprint_cases(spark):
     out = fingerprint.fingerprint_documents(frame(spark, odd_rows(), CLASH)).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
@@ -354,6 +396,46 @@ def test_language_model(spark):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SPARE", 2000)  # so that the filter is never wrong
+    rows = corpus(17, 60)
+    held = lambda i: i % 5 == 2
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(frame(spark, rows), F.col("doc_id") % 5 == 2).collect()}
+    texts = {i: [*words(t), "\n"] for i, t, *_ in rows}  # the end is a token of its own
+    pairs_of = {i: list(zip(["\n", *ts[:-1]], ts)) for i, ts in texts.items()}
+    single = collections.Counter(w for i, ts in texts.items() if not held(i) for w in ts)
+    double = collections.Counter(p for i, ps in pairs_of.items() if not held(i) for p in ps)
+    n, v = sum(single.values()), len(single)
+    level = lambda c: 1 + int(math.log(c) / math.log(1.4) + 1e-9) if c else 0
+
+    def count_of(q):
+        if not q:
+            return 0.0
+        inside = [c for c in range(1, 5000) if level(c) == q]
+        return (inside[0] + inside[-1]) / 2 if inside else None
+
+    tables = {c: count_of(level(c)) for c in {*single.values(), *double.values(), 0}}
+
+    def shares(a, b, out):
+        before, own, both = tables[single[a]], tables[single[b]], tables[double[a, b]]
+        both = min(both, before, own)
+        return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / max(before - out, 1), min(level(single[a]), 63)
+
+    weights = [0.05] * 64
+    told = [shares(a, b, 1) for i, ps in pairs_of.items() if not held(i) for a, b in ps]
+    for _ in range(20):
+        won, seen = [0.0] * 64, [0] * 64
+        for own, share, q in told:
+            w = weights[q]
+            won[q] += w * share / (w * share + (1 - w) * own)
+            seen[q] += 1
+        weights = [min((x + 0.05) / (y + 1), 0.95) for x, y in zip(won, seen)]
+    weights[0] = 0.0
+    for i, ps in pairs_of.items():
+        want = sum(math.log10(weights[q] * share + (1 - weights[q]) * own) for own, share, q in (shares(a, b, 0) for a, b in ps))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_filter_reads_levels_back():
     h = lm_score.mix(np.arange(1, 2001, dtype=np.uint64))
     c = np.arange(1, 2001) % 300 + 1
@@ -407,6 +489,55 @@ def test_language_net_learns_and_rejects(spark):
     assert language_id.predict_languages(frame(spark, rows[:2]), blank).first()["lang_pred"] == "und"
 
 
+def test_network_by_brute_force():
+    net = language_id.ByteNet(["a", "b", "c"], seed=9)
+    rng = np.random.default_rng(2)
+    net.bias, net.out_bias = rng.normal(0, 0.2, net.bias.shape).astype(np.float32), rng.normal(0, 0.2, 3).astype(np.float32)
+    texts = ["Some Words, 12 of them: éàü", "x" * 700, "short", ("mixed ÿ " * 60)]
+    names, scores = net.predict(pa.array(texts))
+    for text, name, score in zip(texts, names, scores):
+        data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        total, weight = np.zeros(3), 0.0
+        for at in range(0, len(data), 256):
+            window = data[at : at + 256].ljust(256, b" ")
+            peaks = []
+            for table in net.tables:
+                sums = [sum(table[k][window[s + k]] for k in range(len(table))) for s in range(256 - len(table) + 1)]
+                peaks += list(np.max(sums, axis=0))
+            z = np.maximum(np.array(peaks) + net.bias, 0) @ net.out + net.out_bias
+            letters = sum(b != 32 for b in window) + 1e-3
+            total += letters * (z - np.log(np.exp(z).sum()))
+            weight += letters
+        p = np.exp(total / weight) / np.exp(total / weight).sum()
+        assert name == net.classes[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_attention_by_brute_force():
+    model = quality.AttentionBags(seed=8)
+    rng = np.random.default_rng(3)
+    model.mean, model.scale = rng.random(quality.FEATURES).astype(np.float32) / 10, rng.random(quality.FEATURES).astype(np.float32) + 0.5
+    texts = ["Plain words, plain words.\n" * 60, "$$$ 123", "", "ÄÖÜ äöü " * 100]
+    got = model.score(pa.array(texts))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for text, score in zip(texts, got):
+        data = text.encode()
+        hidden, marks = [], []
+        for at in range(0, max(len(data), 1), 512):
+            part = data[at : at + 512]
+            kinds = [int(quality.CLASS[b]) for b in part]
+            ones, twos = collections.Counter(kinds), collections.Counter(zip(kinds, kinds[1:]))
+            x = [math.sqrt(ones[k] / max(len(part), 1)) for k in range(quality.CLASSES)] + [math.sqrt(twos[j, k] / max(len(part), 1)) for j in range(quality.CLASSES) for k in range(quality.CLASSES)]
+            # words count where they begin
+            spans = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", data.lower() if data.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in data)) if at <= m.start() < at + 512]
+            n, distinct, letters = len(spans), len({m[0] for m in spans}), sum(len(m[0]) for m in spans)
+            x += [math.log1p(len(part)), distinct / max(n, 1), letters / max(n, 1) / 10, math.log1p(len(data)) / 10]
+            h = np.tanh(((np.array(x) - model.mean) / model.scale) @ model.w + model.wb)
+            hidden.append(h)
+            marks.append(float((np.tanh(h @ model.v) * np.array([sigmoid(u) for u in h @ model.u])) @ model.a))
+        share = np.exp(np.array(marks)) / np.exp(np.array(marks)).sum()
+        assert score == pytest.approx(sigmoid(float((share @ np.array(hidden)) @ model.c + model.cb[0])), abs=1e-4)
+
+
 def test_quality_model_learns(spark):
     rng = random.Random(13)
     rows = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(4)) + ("$$$" if i % 4 == 0 else "") for _ in range(120)), "en", "s", 0) for i in range(240)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from lectern.llm.store import bucket_of, shared_dir, small, table, text_key
+from lectern.llm.store import bucket_of, delete, scratch, shared_dir, small, table, text_key
 
 #: A prediction less probable than this is no language of the corpus (chance, with four, is 0.25).
 MIN_LANGUAGE_SCORE = 0.3
@@ -78,14 +78,20 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The first stage is a trained network, which SQL cannot express; tests hold each stage against brute force.
+#: The first stage is a trained network, which SQL cannot express.  Tests hold line dedup, near duplicates and decontamination
+#: against brute force, language identification on rows whose language is known, and mixing on its targets.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; a stage's own tables, and the documents that it read, are deleted once its result
+    is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/lectern/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

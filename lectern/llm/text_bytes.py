@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in chunks of about this many bytes (a longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)

@@ -28,8 +28,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_c
 
     A line goes if its key has at least ``min_length`` code points and is found in at least
     ``min_docs`` documents, also in the first of them.  Rows that share a doc_id (or whose doc_id is
-    null) count as one document.  A null or empty text is one empty line and stays empty; a text that
-    loses all its lines becomes empty.
+    null) count as one document; repeated rows each lose their lines.  A null or empty text is one empty line and
+    stays empty; a text that loses all its lines becomes empty.  Texts of any length are split whole.  An empty
+    table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -13,11 +13,18 @@ just into out if then than so also do did does our we us me my you your
 """.split()
 
 
+def terms(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9 of two characters or more."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
+
+
+def is_stop_word(term: Column) -> Column:
+    return term.isin(*STOP_WORDS)
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 of two characters or more that are no stop words."""
-    pieces = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(pieces, lambda w: (F.char_length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(terms(text), lambda w: ~is_stop_word(w))
 
 
 def collapse(text: Column) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.functions.text import first_sentence_reason, tokenize, trim_all
+from lectern.functions.text import first_sentence_reason, is_stop_word, terms, trim_all
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf)."""
-    return docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).where(~is_stop_word(F.col("term"))).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -35,25 +35,27 @@ def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
     lengthen the query's vector.  Squares for the norms and products with all queries' weights are summed in one
     aggregate by document and query (null: the document itself); only then do documents meet the list of queries.
     """
-    tf = docs.select("doc_id", F.explode_outer(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # stop words count under a null term, of no weight, so that every document has a row
+    term = F.when(~is_stop_word(F.col("term")), F.col("term"))
+    tf = docs.select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).select("doc_id", term.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n_docs"))
-    df = document_frequencies(tf.where("term is not null")).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
+    df = document_frequencies(tf).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
     absent = F.log(F.col("n_docs") + 1) + 1
     qw = term_frequencies(queries, "query_id").join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
     by_term = qw.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
     w = F.col("tf") * F.col("idf")
     weights = tf.join(df, "term", "left").join(by_term, "term", "left").select("doc_id", w.alias("w"), "asked")
-    none = F.array().cast(by_term.schema["asked"].dataType)
     own = F.struct(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), (F.col("w") * F.col("w")).alias("v"))
-    terms = F.concat(F.array(own), F.transform(F.coalesce("asked", none), lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v"))))
-    sums = weights.select("doc_id", F.explode(terms).alias("t")).groupBy("doc_id", "t.query_id").agg(F.sum("t.v").alias("v"))
+    shared = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v")))
+    parts = F.when(F.col("asked").isNull(), F.array(own)).otherwise(F.concat(F.array(own), shared))
+    sums = weights.select("doc_id", F.explode(parts).alias("t")).groupBy("doc_id", "t.query_id").agg(F.sum("t.v").alias("v"))
     dots = F.map_from_entries(F.collect_list(F.when(F.col("query_id").isNotNull(), F.struct("query_id", "v"))))
     per_doc = sums.groupBy("doc_id").agg(F.sqrt(F.max(F.when(F.col("query_id").isNull(), F.col("v")))).alias("d_norm"), dots.alias("dots"))
     norms = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     asked = queries.select("query_id").join(norms, "query_id", "left").agg(F.collect_list(F.struct("query_id", "q_norm")).alias("queries"))
-    pairs = per_doc.crossJoin(F.broadcast(asked)).select("doc_id", "d_norm", "dots", F.explode("queries").alias("q"))
-    sim = F.try_element_at("dots", F.col("q.query_id")) / (F.col("d_norm") * F.col("q.q_norm"))
-    return pairs.select("q.query_id", "doc_id", F.coalesce(sim, F.lit(0.0)).alias("sim"))
+    sim = lambda q: F.coalesce(F.try_element_at("dots", q["query_id"]) / (F.col("d_norm") * q["q_norm"]), F.lit(0.0))
+    scored = F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), sim(q).alias("sim")))
+    return per_doc.crossJoin(F.broadcast(asked)).select("doc_id", F.explode(scored).alias("s")).select("s.query_id", "doc_id", "s.sim")
 
 
 def top_k(scored: DataFrame, by: str, score: str, position: str, k: int) -> DataFrame:

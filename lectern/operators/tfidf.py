@@ -20,8 +20,9 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    """(term, df) of what ``term_frequencies`` gives."""
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df) of what ``term_frequencies`` gives.  Each row counts as one through its own count, so that the same
+    exchange serves both."""
+    return tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -35,15 +36,15 @@ def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
     lengthen the query's vector.  Squares for the norms and products with all queries' weights are summed in one
     aggregate by document and query (null: the document itself); only then do documents meet the list of queries.
     """
-    # stop words count under a null term, of no weight, so that every document has a row
-    term = F.when(~is_stop_word(F.col("term")), F.col("term"))
+    # stop words count under an empty term, of no weight, so that every document has a row
+    term = F.coalesce(F.when(~is_stop_word(F.col("term")), F.col("term")), F.lit(""))
     tf = docs.select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).select("doc_id", term.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = document_frequencies(tf).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
     absent = F.log(F.col("n_docs") + 1) + 1
     qw = term_frequencies(queries, "query_id").join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
     by_term = qw.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
-    w = F.col("tf") * F.col("idf")
+    w = F.when(F.col("term") != "", F.col("tf") * F.col("idf"))
     weights = tf.join(df, "term", "left").join(by_term, "term", "left").select("doc_id", w.alias("w"), "asked")
     own = F.struct(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), (F.col("w") * F.col("w")).alias("v"))
     shared = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v")))

@@ -198,3 +198,8 @@ def anchors(highlights: DataFrame, items: DataFrame, threshold: float = 0.55) ->
 def stored(found: DataFrame) -> DataFrame:
     """Anchors with both ends, offsets 0 and page 1 by default, as they are kept by document."""
     return found.where("begin_index is not null and end_index is not null").withColumns({"begin_offset": F.coalesce("begin_offset", F.lit(0)), "end_offset": F.coalesce("end_offset", F.lit(0)), "match_page": F.coalesce("match_page", F.lit(1))})
+
+
+def on_page(found: DataFrame, doc_id: Column, page: Column) -> DataFrame:
+    """Stored anchors of one page of a document, in the order in which they begin."""
+    return found.where((F.col("doc_id") == doc_id) & (F.col("match_page") == page)).orderBy("begin_index", "begin_offset")

@@ -92,3 +92,8 @@ def recommended_papers(picks: DataFrame, candidates: DataFrame, most: int = 5, l
     reason = F.when(F.char_length(trim_all(F.col("reason"))) >= least_reason, trim_all(F.col("reason"))).otherwise(first_sentence_reason(F.col("abstract")))
     rows = picks.join(known, ["id", "paper_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return rows.select("id", "rank", "paper_id", "title", "url", reason.alias("reason"))
+
+
+def candidates(papers: DataFrame, target: Column) -> DataFrame:
+    """Papers (id, abstract, …) that have both and are not the target."""
+    return papers.where((F.coalesce("id", F.lit("")) != "") & (F.coalesce("abstract", F.lit("")) != "") & (F.col("id") != target))

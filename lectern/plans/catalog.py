@@ -607,6 +607,59 @@ def substantive_lines(spark, d):
     return lines.select("doc_id", "pos", rules.is_substantive(F.regexp_replace("line", r"\\", " "), path).alias("substantive"))
 
 
+# --- more predicates and labels over tables (S3, S9, P3, P4, P16, P20, E8, J11, W9) ---
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN lang <> 'de' THEN 'p' || doc_id END AS id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS abstract FROM documents)
+WHERE coalesce(id, '') <> '' AND coalesce(abstract, '') <> '' AND id <> 'p10'""")
+def graph_candidates(spark, d):
+    c = F.col("doc_id")
+    papers = read(spark, d, "documents").select("doc_id", F.when(c % 4 == 0, "").when(F.col("lang") != "de", F.concat(F.lit("p"), c)).alias("id"), F.when(c % 3 == 0, "").otherwise(F.col("text")).alias("abstract"))
+    return tfidf.candidates(papers, F.lit("p10")).select("doc_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN starts_with(p, 'arxiv:') THEN 'ArXiv:' || substr(p, 7) WHEN starts_with(p, 'doi:') THEN 'DOI:' || substr(p, 5) ELSE p END AS graph_id,
+  lower(p_brand) = 'brand#11' OR (lower(p_brand) = 'brand#12' AND starts_with(lower(p_type), 'standard')) AS in_folder
+FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'arxiv:' WHEN 1 THEN 'doi:' ELSE '' END || p_partkey AS p FROM part)""")
+def paper_places(spark, d):
+    """Parts as papers with identifiers of three kinds, kept in folders by brand and type."""
+    k = F.col("p_partkey")
+    paper = F.concat(F.when(k % 3 == 0, "arxiv:").when(k % 3 == 1, "doi:").otherwise(""), k.cast("string"))
+    path = F.concat(F.lit("/"), F.upper("p_brand"), F.lit("\\"), F.regexp_replace("p_type", " ", "/"), F.lit("/"), k.cast("string"), F.lit(".md"))
+    inside = ids.within_folder(path, F.lit("Brand#11/")) | ids.within_folder(path, F.lit("brand#12/Standard"))
+    return read(spark, d, "part").select("p_partkey", ids.graph_id(paper).alias("graph_id"), inside.alias("in_folder"))
+
+
+@query("""SELECT p_partkey, p_partkey % 4 IN (0, 2) AS math_font, p_partkey % 4 IN (0, 2) OR p_partkey % 5 = 1 OR (p_size < 8 AND p_partkey % 5 < 3) AS fragment,
+  CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_type ELSE p_type END AS label FROM part""")
+def font_predicates(spark, d):
+    """Parts as page items: a font by turns, a short text, a symbol or a long one, as high as the part is large."""
+    k = F.col("p_partkey")
+    font = F.when(k % 4 == 0, "ABC+CMR10").when(k % 4 == 2, "XITS Math").when(k % 4 == 1, "g_d0_f1")
+    shown = F.when(k % 5 == 1, " ∑i ").when(k % 5 < 3, "abc").otherwise("a longer text")
+    path = F.when(k % 3 == 0, F.array("p_type", "p_brand")).when(k % 3 == 1, F.array(F.col("p_brand"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return read(spark, d, "part").select(
+        "p_partkey", rules.is_math_font(F.lit("serif"), font).alias("math_font"), rules.is_formula_fragment(shown, F.col("p_size").cast("double"), F.lit(12.0), F.lit("serif"), font).alias("fragment"),
+        cascade.pointer_label(path, F.col("p_type")).alias("label"),
+    )
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN '2301.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') END AS arxiv FROM part""")
+def note_arxiv_ids(spark, d):
+    """Parts as notes that tell their paper in a field, in a link, in their name, or in a field of another case."""
+    k = F.col("p_partkey")
+    own = F.concat(F.lit("2301."), F.lpad(k.cast("string"), 5, "0"))
+    front = F.when(k % 4 == 0, F.create_map(F.lit("arxiv_id"), own, F.lit("arxiv"), F.lit("2302.00001"))).when(k % 4 == 1, F.create_map(F.lit("source"), F.concat(F.lit("https://arxiv.org/abs/"), own, F.lit("v2")))).otherwise(F.create_map(F.lit("Arxiv"), own))
+    base = F.when(k % 4 == 2, F.concat(F.lit("Notes on "), own)).otherwise("Notes")
+    return read(spark, d, "part").select("p_partkey", front.alias("frontmatter"), base.alias("basename")).select("p_partkey", identity.note_arxiv_id().alias("arxiv"))
+
+
+@query("""SELECT user_id, event_id AS pos, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS n_done, count(*) OVER (PARTITION BY user_id) AS total FROM events""")
+def step_progress(spark, d):
+    steps = read(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), (F.col("event_type") == "purchase").alias("done"))
+    return queues.progress(steps, "user_id").drop("done")
+
+
 # --- literal tables: identifiers, notes, plans, responses ---
 
 

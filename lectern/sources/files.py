@@ -26,8 +26,8 @@ def split_note(path: Column, content: Column) -> list[Column]:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Note files with their frontmatter as a map of strings (lists joined by commas)."""
-    raw = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("path"))
+    """Note files (.md, in all folders below ``path``) with their frontmatter as a map of strings (lists joined by commas)."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select("*", F.col("_metadata.file_path").alias("path"))
     return with_frontmatter(raw.select(*split_note(F.col("path"), F.col("value"))))
 
 

@@ -115,6 +115,12 @@ def next_job(queue: DataFrame) -> DataFrame:
     return idle.where("busy = 0 and first is not null").select("first.id", "first.added_at")
 
 
+def progress(steps: DataFrame, key: str) -> DataFrame:
+    """steps (key, pos, done) with n_done, the steps done up to each, and total, in order of pos."""
+    order = W.partitionBy(key).orderBy("pos")
+    return steps.withColumn("n_done", F.sum(F.col("done").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.count("*").over(W.partitionBy(key)))
+
+
 def queue_statistics(queue: DataFrame) -> DataFrame:
     return queue.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "done", "error")])
 

@@ -418,3 +418,15 @@ def test_second_calls(spark):
 def test_summary_source(spark):
     chunks = spark.createDataFrame([("d", 1, "method", None, "m"), ("d", 0, "other", "Own", "o"), ("d", 2, "other", None, "x")], "doc_id string, pos int, section_tag string, heading_text string, text string")
     assert report.summary_source("T", chunks).first()["source"] == "# T\n\n### Own\no\n\n### Method\nm\n\n### Other\nx"
+
+
+def test_anchors_of_a_page(spark):
+    found = spark.createDataFrame([("d", 1, 5, 0), ("d", 1, 2, 3), ("d", 2, 0, 0), ("e", 1, 0, 0)], "doc_id string, match_page int, begin_index int, begin_offset int")
+    assert [r["begin_index"] for r in matching.on_page(found, F.lit("d"), F.lit(1)).collect()] == [2, 5]
+
+
+def test_notes_are_read_from_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntitle: T\n---\nBody #x", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("no note", encoding="utf-8")
+    got = files.read_notes(spark, str(tmp_path)).collect()
+    assert [(r["basename"], r["frontmatter"]["title"]) for r in got] == [("a", "T")]

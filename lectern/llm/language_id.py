@@ -123,11 +123,12 @@ def fit_language_net(labelled: DataFrame, sample_rows: int = 3000) -> ByteNet:
     text and language have the smallest hashes, and TRAIN_WINDOWS windows of each at most, spread evenly from the
     first to the last code point.
 
-    Null texts and languages, and windows without a letter, are left out; a text that occurs repeatedly is learned as
-    often as it is drawn.  Without rows the network has no classes.
+    Null texts and languages, and windows without a letter, are left out; of equal texts of one language one is drawn.
+    Without rows the network has no classes.
     """
     known = labelled.where("lang is not null and text is not null")
-    rows = hash_sample(known, F.xxhash64("text", "lang"), sample_rows).select("lang", spread(F.col("text"), TRAIN_WINDOWS, WINDOW).alias("text")).toArrow()
+    known = known.select(F.xxhash64("text", "lang").alias("by"), "lang", spread(F.col("text"), TRAIN_WINDOWS, WINDOW).alias("text"))
+    rows = hash_sample(known, "by", sample_rows).toArrow()
     net = ByteNet(sorted(set(rows.column("lang").to_pylist())))
     if net.classes:
         labels = np.array([net.classes.index(x) for x in rows.column("lang").to_pylist()])

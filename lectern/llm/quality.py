@@ -144,12 +144,14 @@ def fit_quality(labelled: DataFrame, sample_rows: int = 4000) -> AttentionBags:
     """The classifier for ``labelled`` (text, label 0 or 1), learned from a bounded sample: ``sample_rows`` rows, those of
     smallest hash, and TRAIN_PASSAGES passages of each at most, spread evenly from the first to the last byte.
 
-    Null labels are left out; a null text is empty; a text that occurs with both labels, or repeatedly, is learned as
-    often as it is drawn.  Without rows the classifier is untrained.
+    Null labels are left out; a null text is empty; of equal texts with one label one is drawn, and a text that has
+    both labels may be drawn with each.  Without rows the classifier is untrained.
     """
-    known = hash_sample(labelled.where("label is not null"), F.xxhash64("text", "label"), sample_rows)
     text = F.coalesce("text", F.lit(""))
-    rows = known.select(F.col("label").cast("double").alias("label"), spread(text, TRAIN_PASSAGES, PASSAGE).alias("text"), F.octet_length(text).cast("long").alias("size")).toArrow()
+    known = labelled.where("label is not null").select(
+        F.xxhash64(text, "label").alias("by"), F.col("label").cast("double").alias("label"), spread(text, TRAIN_PASSAGES, PASSAGE).alias("text"), F.octet_length(text).cast("long").alias("size")
+    )
+    rows = hash_sample(known, "by", sample_rows).toArrow()
     model = AttentionBags()
     bags: list[np.ndarray] = []
     size = rows.column("size").to_numpy()

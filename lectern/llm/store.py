@@ -124,16 +124,17 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
-    """A sample of at most ``rows`` rows of ``df``, those of smallest hash ``by``, the same on every run.
+def hash_sample(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df`` with distinct values of the hash ``by``, those of smallest value, the same on every run.
 
-    A counted threshold lets only about half as many more than ``rows`` through the scan, so that what is
-    sorted does not grow with the number of tasks.
+    A threshold from the estimated number of distinct values lets only about half as many more than ``rows`` through
+    the scan, so that what is sorted does not grow with the number of tasks; of equal values, as copies have, one row
+    counts, so no group of copies fills the sample or takes it away.
     """
-    place = F.pmod(by, F.lit(1 << 31))
-    n = df.count()
+    place = F.pmod(F.col(by), F.lit(1 << 31))
+    n = df.agg(F.approx_count_distinct(by, 0.02)).first()[0]
     some = df.where(place < int((1 << 31) * 1.5 * rows / n)) if n > 1.5 * rows else df
-    return some.orderBy(place).limit(rows)
+    return some.dropDuplicates([by]).orderBy(place, by).limit(rows)
 
 
 def spread(text: Column, pieces: int, width: int) -> Column:

@@ -567,6 +567,18 @@ def test_training_pieces_are_spread_over_the_whole_text(spark):
     assert [r[0] for r in got[1:]] == ["short", None]
 
 
+def test_copies_neither_fill_nor_empty_a_sample(spark):
+    from lectern.llm.store import hash_sample
+
+    rows = [(i % 3,) for i in range(9000)] + [(100 + i,) for i in range(500)]
+    docs = spark.createDataFrame(rows, "n long").withColumn("by", F.xxhash64("n"))
+    got = [r["n"] for r in hash_sample(docs, "by", 200).collect()]
+    assert len(got) == len(set(got)) == 200
+    assert got == [r["n"] for r in hash_sample(docs.repartition(5), "by", 200).collect()]
+    few = hash_sample(docs.where("n < 3"), "by", 2)
+    assert few.count() == 2 and hash_sample(docs.where("n < 0"), "by", 5).count() == 0
+
+
 def test_probing_ends_in_a_full_filter():
     full = np.full(16, 255, np.uint8)
     h = lm_score.mix(np.arange(1, 50, dtype=np.uint64))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.store import hash_sample, prepare, spread
-from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
+from lectern.llm.text_bytes import GOLDEN, LOWER, Rolling, chunks, mix, words
 
 PASSAGE = 512
 HIDDEN, GATE = 24, 12

@@ -430,3 +430,19 @@ def test_notes_are_read_from_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no note", encoding="utf-8")
     got = files.read_notes(spark, str(tmp_path)).collect()
     assert [(r["basename"], r["frontmatter"]["title"]) for r in got] == [("a", "T")]
+
+
+def test_request_parts(spark):
+    got = lambda c: value(spark, c)
+    assert [got(responses.chosen_provider(F.lit("https://api.openai.com/v1"), F.lit(s))) for s in ("anthropic", "openai", "auto", None)] == ["anthropic", "openai", "openai", "openai"]
+    assert [got(responses.request_url(F.lit("anthropic"), F.lit(u))) for u in ("https://a.b", "https://a.b/v1/", "https://a.b/x/Messages")] == ["https://a.b/v1/messages", "https://a.b/v1/messages", "https://a.b/x/Messages"]
+    assert got(responses.request_url(F.lit("openai"), F.lit("https://a.b/v1/"))) == "https://a.b/v1/chat/completions"
+    assert got(responses.request_headers(F.lit("anthropic"), F.lit("k"))) == {"Content-Type": "application/json", "x-api-key": "k", "anthropic-version": "2023-06-01"}
+    assert got(responses.request_headers(F.lit("openai"), F.lit("k"))) == {"Content-Type": "application/json", "Authorization": "Bearer k"}
+    thinking = got(responses.request_body(F.lit("openai"), F.lit("m"), F.lit("s"), F.lit("u"), F.lit(9), F.lit(0.2), as_json=False, thinking=True))
+    assert '"enable_thinking":true,"thinking_budget_tokens":512' in thinking and "response_format" not in thinking
+
+
+def test_answers_that_need_repair(spark):
+    answers = spark.createDataFrame([("short", "Too short.", "source"), ("good", "An own account of the matter, long enough and quite different from it. " * 2, "source"), ("copy", "word " * 60, "word " * 60)], "id string, text string, content string")
+    assert {r["id"] for r in cascade.needs_repair(answers).collect()} == {"short", "copy"}

@@ -77,23 +77,19 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
-def _snippet(text: Column) -> Column:
-    """The first sentence, shortened."""
-    flat = collapse(strip_markdown_inline(text))
-    sentence = F.regexp_extract(flat, r"\A(.+?[.!?。！？])(?:\s|\z)", 1)
-    return shorten(F.when(sentence != "", sentence).otherwise(flat))
-
-
-def _caption(content: Column, b: Column, e: Column, image: Column) -> Column:
-    """From the paragraph after an image if it names a figure or has 12 characters, from the one before, or its
-    alternative text."""
-    after = trim_all(F.element_at(F.split(F.regexp_replace(F.substring(content, e + 1, F.char_length(content)), r"\A\n+", ""), r"\n\s*\n", -1), 1))
-    before = trim_all(F.element_at(F.split(F.regexp_replace(F.substring(content, F.lit(1), b), r"\n+\z", ""), r"\n\s*\n", -1), -1))
-    next_, last = _snippet(after), _snippet(before)
-    return (
-        F.when((next_ != "") & ~after.startswith("![") & (next_.rlike(FIGURE_WORD) | (F.char_length(next_) >= 12)), next_)
-        .when((F.char_length(last) >= 12) & ~before.startswith("!["), last).otherwise(trim_all(F.regexp_extract(image, IMAGE, 1)))
-    )
+def _with_captions(rows: DataFrame) -> DataFrame:
+    """rows (kind, match, around, b, e, …) with caption, of images: from the paragraph after if it names a figure or has
+    12 characters, from the one before, or the alternative text.  Each step is a column of its own, as it is used often."""
+    c = F.col
+    after = F.element_at(F.split(F.regexp_replace(F.substring(c("around"), (c("e") + 1).cast("int"), F.char_length("around")), r"\A\n+", ""), r"\n\s*\n", -1), 1)
+    before = F.element_at(F.split(F.regexp_replace(F.substring(c("around"), F.lit(1), c("b").cast("int")), r"\n+\z", ""), r"\n\s*\n", -1), -1)
+    rows = rows.withColumns({"after": trim_all(after), "before": trim_all(before)})
+    rows = rows.withColumns({f"{x}_flat": collapse(strip_markdown_inline(c(x))) for x in ("after", "before")})
+    rows = rows.withColumns({f"{x}_sentence": F.regexp_extract(f"{x}_flat", r"\A(.+?[.!?。！？])(?:\s|\z)", 1) for x in ("after", "before")})
+    rows = rows.withColumns({f"{x}_snippet": shorten(F.when(c(f"{x}_sentence") != "", c(f"{x}_sentence")).otherwise(c(f"{x}_flat"))) for x in ("after", "before")})
+    telling = (c("after_snippet") != "") & ~c("after").startswith("![") & (c("after_snippet").rlike(FIGURE_WORD) | (F.char_length("after_snippet") >= 12))
+    told = F.when(telling, c("after_snippet")).when((F.char_length("before_snippet") >= 12) & ~c("before").startswith("!["), c("before_snippet")).otherwise(trim_all(F.regexp_extract("match", IMAGE, 1)))
+    return rows.withColumn("caption", F.when(c("kind") == "image", F.nullif(told, F.lit(""))))
 
 
 def pointers(docs: DataFrame) -> DataFrame:
@@ -126,12 +122,11 @@ def pointers(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("within", within).where((F.col("match") != "") & ~((F.col("scan") == inline) & F.col("within")) & ~((F.col("kind") == "paragraph") & lone))
     rows = rows.where((F.col("kind") != "formula") | ~is_trivial_formula(F.col("match")))
     rows = rows.withColumn("ordinal", F.row_number().over(W.partitionBy("rid", "kind").orderBy("pos", "b", "scan")))
-    caption = _caption(F.col("around"), F.col("b").cast("int"), F.col("e").cast("int"), F.col("match"))
-    shown = F.when((F.col("kind") == "image") & (caption != ""), caption).otherwise(F.col("match"))
+    rows = _with_captions(rows).withColumn("shown", F.coalesce("caption", "match"))
     digest = fnv1a(F.concat("kind", F.lit("\n"), F.array_join("path", " > "), F.lit("\n"), "match"))
     c = F.col
     return rows.withColumn("content_hash", digest).select(
-        "doc_id", F.concat("kind", F.lit(":"), c("ordinal").cast("string"), F.lit(":"), "content_hash").alias("id"), "kind", "ordinal", c("path").alias("section_path"), excerpt(shown).alias("excerpt"),
+        "doc_id", F.concat("kind", F.lit(":"), c("ordinal").cast("string"), F.lit(":"), "content_hash").alias("id"), "kind", "ordinal", c("path").alias("section_path"), excerpt(F.col("shown")).alias("excerpt"),
         (c("line_start") + c("line")).cast("int").alias("line_start"), (c("line_start") + c("line") + newlines(c("match"))).cast("int").alias("line_end"),
         (c("char_start") + c("b")).cast("int").alias("char_start"), (c("char_start") + c("e")).cast("int").alias("char_end"), "content_hash", c("match").alias("content"),
     )

@@ -32,10 +32,14 @@ def dangling_fence(text: Column) -> Column:
 
 def looks_truncated(text: Column) -> Column:
     """JSON by its looks that does not parse and has no closing bracket."""
-    t, u = trim_all(text), unfence(text)
-    json_fence = t.rlike(r"(?i)\A```json\b")
-    alike = json_fence | u.rlike(r"\A[\[{]") | u.rlike(r'"(?:markdown|revisionRequests|sectionPlans|formulaPointerIds|tutorialTitle)"\s*:')
-    return (t != "") & json_or_inner(t).isNull() & json_or_inner(u).isNull() & alike & ((json_fence & dangling_fence(t)) | ~u.rlike(r"[}\]]\s*\z"))
+
+    def cut(x: Column) -> Column:
+        t, u = x["whole"], x["inner"]
+        json_fence = t.rlike(r"(?i)\A```json\b")
+        alike = json_fence | u.rlike(r"\A[\[{]") | u.rlike(r'"(?:markdown|revisionRequests|sectionPlans|formulaPointerIds|tutorialTitle)"\s*:')
+        return (t != "") & json_or_inner(t).isNull() & json_or_inner(u).isNull() & alike & ((json_fence & dangling_fence(t)) | ~u.rlike(r"[}\]]\s*\z"))
+
+    return _once(_whole_and_inner(text), cut)
 
 
 def salvaged_field(text: Column, name: str = "markdown") -> Column:
@@ -45,20 +49,29 @@ def salvaged_field(text: Column, name: str = "markdown") -> Column:
     return trim_all(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), whole, F.lit('"}')), "$.v"), F.lit("")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _whole_and_inner(text: Column) -> Column:
+    """struct(whole, inner): a text trimmed, and that without a fence around it."""
+    return _once(trim_all(text), lambda t: F.struct(t.alias("whole"), unfence(t).alias("inner")))
+
+
 def markdown_of(raw: Column) -> Column:
     """Markdown from a response: a JSON string or its field markdown, salvaged from broken JSON, unfenced, or as it is;
     empty for JSON without it."""
-    t = trim_all(raw)
-    u = unfence(t)
 
-    def direct(x: Column) -> Column:
-        v = json_or_inner(x)
-        field = F.try_variant_get(v, "$.markdown", "string")
-        is_text = F.schema_of_variant(v) == "STRING"
-        return F.nullif(trim_all(F.coalesce(F.when(is_text, F.try_variant_get(v, "$", "string")).otherwise(F.when(F.schema_of_variant(F.try_variant_get(v, "$.markdown", "variant")) == "STRING", field)), F.lit(""))), F.lit(""))
+    def direct(v: Column) -> Column:
+        own = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(_string_field(v, "markdown"))
+        return F.nullif(trim_all(F.coalesce(own, F.lit(""))), F.lit(""))
+
+    def found(x: Column) -> Column:
+        rest = F.when(x["inner"].rlike(r"\A[\[{]"), "").otherwise(x["inner"])
+        return F.coalesce(_once(json_or_inner(x["whole"]), direct), F.nullif(salvaged_field(x["inner"]), F.lit("")), _once(json_or_inner(x["inner"]), direct), rest)
 
-    rest = F.when(u.rlike(r"\A[\[{]"), "").otherwise(u)
-    return F.coalesce(direct(t), F.nullif(salvaged_field(u), F.lit("")), direct(u), rest)
+    return _once(_whole_and_inner(raw), found)
 
 
 def strip_thinking(text: Column) -> Column:
@@ -86,11 +99,6 @@ def response_text(provider: Column, body: Column) -> Column:
     return F.struct(text.alias("text"), stop.alias("stop_reason"), rules.is_truncated(stop).alias("truncated"))
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 

@@ -68,13 +68,15 @@ def atom_entry(xml: Column) -> Column:
     return F.when(F.xpath_boolean(xml, F.lit("/feed/entry")), entry)
 
 
-def call_provider(requests: DataFrame, call: Callable[[str, str, int], tuple[int, str]], parallel: int = 3, attempts: int = 4) -> DataFrame:
+def call_provider(requests: DataFrame, call: Callable[[str, str, int], tuple[int, str]], parallel: int = 3, attempts: int = 4, wait: Callable[[float], None] | None = None) -> DataFrame:
     """requests (id, system, user, max_tokens) with status, body and attempts of ``call``, on ``parallel`` tasks.
 
-    An empty system prompt is answered by {} without a call.  Calls that may succeed later are repeated, at
-    most ``attempts`` times in all; pauses are the caller's, as tests and stubs need none.
+    An empty system prompt is answered by {} without a call.  Calls that may succeed later, by their status or by the error
+    that they raise, are repeated, at most ``attempts`` times in all; before each repetition ``wait``, if given, is
+    called with the doubling pause in seconds (time.sleep, say).  A call that raised last has status 0 and the error as
+    body.
     """
-    from lectern.functions.rules import RETRYABLE
+    from lectern.functions.rules import RETRYABLE, TRANSPORT_WORDS
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)
 
@@ -86,8 +88,15 @@ def call_provider(requests: DataFrame, call: Callable[[str, str, int], tuple[int
                     rows.append((200, "{}", 0))
                     continue
                 for n in range(1, attempts + 1):
-                    status, body = call(system, user, int(tokens))
-                    if status not in RETRYABLE:
+                    if n > 1 and wait:
+                        wait(min(2.0 ** (n - 2), 8.0))
+                    try:
+                        status, body = call(system, user, int(tokens))
+                        again = status in RETRYABLE
+                    except Exception as e:  # the call is the caller's, and one request must not end the others
+                        status, body = 0, str(e)
+                        again = any(w in body.lower() for w in TRANSPORT_WORDS)
+                    if not again:
                         break
                 rows.append((status, body, n))
             yield f.assign(status=[r[0] for r in rows], body=[r[1] for r in rows], attempts=[r[2] for r in rows])
@@ -102,3 +111,19 @@ def stub_provider(system: str, user: str, max_tokens: int) -> tuple[int, str]:
 
     found = re.search(r"[^.!?\n]{9,}[.!?]", user)
     return 200, json.dumps({"highlights": [{"exact_text": found[0].strip(), "type": "key_point"}] if found else []})
+
+
+def save_if_changed(table: DataFrame, path: str) -> bool:
+    """Replaces the Parquet table at ``path`` (settings, a queue) if its rows differ; whether it did.  The new table is
+    written beside the old one before that goes."""
+    spark = table.sparkSession
+    place, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path.rstrip("/") + ".new"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        old = spark.read.parquet(path)
+        if old.dtypes == table.dtypes and old.exceptAll(table).isEmpty() and table.exceptAll(old).isEmpty():
+            return False
+    table.write.mode("overwrite").parquet(new.toString())
+    fs.delete(place, True)
+    fs.rename(new, place)
+    return True

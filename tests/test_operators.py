@@ -446,3 +446,30 @@ def test_request_parts(spark):
 def test_answers_that_need_repair(spark):
     answers = spark.createDataFrame([("short", "Too short.", "source"), ("good", "An own account of the matter, long enough and quite different from it. " * 2, "source"), ("copy", "word " * 60, "word " * 60)], "id string, text string, content string")
     assert {r["id"] for r in cascade.needs_repair(answers).collect()} == {"short", "copy"}
+
+
+def test_calls_are_repeated_after_pauses(spark, tmp_path):
+    def call(system, user, tokens):
+        if user == "down":
+            raise OSError("Network unreachable")
+        if user == "bad":
+            raise ValueError("no such model")
+        return (503 if user == "busy" else 200), "x"
+
+    log = str(tmp_path / "waits")
+
+    def wait(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds} ")
+
+    requests = spark.createDataFrame([(u, "s", u, 1) for u in ("fine", "down", "bad", "busy")], "id string, system string, user string, max_tokens int")
+    got = {r["id"]: (r["status"], r["attempts"]) for r in files.call_provider(requests, call, 1, wait=wait).collect()}
+    assert got == {"fine": (200, 1), "down": (0, 4), "bad": (0, 1), "busy": (503, 4)}
+    assert sorted(open(log).read().split()) == sorted(["1.0", "2.0", "4.0"] * 2)
+
+
+def test_tables_are_replaced_only_if_they_differ(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    one, two = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 2)], "k string, v int")
+    assert files.save_if_changed(one, path) and not files.save_if_changed(one, path) and files.save_if_changed(two, path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)]

@@ -21,16 +21,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     very many edges is split by adaptive execution; rounds are written to the shared folder.
     """
     # kept as (u, v) with u > v
-    now = table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    rows = edges.count()
+    now = table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
     before = _state(now)
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = table(large, "large")
+        large = table(large, "large", 2 * before[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(least, "u").select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, table(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, table(step.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", 2 * before[0])
         drop(last, large)
         state = _state(now)
         if state == before:

@@ -400,7 +400,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the written pairs whose whole sets are alike, written; only texts that are in a pair are read again."""
-        named = table(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "wanted")
+        named = table(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "wanted", 2 * pairs.count())
         wanted = table(classes.select("cid", "rep", "k1", "k2").join(small(named), "cid", "left_semi"), "wanted-classes")
         texts = rows.join(small(wanted.select("rep")), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
         sets = texts.mapInArrow(_whole_sets(shingle), "k1 long, k2 long, members binary")
@@ -419,7 +419,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
     tried = tried.where(_feasible(percent, limit)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     tried = likely(tried.unionByName(light).distinct(), "pivot-pairs")
     # a pair for each set first; then those that are not in one component yet
-    begun = table(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first-pairs")
+    found = tried.count()
+    begun = table(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first-pairs", found)
     edges = alike(begun, "links")
     roots = connected_components(edges)
 
@@ -428,7 +429,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, lim
             pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
         return pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
-    second = table(apart(tried.join(begun, ["u", "v"], "left_anti")), "second-pairs")
+    second = table(apart(tried.join(begun, ["u", "v"], "left_anti")), "second-pairs", found)
     if not second.isEmpty():
         edges = edges.unionByName(alike(second, "more-links"))
         roots = connected_components(edges)

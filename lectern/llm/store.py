@@ -45,9 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
+#: Rows of a few numbers that go to one file of a table whose size is known.
+FILE_ROWS = 500_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage.  ``rows``, where known about how many
+    go in and come out, keeps small tables to few files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for scope in _scopes[-1:]:

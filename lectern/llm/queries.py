@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, quality, substring_dedup
+from lectern.llm import chat, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, quality, substring_dedup
 from lectern.llm.store import bucket_of, small
 
 
@@ -73,8 +73,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.as_tool_log(_read(spark, sf_dir, "conversations")), schemas)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+    digest = [F.sha2(x.cast("binary"), 256) for x in (F.col("output"), fill_middle.restored(F.col("form"), F.col("output")))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat, op11_fill_middle)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -173,4 +179,13 @@ SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM dw LEFT JOIN c ON dw.doc_id = c.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id""",
         "op9_mixing": _mixing_sql(),
         "op10_chat": CHAT_SQL,
+        "op11_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, quality, substring_dedup
+from lectern.llm import chat, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, packing, quality, substring_dedup
 from lectern.llm.store import bucket_of, small
 
 
@@ -79,8 +79,19 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
 
 
+#: The tokenizer that op12 packs by; its file is found by the installed package of public vocabularies.
+PACK_TOKENIZER, PACK_CAPACITY, PACK_END = "word_bpe_49k.json", 4096, 1
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.cut_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER), PACK_CAPACITY, PACK_END)
+    return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")), "ids_crc32", capacity=PACK_CAPACITY)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat, op11_fill_middle)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat, op11_fill_middle, op12_packing)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, packing, quality, substring_dedup
+from lectern.llm import chat, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, packing, quality, spelling, substring_dedup
 from lectern.llm.store import bucket_of, small
 
 
@@ -90,8 +90,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")), "ids_crc32", capacity=PACK_CAPACITY)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"), erase=199, least_chars=6, least=5, factor=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat, op11_fill_middle, op12_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_quality, op4_lm_score, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_language_id, op9_mixing, op10_chat, op11_fill_middle, op12_packing, op13_spelling)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import fill_middle, packing, queries, tokens
+from lectern.llm import fill_middle, packing, queries, spelling, tokens
 from tests.llm.test_llm_operators import CLASH, SCHEMA, corpus, odd_rows
 
 PATH = public_tokenizers.path(queries.PACK_TOKENIZER)
@@ -157,3 +157,59 @@ def test_islands_better_best_fit(spark):
     won = packing.evolve(spark, demand, capacity, islands=4, rounds=4)
     assert (packing.contents(won, capacity) == demand).all()
     assert groups <= packing.bins(won) < first
+
+
+def spelled(rows, erase=199, least_chars=6, least=5, factor=5):
+    counts = collections.Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % erase == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least_chars:
+                counts[run] += 1
+    n = {w: c for w, c in counts.items() if c >= least}
+    letters = sorted({c for w in n for c in w})
+    near = {}
+    for w in n:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        near[w] = {e for e in edits if e in n and e != w}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: b for w, b in best.items() if n[b] >= factor * n[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted(((w, form.get(w), root(w), n[w], len(near[w]), n.get(form.get(w))) for w in n), key=repr)
+
+
+def misspelt(seed, n=400):
+    rng, letters = random.Random(seed), "abcé"
+    stems = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 9))) for _ in range(60)] + ["aaaaaa", "aaaaaaa", "ababab", "y" * 60, "y" * 61, "y" * 60 + "z"]
+    out = []
+    for i in range(n):
+        some = []
+        for _ in range(rng.randint(0, 60)):
+            w = stems[min(int(rng.expovariate(0.08)), len(stems) - 1)]
+            while rng.random() < 0.5:
+                k = rng.randint(0, len(w))
+                w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:]])
+            some.append(w.capitalize() if rng.random() < 0.2 else w)
+        out.append((i % (n - 3), " ".join(some) if some else None))
+    return [*out, (None, "aaaaaa aaaaab " * 20), (None, None), (7, "ÉÉÉÉÉÉ éééééé ×÷×÷×÷ " * 9), (7, "aaaaaa aaaaab " * 300), (8, "pqrstu " * 6 + "pqrstv " * 40 + "pqrswv " * 300), out[5], out[5]]
+
+
+@pytest.mark.parametrize("hot", [1000, 12, 0])
+def test_spelling_by_brute_force(spark, hot):
+    rows = misspelt(hot)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("n", F.lit("clash"))
+    got = sorted(map(tuple, spelling.spelling_variants(docs, hot=hot).collect()), key=repr)
+    want = spelled(rows)
+    assert got == want and any(r[1] and r[2] != r[1] for r in want) and any(r[4] > 5 for r in want)
+
+
+def test_spelling_of_odd_rows(spark, odd):
+    got = sorted(map(tuple, queries.op13_spelling(spark, odd[0]).collect()), key=repr)
+    assert got == spelled([(r[0], r[1]) for r in odd[1]])
+    assert queries.op13_spelling(spark, f"{odd[0]}-none").count() == 0

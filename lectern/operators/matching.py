@@ -1,127 +1,118 @@
 """Locating quoted text in the items of a page: exactly, else in folded form, by a prefix, or by trigrams.
 
-Exact and case-folded hits are found by expressions over the joined items; only quotes without one go to the
-vectorised matcher.  It folds a page once into a table with a row for each folded character (the character, its
-item, the places in the item's text where a span that begins or ends with it does), so that any hit in
-the folded text gives its span by two look-ups.  Offsets count code points.
+Exact, case-folded, folded and prefix hits are found by expressions over the joined items; pages are folded
+once, before quotes are joined to them.  Only quotes without such a hit are sent to Python, with the folded page: it
+keeps an index of the trigrams of the page that it saw last, counts those that a quote shares with it, and scores
+windows only around places where enough of them meet.  The span of a hit in folded text is found by walking
+its first and last item.  Offsets count code points.
 """
 
-from __future__ import annotations
-
-import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.folding import FORMS, fold_pairs, folded, folded_by, place_of, squeezed
+
 # Marks that a span takes in at its end; the least share and score of a prefix by form; the least quote.
 CLOSING = "])}\"'’”.,;:!?"
 PREFIX_SHARE, PREFIX_LEAST, PREFIX_SCORES = 0.6, 6, [("light", 0.85), ("heavy", 0.80)]
 LEAST, LEAST_TRIGRAMS, SURE = 3, 6, 0.95
-SPAN = "begin_index int, begin_offset int, end_index int, end_offset int, score double"
-
-
-@lru_cache(maxsize=1 << 16)
-def fold(char: str, heavy: bool) -> str:
-    """A character decomposed and lower-cased, soft hyphens gone; heavy: all but a-z, 0-9 and white space is a blank."""
-    out = unicodedata.normalize("NFKD", char).replace("\u00ad", "").lower()
-    return "".join(c if c.isspace() or "a" <= c <= "z" or "0" <= c <= "9" else " " for c in out) if heavy else out
-
-
-def folded(text: str, form: str) -> str:
-    """A quote in the form ``light``, ``heavy``, or ``dense`` (heavy without blanks)."""
-    words = "".join(fold(c, form != "light") for c in unicodedata.normalize("NFKD", text)).split()
-    return ("" if form == "dense" else " ").join(words)
-
-
-class PageTable:
-    """A page in one form: its text and, for each character, the item and where spans begin and end."""
-
-    def __init__(self, texts: list[str], form: str):
-        chars, self.item, self.begin, self.end = [], [], [], []
-        for number, text in enumerate(texts):
-            blank, any_ = False, False
-            for place, char in enumerate(text):
-                for c in fold(char, form != "light"):
-                    if c.isspace():
-                        blank = any_
-                        continue
-                    if blank and form != "dense":  # a blank belongs to the character after it
-                        self._add(chars, " ", number, place, place + 1)
-                    self._add(chars, c, number, place, place + 1)
-                    blank, any_ = False, True
-            if form != "dense":
-                self._add(chars, " ", number, len(text), self.end[-1] if any_ else len(text))
-        self.text, self.texts = "".join(chars), texts
-
-    def _add(self, chars: list[str], char: str, item: int, begin: int, end: int) -> None:
-        chars.append(char)
-        self.item.append(item)
-        self.begin.append(begin)
-        self.end.append(end)
-
-    def span(self, b: int, e: int) -> tuple[int, int, int, int]:
-        last = self.item[e - 1]
-        rest = self.texts[last][self.end[e - 1] :]
-        return self.item[b], self.begin[b], last, self.end[e - 1] + len(rest) - len(rest.lstrip(CLOSING))
+#: What is made of a page once: folded code points, folded items, and the page in each form.
+PAGE = ("page_pairs", "page_raw", *[f"page_{form}" for form in FORMS])
+SPAN = ("begin_index", "begin_offset", "end_index", "end_offset", "score")
+
+
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` made by a generator of one row, so that filters and later columns read them and do not
+    compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+class TrigramIndex:
+    """The places of the trigrams of a text, in order of the trigram."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.codes = _codes(text)
+        self.order = np.argsort(self.codes, kind="stable")
+        self.sorted = self.codes[self.order]
+        again = self.sorted[1:] == self.sorted[:-1]
+        self.before = np.full(len(self.codes), -1)  # where the trigram of a place occurs before
+        self.before[self.order[1:][again]] = self.order[:-1][again]
+
+    def shared(self, known: np.ndarray) -> tuple[int, np.ndarray]:
+        """How many of ``known`` (distinct trigrams) the text has, and where, in order."""
+        begin, end = (np.searchsorted(self.sorted, known, side) for side in ("left", "right"))
+        count = end - begin
+        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return int((count > 0).sum()), np.sort(self.order[at])
+
+    def distinct(self, at: np.ndarray, wide: int, low: int, high: int) -> np.ndarray:
+        """For windows ``low`` to ``high`` - 1 of ``wide`` trigrams: how many different ones of those at ``at`` they hold.
+
+        A trigram counts in the windows that hold it but not its occurrence before: a range of windows, so
+        differences at its ends and their sums give all counts.
+        """
+        first = np.maximum(self.before[at] + 1, at - wide + 1)
+        steps = np.bincount(np.clip(first - low, 0, high - low), minlength=high - low + 1) - np.bincount(np.clip(at + 1 - low, 0, high - low), minlength=high - low + 1)
+        return np.cumsum(steps)[: high - low]
+
+
+def _codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
 
 
 def window_scores(text: str, needle: str) -> np.ndarray:
-    """The Jaccard similarity of the trigrams of each window of ``text`` as long as ``needle`` with those of ``needle``.
+    """The Jaccard similarity of the trigrams of each window of ``text`` as long as ``needle`` with those of ``needle``."""
+    index, known, windows = TrigramIndex(text), np.unique(_codes(needle)), len(text) - len(needle) + 1
+    both = index.distinct(index.shared(known)[1], len(needle) - 2, 0, windows)
+    return both / (len(known) + index.distinct(np.arange(len(index.codes)), len(needle) - 2, 0, windows) - both)
 
-    A trigram counts in the windows that hold it but not its occurrence before: a range of windows, so
-    differences at its ends and their sums give all counts.
-    """
-    wide, known = len(needle) - 2, {needle[i : i + 3] for i in range(len(needle) - 2)}
-    grams = [text[i : i + 3] for i in range(len(text) - 2)]
-    seen: dict[str, int] = {}
-    first = np.empty(len(grams), np.int64)
-    for i, g in enumerate(grams):
-        first[i] = max(seen.get(g, -1) + 1, i - wide + 1)
-        seen[g] = i
-    wanted = np.fromiter((g in known for g in grams), bool, len(grams))
-    windows = len(text) - len(needle) + 1
-
-    def per_window(which: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(which)
-        steps = np.bincount(first[at].clip(0), minlength=len(grams) + 1) - np.bincount(at + 1, minlength=len(grams) + 1)
-        return np.cumsum(steps)[:windows]
-
-    both = per_window(wanted)
-    return both / (len(known) + per_window(np.ones(len(grams), bool)) - both)
-
-
-def best_window(text: str, needle: str, least: float) -> tuple[int, float] | None:
-    """The first of the best windows, if it reaches ``least`` (less 0.001); the first that is nearly sure, if any is."""
-    if len(needle) < LEAST_TRIGRAMS or len(text) < len(needle):
-        return None
-    scores = window_scores(text, needle)
-    at = int(np.argmax(scores > SURE)) if (scores > SURE).any() else int(np.argmax(scores))
-    return (at, float(scores[at])) if scores[at] > least - 0.001 else None
 
+def best_window(index: TrigramIndex, needle: str, least: float) -> tuple[int, float] | None:
+    """The first of the best windows, if it reaches ``least`` (less 0.001); the first that is nearly sure, if any is.
 
-def find_folded(needle: str, texts: list[str], threshold: float = 0.55) -> tuple | None:
-    """(first item, offset, last item, offset, score) of the best match in folded form, or None; for quotes and pages
-    without an exact or case-folded one."""
-    quote = {form: folded(needle or "", form) for form in ("light", "heavy", "dense")}
-    if not texts or len(quote["heavy"]) < LEAST:
+    A window that does holds at least that share of the needle's trigrams: a page with fewer is given up by their
+    count, and of others only the stretch between the first and the last window with enough is scored.
+    """
+    if len(needle) < LEAST_TRIGRAMS or len(index.text) < len(needle):
+        return None
+    known, wide, windows = np.unique(_codes(needle)), len(needle) - 2, len(index.text) - len(needle) + 1
+    least -= 0.001
+    count, at = index.shared(known)
+    if count <= least * len(known):
         return None
-    page = {form: PageTable(texts, form) for form in quote}
-    tries = [(form, quote[form], 1.0) for form in quote if len(quote[form]) >= LEAST]
-    tries += [(form, quote[form][: max(PREFIX_LEAST, int(len(quote[form]) * PREFIX_SHARE))], score) for form, score in PREFIX_SCORES if score >= threshold]
-    for form, part, score in tries:
-        at = page[form].text.find(part)
-        if at >= 0:
-            return *page[form].span(at, min(at + len(quote[form]), len(page[form].text))), score
-    hit = best_window(page["heavy"].text, quote["heavy"], threshold)
-    return (*page["heavy"].span(hit[0], hit[0] + len(quote["heavy"])), hit[1]) if hit else None
+    both = index.distinct(at, wide, 0, windows)
+    near = np.flatnonzero(both > least * len(known))
+    if not len(near):
+        return None
+    low, high = int(near[0]), int(near[-1]) + 1
+    both = both[low:high]
+    scores = both / (len(known) + index.distinct(np.arange(low, high + wide - 1), wide, low, high) - both)
+    best = int(np.argmax(scores > SURE)) if (scores > SURE).any() else int(np.argmax(scores))
+    return (low + best, float(scores[best])) if scores[best] > least else None
 
 
 def page_items(items: DataFrame) -> DataFrame:
-    """(doc_id, page_num, items): the ordered items of each page as an array of (idx, text)."""
-    return items.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items"))
+    """(doc_id, page_num, items, and the columns PAGE): the ordered items of each page as an array of (idx, text), and their
+    text in each form."""
+    return _with_forms(items.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items")))
+
+
+def _with_forms(pages: DataFrame) -> DataFrame:
+    """With the folded texts of the items one after the other, a blank after each (but in the dense form)."""
+    texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
+    pages = _settled(pages, {"page_pairs": fold_pairs(F.array_join(texts, " "))})
+    pages = _settled(pages, {"page_raw": F.transform(texts, lambda t: folded_by(t, F.col("page_pairs")))})
+
+    def joined(form: str) -> Column:
+        return F.array_join(F.transform("page_raw", lambda r: F.concat(squeezed(r, form), F.lit("" if form == "dense" else " "))), "")
+
+    return pages.withColumns({f"page_{form}": joined(form) for form in FORMS})
 
 
 def _exact_hits(quotes: DataFrame) -> DataFrame:
@@ -151,30 +142,91 @@ def _exact_hits(quotes: DataFrame) -> DataFrame:
         F.get(items, p["first"])["idx"].cast("int").alias("begin_index"), F.least(p["b"] - p["first_at"], F.char_length(F.get("exact_texts", p["first"]))).alias("begin_offset"),
         F.get(items, p["last"])["idx"].cast("int").alias("end_index"), F.least(p["e"] - p["last_at"], F.char_length(F.get("exact_texts", p["last"]))).alias("end_offset"), F.lit(1.0).alias("score"),
     )
-    return rows.withColumn("exact_hit", F.when(p.isNotNull(), span))
+    return _settled(rows, {"exact_hit": F.when(p.isNotNull(), span)})
+
+
+def _folded_hits(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows (…, needle, items, page forms, exact_hit) with quote forms and ``told``: struct(form, b, e, score) of the first hit of the
+    whole quote in a form, or of its prefix, or null."""
+    raw = _settled(rows, {"quote_raw": folded(F.coalesce("needle", F.lit("")))})
+    rows = _settled(raw, {f"quote_{form}": squeezed(F.col("quote_raw"), form) for form in FORMS}).drop("quote_raw")
+
+    def hit(form: str, part: Column, score: float, when: Column) -> Column:
+        at, size = F.instr(f"page_{form}", part), F.char_length(f"quote_{form}")
+        end = F.least(at - 1 + size, F.char_length(f"page_{form}"))
+        return F.when(when & (at > 0), F.struct(F.lit(form).alias("form"), (at - 1).alias("b"), end.alias("e"), F.lit(score).alias("score")))
+
+    tries = [hit(form, F.col(f"quote_{form}"), 1.0, F.char_length(f"quote_{form}") >= LEAST) for form in FORMS]
+    for form, score in PREFIX_SCORES:
+        if score >= threshold:
+            size = F.greatest(F.lit(PREFIX_LEAST), (F.char_length(f"quote_{form}") * PREFIX_SHARE).cast("int"))
+            tries.append(hit(form, F.substring(F.col(f"quote_{form}"), F.lit(1), size), score, F.lit(True)))
+    usable = F.col("exact_hit").isNull() & (F.char_length("quote_heavy") >= LEAST) & (F.size("items") > 0)
+    rows = _settled(rows, {"usable": F.coalesce(usable, F.lit(False))})
+    return _settled(rows, {"told": F.when(F.col("usable"), F.coalesce(*tries))})
+
+
+def _best_windows(threshold: float):
+    """A function of the heavy forms of page and quote; null for rows where they are null."""
+
+    @F.pandas_udf("b int, e int, score double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        index = None
+        for page, quote in batches:
+            told = []
+            for text, needle in zip(page, quote, strict=True):
+                if text is not None and (index is None or index.text != text):
+                    index = TrigramIndex(text)
+                hit = None if text is None else best_window(index, needle, threshold)
+                told.append((hit[0], hit[0] + len(needle), hit[1]) if hit else (None, None, None))
+            yield pd.DataFrame(told, columns=["b", "e", "score"]).astype({"b": "Int32", "e": "Int32", "score": "float64"})
+
+    return run
+
+
+def _spans(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and the span of ``told`` (form, b, e, score) in the items; nulls without one."""
+    told = F.col("told")
+    texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
+    rows = _settled(rows, {"span_texts": F.when(told.isNotNull(), texts)})
+    raw = F.when(told.isNotNull(), F.col("page_raw"))
+    sizes = F.transform(raw, lambda r: F.when(told["form"] == "light", F.char_length(squeezed(r, "light")) + 1).when(told["form"] == "heavy", F.char_length(squeezed(r, "heavy")) + 1).otherwise(F.char_length(squeezed(r, "dense"))))
+    rows = _settled(rows, {"span_sizes": sizes})
+
+    def item(at: Column) -> Column:
+        """struct(i, before) of the item that holds the form's character ``at``; items without characters hold none."""
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("before"), F.lit(0).alias("n"), F.lit(0).alias("seen"))
+
+        def step(acc: Column, size: Column) -> Column:
+            ours = (at >= acc["seen"]) & (at < acc["seen"] + size)
+            return F.struct(F.when(ours, acc["n"]).otherwise(acc["i"]).alias("i"), F.when(ours, acc["seen"]).otherwise(acc["before"]).alias("before"), (acc["n"] + 1).alias("n"), (acc["seen"] + size).alias("seen"))
+
+        return F.aggregate("span_sizes", start, step)
+
+    rows = _settled(rows, {"span_first": item(told["b"]), "span_last": item(told["e"] - 1)})
+    text = {k: F.get("span_texts", F.col(f"span_{k}")["i"]) for k in ("first", "last")}
+    begin = place_of(text["first"], F.col("page_pairs"), told["form"], told["b"] - F.col("span_first")["before"])["begin"]
+    end = place_of(text["last"], F.col("page_pairs"), told["form"], told["e"] - 1 - F.col("span_last")["before"])["end"]
+    rows = _settled(rows, {"span_begin": begin, "span_end": end})
+    rest = F.substring(text["last"], F.col("span_end") + 1, F.char_length(text["last"]))
+    closing = F.char_length(rest) - F.char_length(F.ltrim(rest, F.lit(CLOSING)))
+    idx = [F.get("items", F.col(f"span_{k}")["i"])["idx"].cast("int") for k in ("first", "last")]
+    span = [idx[0], F.col("span_begin"), idx[1], F.col("span_end") + closing, told["score"]]
+    return rows.select(*names, *[F.when(told.isNotNull(), x).alias(n) for x, n in zip(span, SPAN, strict=True)])
 
 
 def match_spans(quotes: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """quotes (…, needle, items) with the span of the match, nulls without one.  Blank and null quotes and pages
-    without items have none."""
-    kept = [f for f in quotes.schema if f.name != "items"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + SPAN
-    told = _exact_hits(quotes)
-    names = [f.name for f in kept]
-
-    def run(frames):
-        for f in frames:
-            spans = []
-            for needle, items in zip(f["needle"], f["items"], strict=True):
-                rows = [] if items is None else list(items)
-                hit = find_folded(needle, [r["text"] or "" for r in rows], threshold)
-                spans.append((int(rows[hit[0]]["idx"]), hit[1], int(rows[hit[2]]["idx"]), hit[3], hit[4]) if hit else (None,) * 5)
-            out = f.drop(columns="items").reset_index(drop=True)
-            found = pd.DataFrame(spans, columns=["begin_index", "begin_offset", "end_index", "end_offset", "score"], dtype=object)
-            yield pd.concat([out, found], axis=1)
-
-    exact = told.where("exact_hit is not null").select(*names, "exact_hit.*")
-    return exact.unionByName(told.where("exact_hit is null").select(*names, "items").mapInPandas(run, schema))
+    """quotes (…, needle, items, and what ``page_items`` makes where it is there) with the span of the match, nulls
+    without one.  Blank and null quotes and pages without items have none."""
+    names = [c for c in quotes.columns if c != "items" and c not in PAGE]
+    exact = _exact_hits(quotes)
+    rows = _folded_hits(exact if set(PAGE) <= set(quotes.columns) else _with_forms(exact), threshold)
+    asked = F.col("told").isNull() & F.col("usable")
+    rows = rows.withColumn("window", _best_windows(threshold)(F.when(asked, F.col("page_heavy")), F.when(asked, F.col("quote_heavy"))))
+    window = F.when(F.col("window")["b"].isNotNull(), F.struct(F.lit("heavy").alias("form"), F.col("window")["b"].alias("b"), F.col("window")["e"].alias("e"), F.col("window")["score"].alias("score")))
+    found = _spans(rows.withColumn("told", F.coalesce("told", window)), [*names, "exact_hit"])
+    hit = F.col("exact_hit")
+    return found.select(*names, *[F.when(hit.isNotNull(), hit[n]).otherwise(F.col(n)).alias(n) for n in SPAN])
 
 
 def anchors(highlights: DataFrame, items: DataFrame, threshold: float = 0.55) -> DataFrame:

@@ -180,10 +180,62 @@ def test_old_highlights_go_with_admission(spark):
     assert [r["pdf"] for r in queues.without_old_highlights(marks, fresh).collect()] == ["b"]
 
 
+def folded_spans(spark, cases, threshold=0.55):
+    """Spans by match_spans for (needle, texts); the index of an item is its place."""
+    rows = [(k, n, [(i, t) for i, t in enumerate(ts)]) for k, (n, ts) in enumerate(cases)]
+    quotes = spark.createDataFrame(rows, "k int, needle string, items array<struct<idx int, text string>>")
+    got = {r["k"]: tuple(r)[2:] for r in matching.match_spans(quotes, threshold).collect()}
+    return [got[k] if got[k][0] is not None else None for k in range(len(cases))]
+
+
+def test_folded_matches_equal_a_plain_version(spark):
+    import random
+
+    from plain_matching import find_folded
+
+    rng = random.Random(11)
+    signs = ["a", "b", "c", "B", "é", "É", "ß", "ﬁ", "Ǆ", "½", "\u00ad", " ", "  ", "\t", "\u00a0", "\ufeff", "\u2028", ".", ",", ")", "”", "日", "각", "İ", "Σ", "😀", "1", "-"]
+    word = lambda: "".join(rng.choice(signs[:4] if rng.random() < 0.6 else signs) for _ in range(rng.randint(1, 9)))
+    cases = []
+    for _ in range(400):
+        texts = [" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 5))]
+        whole = " ".join(texts)
+        a = rng.randint(0, max(len(whole) - 1, 0))
+        quote = whole[a : a + rng.randint(3, 40)]
+        for _ in range(rng.choice([0, 1, 1, 3])):
+            k = rng.randint(0, len(quote))
+            quote = quote[:k] + rng.choice(signs) + quote[k + rng.randint(0, 1) :]
+        cases.append((rng.choice([quote, quote.upper(), "Zq" + quote[2:], quote + " xyxyxy"]), texts))
+    got = folded_spans(spark, cases)
+    seen = set()
+    for (needle, texts), g in zip(cases, got, strict=True):
+        joined = " ".join(texts)
+        if needle.strip() and (needle in joined or (len(joined.lower()) == len(joined) and needle.lower() in joined.lower())):
+            continue  # an exact hit
+        want = find_folded(needle, texts)
+        assert (g is None) == (want is None) and (g is None or g[:4] == want[:4] and g[4] == pytest.approx(want[4])), (needle, texts)
+        seen.add(want and want[4])
+    assert {None, 1.0, 0.85, 0.8} <= seen and len(seen) > 20
+
+
+def test_python_only_scores_windows(spark):
+    quotes = spark.createDataFrame([("a", [(0, "b")])], "needle string, items array<struct<idx int, text string>>")
+    plan = matching.match_spans(quotes)._jdf.queryExecution().optimizedPlan().toString()
+    sent = [line for line in plan.split("\n") if "ArrowEvalPython" in line]
+    assert len(sent) == 1 and "told" in sent[0] and "items" not in sent[0].split("[", 1)[1].split("]")[0] and "Union" not in plan
+
+
+def test_folded_strings_fold_to_themselves():
+    from lectern.functions.folding import fold_table
+
+    table = fold_table()
+    assert not [c for c, f in table.items() if any(x in table for x in f)]
+
+
 def test_matches_with_thresholds_and_neighbours(spark):
-    assert matching.find_folded("hello world foo XXXXXXXX", ["hello world foo", "bar baz"], 0.9) is None
-    assert matching.find_folded("hello world foo XXXXXXXX", ["hello world foo", "bar baz"])[4] == 0.85
-    assert matching.find_folded("zz", ["a"]) is None and matching.find_folded(None, ["abc"]) is None and matching.find_folded("abc", []) is None
+    assert folded_spans(spark, [("hello world foo XXXXXXXX", ["hello world foo", "bar baz"])], 0.9) == [None]
+    assert folded_spans(spark, [("hello world foo XXXXXXXX", ["hello world foo", "bar baz"])])[0][4] == 0.85
+    assert folded_spans(spark, [("zz", ["a"]), (None, ["abc"]), ("abc", [])]) == [None] * 3
     lines = items(spark, [(1, "first page text", 10), (2, "a quoted sentence stands here", 10)])
     quote = spark.createDataFrame([("q", "d", 1, "quoted sentence", "p.pdf"), ("n", "d", 1, "qqqq wwww zzzz", "p.pdf")], "id string, doc_id string, page_num int, exact_text string, file_name string")
     got = {r["id"]: r for r in matching.anchors(quote, lines).collect()}
@@ -201,8 +253,8 @@ def test_exact_spans_by_expression(spark):
     got = {r["k"]: tuple(r)[2:] for r in matching.match_spans(quotes).collect()}
     assert got["over two"] == (10, 6, 11, 5, 1.0) and got["other case"] == (11, 4, 11, 9, 1.0) and got["null text"] == (11, 1, 11, 2, 1.0)
     assert all(got[k] == (None,) * 5 for k in ("none", "blank", "no items", "null"))
-    plan = matching.match_spans(quotes)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan and plan.index("exact_hit") < plan.index("MapInPandas")
+    sent = next(line for line in matching.match_spans(quotes)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in line)
+    assert "isnull(told" in sent and "usable" in sent  # rows with an exact hit are not usable for it
 
 
 def test_window_scores_equal_sets():

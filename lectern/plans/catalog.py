@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,7 +17,7 @@ from lectern.functions import citations, ids, responses, rules, text
 from lectern.operators import cascade, geometry, identity, markdown, matching, pages, planner, report, tfidf
 from lectern.plans import fixtures
 from lectern.sources import files, html
-from lectern.streaming import queues
+from lectern.streaming import lines, queues
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -838,3 +838,29 @@ def image_owners(spark):
 @literal
 def chosen_pdfs(spark):
     return identity.summary_pdf(fixtures.table(spark, "pdf_candidates"))
+
+
+# --- streamed responses (S15, N9) ---
+
+
+def response_chunks(docs: DataFrame) -> DataFrame:
+    """Documents as streamed responses, a line of the document each, cut into chunks at seeded bytes."""
+    said = F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices")))))
+    body = F.encode(F.concat(F.array_join(F.flatten(F.array(F.array(F.lit(": start"), F.lit("")), said, F.array(F.lit("data: [DONE]")))), "\n"), F.lit("\n")), "UTF-8")
+    wide = 20 + F.pmod(F.xxhash64("doc_id"), F.lit(400))
+    docs = docs.select("doc_id", body.alias("body"), wide.alias("wide"))
+    n = F.ceil(F.octet_length("body") / F.col("wide")).cast("int")
+
+    def cut(k: Column) -> Column:
+        at = k * F.col("wide") + F.pmod(F.xxhash64("doc_id", k), F.col("wide"))
+        return F.when(k == 0, 0).when(k >= n, F.octet_length("body")).otherwise(F.least(at, F.octet_length("body"))).cast("int")
+
+    cuts = docs.select("doc_id", "body", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.cast("long").alias("seq"), cut(k).alias("a"), cut(k + 1).alias("b")))).alias("c"))
+    return cuts.select(F.col("doc_id").alias("stream"), "c.seq", F.substring(F.col("body"), F.col("c.a") + 1, F.col("c.b") - F.col("c.a")).alias("body"))
+
+
+@query("""SELECT doc_id, CAST(i + 1 AS BIGINT) AS line_no, line AS token FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
+def chunked_tokens(spark, d):
+    """What streamed responses add line by line is what they were made from, wherever chunks are cut."""
+    found = lines.stream_tokens(lines.chunk_lines(response_chunks(read(spark, d, "documents"))), F.lit("openai"))
+    return found.select(F.col("stream").alias("doc_id"), "line_no", "token")

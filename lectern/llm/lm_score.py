@@ -1,12 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training tokens and pairs of tokens are counted over all training documents: map tasks add up what
-they see, and packed arrays of (hash, count) meet by leading bits of the hash.  A count is quantised on
-a logarithmic scale to a level q, and (gram, 1) ... (gram, q) are entered in a Bloom filter, whose slices
+they see, and packed arrays of (hash, count) meet by leading bits of the hash.  A count is quantised to a level q,
+exactly up to EXACT and on a logarithmic scale beyond, and (gram, 1) ... (gram, q) are entered in a Bloom filter, whose slices
 are built where the counts are, each with SPARE bits or more for an entry.  A count is read by probing level
 after level until one is missing.  All slices' bits are broadcast while they are BROADCAST_BITS at most;
 beyond that, grams are sent to their slices and the levels come back.
 
+A probability is a mixture of the token's own and of its share among what follows the token before it.  The filter
+also finds pairs that it was not given, at a rate that its fill tells; shares are divided by the mass that they
+have in all with those, so that the probabilities of all tokens after a context add up to 1.
+
 Exact counts, for the base score, do not come from the filter: the most frequent tokens are broadcast as
 a table of bounded size, all others are looked up by shuffling packed arrays of hashes.
 """
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from lectern.llm.store import prepare, table
 from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
-#: Counts are quantised to powers of this.
-LEVEL_BASE = 1.4
+#: Counts are their own level up to EXACT, then quantised to powers of LEVEL_BASE, so that sums of them stay exact enough.
+EXACT, LEVEL_BASE = 32, 1.03
+#: Contexts share a weight if their counts fall between the same powers of this.
+WEIGHT_BASE = 1.4
 #: Probes for each level of a gram.
 PROBES = 4
 #: Bits for an entry of the filter, rounded up to a power of two by slice, and the most bits that are broadcast.
@@ -34,8 +40,8 @@ HOT_TOKENS = 1 << 17
 #: Distinct grams that a map task holds before it emits them.
 HELD = 3_000_000
 #: The highest level there is: that of 2 ** 63.  Probing ends there, whatever the filter holds.
-TOP_LEVEL = 1 + int(63 * np.log(2) / np.log(LEVEL_BASE))
-#: Levels of the token before that have a weight of their own.
+TOP_LEVEL = EXACT + int((63 * np.log(2) - np.log(EXACT)) / np.log(LEVEL_BASE))
+#: Weights, by the count of the token before.
 LEVELS = 64
 #: Bytes of training text for each slice.
 SLICE_BYTES = 8 << 20
@@ -46,6 +52,14 @@ def slice_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where each begins, with the end."""
+    if not len(values):
+        return values, np.zeros(1, np.int64)
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[begin], np.append(begin, len(values))
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with an end after each text, and the text of each."""
     data = LOWER[data]
@@ -75,10 +89,9 @@ def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _count_grams(bits: int):
     def emit(kind, held):
         h, c = _merge(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-        cut = np.searchsorted(slice_of(h, bits), np.arange((1 << bits) + 1))
-        used = np.flatnonzero(np.diff(cut))
+        used, cut = runs(slice_of(h, bits))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(used), kind), pa.int32()), pa.array(used, pa.int64()), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in used], pa.binary()), pa.array([c[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in used], pa.binary())],
+            [pa.array(np.full(len(used), kind), pa.int32()), pa.array(used, pa.int64()), pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([c[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
             ["kind", "slice", "hashes", "counts"],
         )
 
@@ -105,15 +118,16 @@ def _count_grams(bits: int):
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """The quantised level of a count; 1 for 1."""
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+    """The quantised level of a count of 1 or more."""
+    above = EXACT + np.floor(np.log(np.maximum(counts, EXACT) / EXACT) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+    return np.where(counts < EXACT, counts, above)
 
 
 def level_value(q: np.ndarray) -> np.ndarray:
     """The mean count of level q (0 for 0), for counts spread evenly over the level."""
-    low = np.maximum(np.ceil(LEVEL_BASE ** (q - 1.0) - 1e-6), 1)
-    high = np.maximum(np.ceil(LEVEL_BASE ** (q * 1.0) - 1e-6) - 1, low)
-    return np.where(q > 0, (low + high) / 2, 0.0)
+    low = np.ceil(EXACT * LEVEL_BASE ** np.maximum(q - EXACT, 0.0) - 1e-6)
+    high = np.maximum(np.ceil(EXACT * LEVEL_BASE ** np.maximum(q + 1.0 - EXACT, 0.0) - 1e-6) - 1, low)
+    return np.where(q < EXACT, np.asarray(q, np.float64), (low + high) / 2)
 
 
 def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray) -> np.ndarray:
@@ -143,7 +157,7 @@ def _build_slice(slice_bits: int, own_bits: int | None = None):
                 some = h[q >= level]
                 filled[probe_bits(some, np.full(len(some), level), kind, slice_bits, own).ravel()] = True
         h, c = counted[0]
-        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "entries": [entries]})
+        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "entries": [entries], "false": [float(filled.mean()) ** PROBES]})
 
     return run
 
@@ -169,11 +183,11 @@ def read_levels(bits: np.ndarray, h: np.ndarray, kind: int, slice_bits: int, own
 class Model:
     """What is broadcast: the filter's bits (None: too many), frequent tokens' exact counts, totals."""
 
-    def __init__(self, bits: np.ndarray | None, slice_bits: int, own_bits: int | np.ndarray, n: int, v: int, hot: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, bits: np.ndarray | None, slice_bits: int, own_bits: int | np.ndarray, n: int, v: int, hot: tuple[np.ndarray, np.ndarray], false: float = 0.0):
         self.bits, self.slice_bits, self.n, self.v, self.hot = bits, slice_bits, n, v, hot
         self.own_bits = np.broadcast_to(np.asarray(own_bits, np.int64), 1 << slice_bits)
         self.starts = np.concatenate(([0], np.cumsum(1 << self.own_bits)[:-1]))
-        self.weights = np.full(LEVELS, 0.05)
+        self.weights, self.false = np.full(LEVELS, 0.05), false
 
     def level_of(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Levels as ``read_levels`` reads them."""
@@ -183,7 +197,7 @@ class Model:
     def fit_weights(self, told: np.ndarray, times: np.ndarray, rounds: int = 20) -> None:
         """The weight of the share by the level of the token before, by expectation maximisation with each token left
         out; ``times`` counts the tokens that have each row of levels."""
-        own, share, level = shares(told, self.n, self.v, 1)
+        own, share, level = self.shares(told, 1)
         seen = np.bincount(level, times, minlength=LEVELS)
         for _ in range(rounds):
             w = self.weights[level]
@@ -193,10 +207,27 @@ class Model:
 
     def log_probabilities(self, told: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
-        own, share, level = shares(told, self.n, self.v)
+        own, share, level = self.shares(told)
         w = self.weights[level]
         return np.log10(w * share + (1 - w) * own)
 
+    def shares(self, told: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of ``told_levels``: the token's own probability, its share after the token before it, and the
+        weight's number; with ``left_out`` 1 as if the token itself had not been counted.
+
+        Each of all tokens is read as following a context by mistake, or once too often, with the probability
+        ``false``, twice with its square, and so on (never more often than the context occurs): so much is added,
+        on average, to the context's count, which is what shares are of.
+        """
+        before, count, after = level_value(np.arange(TOP_LEVEL + 1))[told].T
+        own = (np.maximum(count - left_out, 0) + 1) / (self.n + self.v + 1)
+        after = np.minimum(after, np.minimum(before, count))  # a pair is no more frequent than its parts
+        context = np.maximum(before - left_out, 1)
+        mistaken = self.false * (1 - self.false ** np.minimum(context, 64)) / (1 - self.false) if self.false < 1 else context
+        share = np.maximum(after - left_out, 0) / (context + self.v * mistaken)
+        number = np.floor(np.log(np.maximum(before, 1)) / np.log(WEIGHT_BASE) + 1e-9).astype(np.int64) + 1
+        return own, share, np.where(before == 0, 0, np.minimum(number, LEVELS - 1))
+
 
 def told_levels(h: np.ndarray, doc: np.ndarray, level_of) -> np.ndarray:
     """For each token the levels of the counts of the token before it, of itself and of the pair of both."""
@@ -206,17 +237,12 @@ def told_levels(h: np.ndarray, doc: np.ndarray, level_of) -> np.ndarray:
     first = np.concatenate(([True], doc[1:] != doc[:-1]))
     before = np.where(first, level[np.searchsorted(uniq, END)], np.concatenate(([0], own[:-1])))
     uniq, back = np.unique(pairs(h, doc), return_inverse=True)
-    return np.stack([before, own, level_of(uniq, 1)[back]], 1).astype(np.uint8)
+    return np.stack([before, own, level_of(uniq, 1)[back]], 1).astype(np.uint16)
 
 
-def shares(told: np.ndarray, n: int, v: int, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``told_levels``: the token's own probability, its share after the token before it, and the level
-    of that one's count; with ``left_out`` 1 as if the token itself had not been counted."""
-    before, count, after = level_value(np.arange(256))[told].T
-    own = (np.maximum(count - left_out, 0) + 1) / (n + v + 1)
-    after = np.minimum(after, np.minimum(before, count))  # a pair is no more frequent than its parts
-    share = np.maximum(after - left_out, 0) / np.maximum(before - left_out, 1)
-    return own, share, np.minimum(told[:, 0].astype(np.int64), LEVELS - 1)
+def unpack(data: np.ndarray) -> np.ndarray:
+    """The rows of ``told_levels`` in bytes of ``pack``."""
+    return np.frombuffer(data.tobytes(), np.uint16).reshape(-1, 3)
 
 
 def _count_levels(batches):
@@ -224,8 +250,8 @@ def _count_levels(batches):
     codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for _, _, data, _ in chunks(batch.column(0)):
-            told = data.reshape(-1, 3).astype(np.int64)
-            part = np.unique(told[:, 0] << 16 | told[:, 1] << 8 | told[:, 2], return_counts=True)
+            told = unpack(data).astype(np.int64)
+            part = np.unique(told[:, 0] << 32 | told[:, 1] << 16 | told[:, 2], return_counts=True)
             codes, times = _merge(np.concatenate((codes, part[0])), np.concatenate((times, part[1])))
     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], ["code", "times"])
 
@@ -236,8 +262,8 @@ def _log_score(model: Model):
             at = batch.schema.get_field_index("levels")
             score = np.zeros(batch.num_rows)
             for first, last, data, offsets in chunks(batch.column(at)):
-                docs = np.repeat(np.arange(last - first), np.diff(offsets) // 3)
-                score[first:last] = np.bincount(docs, model.log_probabilities(data.reshape(-1, 3)), minlength=last - first)
+                docs = np.repeat(np.arange(last - first), np.diff(offsets) // 6)
+                score[first:last] = np.bincount(docs, model.log_probabilities(unpack(data)), minlength=last - first)
             yield batch.set_column(at, "score", pa.array(score))
 
     return run
@@ -252,13 +278,14 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     size = train.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     slice_bits = int(np.ceil(np.log2(max(size / SLICE_BYTES, 1))))
     grams = train.select("text").mapInArrow(_count_grams(slice_bits), "kind int, slice long, hashes binary, counts binary")
-    schema = "slice long, hashes binary, counts binary, bits binary, n long, v long, pairs long, entries long"
+    schema = "slice long, hashes binary, counts binary, bits binary, n long, v long, pairs long, entries long, false double"
     slices = table(grams.groupBy("slice").applyInPandas(_build_slice(slice_bits), schema), "gram-slices")
     own_bits = np.full(1 << slice_bits, 3)
     n = v = 0
-    for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v").toLocalIterator():
+    false = 0.0
+    for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v", "false").toLocalIterator():
         own_bits[row["slice"]] = int(row["size"]).bit_length() + 2
-        n, v = n + row["n"], v + row["v"]
+        n, v, false = n + row["n"], v + row["v"], false + row["false"]  # pairs are spread evenly over slices
     starts = np.concatenate(([0], np.cumsum(1 << own_bits)))
     bits = None
     if starts[-1] <= BROADCAST_BITS:
@@ -289,7 +316,7 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
 
     hot = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in slices.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toLocalIterator()]
     hot = _merge(np.concatenate([x[0] for x in hot] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in hot] or [np.zeros(0, np.int64)]))
-    model = Model(bits, slice_bits, own_bits, n, v, hot)
+    model = Model(bits, slice_bits, own_bits, n, v, hot, false / (1 << slice_bits))
     return slices, model
 
 
@@ -299,9 +326,8 @@ def _score(broadcast, slice_bits: int):
     names = ["batch", "slice", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels", "hashes", "rows", "times", "text", "pairs"]
 
     def cut(h, *more):
-        at = np.searchsorted(slice_of(h, slice_bits), np.arange((1 << slice_bits) + 1))
-        used = np.flatnonzero(np.diff(at))
-        return used, [[x[at[i] : at[i + 1]].tobytes() for i in used] for x in (h, *more)]
+        used, at = runs(slice_of(h, slice_bits))
+        return used, [[x[i:j].tobytes() for i, j in zip(at, at[1:])] for x in (h, *more)]
 
     def run(batches):
         model: Model = broadcast.value
@@ -364,7 +390,7 @@ def _tell(slice_bits: int):
         bits = np.frombuffer(known["bits"].iloc[0], np.uint8) if len(known) else np.zeros(1, np.uint8)
         own = len(bits).bit_length() + 2
         for kind, name in enumerate(("hashes", "pairs")):
-            out[name] = [read_levels(bits, np.frombuffer(h, np.uint64), kind, slice_bits, own, 0).astype(np.uint8).tobytes() for h in asked[name]]
+            out[name] = [read_levels(bits, np.frombuffer(h, np.uint64), kind, slice_bits, own, 0).astype(np.uint16).tobytes() for h in asked[name]]
         return pd.DataFrame(out)
 
     return run
@@ -373,7 +399,7 @@ def _tell(slice_bits: int):
 def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of a batch with levels in place of the text; answers in order of slices are in order of hashes."""
     docs, answers = docs.sort_by("row"), answers.sort_by("slice")
-    level = [np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint8).astype(np.int64) for x in ("hashes", "pairs")]
+    level = [np.frombuffer(b"".join(answers.column(x).to_pylist()), np.uint16).astype(np.int64) for x in ("hashes", "pairs")]
     text = docs.column("text").cast(pa.large_binary()).to_pylist()
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in text])))
     h, doc = tokens(np.frombuffer(b"".join(text), np.uint8), offsets)
@@ -437,7 +463,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     # the share's weights depend on the levels only, so counts of equal rows of levels are all that fitting needs
     counted = own.where("not held_out").select("levels").mapInArrow(_count_levels, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code").toPandas()
     code = counted["code"].to_numpy(np.int64)
-    model.fit_weights(np.stack([code >> 16, code >> 8 & 255, code & 255], 1).astype(np.uint8), counted["times"].to_numpy(np.int64))
+    model.fit_weights(np.stack([code >> 32, code >> 16 & 65535, code & 65535], 1).astype(np.uint16), counted["times"].to_numpy(np.int64))
     model.bits = model.hot = None  # what is left needs the weights only
     own = own.mapInArrow(_log_score(model), f"batch long, row int, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
     out = own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

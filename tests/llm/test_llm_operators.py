@@ -406,20 +406,19 @@ def test_scores_by_brute_force(spark, monkeypatch):
     single = collections.Counter(w for i, ts in texts.items() if not held(i) for w in ts)
     double = collections.Counter(p for i, ps in pairs_of.items() if not held(i) for p in ps)
     n, v = sum(single.values()), len(single)
-    level = lambda c: 1 + int(math.log(c) / math.log(1.4) + 1e-9) if c else 0
+    level = lambda c: c if c < 32 else 32 + int(math.log(c / 32) / math.log(1.03) + 1e-9)
+    bucket = lambda c: 1 + int(math.log(c) / math.log(1.4) + 1e-9) if c else 0
 
     def count_of(q):
-        if not q:
-            return 0.0
-        inside = [c for c in range(1, 5000) if level(c) == q]
-        return (inside[0] + inside[-1]) / 2 if inside else None
+        inside = [c for c in range(5000) if level(c) == q]
+        return (inside[0] + inside[-1]) / 2
 
     tables = {c: count_of(level(c)) for c in {*single.values(), *double.values(), 0}}
 
     def shares(a, b, out):
         before, own, both = tables[single[a]], tables[single[b]], tables[double[a, b]]
         both = min(both, before, own)
-        return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / max(before - out, 1), min(level(single[a]), 63)
+        return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / max(before - out, 1), min(bucket(before), 63)
 
     weights = [0.05] * 64
     told = [shares(a, b, 1) for i, ps in pairs_of.items() if not held(i) for a, b in ps]
@@ -436,12 +435,45 @@ def test_scores_by_brute_force(spark, monkeypatch):
         assert got[i] == pytest.approx(want, abs=1e-6)
 
 
+def test_probabilities_after_a_context_add_up(spark, monkeypatch):
+    """With the filter as it is used: over all known tokens and an unknown one, after contexts of all levels."""
+    rng, names = random.Random(23), [f"w{i}" for i in range(4000)]
+    weights = [1 / (i + 3) for i in range(4000)]
+    rows = [(i, " ".join(rng.choices(names, weights, k=rng.randint(1, 400))), None, None, None) for i in range(500)]
+    kept, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda train: kept.append(fit(train)) or (kept[0][0], kept[0][1]))
+    bits = []
+    made = lm_score.Model.fit_weights
+    monkeypatch.setattr(lm_score.Model, "fit_weights", lambda self, *a: (bits.append(self.bits), made(self, *a))[1])
+    lm_score.score_documents(frame(spark, rows), F.lit(False)).collect()
+    model = kept[0][1]
+    model.bits = bits[0]
+    counts = collections.Counter(w for _, t, *_ in rows for w in t.split())
+    vocabulary = sorted(counts, key=lambda w: -counts[w])
+    data = " ".join(vocabulary).encode()
+    h, _ = lm_score.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))  # with the end
+    every = np.append(h, np.uint64(12345))  # an unknown token
+    sums = {}
+    for k in np.unique(np.geomspace(1, len(vocabulary), 50).astype(int) - 1):
+        together = np.stack([np.full(len(every), h[k]), every], 1).ravel()
+        told = lm_score.told_levels(together, np.repeat(np.arange(len(every)), 2), model.level_of)[1::2]
+        sums[vocabulary[k]] = float((10.0 ** model.log_probabilities(told)).sum())
+    assert 0.001 < model.false < 0.1 and min(counts[w] for w in sums) <= 3 and len(sums) > 40
+    assert max(abs(x - 1) for x in sums.values()) < 0.02, sums
+
+
+def test_slices_are_cut_by_what_is_there():
+    used, at = lm_score.runs(np.array([3, 3, 7, 1 << 40]))
+    assert list(used) == [3, 7, 1 << 40] and list(at) == [0, 2, 3, 4]
+    assert [len(x) for x in lm_score.runs(np.zeros(0, np.int64))] == [0, 1]
+
+
 def test_filter_reads_levels_back():
     h = lm_score.mix(np.arange(1, 2001, dtype=np.uint64))
     c = np.arange(1, 2001) % 300 + 1
     frame = __import__("pandas").DataFrame({"kind": [0], "hashes": [h.tobytes()], "counts": [c.astype(np.uint32).tobytes()]})
-    row = lm_score._build_slice(0, 18)((0,), frame).iloc[0]
-    model = lm_score.Model(np.frombuffer(row["bits"], np.uint8), 0, 18, row["n"], row["v"], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    row = lm_score._build_slice(0, 20)((0,), frame).iloc[0]
+    model = lm_score.Model(np.frombuffer(row["bits"], np.uint8), 0, 20, row["n"], row["v"], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     read, true = model.level_of(h, 0), lm_score.levels(c)
     assert (read >= true).all() and (read == true).mean() > 0.9
     assert (model.level_of(lm_score.mix(np.arange(5000, 7000, dtype=np.uint64)), 0) > 0).mean() < 0.1
@@ -582,7 +614,7 @@ def test_copies_neither_fill_nor_empty_a_sample(spark):
 def test_probing_ends_in_a_full_filter():
     full = np.full(16, 255, np.uint8)
     h = lm_score.mix(np.arange(1, 50, dtype=np.uint64))
-    assert (lm_score.read_levels(full, h, 0, 0, 7, 0) == lm_score.TOP_LEVEL).all() and lm_score.TOP_LEVEL < 256
+    assert (lm_score.read_levels(full, h, 0, 0, 7, 0) == lm_score.TOP_LEVEL).all() and lm_score.TOP_LEVEL < 1 << 16
 
 
 def test_attention_gradient():

@@ -864,3 +864,23 @@ def chunked_tokens(spark, d):
     """What streamed responses add line by line is what they were made from, wherever chunks are cut."""
     found = lines.stream_tokens(lines.chunk_lines(response_chunks(read(spark, d, "documents"))), F.lit("openai"))
     return found.select(F.col("stream").alias("doc_id"), "line_no", "token")
+
+
+# --- pacing and stale answers (X4, X6) ---
+
+
+@query("WITH " + EVENTS + """, o AS (SELECT pos, ts_ms, row_number() OVER (ORDER BY ts_ms, pos) - 1 AS n FROM e)
+SELECT pos, ts_ms, CAST(max(ts_ms - n * 60000) OVER (ORDER BY n) + n * 60000 AS BIGINT) AS start_ms FROM o""")
+def paced_starts(spark, d):
+    """Events as requests, a minute apart at least."""
+    return queues.paced(throttle_events(spark, d).select("pos", "ts_ms"), 60_000)
+
+
+@query("WITH " + EVENTS + """, o AS (SELECT user_id, row_number() OVER w AS number, lead(ts_ms) OVER w AS next_ms, ts_ms + pos * 7919 % 7200 * 60000 AS ts_ms FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, pos))
+SELECT user_id, number, CAST(ts_ms AS BIGINT) AS ts_ms FROM o WHERE next_ms IS NULL OR next_ms > ts_ms""")
+def fresh_answers(spark, d):
+    """Events as requests whose answers take up to five days; those that a later request overtook are left out."""
+    order = W.partitionBy("user_id").orderBy("ts_ms", "pos")
+    asked = throttle_events(spark, d).select("user_id", "pos", "ts_ms", F.row_number().over(order).cast("long").alias("number"))
+    told = asked.select("user_id", "number", (F.col("ts_ms") + F.col("pos") * 7919 % 7200 * 60_000).alias("ts_ms"))
+    return queues.fresh_answers(asked, told, "user_id")

@@ -68,38 +68,64 @@ def atom_entry(xml: Column) -> Column:
     return F.when(F.xpath_boolean(xml, F.lit("/feed/entry")), entry)
 
 
-def call_provider(requests: DataFrame, call: Callable[[str, str, int], tuple[int, str]], parallel: int = 3, attempts: int = 4, wait: Callable[[float], None] | None = None) -> DataFrame:
-    """requests (id, system, user, max_tokens) with status, body and attempts of ``call``, on ``parallel`` tasks.
-
-    An empty system prompt is answered by {} without a call.  Calls that may succeed later, by their status or by the error
-    that they raise, are repeated, at most ``attempts`` times in all; before each repetition ``wait``, if given, is
-    called with the doubling pause in seconds (time.sleep, say).  A call that raised last has status 0 and the error as
-    body.
+def _asked_seconds(headers: dict | None) -> float | None:
+    """What a header Retry-After asks for, in seconds or as a date; None without a usable one."""
+    import datetime as dt
+    from email.utils import parsedate_to_datetime
+
+    value = next((str(v).strip() for k, v in (headers or {}).items() if k.lower() == "retry-after"), "")
+    try:
+        return max(float(value), 0.0) if float(value) >= 0 else None
+    except ValueError:
+        pass
+    try:
+        return max((parsedate_to_datetime(value) - dt.datetime.now(dt.UTC)).total_seconds(), 0.0)
+    except (ValueError, TypeError):
+        return None
+
+
+def call_provider(requests: DataFrame, call: Callable[[str, str, int], tuple], parallel: int = 3, attempts: int = 4, wait: Callable[[float], None] | None = None, width: int = 1) -> DataFrame:
+    """requests (id, system, user, max_tokens) with status, body and attempts of ``call``, on ``parallel`` tasks of ``width``
+    calls at a time each, so at most their product run at once.
+
+    ``call`` gives (status, body) or (status, body, headers).  An empty system prompt is answered by {} without a call.  Calls
+    that may succeed later, by their status or by the error that they raise, are repeated, at most ``attempts``
+    times in all; before each repetition ``wait``, if given, is called with the pause in seconds (time.sleep, say):
+    what the header Retry-After asks for, else the doubling one, 8 at most.  A call that raised last has status 0 and
+    the error as body.  Within a task answers are in the order of the requests, whichever comes first; a batch of
+    requests is held at a time, and a slow call holds up its batch only.
     """
     from lectern.functions.rules import RETRYABLE, TRANSPORT_WORDS
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)
 
+    def answer(request: tuple) -> tuple[int, str, int]:
+        system, user, tokens = request
+        if not (system or "").strip():
+            return 200, "{}", 0
+        headers = None
+        for n in range(1, attempts + 1):
+            if n > 1 and wait:
+                asked = _asked_seconds(headers)
+                wait(min(2.0 ** (n - 2) if asked is None else asked, 8.0))
+            try:
+                status, body, *rest = call(system, user, int(tokens))
+                headers = rest[0] if rest else None
+                again = status in RETRYABLE
+            except Exception as e:  # the call is the caller's, and one request must not end the others
+                status, body, headers = 0, str(e), None
+                again = any(w in body.lower() for w in TRANSPORT_WORDS)
+            if not again:
+                break
+        return status, body, n
+
     def run(frames):
-        for f in frames:
-            rows = []
-            for system, user, tokens in zip(f["system"], f["user"], f["max_tokens"], strict=True):
-                if not (system or "").strip():
-                    rows.append((200, "{}", 0))
-                    continue
-                for n in range(1, attempts + 1):
-                    if n > 1 and wait:
-                        wait(min(2.0 ** (n - 2), 8.0))
-                    try:
-                        status, body = call(system, user, int(tokens))
-                        again = status in RETRYABLE
-                    except Exception as e:  # the call is the caller's, and one request must not end the others
-                        status, body = 0, str(e)
-                        again = any(w in body.lower() for w in TRANSPORT_WORDS)
-                    if not again:
-                        break
-                rows.append((status, body, n))
-            yield f.assign(status=[r[0] for r in rows], body=[r[1] for r in rows], attempts=[r[2] for r in rows])
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(width) as pool:
+            for f in frames:
+                rows = list(pool.map(answer, zip(f["system"], f["user"], f["max_tokens"], strict=True)))
+                yield f.assign(status=[r[0] for r in rows], body=[r[1] for r in rows], attempts=[r[2] for r in rows])
 
     return requests.repartition(parallel).mapInPandas(run, f"{kept}, status int, body string, attempts int")
 
@@ -113,17 +139,74 @@ def stub_provider(system: str, user: str, max_tokens: int) -> tuple[int, str]:
     return 200, json.dumps({"highlights": [{"exact_text": found[0].strip(), "type": "key_point"}] if found else []})
 
 
-def save_if_changed(table: DataFrame, path: str) -> bool:
-    """Replaces the Parquet table at ``path`` (settings, a queue) if its rows differ; whether it did.  The new table is
-    written beside the old one before that goes."""
-    spark = table.sparkSession
-    place, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path.rstrip("/") + ".new"))
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(place):
-        old = spark.read.parquet(path)
+# Tables that are replaced or grown safely: a folder for each version or batch, which counts once its mark is there.  A mark is
+# an empty file that is made last and never changed, so a job that dies leaves what was there before.
+
+_MARK = "_committed-"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions or batches at ``path`` that count, in order."""
+    fs, place = _files(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n.removeprefix(_MARK)) for n in names if n.startswith(_MARK))
+
+
+def _commit(spark: SparkSession, table: DataFrame, path: str, number: int) -> None:
+    fs, _ = _files(spark, path)
+    table.write.mode("overwrite").parquet(f"{path}/v{number}")  # a dead job's leavings go
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_MARK}{number}"), False).close()
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version that ``save_if_changed`` saved at ``path``, or None."""
+    numbers = committed(spark, path)
+    return spark.read.parquet(f"{path}/v{numbers[-1]}") if numbers else None
+
+
+def save_if_changed(table: DataFrame, path: str, keep: int = 2) -> bool:
+    """Saves a new version of the table at ``path`` (settings, a queue) if its rows differ; whether it did.
+
+    Readers take the last version with a mark, so they see the old table or the new one, whenever the job ends; the
+    last ``keep`` versions stay, for those who still read them.
+    """
+    spark, path = table.sparkSession, path.rstrip("/")
+    numbers = committed(spark, path)
+    if numbers:
+        old = current_table(spark, path)
         if old.dtypes == table.dtypes and old.exceptAll(table).isEmpty() and table.exceptAll(old).isEmpty():
             return False
-    table.write.mode("overwrite").parquet(new.toString())
-    fs.delete(place, True)
-    fs.rename(new, place)
+    new = numbers[-1] + 1 if numbers else 0
+    _commit(spark, table, path, new)
+    fs, _ = _files(spark, path)
+    for n in numbers[: max(len(numbers) + 1 - keep, 0)]:
+        for gone in (f"{path}/{_MARK}{n}", f"{path}/v{n}"):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(gone), True)
     return True
+
+
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps each micro-batch once, also if a restarted stream brings it again."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        if number not in committed(batch.sparkSession, path):
+            _commit(batch.sparkSession, batch, path, number)
+
+    return save
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """All that ``batch_sink`` has kept at ``path``, or None."""
+    numbers = committed(spark, path)
+    return spark.read.parquet(*[f"{path}/v{n}" for n in numbers]) if numbers else None
+
+
+def overwrite_documents(rows: DataFrame, path: str) -> None:
+    """Replaces what is kept at ``path`` for the documents (doc_id) in ``rows``, and for no others: a folder for each
+    document, written by one task."""
+    rows.repartition("doc_id").write.partitionBy("doc_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

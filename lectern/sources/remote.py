@@ -105,7 +105,8 @@ def downloads(papers: DataFrame, files: DataFrame, fetch: Callable[[str], tuple[
     """(paper_id, path, step, status, content): the PDFs of papers (paper_id, arxiv_id, title) that are not among files (path) yet.
 
     Each path is fetched once: step is ``kept`` for one that is there (unless ``overwrite``), else ``fetched`` or, but for
-    status 200, ``failed``.  Writing the content by path is then idempotent.
+    status 200, ``failed``; a fetch that raises has status 0.  Writing the content by path is then idempotent.  A task
+    holds one PDF at a time.
     """
     path = ids.file_path(F.col("title"), folder, "pdf")
     rows = papers.select("paper_id", path.alias("path"), ids.pdf_url(F.col("arxiv_id")).alias("url"))
@@ -115,8 +116,13 @@ def downloads(papers: DataFrame, files: DataFrame, fetch: Callable[[str], tuple[
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [fetch(u) for u in f["url"]]
-            yield pd.DataFrame({"paper_id": f["paper_id"], "path": f["path"], "step": ["fetched" if s == 200 else "failed" for s, _ in got], "status": [s for s, _ in got], "content": [b if s == 200 else None for s, b in got]})
+            for k in range(len(f)):
+                try:
+                    status, content = fetch(f["url"].iloc[k])
+                except Exception:  # the function is the caller's, and one paper must not end the others
+                    status, content = 0, None
+                good = status == 200
+                yield f.iloc[k : k + 1][["paper_id", "path"]].assign(step="fetched" if good else "failed", status=int(status), content=[content if good else None])
 
     schema = f"paper_id {kind}, path string, step string, status int, content binary"
     new = rows.where("not there and url is not null").dropDuplicates(["path"]).mapInPandas(run, schema)

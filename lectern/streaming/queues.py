@@ -95,6 +95,44 @@ def debounce_stream(events: DataFrame, key: str, time: str, wait: str = "300 mil
     return events.groupBy(key, F.session_window(time, wait)).agg(F.max(time).alias("last"), F.count("*").alias("n"))
 
 
+def debounce_emitted(events: DataFrame, key: str, wait_ms: int = 300) -> DataFrame:
+    """(key, number, last_ms, n) for each run of events (key, number, ts_ms) of a stream that nothing followed for
+    ``wait_ms``: the last number, its time and how many there were.
+
+    A run in which a later event came ``wait_ms`` after the one before is emitted at once, the last one by a timer, after
+    ``wait_ms`` without an event, so that none waits for the next.  Late events of a micro-batch are put in order.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, held = [], list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            rows.append(held)
+            state.remove()
+        else:
+            for e in pd.concat(list(frames)).sort_values(["ts_ms", "number"]).itertuples():
+                if held is not None and e.ts_ms - held[1] >= wait_ms:
+                    rows.append(held)
+                    held = None
+                held = [max(e.number, held[0]), max(e.ts_ms, held[1]), held[2] + 1] if held else [e.number, e.ts_ms, 1]
+            state.update(tuple(held))
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame([(k[0], *r) for r in rows], columns=[key, "number", "last_ms", "n"])
+
+    out = f"{key} {kind}, number long, last_ms long, n long"
+    return events.select(key, "number", "ts_ms").groupBy(key).applyInPandasWithState(run, out, "number long, last_ms long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def fresh_answers(requests: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """answers (key, number, ts_ms) that are not stale: when they came, no later request of requests (key, number, ts_ms)
+    of that key had been made.  A request of the same millisecond counts as made."""
+    asked = requests.select(key, "ts_ms", "number", F.lit(0).alias("kind"))
+    told = answers.select(key, "ts_ms", "number", F.lit(1).alias("kind"))
+    order = W.partitionBy(key).orderBy("ts_ms", "kind").rowsBetween(W.unboundedPreceding, 0)
+    both = asked.unionByName(told).withColumn("newest", F.max(F.when(F.col("kind") == 0, F.col("number"))).over(order))
+    return both.where("kind = 1 and number = newest").select(key, "number", "ts_ms")
+
+
 def admit(queue: DataFrame, jobs: DataFrame, by: list[str]) -> DataFrame:
     """jobs that are not pending or running already; of repeated ones the first (by added_at, id) stays, as pending."""
     active = queue.where(F.col("status").isin("pending", "running")).select(*by).distinct()
@@ -180,12 +218,43 @@ def retry_schedule(attempt: Column, base: int = 3000, least: int = 3000, most: i
     return F.least(F.lit(most), F.greatest(F.lit(least), F.lit(base) * F.pow(F.lit(2), attempt))).cast("long")
 
 
-def paced(requests: DataFrame, spacing_ms: int = 3000) -> DataFrame:
-    """requests (pos, ts_ms) with start_ms, no two starts closer than ``spacing_ms``: the running maximum of ts - pos * spacing.
+HOUR_MS, ERA_HOURS = 3_600_000, 4096
+
+
+def paced(requests: DataFrame, spacing_ms: int = 3000, block: int = 4096) -> DataFrame:
+    """requests (pos, ts_ms; pos counts up from 0) with start_ms, no two starts closer than ``spacing_ms``: a request starts
+    at the running maximum of ts - n * spacing, plus n * spacing, n being its place in order of (ts, pos).
 
-    Pacing is global, so its one order is one window; it is meant for the short list of a driver-side source.
+    Pacing is global, but no window is.  Requests of one millisecond are counted first (they start one after the other); sums and
+    maxima then run within hours, over the hours of an era, and over eras, and what came before is sent back
+    to each.  The windows hold a row for each millisecond of an hour, or hour of an era (4096 hours), at most; eras,
+    of which a century has 214, are added up on the driver.  Requests of one millisecond are numbered in blocks of
+    ``block`` positions.  Requests without a time never start; those without a pos come first.
     """
-    order = W.orderBy("ts_ms", "pos")
-    n = F.row_number().over(order) - 1
-    ahead = requests.withColumn("n", n).withColumn("free", F.col("ts_ms") - F.col("n") * spacing_ms)
-    return ahead.withColumn("start_ms", F.max("free").over(W.orderBy("n")) + F.col("n") * spacing_ms).drop("n", "free")
+    spark, s = requests.sparkSession, F.lit(spacing_ms)
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    ticks = requests.where("ts_ms is not null").groupBy(F.col("ts_ms").cast("long").alias("ts_ms")).agg(F.count("*").alias("c"))
+    ticks = ticks.withColumn("hour", F.floor(F.col("ts_ms") / HOUR_MS)).withColumn("era", F.floor(F.col("hour") / ERA_HOURS))
+    in_hour = W.partitionBy("era", "hour").orderBy("ts_ms")
+    ticks = ticks.withColumn("n", F.coalesce(F.sum("c").over(before(in_hour)), F.lit(0)))
+    ticks = ticks.withColumn("top", F.max(F.col("ts_ms") - F.col("n") * s).over(in_hour.rowsBetween(W.unboundedPreceding, 0)))
+    hours = ticks.groupBy("era", "hour").agg(F.sum("c").alias("c"), F.max("top").alias("top"))
+    in_era = W.partitionBy("era").orderBy("hour")
+    hours = hours.withColumn("hour_n", F.coalesce(F.sum("c").over(before(in_era)), F.lit(0))).withColumn("top", F.col("top") - F.col("hour_n") * s)
+    hours = hours.withColumn("hour_top", F.max("top").over(before(in_era)))
+    rows, n, top = [], 0, None
+    for r in hours.groupBy("era").agg(F.sum("c").alias("c"), F.max("top").alias("top")).orderBy("era").collect():
+        rows.append((r["era"], n, top))
+        own = r["top"] - n * spacing_ms
+        n, top = n + r["c"], own if top is None else max(top, own)
+    eras = spark.createDataFrame(rows, "era long, era_n long, era_top long")
+    ticks = ticks.join(hours.select("era", "hour", "hour_n", "hour_top"), ["era", "hour"]).join(F.broadcast(eras), "era")
+    held = [F.col("top") - (F.col("hour_n") + F.col("era_n")) * s, F.col("hour_top") - F.col("era_n") * s, F.col("era_top")]
+    starts = ticks.select(F.col("ts_ms").alias("tick"), (F.greatest(*held) + (F.col("era_n") + F.col("hour_n") + F.col("n")) * s).alias("first_ms"))
+    # numbers of the requests of one millisecond: within blocks of pos, and the blocks before
+    named = requests.withColumns({"tick": F.col("ts_ms").cast("long"), "pos_block": F.coalesce(F.floor(F.col("pos") / block), F.lit(-1))})
+    in_tick = W.partitionBy("tick").orderBy("pos_block")
+    blocks = named.groupBy("tick", "pos_block").agg(F.count("*").alias("c")).withColumn("block_n", F.coalesce(F.sum("c").over(before(in_tick)), F.lit(0))).drop("c")
+    own = F.row_number().over(W.partitionBy("tick", "pos_block").orderBy("pos")) - 1
+    named = named.withColumn("own_n", own).join(blocks, ["tick", "pos_block"], "left").join(starts, "tick", "left")
+    return named.select(*requests.columns, (F.col("first_ms") + (F.col("block_n") + F.col("own_n")) * s).alias("start_ms"))

@@ -524,4 +524,4 @@ def test_tables_are_replaced_only_if_they_differ(spark, tmp_path):
     path = str(tmp_path / "settings")
     one, two = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 2)], "k string, v int")
     assert files.save_if_changed(one, path) and not files.save_if_changed(one, path) and files.save_if_changed(two, path)
-    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)]
+    assert [tuple(r) for r in files.current_table(spark, path).collect()] == [("a", 2)]

@@ -1,11 +1,15 @@
 """Streamed chunks, pacing, sinks and calls: batch and stream, on odd rows and against plain versions."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.streaming import lines
+from lectern.operators import planner
+from lectern.sources import files, remote
+from lectern.streaming import lines, queues
 
 
 def chunked(seed, n=20):
@@ -45,8 +49,139 @@ def test_line_stream_equals_batch(spark, tmp_path):
     rows, want = chunked(4)
     random.Random(2).shuffle(rows)
     schema = "stream int, seq long, body binary, last boolean"
-    for k in range(4):  # chunks come late and early, some twice
-        spark.createDataFrame(rows[k::4] + rows[:3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for k in range(2):  # chunks come late and early, some twice
+        spark.createDataFrame(rows[k::2] + rows[:3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     made = lines.line_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    made.writeStream.format("memory").queryName("told_lines").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    run = made.writeStream.format("memory").queryName("told_lines").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="100 milliseconds").start()
+    until = time.time() + 90
+    while spark.table("told_lines").count() < sum(map(len, want.values())) and time.time() < until:
+        time.sleep(0.5)
+    run.stop()
     assert by_stream(spark.table("told_lines").collect(), 20) == want
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_pacing_without_a_global_window(spark, block):
+    rng = random.Random(block)
+    rows = [(i, rng.choice([rng.randint(0, 10_000), 3_600_000 * rng.randint(0, 3), 3_600_000 * 4096 * rng.randint(-2, 3) + rng.randint(-5, 5)])) for i in range(300)]
+    start, want = None, {}
+    for pos, ts in sorted(rows, key=lambda r: (r[1], r[0])):
+        start = ts if start is None else max(ts, start + 3000)
+        want[pos] = start
+    made = queues.paced(spark.createDataFrame([*rows, (300, None)], "pos long, ts_ms long"), 3000, block)
+    assert {r["pos"]: r["start_ms"] for r in made.collect()} == {**want, 300: None}
+    assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
+    assert queues.paced(made.select("pos", "ts_ms").where("false")).count() == 0
+
+
+def plain_cover(sections):
+    """sections: (id, ordinal, char_start, planned, heading, scores) of one document."""
+    frame = sorted(sections, key=lambda s: s[1])
+    plans = [(i, s[4]) for i, s in enumerate(frame) if s[3]]
+    order = sorted(range(len(frame)), key=lambda i: (frame[i][2], i))
+    for k, heading in enumerate(planner.TARGETS):
+        if heading in [h for _, h in plans]:
+            continue
+        uses = [sum(j == i for j, _ in plans) for i in range(len(frame))]
+        pick = max(range(len(frame)), key=lambda i: (frame[i][5][k] - 2 * uses[i], -i))
+        if frame[pick][5][k] - 2 * uses[pick] <= 0:
+            turn = order[::-1] if k >= 4 else order
+            pick = min(turn, key=lambda i: (uses[i], turn.index(i)))
+        plans.append((pick, heading))
+    return [(frame[i][0], h, planner.HEADINGS.index(h), frame[i][2]) for i, h in plans]
+
+
+def test_cover_by_a_fold(spark):
+    rng, rows, want = random.Random(8), [], []
+    for doc in range(60):
+        sections = [(f"s{i}", i, rng.choice([i * 10, 100 - i * 10, 50]), rng.random() < 0.6, rng.choice(planner.HEADINGS), [rng.choice([0, 0, 1, 3, 6]) for _ in planner.TARGETS]) for i in range(rng.randint(1, 7))]
+        rows += [(doc, *s) for s in sections]
+        want += [(doc, *r) for r in plain_cover(sections)]
+    made = planner.cover(spark.createDataFrame(rows, "doc_id int, id string, ordinal int, char_start int, planned boolean, target_heading string, all_scores array<int>"))
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_run_side_by_side_in_order(spark):
+    def call(system, user, tokens):
+        time.sleep(0.4 if int(user) % 2 else 0.2)
+        return 200, user
+
+    requests = spark.createDataFrame([(i, "s", str(i), 9) for i in range(12)], "id int, system string, user string, max_tokens int").coalesce(1)
+    files.call_provider(requests, call, 1).count()
+    took = []
+    for width in (1, 6):
+        began = time.time()
+        got = files.call_provider(requests, call, 1, width=width).collect()
+        took.append(time.time() - began)
+        assert all(r["body"] == r["user"] for r in got) and sorted(r["id"] for r in got) == list(range(12))
+    assert took[1] < took[0] - 1.5
+
+
+def test_pauses_are_what_the_server_asks_for(spark, tmp_path):
+    log = str(tmp_path / "pauses")
+
+    def call(system, user, tokens):
+        return {"seconds": (429, "", {"Retry-After": "3"}), "long": (503, "", {"retry-after": "600"}), "past": (503, "", {"Retry-After": "Wed, 21 Oct 2015 07:28:00 GMT"}), "odd": (429, "", {"Retry-After": "soon"})}[user]
+
+    def wait(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds}\n")
+
+    requests = spark.createDataFrame([(u, "s", u, 9) for u in ("seconds", "long", "past", "odd")], "id string, system string, user string, max_tokens int")
+    files.call_provider(requests, call, 1, attempts=3, wait=wait).collect()
+    assert sorted(map(float, open(log).read().split())) == [0.0, 0.0, 1.0, 2.0, 3.0, 3.0, 8.0, 8.0]
+
+
+def test_a_dead_job_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert files.current_table(spark, path) is None
+    for n in range(4):
+        assert files.save_if_changed(spark.range(n + 1), path)
+    spark.range(99).write.parquet(f"{path}/v4")  # written, but its mark was never made
+    assert files.current_table(spark, path).count() == 4 and files.committed(spark, path) == [2, 3]
+    assert files.save_if_changed(spark.range(5), path) and files.current_table(spark, path).count() == 5
+
+
+def test_batches_count_once(spark, tmp_path):
+    sink, path = files.batch_sink(str(tmp_path / "b")), str(tmp_path / "b")
+    sink(spark.range(3), 0)
+    sink(spark.range(100), 0)  # brought again after a restart
+    spark.range(50).write.parquet(f"{path}/v1")  # a dead batch
+    assert files.batches(spark, path).count() == 3
+    sink(spark.range(4), 1)
+    assert files.batches(spark, path).count() == 7
+
+
+def test_documents_without_rows_stay(spark, tmp_path):
+    path = str(tmp_path / "anchors")
+    files.overwrite_documents(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "doc_id string, n int"), path)
+    before = {f: os.stat(f"{path}/doc_id=b/{f}").st_mtime_ns for f in os.listdir(f"{path}/doc_id=b")}
+    files.overwrite_documents(spark.createDataFrame([("a", 9), ("c", 4)], "doc_id string, n int"), path)
+    assert sorted((r["doc_id"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 3), ("c", 4)]
+    assert before == {f: os.stat(f"{path}/doc_id=b/{f}").st_mtime_ns for f in os.listdir(f"{path}/doc_id=b")}
+
+
+def test_a_raising_download_fails_alone(spark):
+    def fetch(url):
+        if "bad" in url:
+            raise OSError("reset")
+        return 200, b"%PDF"
+
+    papers = spark.createDataFrame([(1, "2301.1", "One"), (2, "bad", "Two")], "paper_id int, arxiv_id string, title string")
+    got = {r["paper_id"]: (r["step"], r["status"], r["content"]) for r in remote.downloads(papers, spark.createDataFrame([], "path string"), fetch, F.lit("P")).collect()}
+    assert got == {1: ("fetched", 200, b"%PDF"), 2: ("failed", 0, None)}
+
+
+def test_the_last_run_is_emitted_too(spark, tmp_path):
+    schema = "k string, number long, ts_ms long"
+    spark.createDataFrame([("a", 1, 0), ("a", 2, 100), ("a", 3, 900), ("b", 7, 50)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    made = queues.debounce_emitted(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k")
+    run = made.writeStream.format("memory").queryName("emitted").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="100 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while spark.table("emitted").count() < 3 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        run.stop()
+    assert sorted(map(tuple, spark.table("emitted").collect())) == [("a", 2, 100, 2), ("a", 3, 900, 1), ("b", 7, 50, 1)]

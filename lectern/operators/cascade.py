@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import responses, rules
-from lectern.functions.text import excerpt
+from lectern.functions.text import excerpt, trim_all
 from lectern.sources.files import call_provider
 
 Call = Callable[[str, str, int], tuple[int, str]]
@@ -36,18 +36,26 @@ def call_with_retry(requests: DataFrame, call: Call, parallel: int = 3) -> DataF
     return both.select("id", F.when(better, F.col("again")).otherwise(F.col("text")).alias("text"), F.when(F.col("again").isNull(), 1).otherwise(2).alias("tries"))
 
 
-# What stands in for an explanation that could not be had.
-SECTION_NET = [
-    "> [!note] This part corresponds to **{name}** in the paper.",
-    "The safest confirmed focus is: {focus}",
-    "Finer technical details still need to be checked against the original section, so this fallback keeps the explanation intentionally minimal.",
-]
-FORMULA_NET = [
-    "{formula}",
-    "> [!note] Minimal formula note",
-    '> This formula appears in **{name}** and is directly tied to "{focus}".',
-    "> Finer variable definitions still need to be checked against the nearby source context, so this fallback keeps only the safest role-level explanation.",
-]
+# What stands in for an explanation that could not be had, and for a figure's note, by language.
+SECTION_NET = {
+    "en": [
+        "> [!note] This part corresponds to **{name}** in the paper.",
+        "The safest confirmed focus is: {focus}",
+        "Finer technical details still need to be checked against the original section, so this fallback keeps the explanation intentionally minimal.",
+    ],
+    "zh-CN": ["> [!note] 这一部分对应论文中的 **{name}**。", "当前可直接确认的重点是：{focus}", "更细的技术细节需要继续结合原文该节核对，因此此处先保留最小化讲解。"],
+}
+FORMULA_NET = {
+    "en": [
+        "{formula}",
+        "> [!note] Minimal formula note",
+        '> This formula appears in **{name}** and is directly tied to "{focus}".',
+        "> Finer variable definitions still need to be checked against the nearby source context, so this fallback keeps only the safest role-level explanation.",
+    ],
+    "zh-CN": ["{formula}", "> [!note] 最小化公式说明", "> 该公式位于 **{name}**，当前可确认它与“{focus}”直接相关。", "> 更细的变量释义需要继续结合上下文核对，因此这里先保留公式本体与作用说明。"],
+}
+FIGURE_NOTE = {"en": "This figure is referenced by the surrounding explanation and is inserted here for direct lookup.", "zh-CN": "这张图与上文讲解直接相关，放在这里便于对照理解。"}
+FIGURE = r"(?i)(?:Figure|Fig\.?)[ ]*\d+"
 
 
 def _filled(parts: list[str], **values: Column) -> Column:
@@ -59,13 +67,13 @@ def _filled(parts: list[str], **values: Column) -> Column:
     return F.array_join(F.filter(F.array(*made), lambda x: x != ""), "\n\n")
 
 
-def safety_net(label: Column, focus: Column) -> Column:
+def safety_net(label: Column, focus: Column, language: str = "en") -> Column:
     """For a section of that name whose goal, or excerpt, is ``focus``."""
-    return _filled(SECTION_NET, name=label, focus=focus)
+    return _filled(SECTION_NET[language], name=label, focus=focus)
 
 
-def formula_net(formula: Column, label: Column, focus: Column) -> Column:
-    return _filled(FORMULA_NET, formula=responses.formula_block(formula), name=label, focus=focus)
+def formula_net(formula: Column, label: Column, focus: Column, language: str = "en") -> Column:
+    return _filled(FORMULA_NET[language], formula=responses.formula_block(formula), name=label, focus=focus)
 
 
 def explained(answers: DataFrame, repairs: DataFrame, language: str = "en", least: int = 60) -> DataFrame:
@@ -78,11 +86,51 @@ def explained(answers: DataFrame, repairs: DataFrame, language: str = "en", leas
     good = ~rules.is_insufficient(F.col("markdown"), F.col("content"), language, least)
     mended = F.col("repaired").isNotNull() & ~rules.is_insufficient(F.coalesce("repaired", F.lit("")), F.col("content"), language, least)
     return both.select(
-        "id", F.when(good, F.col("markdown")).when(mended, F.col("repaired")).otherwise(safety_net(F.col("label"), focus)).alias("markdown"),
+        "id", F.when(good, F.col("markdown")).when(mended, F.col("repaired")).otherwise(safety_net(F.col("label"), focus, language)).alias("markdown"),
         F.when(good, "answer").when(mended, "repair").otherwise("safety-net").alias("step"),
     )
 
 
+def block_body(markdown: Column) -> Column:
+    """An explanation without the heading that it begins with; sections of one heading are joined as prose."""
+    return F.regexp_replace(trim_all(markdown), r"\A#{1,6}\s+[^\n]*\n+", "")
+
+
+def _image_ids(mentions: Column, path: Column, images: Column) -> Column:
+    """The first two of the images (array of id, path, content, in order) that mentions name, by number or because they stand in
+    the same section; without any, the first two of the section."""
+    same = F.filter(images, lambda x: x["path"] == path)
+
+    def named(mention: Column) -> Column:
+        number = F.nullif(F.regexp_extract(mention, r"(?i)(?:Figure|Fig\.?)[ ]*(\d+)", 1), F.lit(""))
+        return F.filter(images, lambda x: (x["path"] == path) | F.coalesce(F.regexp_like(x["content"], F.concat(F.lit(r"(?i)(?:figure|fig\.?|image)[ ]*"), number)), F.lit(False)))
+
+    found = F.array_distinct(F.transform(F.flatten(F.transform(mentions, named)), lambda x: x["id"]))
+    return F.slice(F.when(F.size(found) > 0, found).otherwise(F.transform(same, lambda x: x["id"])), 1, 2)
+
+
+def explainer_outputs(answers: DataFrame, images: DataFrame, language: str = "en") -> DataFrame:
+    """(doc_id, id, markdown, figure_mentions, image_ids, figure_note) of answers (doc_id, id, text, section_path, content).
+
+    The text may be JSON with markdown, figureMentions (strings count) and figureNote.  Without mentions those in
+    the section's content count.  Images (doc_id, id, ordinal, section_path, content) of the document meet them by
+    number or section, two at most.  A note that is missing or blank is a stock one where there are images, else empty.
+    """
+    body = responses.json_or_inner(F.col("text"))
+    listed = F.try_variant_get(body, "$.figureMentions", "array<variant>")
+    told = F.transform(F.filter(listed, lambda m: F.schema_of_variant(m) == "STRING"), lambda m: F.try_variant_get(m, "$", "string"))
+    note = F.try_variant_get(body, "$.figureNote", "variant")
+    note = F.when(F.schema_of_variant(note) == "STRING", F.nullif(trim_all(F.try_variant_get(note, "$", "string")), F.lit("")))
+    rows = answers.select("doc_id", "id", "content", F.array_join("section_path", " > ").alias("path"), responses.markdown_of(F.col("text")).alias("markdown"), F.coalesce(told, F.array().cast("array<string>")).alias("figure_mentions"), note.alias("note"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(FIGURE), F.lit(0)), lambda m: trim_all(F.regexp_replace(m, r"\s+", " "))))
+    held = images.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", F.array_join("section_path", " > ").alias("path"), "content"))).alias("images"))
+    rows = rows.join(held, "doc_id", "left").withColumn("sought", F.when(F.size("figure_mentions") > 0, F.col("figure_mentions")).otherwise(F.coalesce(found, F.array().cast("array<string>"))))
+    ids = _image_ids(F.col("sought"), F.col("path"), F.coalesce("images", F.array().cast(held.schema["images"].dataType)))
+    rows = rows.withColumn("image_ids", ids)
+    stock = F.when(F.size("image_ids") > 0, FIGURE_NOTE[language]).otherwise("")
+    return rows.select("doc_id", "id", block_body(F.col("markdown")).alias("markdown"), "figure_mentions", "image_ids", F.coalesce("note", stock).alias("figure_note"))
+
+
 def needs_repair(answers: DataFrame, language: str = "en", least: int = 60) -> DataFrame:
     return answers.where(rules.is_insufficient(responses.markdown_of(F.col("text")), F.col("content"), language, least))
 

@@ -36,20 +36,20 @@ def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
     lengthen the query's vector.  Squares for the norms and products with all queries' weights are summed in one
     aggregate by document and query (null: the document itself); only then do documents meet the list of queries.
     """
-    # stop words count under an empty term, of no weight, so that every document has a row
-    term = F.coalesce(F.when(~is_stop_word(F.col("term")), F.col("term")), F.lit(""))
-    tf = docs.select("doc_id", F.explode_outer(terms(F.col("text"))).alias("term")).select("doc_id", term.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = term_frequencies(docs)
     n = docs.agg(F.count("*").alias("n_docs"))
     df = document_frequencies(tf).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
     absent = F.log(F.col("n_docs") + 1) + 1
     qw = term_frequencies(queries, "query_id").join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
     by_term = qw.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
-    w = F.when(F.col("term") != "", F.col("tf") * F.col("idf"))
-    weights = tf.join(df, "term", "left").join(by_term, "term", "left").select("doc_id", w.alias("w"), "asked")
+    weights = tf.join(df, "term").join(by_term, "term", "left").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"), "asked")
     own = F.struct(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), (F.col("w") * F.col("w")).alias("v"))
     shared = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v")))
     parts = F.when(F.col("asked").isNull(), F.array(own)).otherwise(F.concat(F.array(own), shared))
-    sums = weights.select("doc_id", F.explode(parts).alias("t")).groupBy("doc_id", "t.query_id").agg(F.sum("t.v").alias("v"))
+    # a row without a weight for each document, so that those without terms are there, too
+    marks = docs.select("doc_id", own["query_id"].alias("query_id"), F.lit(None).cast("double").alias("v"))
+    found = weights.select("doc_id", F.explode(parts).alias("t")).select("doc_id", "t.query_id", "t.v").unionByName(marks)
+    sums = found.groupBy("doc_id", "query_id").agg(F.sum("v").alias("v"))
     dots = F.map_from_entries(F.collect_list(F.when(F.col("query_id").isNotNull(), F.struct("query_id", "v"))))
     per_doc = sums.groupBy("doc_id").agg(F.sqrt(F.max(F.when(F.col("query_id").isNull(), F.col("v")))).alias("d_norm"), dots.alias("dots"))
     norms = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))

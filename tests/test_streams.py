@@ -7,8 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import planner
-from lectern.sources import files, remote
+from lectern.operators import cascade, planner
+from lectern.sources import files, graph_source, remote
 from lectern.streaming import lines, queues
 
 
@@ -185,3 +185,48 @@ def test_the_last_run_is_emitted_too(spark, tmp_path):
     finally:
         run.stop()
     assert sorted(map(tuple, spark.table("emitted").collect())) == [("a", 2, 100, 2), ("a", 3, 900, 1), ("b", 7, 50, 1)]
+
+
+def test_graph_as_a_data_source(spark, tmp_path):
+    import json
+
+    log = str(tmp_path / "asked")
+    graph = {("ArXiv:1", "citations"): [{"citingPaper": {"paperId": "x", "title": "X", "authors": [{"name": "A"}], "year": 2001, "citationCount": 3}}, {"citingPaper": {"paperId": "y"}}], ("DOI:2", "references"): [{"citedPaper": {"paperId": "z", "title": "Z"}}, {"citedPaper": None}]}
+
+    def fetch(url, headers):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        if headers:
+            return 403, ""
+        paper, relation = url.split("/paper/")[1].split("?")[0].rsplit("/", 1)
+        return (200, json.dumps({"data": graph[paper, relation]})) if (paper, relation) in graph else (500, "down")
+
+    graph_source.register_graph(spark, fetch)
+    whole = spark.read.format("paper_graph").option("papers", "arxiv:1, doi:2,arxiv:1,none").option("key", "k").option("parts", 2).load()
+    want = [("arxiv:1", "citations", 0, "x", "X", ["A"], 2001, "", 3), ("arxiv:1", "citations", 1, "y", "Untitled", [], 0, "", 0), ("doi:2", "references", 0, "z", "Z", [], 0, "", 0)]
+    assert sorted(map(tuple, whole.collect())) == want and whole.rdd.getNumPartitions() == 2
+    os.remove(log)
+    some = spark.read.format("paper_graph").schema("paper_id string, relation string, id string").option("papers", "arxiv:1,doi:2").option("limit", 1).load()
+    some = some.where("paper_id = 'arxiv:1' and relation in ('citations') and id <> 'q'")
+    assert [tuple(r) for r in some.collect()] == [("arxiv:1", "citations", "x")]
+    asked = open(log).read().split()
+    assert len(asked) == 1 and asked[0].endswith("/ArXiv:1/citations?fields=paperId&limit=1")
+    assert spark.read.format("paper_graph").load().count() == 0
+
+
+def test_explainer_outputs(spark):
+    answers = spark.createDataFrame(
+        [
+            (1, "json", '{"markdown": "## Own heading\\n\\nBody text", "figureMentions": ["Fig. 2", 7], "figureNote": " noted "}', ["A", "B"], "see Figure 1"),
+            (1, "found", "# T\n\nplain  ", ["C"], "in Figure  3 and FIG. 3, Figure 3"), (1, "section", "plain", ["A"], "none named"), (2, "alone", "plain", ["A"], "Figure 1"), (1, "null", None, None, None),
+        ],
+        "doc_id int, id string, text string, section_path array<string>, content string",
+    )
+    images = spark.createDataFrame([(1, "i1", 1, ["A"], "![figure 1](a)"), (1, "i2", 2, ["A", "B"], "image"), (1, "i3", 3, ["D"], "Fig.2"), (1, "i4", 4, ["A", "B"], "figure 22"), (1, "i5", 5, ["D"], "Image 3")], "doc_id int, id string, ordinal int, section_path array<string>, content string")
+    for language in ("en", "zh-CN"):
+        got = {r["id"]: tuple(r)[2:] for r in cascade.explainer_outputs(answers, images, language).collect()}
+        stock = cascade.FIGURE_NOTE[language]
+        assert got["json"] == ("Body text", ["Fig. 2"], ["i2", "i3"], "noted") and got["found"] == ("plain", [], ["i5"], stock)
+        assert got["section"] == ("plain", [], ["i1"], stock) and got["alone"] == ("plain", [], [], "") and got["null"][1:] == ([], [], "")
+    row = spark.range(1).select(cascade.safety_net(F.lit("方法"), F.lit("f"), "zh-CN").alias("s"), cascade.formula_net(F.lit("x"), F.lit("n"), F.lit("f"), "zh-CN").alias("f")).first()
+    assert row["s"].startswith("> [!note] 这一部分对应论文中的 **方法**。\n\n") and "“f”" in row["f"]

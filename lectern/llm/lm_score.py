@@ -130,6 +130,16 @@ def level_value(q: np.ndarray) -> np.ndarray:
     return np.where(q < EXACT, np.asarray(q, np.float64), (low + high) / 2)
 
 
+def rough(q: np.ndarray) -> np.ndarray:
+    """Levels for fitting: those beyond EXACT in steps of WEIGHT_BASE."""
+    return np.where(q <= EXACT, q, EXACT + np.floor((q - EXACT) * np.log(LEVEL_BASE) / np.log(WEIGHT_BASE) + 1e-9).astype(np.int64))
+
+
+def rough_value(q: np.ndarray) -> np.ndarray:
+    """The count that a level for fitting stands for: the middle of its step, on a logarithmic scale."""
+    return np.where(q < EXACT, np.asarray(q, np.float64), EXACT * WEIGHT_BASE ** (np.maximum(q - EXACT, 0) + 0.5))
+
+
 def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray) -> np.ndarray:
     """PROBES bit numbers within the gram's slice of 2**own_bits bits, for a level of each gram."""
     down = U(64) - np.asarray(own_bits).astype(np.uint64)
@@ -180,24 +190,36 @@ def read_levels(bits: np.ndarray, h: np.ndarray, kind: int, slice_bits: int, own
     return q
 
 
+def known_levels(h: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of those ``h`` that are among ``hashes`` (0 for others), and which are not."""
+    if not len(hashes):
+        return np.zeros(len(h), np.int64), np.ones(len(h), bool)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    there = hashes[at] == h
+    return np.where(there, levels(counts[at]), 0), ~there
+
+
 class Model:
     """What is broadcast: the filter's bits (None: too many), frequent tokens' exact counts, totals."""
 
-    def __init__(self, bits: np.ndarray | None, slice_bits: int, own_bits: int | np.ndarray, n: int, v: int, hot: tuple[np.ndarray, np.ndarray], false: float = 0.0):
+    def __init__(self, bits: np.ndarray | None, slice_bits: int, own_bits: int | np.ndarray, n: int, v: int, hot: tuple[np.ndarray, np.ndarray], false: float = 0.0, cut: int = TOP_LEVEL):
         self.bits, self.slice_bits, self.n, self.v, self.hot = bits, slice_bits, n, v, hot
         self.own_bits = np.broadcast_to(np.asarray(own_bits, np.int64), 1 << slice_bits)
         self.starts = np.concatenate(([0], np.cumsum(1 << self.own_bits)[:-1]))
-        self.weights, self.false = np.full(LEVELS, 0.05), false
+        self.weights, self.false, self.cut = np.full(LEVELS, 0.05), false, cut  # hot tokens have levels above the cut
 
     def level_of(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Levels as ``read_levels`` reads them."""
-        at = slice_of(h, self.slice_bits)
-        return read_levels(self.bits, h, kind, self.slice_bits, self.own_bits[at], self.starts[at])
+        """Levels as ``read_levels`` reads them, but of hot tokens those of their exact counts."""
+        out, probed = known_levels(h, *self.hot) if kind == 0 else (np.zeros(len(h), np.int64), np.ones(len(h), bool))
+        some = h[probed]
+        at = slice_of(some, self.slice_bits)
+        out[probed] = read_levels(self.bits, some, kind, self.slice_bits, self.own_bits[at], self.starts[at])
+        return out
 
     def fit_weights(self, told: np.ndarray, times: np.ndarray, rounds: int = 20) -> None:
-        """The weight of the share by the level of the token before, by expectation maximisation with each token left
-        out; ``times`` counts the tokens that have each row of levels."""
-        own, share, level = self.shares(told, 1)
+        """The weight of the share by the count of the token before, by expectation maximisation with each token left
+        out; ``times`` counts the tokens that have each row of ``rough`` levels."""
+        own, share, level = self.shares(*rough_value(np.arange(rough(np.int64(TOP_LEVEL)) + 1))[told].T, 1)
         seen = np.bincount(level, times, minlength=LEVELS)
         for _ in range(rounds):
             w = self.weights[level]
@@ -207,19 +229,18 @@ class Model:
 
     def log_probabilities(self, told: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
-        own, share, level = self.shares(told)
+        own, share, level = self.shares(*level_value(np.arange(TOP_LEVEL + 1))[told].T)
         w = self.weights[level]
         return np.log10(w * share + (1 - w) * own)
 
-    def shares(self, told: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row of ``told_levels``: the token's own probability, its share after the token before it, and the
+    def shares(self, before: np.ndarray, count: np.ndarray, after: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For counts of the token before, the token and both: the token's own probability, its share after the token before it, and the
         weight's number; with ``left_out`` 1 as if the token itself had not been counted.
 
         Each of all tokens is read as following a context by mistake, or once too often, with the probability
         ``false``, twice with its square, and so on (never more often than the context occurs): so much is added,
         on average, to the context's count, which is what shares are of.
         """
-        before, count, after = level_value(np.arange(TOP_LEVEL + 1))[told].T
         own = (np.maximum(count - left_out, 0) + 1) / (self.n + self.v + 1)
         after = np.minimum(after, np.minimum(before, count))  # a pair is no more frequent than its parts
         context = np.maximum(before - left_out, 1)
@@ -246,11 +267,11 @@ def unpack(data: np.ndarray) -> np.ndarray:
 
 
 def _count_levels(batches):
-    """How many tokens of a task have each row of levels, as one number."""
+    """How many tokens of a task have each row of ``rough`` levels, as one number."""
     codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for _, _, data, _ in chunks(batch.column(0)):
-            told = unpack(data).astype(np.int64)
+            told = rough(np.arange(TOP_LEVEL + 1))[unpack(data)]
             part = np.unique(told[:, 0] << 32 | told[:, 1] << 16 | told[:, 2], return_counts=True)
             codes, times = _merge(np.concatenate((codes, part[0])), np.concatenate((times, part[1])))
     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], ["code", "times"])
@@ -316,7 +337,7 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
 
     hot = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in slices.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toLocalIterator()]
     hot = _merge(np.concatenate([x[0] for x in hot] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in hot] or [np.zeros(0, np.int64)]))
-    model = Model(bits, slice_bits, own_bits, n, v, hot, false / (1 << slice_bits))
+    model = Model(bits, slice_bits, own_bits, n, v, hot, false / (1 << slice_bits), cut)
     return slices, model
 
 
@@ -382,15 +403,25 @@ def pack(told: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
     return pa.array([x.tobytes() for x in np.split(told, ends[:-1])], pa.binary())
 
 
-def _tell(slice_bits: int):
-    """The levels that a slice's bits have for the tokens and pairs of each request."""
+def _tell(slice_bits: int, cut: int):
+    """The levels that a slice's bits have for the tokens and pairs of each request, or the exact counts for hot tokens."""
 
     def run(key, known, asked):
         out = {"batch": asked["batch"], "slice": asked["slice"]}
         bits = np.frombuffer(known["bits"].iloc[0], np.uint8) if len(known) else np.zeros(1, np.uint8)
         own = len(bits).bit_length() + 2
+        h, c = (np.frombuffer(known[x].iloc[0], t) if len(known) else np.zeros(0, t) for x, t in (("hashes", np.uint64), ("counts", np.int64)))
+        hot = levels(c) > cut
+        h, c = h[hot], c[hot]
+
+        def told(grams: bytes, kind: int) -> bytes:
+            grams = np.frombuffer(grams, np.uint64)
+            q, probed = known_levels(grams, h, c) if kind == 0 else (np.zeros(len(grams), np.int64), np.ones(len(grams), bool))
+            q[probed] = read_levels(bits, grams[probed], kind, slice_bits, own, 0)
+            return q.astype(np.uint16).tobytes()
+
         for kind, name in enumerate(("hashes", "pairs")):
-            out[name] = [read_levels(bits, np.frombuffer(h, np.uint64), kind, slice_bits, own, 0).astype(np.uint16).tobytes() for h in asked[name]]
+            out[name] = [told(x, kind) for x in asked[name]]
         return pd.DataFrame(out)
 
     return run
@@ -457,10 +488,11 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     own = scored.where("slice is null").select("batch", "row", "doc_id", "held_out", "n_tokens", "known", "base", "levels")
     if model.bits is None:
         asked = scored.where("pairs is not null").select("batch", "slice", "hashes", "pairs")
-        told = slices.select("slice", "bits").groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(_tell(model.slice_bits), "batch long, slice long, hashes binary, pairs binary")
+        told = slices.select("slice", "bits", "hashes", "counts").groupBy("slice").cogroup(asked.groupBy("slice")).applyInPandas(_tell(model.slice_bits, model.cut), "batch long, slice long, hashes binary, pairs binary")
         texts = scored.where("slice is null").select(*own.columns[:-1], "text")
         own = table(texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_assemble, own.schema), "levels")
-    # the share's weights depend on the levels only, so counts of equal rows of levels are all that fitting needs
+    # the share's weights depend on the levels only, so counts of equal rows of levels are all that fitting needs; there are
+    # about 70 levels for it, so their rows are bounded at any size
     counted = own.where("not held_out").select("levels").mapInArrow(_count_levels, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).orderBy("code").toPandas()
     code = counted["code"].to_numpy(np.int64)
     model.fit_weights(np.stack([code >> 32, code >> 16 & 65535, code & 65535], 1).astype(np.uint16), counted["times"].to_numpy(np.int64))

@@ -18,11 +18,17 @@ def json_or_inner(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(t), F.when(inner != "", F.try_parse_json(inner)))
 
 
+def _before_last(text: Column, mark: str) -> Column:
+    """What is before the last ``mark``; all without one."""
+    after = F.char_length(F.substring_index(text, mark, -1))
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.lit(1), F.char_length(text) - after - len(mark))).otherwise(text)
+
+
 def unfence(text: Column) -> Column:
     """The body of a single code fence, also of one that is not closed."""
     t = trim_all(text)
     body = F.regexp_replace(t, FENCE, "")
-    body = F.when(F.contains(body, F.lit("```")), F.regexp_replace(body, r"(?s)```(?:(?!```).)*\z", "")).otherwise(body)
+    body = _before_last(body, "```")
     return F.when(t.rlike(FENCE), trim_all(body)).otherwise(t)
 
 
@@ -44,7 +50,12 @@ def looks_truncated(text: Column) -> Column:
 
 def salvaged_field(text: Column, name: str = "markdown") -> Column:
     """The string value of a field in broken JSON, up to its closing quote or the end, unescaped; else empty."""
-    raw = F.regexp_extract(text, rf'(?s)"{name}"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
+    begin = F.regexp_extract(text, rf'"{name}"\s*:\s*"', 0)
+    rest = F.when(begin != "", F.substring(text, F.instr(text, begin) + F.char_length(begin), F.char_length(text))).otherwise("")
+    plain = F.regexp_replace(rest, r"(?s)\\.", "__")  # escaped pairs, so that a quote ends the value; as long as the rest
+    end = F.instr(plain, '"')
+    size = F.when(end > 0, end - 1).otherwise(F.char_length(plain) - plain.endswith("\\").cast("int"))  # half a pair goes
+    raw = F.substring(rest, F.lit(1), size)
     whole = F.regexp_replace(raw, r"\n", "\\\\n")
     return trim_all(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), whole, F.lit('"}')), "$.v"), F.lit("")))
 

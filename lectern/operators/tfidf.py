@@ -43,11 +43,12 @@ def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
     qw = term_frequencies(queries, "query_id").join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", (F.col("tf") * F.coalesce("idf", absent)).alias("qw"))
     by_term = qw.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
     weights = tf.join(df, "term").join(by_term, "term", "left").select("doc_id", (F.col("tf") * F.col("idf")).alias("w"), "asked")
-    own = F.struct(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), (F.col("w") * F.col("w")).alias("v"))
+    nobody = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
+    own = F.struct(nobody, (F.col("w") * F.col("w")).alias("v"))
     shared = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("v")))
     parts = F.when(F.col("asked").isNull(), F.array(own)).otherwise(F.concat(F.array(own), shared))
     # a row without a weight for each document, so that those without terms are there, too
-    marks = docs.select("doc_id", own["query_id"].alias("query_id"), F.lit(None).cast("double").alias("v"))
+    marks = docs.select("doc_id", nobody, F.lit(None).cast("double").alias("v"))
     found = weights.select("doc_id", F.explode(parts).alias("t")).select("doc_id", "t.query_id", "t.v").unionByName(marks)
     sums = found.groupBy("doc_id", "query_id").agg(F.sum("v").alias("v"))
     dots = F.map_from_entries(F.collect_list(F.when(F.col("query_id").isNotNull(), F.struct("query_id", "v"))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import citations, ids, responses, text
-from lectern.operators import cascade, identity, matching
+from lectern.operators import cascade, identity, markdown, matching
 from lectern.plans.catalog import query, read
 from lectern.sources import files
 
@@ -175,3 +175,28 @@ def folded_quotes(spark, d):
     needle = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(capitals, r"([A-Z])([A-Z])", "$1­$2"), " ", "\t "), F.lit("  "))
     usable = F.char_length(F.trim(F.regexp_replace(F.lower("quote"), "[^a-z0-9]+", " "))) >= 3
     return matching.match_spans(grouped.where(usable).select("doc_id", "items", needle.alias("needle"))).drop("needle")
+
+
+# --- Markdown (C2-C6, C8, T10, W6, W7) ---
+
+
+@query(rf"""WITH {LINES}, c AS (SELECT doc_id, i, {_trimmed("regexp_replace(line, '" + MARKS + "', '-', 'g')")} AS clean FROM l),
+b AS (SELECT doc_id, clean, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c WHERE clean <> ''),
+p AS (SELECT doc_id, n, clean, '![alt ' || n || '](u.png)' AS img, '$$' || chr(10) || 'a_' || n || ' = b + c^2 + d' || chr(10) || '$$' AS tex, length('## L' || n) + 4 AS head FROM b),
+s AS (SELECT *, 14 + head + coalesce(sum(head + length(clean) + length(img) + length(tex) + 4) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, 7 + 10 * (n - 1) AS line FROM p),
+r AS (SELECT doc_id, 'section' AS kind, n + 1 AS ordinal, 'Title > L' || n AS path, line, pos, clean || chr(10) || chr(10) || img || chr(10) || chr(10) || tex AS content FROM s
+  UNION ALL SELECT doc_id, 'paragraph', n + 1, 'Title > L' || n, line, pos, clean FROM s UNION ALL SELECT doc_id, 'image', n, 'Title > L' || n, line + 2, pos + length(clean) + 2, img FROM s
+  UNION ALL SELECT doc_id, 'formula', n, 'Title > L' || n, line + 4, pos + length(clean) + length(img) + 4, tex FROM s
+  UNION ALL SELECT doc_id, unnest(['section', 'paragraph']), 1, 'Title', 3, 9, 'Intro' FROM documents)
+SELECT doc_id, kind, CAST(ordinal AS INTEGER) AS ordinal, path, CAST(line AS INTEGER) AS line_start, CAST(pos AS INTEGER) AS char_start, CAST(pos + length(content) AS INTEGER) AS char_end, content FROM r""")
+def document_pointers(spark, d):
+    """Documents as Markdown: each line under a heading of its own, with an image and a formula after it."""
+    clean = F.filter(F.transform(F.split("text", "\n"), lambda x: text.trim_all(F.regexp_replace(x, MARKS, "-"))), lambda x: x != "")
+
+    def block(x, i):
+        n = (i + 1).cast("string")
+        return F.concat(F.lit("## L"), n, F.lit("\n\n"), x, F.lit("\n\n![alt "), n, F.lit("](u.png)\n\n$$\na_"), n, F.lit(" = b + c^2 + d\n$$"))
+
+    made = F.array_join(F.concat(F.array(F.lit("\r\n# Title\n\nIntro")), F.transform(clean, block)), "\n\n")
+    found = markdown.pointers(read(spark, d, "documents").select("doc_id", made.alias("markdown")))
+    return found.select("doc_id", "kind", "ordinal", F.array_join("section_path", " > ").alias("path"), "line_start", "char_start", "char_end", "content")

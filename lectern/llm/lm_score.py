@@ -33,6 +33,8 @@ EXACT, LEVEL_BASE = 32, 1.03
 WEIGHT_BASE = 1.4
 #: Probes for each level of a gram.
 PROBES = 4
+#: Bits of a block of the filter as a power of two, and how many levels of a gram share one.
+BLOCK_BITS, BLOCK_LEVELS = 9, 8
 #: Bits for an entry of the filter, rounded up to a power of two by slice, and the most bits that are broadcast.
 SPARE, BROADCAST_BITS = 5, 1 << 30
 #: Broadcast exact counts at most.
@@ -140,12 +142,16 @@ def rough_value(q: np.ndarray) -> np.ndarray:
     return np.where(q < EXACT, np.asarray(q, np.float64), EXACT * WEIGHT_BASE ** (np.maximum(q - EXACT, 0) + 0.5))
 
 
-def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, slice_bits: int, own_bits: int | np.ndarray) -> np.ndarray:
-    """PROBES bit numbers within the gram's slice of 2**own_bits bits, for a level of each gram."""
-    down = U(64) - np.asarray(own_bits).astype(np.uint64)
-    seed = mix(h + (level.astype(np.uint64) * U(2) + U(kind)) * GOLDEN)
-    step = mix(seed) | U(1)
-    return np.stack([((seed + U(i) * step) >> down).astype(np.int64) for i in range(PROBES)])
+def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, own_bits: int | np.ndarray) -> np.ndarray:
+    """PROBES bit numbers within the gram's slice of 2**own_bits bits, for a level of each gram.
+
+    The probes of BLOCK_LEVELS levels of a gram lie in one block of the size of a cache line, which is read once.
+    """
+    level = level.astype(np.uint64)
+    block = mix(h + (level // U(BLOCK_LEVELS) * U(2) + U(kind)) * GOLDEN)
+    spot = mix(block + (level + U(1)) * GOLDEN)
+    start = (block >> (U(64 + BLOCK_BITS) - np.asarray(own_bits).astype(np.uint64))) << U(BLOCK_BITS)
+    return np.stack([(start + ((spot >> U(BLOCK_BITS * i)) & U((1 << BLOCK_BITS) - 1))).astype(np.int64) for i in range(PROBES)])
 
 
 def _build_slice(slice_bits: int, own_bits: int | None = None):
@@ -159,15 +165,15 @@ def _build_slice(slice_bits: int, own_bits: int | None = None):
             c = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
             counted.append(_merge(h, c))
         entries = sum(int(levels(c).sum()) for _, c in counted)
-        own = own_bits or max(3, int(np.ceil(np.log2(max(entries * SPARE, 1)))))
+        own = own_bits or max(BLOCK_BITS + 1, int(np.ceil(np.log2(max(entries * SPARE, 1)))))
         filled = np.zeros(1 << own, bool)
         for kind, (h, c) in enumerate(counted):
             q = levels(c)
             for level in range(1, int(q.max()) + 1 if len(q) else 1):
                 some = h[q >= level]
-                filled[probe_bits(some, np.full(len(some), level), kind, slice_bits, own).ravel()] = True
+                filled[probe_bits(some, np.full(len(some), level), kind, own).ravel()] = True
         h, c = counted[0]
-        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "entries": [entries], "false": [float(filled.mean()) ** PROBES]})
+        return pd.DataFrame({"slice": [key[0]], "hashes": [h.tobytes()], "counts": [c.tobytes()], "bits": [np.packbits(filled, bitorder="little").tobytes()], "n": [int(c.sum())], "v": [len(h)], "pairs": [len(counted[1][0])], "entries": [entries], "false": [float((filled.reshape(-1, 1 << BLOCK_BITS).mean(axis=1) ** PROBES).mean())]})
 
     return run
 
@@ -180,7 +186,7 @@ def read_levels(bits: np.ndarray, h: np.ndarray, kind: int, slice_bits: int, own
     at = np.arange(len(h))
     level = 1
     while len(at) and level <= TOP_LEVEL:
-        probes = probe_bits(h[at], np.full(len(at), level), kind, slice_bits, own_bits[at]) + start[at]
+        probes = probe_bits(h[at], np.full(len(at), level), kind, own_bits[at]) + start[at]
         there = np.ones(len(at), bool)
         for p in probes:
             there &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
@@ -301,7 +307,7 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     grams = train.select("text").mapInArrow(_count_grams(slice_bits), "kind int, slice long, hashes binary, counts binary")
     schema = "slice long, hashes binary, counts binary, bits binary, n long, v long, pairs long, entries long, false double"
     slices = table(grams.groupBy("slice").applyInPandas(_build_slice(slice_bits), schema), "gram-slices")
-    own_bits = np.full(1 << slice_bits, 3)
+    own_bits = np.full(1 << slice_bits, BLOCK_BITS + 1)
     n = v = 0
     false = 0.0
     for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v", "false").toLocalIterator():
@@ -408,7 +414,7 @@ def _tell(slice_bits: int, cut: int):
 
     def run(key, known, asked):
         out = {"batch": asked["batch"], "slice": asked["slice"]}
-        bits = np.frombuffer(known["bits"].iloc[0], np.uint8) if len(known) else np.zeros(1, np.uint8)
+        bits = np.frombuffer(known["bits"].iloc[0], np.uint8) if len(known) else np.zeros(1 << BLOCK_BITS - 2, np.uint8)
         own = len(bits).bit_length() + 2
         h, c = (np.frombuffer(known[x].iloc[0], t) if len(known) else np.zeros(0, t) for x, t in (("hashes", np.uint64), ("counts", np.int64)))
         hot = levels(c) > cut

@@ -397,7 +397,9 @@ def test_language_model(spark):
 
 
 def test_scores_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SPARE", 2000)  # so that the filter is never wrong
+    monkeypatch.setattr(lm_score, "SPARE", 2000)  # so that the filter is never wrong here
+    rates, fit = [], lm_score.Model.fit_weights
+    monkeypatch.setattr(lm_score.Model, "fit_weights", lambda self, *a: (rates.append(self.false), fit(self, *a))[1])
     rows = corpus(17, 60)
     held = lambda i: i % 5 == 2
     got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(frame(spark, rows), F.col("doc_id") % 5 == 2).collect()}
@@ -422,7 +424,7 @@ def test_scores_by_brute_force(spark, monkeypatch):
         value = roughly if out else tables.get
         before, own, both = value(single[a]), value(single[b]), value(double[a, b])
         both = min(both, before, own)
-        return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / max(before - out, 1), min(bucket(before), 63)
+        return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / (max(before - out, 1) + v * sum(rates[0] ** k for k in range(1, int(min(max(before - out, 1), 64)) + 1))), min(bucket(before), 63)
 
     weights = [0.05] * 64
     told = [shares(a, b, 1) for i, ps in pairs_of.items() if not held(i) for a, b in ps]
@@ -616,9 +618,9 @@ def test_copies_neither_fill_nor_empty_a_sample(spark):
 
 
 def test_probing_ends_in_a_full_filter():
-    full = np.full(16, 255, np.uint8)
+    full = np.full(128, 255, np.uint8)
     h = lm_score.mix(np.arange(1, 50, dtype=np.uint64))
-    assert (lm_score.read_levels(full, h, 0, 0, 7, 0) == lm_score.TOP_LEVEL).all() and lm_score.TOP_LEVEL < 1 << 16
+    assert (lm_score.read_levels(full, h, 0, 0, 10, 0) == lm_score.TOP_LEVEL).all() and lm_score.TOP_LEVEL < 1 << 16
 
 
 def test_attention_gradient():

@@ -55,6 +55,60 @@ def as_tool_log(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", role.alias("role"), F.when(by_user, call).when(by_assistant, result).otherwise(F.col("text")).alias("text"))
 
 
+#: Calls of a conversation that are ordered by one fold over their array, at most.
+FOLD_CALLS = 1000
+KEY = ("k_conv", "k_id")
+
+
+def _ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(k_conv, k_id, ready, free, depth) of calls (k_conv, k_id, turn, answer) that can be made, given needs (k_conv, k_id,
+    need), by conversation: its calls are an array, and in each round those whose needs are met join the ones that are
+    done; the fold does nothing once a round brings none."""
+    lists = needs.groupBy(*KEY).agg(F.collect_list("need").alias("needs"))
+    each = F.struct("turn", "k_id", "answer", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
+    rows = calls.join(lists, list(KEY), "left").groupBy("k_conv").agg(F.array_sort(F.collect_list(each)).alias("calls"))
+    ids = F.transform("calls", lambda c: c["k_id"])
+    rows = rows.select("k_conv", "calls", F.transform("calls", lambda c: F.transform(c["needs"], lambda x: (F.array_position(ids, x) - 1).cast("int"))).alias("needed"))
+    call = lambda i: F.get("calls", i)
+
+    def state(ready: Column, freed: Column, depth: Column) -> Column:
+        return F.struct(ready.cast("long").alias("ready"), freed.cast("long").alias("free"), depth.cast("int").alias("depth"))
+
+    first = F.transform("needed", lambda n, i: F.when(F.size(n) == 0, state(call(i)["turn"], F.greatest(call(i)["turn"], call(i)["answer"]), F.lit(0))))
+
+    def step(acc: Column, _: Column) -> Column:
+        def moved(s: Column, i: Column) -> Column:
+            met = F.transform(F.get("needed", i), lambda j: F.get(acc["done"], j))
+            after, depth = F.array_max(F.transform(met, lambda m: m["free"])), F.array_max(F.transform(met, lambda m: m["depth"])) + 1
+            new = state(F.greatest(call(i)["turn"], after), F.greatest(call(i)["turn"], after, call(i)["answer"]), depth)
+            return F.when(s.isNotNull() | F.exists(met, lambda m: m.isNull()), s).otherwise(new)
+
+        after = F.array(F.transform(acc["done"], moved))
+        count = lambda d: F.size(F.filter(d, lambda s: s.isNotNull()))
+        return F.when(acc["more"], F.transform(after, lambda d: F.struct(d.alias("done"), (count(d) > count(acc["done"])).alias("more")))[0]).otherwise(acc)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.size("calls")), F.struct(first.alias("done"), F.lit(True).alias("more")), step)["done"]
+    out = rows.select("k_conv", F.explode(F.zip_with("calls", walked, lambda c, s: F.struct(c["k_id"].alias("k_id"), s.alias("s")))).alias("x"))
+    return out.where("x.s is not null").select("k_conv", "x.k_id", "x.s.ready", "x.s.free", "x.s.depth")
+
+
+def _by_levels(done: DataFrame, base_turn: DataFrame, needs: DataFrame) -> DataFrame:
+    """``done`` with the calls of ``needs`` that can be made: a round of joins for each level, which is written once."""
+    key, levels = list(KEY), 1
+    waiting = table(needs.select(*key).distinct(), "waiting")
+    while not waiting.isEmpty():
+        met = needs.join(waiting, key, "left_semi").join(done.select("k_conv", F.col("k_id").alias("need"), "free", F.col("depth").alias("d")), ["k_conv", "need"], "left")
+        met = met.groupBy(*key).agg(F.max(F.col("d").isNull()).alias("open"), F.max("free").alias("after_turn"), F.max("d").alias("d")).where("not open")
+        new = met.join(base_turn, key).select(*key, F.greatest("turn", "after_turn").alias("ready"), F.greatest("turn", "after_turn", "answer").alias("free"), (F.col("d") + 1).alias("depth"))
+        new, levels = table(new, f"done-{levels}"), levels + 1
+        if new.isEmpty():
+            break
+        left = table(waiting.join(new, key, "left_anti"), "waiting")
+        drop(waiting)
+        done, waiting = done.unionByName(new), left
+    return done
+
+
 def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """For each message of ``messages`` (conv_id, turn, role, text), or each call in it: conv_id, turn, idx,
     role, kind (message, call, result), call_id, linked_turn, ready_turn, depth, status, line.
@@ -111,7 +165,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     results = acts.where("result_of is not null").select("conv_id", "turn", "role", F.col("result_of").alias("call_id"), F.to_json(F.try_variant_get("v", "$.content", "variant")).alias("content"))
     results = table(results, "results")
 
-    key = ["k_conv", "k_id"]
+    key = list(KEY)
 
     def keyed(df: DataFrame) -> DataFrame:
         """With the identifier to join by; a null conversation is one like others."""
@@ -142,20 +196,14 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     needs = table(needs.join(known, ["k_conv", "need"]).distinct(), "needs")
     base_turn = calls.where("own and k_id is not null").groupBy(*key).agg(F.max("turn").cast("long").alias("turn"), F.max("answer").cast("long").alias("answer"))
     base_turn = table(base_turn, "own-calls")
-    waiting = needs.select(*key).distinct()
-    done = base_turn.join(waiting, key, "left_anti").select(*key, F.col("turn").alias("ready"), F.greatest("turn", "answer").alias("free"), F.lit(0).alias("depth"))
-    done, levels = table(done, "done-0"), 1
-    waiting = table(waiting, "waiting")
-    while not waiting.isEmpty():  # a round for each level; a level is written once
-        met = needs.join(waiting, key, "left_semi").join(done.select("k_conv", F.col("k_id").alias("need"), "free", F.col("depth").alias("d")), ["k_conv", "need"], "left")
-        met = met.groupBy(*key).agg(F.max(F.col("d").isNull()).alias("open"), F.max("free").alias("after_turn"), F.max("d").alias("d")).where("not open")
-        new = met.join(base_turn, key).select(*key, F.greatest("turn", "after_turn").alias("ready"), F.greatest("turn", "after_turn", "answer").alias("free"), (F.col("d") + 1).alias("depth"))
-        new, levels = table(new, f"done-{levels}"), levels + 1
-        if new.isEmpty():
-            break
-        left = table(waiting.join(new, key, "left_anti"), "waiting")
-        drop(waiting)
-        done, waiting = done.unionByName(new), left
+    # conversations of few calls are ordered each by a fold, all others by a round of joins for each level
+    sizes = table(needs.select("k_conv").distinct().join(base_turn, "k_conv").groupBy("k_conv").agg(F.count("*").alias("n")), "sizes")
+    few, many = sizes.where(F.col("n") <= FOLD_CALLS).select("k_conv"), sizes.where(F.col("n") > FOLD_CALLS).select("k_conv")
+    free = base_turn.join(needs.select(*key).distinct(), key, "left_anti").select(*key, F.col("turn").alias("ready"), F.greatest("turn", "answer").alias("free"), F.lit(0).alias("depth"))
+    folded = _ordered(base_turn.join(few, "k_conv", "left_semi"), needs.join(few, "k_conv", "left_semi"))
+    done = table(free.join(few, "k_conv", "left_anti").unionByName(folded), "done")
+    if not many.isEmpty():
+        done = _by_levels(done, base_turn, needs.join(many, "k_conv", "left_semi"))
     calls = calls.join(done.select(*key, "ready", "depth"), key, "left").join(lost, key, "left")
     status = (
         F.when(~F.col("own"), "repeated").when(F.col("invalid"), "invalid").when(F.col("lost"), "missing")

@@ -213,3 +213,46 @@ def test_spelling_of_odd_rows(spark, odd):
     got = sorted(map(tuple, queries.op13_spelling(spark, odd[0]).collect()), key=repr)
     assert got == spelled([(r[0], r[1]) for r in odd[1]])
     assert queries.op13_spelling(spark, f"{odd[0]}-none").count() == 0
+
+
+def tool_log(conversations):
+    """Messages of calls and results: conversations of (calls as (id, after), answered ids)."""
+    import json
+
+    rows = []
+    for conv, (calls, answered) in enumerate(conversations):
+        for turn, (call, after) in enumerate(calls):
+            rows.append((conv, 2 * turn, "assistant", json.dumps({"tool_calls": [{"id": call, "name": "f", "arguments": {}, "after": after}]})))
+            if call in answered:
+                rows.append((conv, 2 * turn + 1, "tool", json.dumps({"tool_call_id": call, "content": "x"})))
+    return rows
+
+
+def test_order_by_fold_and_by_levels(spark, monkeypatch):
+    from lectern.llm import chat
+
+    rng, conversations = random.Random(6), []
+    for _ in range(40):
+        names = [f"c{i}" for i in range(rng.randint(1, 12))]
+        calls = [(n, rng.sample(names, min(len(names), rng.choice([0, 0, 1, 1, 2]))) + (["none"] if rng.random() < 0.1 else [])) for n in names]
+        conversations.append((calls, set(rng.sample(names, rng.randint(0, len(names))))))
+    messages = spark.createDataFrame(tool_log(conversations), "conv_id long, turn int, role string, text string")
+    found = []
+    for most in (1000, 6, 0):
+        monkeypatch.setattr(chat, "FOLD_CALLS", most)
+        found.append(sorted(map(tuple, chat.format_chats(messages).collect()), key=repr))
+    assert found[0] == found[1] == found[2] and {"cycle", "ok", "missing"} <= {r[9] for r in found[0]} and max(r[8] for r in found[0]) > 3
+
+
+def test_a_chain_of_a_thousand_calls(spark):
+    import time
+
+    from lectern.llm import chat
+
+    names = [f"c{i}" for i in range(1000)]
+    random.Random(3).shuffle(names)
+    calls = [(n, [f"c{int(n[1:]) - 1}"] if n != "c0" else []) for n in names]
+    messages = spark.createDataFrame(tool_log([(calls, set(names))]), "conv_id long, turn int, role string, text string")
+    began = time.time()
+    depth = {r["call_id"]: r["depth"] for r in chat.format_chats(messages).where("kind = 'call'").collect()}
+    assert depth == {f"c{i}": i for i in range(1000)} and time.time() - began < 60

@@ -282,3 +282,34 @@ def merged_boxes(spark, d):
     rects = items.select(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("pos"), q.alias("left"), (q + 60).alias("right"), t.cast("double").alias("top"), (t + 12).cast("double").alias("bottom"), shown.alias("text"))
     sizes = rects.select("page_id").distinct().select("page_id", *[F.lit(v).alias(n) for n, v in (("page_left", 10.0), ("page_top", 20.0), ("page_width", 600.0), ("page_height", 800.0))])
     return geometry.merged_rows(rects, sizes)
+
+
+# --- figures (J5, N8) ---
+
+
+@query(rf"""WITH {LINES}, c AS (SELECT doc_id, i, {_trimmed("regexp_replace(line, '" + MARKS + "', '-', 'g')")} AS clean FROM l), b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c WHERE clean <> ''),
+t AS (SELECT d.doc_id, count(n) AS total FROM documents d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, 'section:' || (n + 1) AS section, 'image:' || (1 + n % 3) AS image, 1 AS n FROM b UNION ALL SELECT doc_id, 'section:' || (total + 2), 'image:' || k, k FROM t, (SELECT unnest([1, 2]) AS k)""")
+def document_figures(spark, d):
+    """Documents as Markdown whose sections, one for each line, name one of three figures of the last section."""
+    clean = F.filter(F.transform(F.split("text", "\n"), lambda x: text.trim_all(F.regexp_replace(x, MARKS, "-"))), lambda x: x != "")
+    block = lambda x, i: F.concat(F.lit("## L"), (i + 1).cast("string"), F.lit("\n\nsee Fig. "), ((i + 1) % 3 + 1).cast("string"), F.lit(" for this: "), x)
+    last = "## All\n\n" + "\n\n".join(f"![Figure {k}]({k}.png)" for k in (1, 2, 3))
+    made = F.array_join(F.concat(F.array(F.lit("# Title\n\nIntro")), F.transform(clean, block), F.array(F.lit(last))), "\n\n")
+    found = markdown.pointers(read(spark, d, "documents").select("doc_id", made.alias("markdown")))
+    owned = planner.image_owner(found.where("kind = 'image'"), found.where("kind = 'section'"))
+    return owned.select("doc_id", F.regexp_extract("section_id", r"\A\w+:\d+", 0).alias("section"), F.regexp_extract("image_id", r"\A\w+:\d+", 0).alias("image"), "n")
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_trimmed('text')} = '' THEN '## H' ELSE {_trimmed('text')} END AS markdown, 'i1' || CASE doc_id % 4 WHEN 2 THEN ',i2' WHEN 3 THEN ',i3' ELSE '' END AS images,
+  CASE WHEN doc_id % 5 = 0 THEN 'own note' ELSE 'This figure is referenced by the surrounding explanation and is inserted here for direct lookup.' END AS figure_note FROM documents""")
+def document_explainers(spark, d):
+    """Documents as explanations with a heading, a figure named in the answer and, of some, a note."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id")
+    note = F.when(k % 5 == 0, " own note ").when(k % 5 == 1, " ")
+    body = F.to_json(F.struct(F.concat(F.lit("## H\n\n"), F.col("text")).alias("markdown"), F.array(F.concat(F.lit("Figure "), (k % 4).cast("string"))).alias("figureMentions"), note.alias("figureNote")))
+    answers = docs.select("doc_id", F.lit("s").alias("id"), body.alias("text"), F.array(F.lit("S")).alias("section_path"), F.lit("no figure").alias("content"))
+    shown = [("i1", 1, "S", "![Figure 1](a)"), ("i2", 2, "X", "Fig. 2"), ("i3", 3, "X", "an image 3")]
+    images = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(o).alias("ordinal"), F.array(F.lit(p)).alias("section_path"), F.lit(c).alias("content")) for i, o, p, c in shown])))
+    made = cascade.explainer_outputs(answers, images)
+    return made.select("doc_id", "markdown", F.array_join("image_ids", ",").alias("images"), "figure_note")

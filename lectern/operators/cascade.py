@@ -23,13 +23,26 @@ def _texts(answered: DataFrame) -> DataFrame:
     return answered.withColumn("r", r).select("id", "provider", "system", "user", "max_tokens", F.col("r.text").alias("text"), F.col("r.truncated").alias("truncated"))
 
 
-def call_with_retry(requests: DataFrame, call: Call, parallel: int = 3) -> DataFrame:
+def call_with_retry(requests: DataFrame, call: Call, parallel: int = 3, kept: str | None = None) -> DataFrame:
     """requests (id, provider, system, user, max_tokens) with text and tries; an answer that is cut off, or is JSON that
-    looks so, is asked for once more with a larger budget.  Of the two, one that parses stays, else the longer."""
-    first = _texts(call_provider(requests, call, parallel))
+    looks so, is asked for once more with a larger budget.  Of the two, one that parses stays, else the longer.
+
+    The first answers are read twice.  With a folder ``kept`` they and the second ones are written there and read back, so
+    each request is made once, whatever the plan, and a later step sees the same answer; without it a
+    provider should give the same answer again.
+    """
+
+    def answered(asked: DataFrame, name: str) -> DataFrame:
+        texts = _texts(call_provider(asked, call, parallel))
+        if kept is None:
+            return texts
+        texts.write.mode("overwrite").parquet(f"{kept}/{name}")
+        return requests.sparkSession.read.parquet(f"{kept}/{name}")
+
+    first = answered(requests, "first")
     cut = first.where(F.col("truncated") | responses.looks_truncated(F.col("text")))
     again = cut.select("id", "provider", "system", "user", rules.retry_token_budget(F.col("max_tokens")).cast("int").alias("max_tokens"))
-    second = _texts(call_provider(again, call, parallel)).select("id", F.col("text").alias("again"))
+    second = answered(again, "second").select("id", F.col("text").alias("again"))
     both = first.join(second, "id", "left")
     parsed = lambda c: responses.json_or_inner(F.col(c)).isNotNull()
     better = F.col("again").isNotNull() & F.when(parsed("again"), True).when(parsed("text"), False).otherwise(F.length("again") > F.length("text"))

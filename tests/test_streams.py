@@ -230,3 +230,20 @@ def test_explainer_outputs(spark):
         assert got["section"] == ("plain", [], ["i1"], stock) and got["alone"] == ("plain", [], [], "") and got["null"][1:] == ([], [], "")
     row = spark.range(1).select(cascade.safety_net(F.lit("方法"), F.lit("f"), "zh-CN").alias("s"), cascade.formula_net(F.lit("x"), F.lit("n"), F.lit("f"), "zh-CN").alias("f")).first()
     assert row["s"].startswith("> [!note] 这一部分对应论文中的 **方法**。\n\n") and "“f”" in row["f"]
+
+
+def test_kept_answers_are_asked_for_once(spark, tmp_path):
+    import json
+
+    log = str(tmp_path / "calls")
+
+    def call(system, user, tokens):
+        with open(log, "a") as f:
+            f.write(f"{user}:{tokens}\n")
+        text = '{"markdown": "cut' if user == "long" and tokens < 1000 else '{"markdown": "whole"}'
+        return 200, json.dumps({"choices": [{"finish_reason": "length" if "cut" in text else "stop", "message": {"content": text}}]})
+
+    requests = spark.createDataFrame([(u, "openai", "s", u, 900) for u in ("short", "long")], "id string, provider string, system string, user string, max_tokens int")
+    got = cascade.call_with_retry(requests, call, 1, kept=str(tmp_path / "kept"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, got.collect())) == [("long", '{"markdown": "whole"}', 2), ("short", '{"markdown": "whole"}', 1)]
+    assert sorted(open(log).read().split()) == ["long:1800", "long:900", "short:900"]

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from lectern.llm.store import prepare, table
 from lectern.llm.text_bytes import GOLDEN, LOWER, U, Rolling, chunks, mix, words
 
-#: Counts are their own level up to EXACT, then quantised to powers of LEVEL_BASE, so that sums of them stay exact enough.
-EXACT, LEVEL_BASE = 32, 1.03
+#: Counts of tokens and of pairs are their own level up to EXACT, then quantised to powers of LEVEL_BASE.  A token's count is what
+#: shares of all that follows it are taken of, so it is fine; the errors of many pairs level each other out.
+EXACT, LEVEL_BASE = (32, 8), (1.03, 1.3)
 #: Contexts share a weight if their counts fall between the same powers of this.
 WEIGHT_BASE = 1.4
 #: Probes for each level of a gram.
@@ -42,7 +43,7 @@ HOT_TOKENS = 1 << 17
 #: Distinct grams that a map task holds before it emits them.
 HELD = 3_000_000
 #: The highest level there is: that of 2 ** 63.  Probing ends there, whatever the filter holds.
-TOP_LEVEL = EXACT + int((63 * np.log(2) - np.log(EXACT)) / np.log(LEVEL_BASE))
+TOP_LEVEL = EXACT[0] + int((63 * np.log(2) - np.log(EXACT[0])) / np.log(LEVEL_BASE[0]))
 #: Weights, by the count of the token before.
 LEVELS = 64
 #: Bytes of training text for each slice.
@@ -119,27 +120,30 @@ def _count_grams(bits: int):
     return run
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
+def levels(counts: np.ndarray, kind: int = 0) -> np.ndarray:
     """The quantised level of a count of 1 or more."""
-    above = EXACT + np.floor(np.log(np.maximum(counts, EXACT) / EXACT) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
-    return np.where(counts < EXACT, counts, above)
+    exact, base = EXACT[kind], LEVEL_BASE[kind]
+    above = exact + np.floor(np.log(np.maximum(counts, exact) / exact) / np.log(base) + 1e-9).astype(np.int64)
+    return np.where(counts < exact, counts, above)
 
 
-def level_value(q: np.ndarray) -> np.ndarray:
+def level_value(q: np.ndarray, kind: int = 0) -> np.ndarray:
     """The mean count of level q (0 for 0), for counts spread evenly over the level."""
-    low = np.ceil(EXACT * LEVEL_BASE ** np.maximum(q - EXACT, 0.0) - 1e-6)
-    high = np.maximum(np.ceil(EXACT * LEVEL_BASE ** np.maximum(q + 1.0 - EXACT, 0.0) - 1e-6) - 1, low)
-    return np.where(q < EXACT, np.asarray(q, np.float64), (low + high) / 2)
+    exact, base = EXACT[kind], LEVEL_BASE[kind]
+    q = np.minimum(q, exact + int((63 * np.log(2) - np.log(exact)) / np.log(base)))
+    low = np.ceil(exact * base ** np.maximum(q - exact, 0.0) - 1e-6)
+    high = np.maximum(np.ceil(exact * base ** np.maximum(q + 1.0 - exact, 0.0) - 1e-6) - 1, low)
+    return np.where(q < exact, np.asarray(q, np.float64), (low + high) / 2)
 
 
 def rough(q: np.ndarray) -> np.ndarray:
-    """Levels for fitting: those beyond EXACT in steps of WEIGHT_BASE."""
-    return np.where(q <= EXACT, q, EXACT + np.floor((q - EXACT) * np.log(LEVEL_BASE) / np.log(WEIGHT_BASE) + 1e-9).astype(np.int64))
+    """Levels of tokens for fitting: those beyond EXACT in steps of WEIGHT_BASE."""
+    return np.where(q <= EXACT[0], q, EXACT[0] + np.floor((q - EXACT[0]) * np.log(LEVEL_BASE[0]) / np.log(WEIGHT_BASE) + 1e-9).astype(np.int64))
 
 
 def rough_value(q: np.ndarray) -> np.ndarray:
     """The count that a level for fitting stands for: the middle of its step, on a logarithmic scale."""
-    return np.where(q < EXACT, np.asarray(q, np.float64), EXACT * WEIGHT_BASE ** (np.maximum(q - EXACT, 0) + 0.5))
+    return np.where(q < EXACT[0], np.asarray(q, np.float64), EXACT[0] * WEIGHT_BASE ** (np.maximum(q - EXACT[0], 0) + 0.5))
 
 
 def probe_bits(h: np.ndarray, level: np.ndarray, kind: int, own_bits: int | np.ndarray) -> np.ndarray:
@@ -164,11 +168,11 @@ def _build_slice(slice_bits: int, own_bits: int | None = None):
             h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["hashes"]] or [np.zeros(0, np.uint64)])
             c = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]] or [np.zeros(0, np.uint32)]).astype(np.int64)
             counted.append(_merge(h, c))
-        entries = sum(int(levels(c).sum()) for _, c in counted)
+        entries = sum(int(levels(c, kind).sum()) for kind, (_, c) in enumerate(counted))
         own = own_bits or max(BLOCK_BITS + 1, int(np.ceil(np.log2(max(entries * SPARE, 1)))))
         filled = np.zeros(1 << own, bool)
         for kind, (h, c) in enumerate(counted):
-            q = levels(c)
+            q = levels(c, kind)
             for level in range(1, int(q.max()) + 1 if len(q) else 1):
                 some = h[q >= level]
                 filled[probe_bits(some, np.full(len(some), level), kind, own).ravel()] = True
@@ -225,7 +229,8 @@ class Model:
     def fit_weights(self, told: np.ndarray, times: np.ndarray, rounds: int = 20) -> None:
         """The weight of the share by the count of the token before, by expectation maximisation with each token left
         out; ``times`` counts the tokens that have each row of ``rough`` levels."""
-        own, share, level = self.shares(*rough_value(np.arange(rough(np.int64(TOP_LEVEL)) + 1))[told].T, 1)
+        count = rough_value(np.arange(rough(np.int64(TOP_LEVEL)) + 1))
+        own, share, level = self.shares(count[told[:, 0]], count[told[:, 1]], level_value(told[:, 2].astype(np.int64), 1), 1)
         seen = np.bincount(level, times, minlength=LEVELS)
         for _ in range(rounds):
             w = self.weights[level]
@@ -235,7 +240,8 @@ class Model:
 
     def log_probabilities(self, told: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
-        own, share, level = self.shares(*level_value(np.arange(TOP_LEVEL + 1))[told].T)
+        count = level_value(np.arange(TOP_LEVEL + 1))
+        own, share, level = self.shares(count[told[:, 0]], count[told[:, 1]], level_value(np.arange(TOP_LEVEL + 1), 1)[told[:, 2]])
         w = self.weights[level]
         return np.log10(w * share + (1 - w) * own)
 
@@ -277,8 +283,9 @@ def _count_levels(batches):
     codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for _, _, data, _ in chunks(batch.column(0)):
-            told = rough(np.arange(TOP_LEVEL + 1))[unpack(data)]
-            part = np.unique(told[:, 0] << 32 | told[:, 1] << 16 | told[:, 2], return_counts=True)
+            told = unpack(data)
+            single = rough(np.arange(TOP_LEVEL + 1))[told[:, :2]]
+            part = np.unique(single[:, 0] << 32 | single[:, 1] << 16 | told[:, 2].astype(np.int64), return_counts=True)
             codes, times = _merge(np.concatenate((codes, part[0])), np.concatenate((times, part[1])))
     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], ["code", "times"])
 

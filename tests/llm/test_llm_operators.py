@@ -408,21 +408,22 @@ def test_scores_by_brute_force(spark, monkeypatch):
     single = collections.Counter(w for i, ts in texts.items() if not held(i) for w in ts)
     double = collections.Counter(p for i, ps in pairs_of.items() if not held(i) for p in ps)
     n, v = sum(single.values()), len(single)
-    level = lambda c: c if c < 32 else 32 + int(math.log(c / 32) / math.log(1.03) + 1e-9)
+    level = lambda c, exact=32, base=1.03: c if c < exact else exact + int(math.log(c / exact) / math.log(base) + 1e-9)
     bucket = lambda c: 1 + int(math.log(c) / math.log(1.4) + 1e-9) if c else 0
 
-    def count_of(q):
-        inside = [c for c in range(5000) if level(c) == q]
+    def count_of(c, *ladder):
+        inside = [x for x in range(5000) if level(x, *ladder) == level(c, *ladder)]
         return (inside[0] + inside[-1]) / 2
 
-    tables = {c: count_of(level(c)) for c in {*single.values(), *double.values(), 0}}
+    tables = {c: count_of(c) for c in {*single.values(), 0}}
+    pair_tables = {c: count_of(c, 8, 1.3) for c in {*double.values(), 0}}
 
     def roughly(c):  # for fitting
         return c if c < 32 else 32 * 1.4 ** (int((level(c) - 32) * math.log(1.03) / math.log(1.4) + 1e-9) + 0.5)
 
     def shares(a, b, out):
         value = roughly if out else tables.get
-        before, own, both = value(single[a]), value(single[b]), value(double[a, b])
+        before, own, both = value(single[a]), value(single[b]), pair_tables[double[a, b]]
         both = min(both, before, own)
         return (max(own - out, 0) + 1) / (n + v + 1), max(both - out, 0) / (max(before - out, 1) + v * sum(rates[0] ** k for k in range(1, int(min(max(before - out, 1), 64)) + 1))), min(bucket(before), 63)
 

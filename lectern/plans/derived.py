@@ -313,3 +313,39 @@ def document_explainers(spark, d):
     images = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(o).alias("ordinal"), F.array(F.lit(p)).alias("section_path"), F.lit(c).alias("content")) for i, o, p, c in shown])))
     made = cascade.explainer_outputs(answers, images)
     return made.select("doc_id", "markdown", F.array_join("image_ids", ",").alias("images"), "figure_note")
+
+
+# --- notes and PDFs (E4-E6, J7) ---
+
+_NOTES = r"""n AS (SELECT doc_id, source, lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS k, regexp_replace(text, '[0-9/]|arxiv|doi', '-', 'gi') || ' arXiv:2302.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS body FROM documents),
+i AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '2301.' || k WHEN 1 THEN '10.1000/d' || doc_id WHEN 2 THEN '10.1000/s' || doc_id ELSE nullif(regexp_extract(substr(body, 1, 8000), 'arXiv:(\d{4}\.\d{4,5})', 1), '') END AS id FROM n)"""
+
+
+def _notes(docs):
+    """Documents as notes: an id in a field of either case, a DOI in a field or in the source, or an id after the text."""
+    k = F.col("doc_id")
+    n = F.lpad((k % 100_000).cast("string"), 5, "0")
+    pair = lambda *x: F.create_map(*[F.lit(v) if isinstance(v, str) else v for v in (*x, "title", F.col("source"))])
+    front = F.when(k % 4 == 0, pair("ArXiv", F.concat(F.lit("https://arxiv.org/abs/2301."), n, F.lit("v2")), "pdf_file", F.concat(F.lit("[["), k.cast("string"), F.lit(".pdf]]"))))
+    front = front.when(k % 4 == 1, pair("doi", F.concat(F.lit("10.1000/d"), k.cast("string"), F.lit(".")))).when(k % 4 == 2, pair("source", F.concat(F.lit("https://doi.org/10.1000/s"), k.cast("string")))).otherwise(pair())
+    body = F.concat(F.regexp_replace("text", r"(?i)[0-9/]|arxiv|doi", "-"), F.lit(" arXiv:2302."), n)
+    return docs.select(F.concat(F.lit("n/"), k, F.lit(".md")).alias("path"), F.concat(F.lit("Note "), k).alias("basename"), front.alias("frontmatter"), body.alias("body"))
+
+
+@query(f"""WITH {_NOTES} SELECT 'n/' || doc_id || '.md' AS path, id, CASE WHEN doc_id % 4 IN (1, 2) THEN 'doi' ELSE 'arxiv' END AS type, CASE doc_id % 4 WHEN 0 THEN 'ArXiv' WHEN 1 THEN 'doi' WHEN 2 THEN 'source' END AS matched_field,
+  CASE WHEN doc_id % 4 = 3 THEN 'note-text' ELSE 'frontmatter' END AS resolution_source, 'Note ' || doc_id || ' ' || source AS query_text FROM i WHERE id IS NOT NULL""")
+def note_papers(spark, d):
+    """Ids after the first 8,000 characters of a note do not count."""
+    return identity.resolve_notes(_notes(read(spark, d, "documents")))
+
+
+@query(f"""WITH {_NOTES} SELECT 'P/' || doc_id || '.pdf' AS path, CASE WHEN doc_id % 4 = 0 THEN id ELSE '10.9999/p' || doc_id END AS id, CASE WHEN doc_id % 4 = 0 THEN 'arxiv' ELSE 'doi' END AS type,
+  CASE WHEN doc_id % 4 = 0 THEN 'linked-note' ELSE 'pdf-text' END AS resolution_source, CASE WHEN doc_id % 4 = 0 THEN 'n/' || doc_id || '.md' END AS related_note,
+  CASE WHEN doc_id % 4 = 0 THEN 'Note ' || doc_id || ' ' || source ELSE doc_id || ' DOI: 10.9999/p' || doc_id || ' by' END AS query_text FROM i WHERE doc_id % 4 < 3""")
+def pdf_papers(spark, d):
+    """PDFs that a note links by name, PDFs that tell themselves, and PDFs of neither kind."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id")
+    preview = F.when(k % 4 < 3, F.concat(F.lit("DOI:  10.9999/p"), k, F.lit("\n by"))).otherwise("nothing")
+    name = F.concat(k.cast("string"), F.lit(".pdf"))
+    pdfs = docs.select(F.concat(F.lit("P/"), name).alias("path"), name.alias("name"), k.cast("string").alias("basename"), preview.alias("preview"))
+    return identity.resolve_pdfs(pdfs, _notes(docs))

@@ -157,7 +157,7 @@ def pdf_candidates(notes: DataFrame, pdfs: DataFrame, folder: str) -> DataFrame:
     A note's candidates in order: its field pdf_file, its first embedded PDF, and the PDF of its own name in ``folder``.
     Each may be a path, else the name of a file anywhere (the shortest path counts), else a name in ``folder``.
     """
-    embedded = F.get(F.filter(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"!\[\[([^\]]*)\]\]"), 1), lambda x: F.lower(F.split(x, r"[|#]")[0]).endswith(".pdf")), F.lit(0))
+    embedded = F.get(F.filter(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"!\[\[([^\]]*)\]\]"), 1), lambda x: F.lower(trim_all(F.split(x, r"\|")[0])).endswith(".pdf")), F.lit(0))
     base = ids.normalize_path(F.lit(folder))
     own = F.concat(base, F.lit("/"), "basename", F.lit(".pdf"))
     tries = F.array(*[F.struct(F.lit(i).alias("n"), c.alias("c")) for i, c in enumerate((field("pdf_file"), embedded, own))])

@@ -349,3 +349,35 @@ def pdf_papers(spark, d):
     name = F.concat(k.cast("string"), F.lit(".pdf"))
     pdfs = docs.select(F.concat(F.lit("P/"), name).alias("path"), name.alias("name"), k.cast("string").alias("basename"), preview.alias("preview"))
     return identity.resolve_pdfs(pdfs, _notes(docs))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'P/' || doc_id || '.pdf' WHEN 1 THEN 'Q/e' || doc_id || '.pdf' ELSE 'F/Note ' || doc_id || '.pdf' END AS pdf_path FROM documents WHERE doc_id % 4 < 3""")
+def document_pdfs(spark, d):
+    """A note's PDF: of a field by its path, the first embedded one (but not of a page) by its name (the shortest path counts), else
+    that of the note's own name, which notes of the first kind have as well; the fourth kind has none."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id")
+    n = k.cast("string")
+    front = F.when(k % 4 == 0, F.create_map(F.lit("PDF_file"), F.concat(F.lit("[[P/"), n, F.lit(".pdf]]")))).when(k % 4 == 3, F.create_map(F.lit("pdf_file"), F.lit("gone.pdf")))
+    body = F.when(k % 4 == 1, F.concat(F.lit("see ![[pic.png]] ![[P/0.pdf#page=2]] ![[e"), n, F.lit(".pdf|shown]] ![[P/0.pdf]]"))).otherwise(F.regexp_replace("text", r"\[\[", "--"))
+    notes = docs.select(n.alias("path"), F.concat(F.lit("Note "), n).alias("basename"), front.alias("frontmatter"), body.alias("body"))
+    there = F.when(k % 4 == 0, F.array(F.concat(F.lit("P/"), n, F.lit(".pdf")), F.concat(F.lit("F/Note "), n, F.lit(".pdf")))).when(k % 4 == 1, F.array(F.concat(F.lit("Q/deep/e"), n, F.lit(".pdf")), F.concat(F.lit("Q/e"), n, F.lit(".pdf"))))
+    there = there.when(k % 4 == 2, F.array(F.concat(F.lit("F/Note "), n, F.lit(".pdf")))).otherwise(F.array(F.concat(F.lit("F/Note "), n, F.lit(".txt"))))
+    pdfs = docs.select(F.explode(there).alias("path")).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    chosen = identity.summary_pdf(identity.pdf_candidates(notes, pdfs, "F"))
+    return chosen.select(F.col("note_path").cast("long").alias("doc_id"), "pdf_path")
+
+
+@query("""SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey % 5 < 2 THEN 'Untitled' ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS n_authors, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1950 + p_size END AS year,
+  CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS citation_count, CASE WHEN p_partkey % 2 = 0 THEN 'http://pdf/' || p_partkey WHEN p_partkey % 3 = 1 THEN 'https://arxiv.org/abs/x' || p_partkey
+    WHEN p_partkey % 3 = 2 THEN 'https://doi.org/10.1/' || p_partkey ELSE 'https://www.semanticscholar.org/paper/p' || p_partkey END AS url FROM part""")
+def part_graph_records(spark, d):
+    """Parts as records of the citation graph that lack one thing or another."""
+    k, c = F.col("p_partkey"), F.col
+    author = lambda x: F.struct(F.lit("1").alias("authorId"), c(x).alias("name"))
+    record = F.struct(
+        F.concat(F.lit("p"), k).alias("paperId"), F.when(k % 5 == 1, "").when(k % 5 > 1, c("p_name")).alias("title"), F.when(k % 3 != 0, F.array(author("p_brand"), author("p_type"))).alias("authors"), F.when(k % 4 != 0, 1950 + c("p_size")).alias("year"),
+        F.lit(None).cast("string").alias("abstract"), F.when(k % 7 != 0, c("p_size")).alias("citationCount"), F.when(k % 5 != 3, F.struct(F.when(k % 2 == 0, F.concat(F.lit("http://pdf/"), k)).otherwise("").alias("url"))).when(k % 2 == 0, F.struct(F.concat(F.lit("http://pdf/"), k).alias("url"))).alias("openAccessPdf"),
+        F.struct(F.when(k % 3 == 1, F.concat(F.lit("x"), k)).alias("ArXiv"), F.when(k % 3 == 2, F.concat(F.lit("10.1/"), k)).alias("DOI")).alias("externalIds"),
+    )
+    r = read(spark, d, "part").select(ids.graph_record(record).alias("r"))
+    return r.select("r.id", "r.title", F.size("r.authors").alias("n_authors"), "r.year", "r.citation_count", "r.url")

@@ -65,6 +65,7 @@ def link_pdfs(pdfs: DataFrame, notes: DataFrame, folder: str = "") -> DataFrame:
 
     Every rule is an equi-join on a normalised key, of which each note has one, or, for the field source, those of
     all file names and paths that end in it.  Notes are counted by key before they meet PDFs; empty keys meet none.
+    A file makes several keys, of which the plan knows no size, so joins are shuffled and neither side is broadcast.
     """
     n = notes.where(ids.within_folder(F.col("path"), F.lit(folder))).select("path", "basename", field("pdf_file").alias("pdf_file"), field("source").alias("source"), field("title").alias("title"))
     p = pdfs.select(F.col("path").alias("pdf_path"), "name", F.col("basename").alias("pdf_base"))
@@ -79,7 +80,7 @@ def link_pdfs(pdfs: DataFrame, notes: DataFrame, folder: str = "") -> DataFrame:
     offered = {t: k for t, _, k in keys}  # rule 3 has both its forms in one array
     have = n.select(F.col("path").alias("note_path"), F.explode(F.concat(*[_tagged(t, k) for t, k in offered.items()])).alias("x")).select("note_path", "x.*")
     counted = have.where("k <> ''").groupBy("tier", "k").agg(F.count_distinct("note_path").alias("n"), F.min("note_path").alias("least"), F.max("note_path").alias("most"))
-    hits = asked.join(counted, ["tier", "k"]).groupBy("pdf_path", "tier").agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    hits = asked.hint("merge").join(counted, ["tier", "k"]).groupBy("pdf_path", "tier").agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     single = hits.where("n = 1 and least = most")
     return single.groupBy("pdf_path").agg(F.min_by("least", "tier").alias("note_path"), F.min("tier").alias("tier"))
 
@@ -92,8 +93,8 @@ def resolve_pdfs(pdfs: DataFrame, notes: DataFrame, folder: str = "") -> DataFra
     """
     own = notes.select(F.col("path").alias("note_path"), note_query().alias("n_query"))
     known = resolve_notes(notes).select(F.col("path").alias("known_path"), F.col("id").alias("n_id"), F.col("type").alias("n_type"))
-    linked = link_pdfs(pdfs, notes, folder).join(own, "note_path").join(known, F.col("note_path") == F.col("known_path"), "left")
-    out = pdfs.join(linked.select("pdf_path", "note_path", "n_id", "n_type", "n_query"), F.col("path") == F.col("pdf_path"), "left").withColumn("txt", ids.paper_identity(F.coalesce("preview", F.lit(""))))
+    linked = link_pdfs(pdfs, notes, folder).hint("merge").join(own, "note_path").join(known.hint("merge"), F.col("note_path") == F.col("known_path"), "left")
+    out = pdfs.join(linked.select("pdf_path", "note_path", "n_id", "n_type", "n_query").hint("merge"), F.col("path") == F.col("pdf_path"), "left").withColumn("txt", ids.paper_identity(F.coalesce("preview", F.lit(""))))
     pdf_query = trim_all(F.concat_ws(" ", "basename", F.substring(collapse(F.coalesce("preview", F.lit(""))), 1, PREVIEW_CHARS)))
     return out.where("n_id is not null or txt is not null").select(
         "path", F.coalesce("n_id", "txt.id").alias("id"), F.coalesce("n_type", "txt.type").alias("type"), F.when(F.col("n_id").isNotNull(), "linked-note").otherwise("pdf-text").alias("resolution_source"),

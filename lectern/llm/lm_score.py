@@ -317,7 +317,7 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
     own_bits = np.full(1 << slice_bits, BLOCK_BITS + 1)
     n = v = 0
     false = 0.0
-    for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v", "false").toLocalIterator():
+    for row in slices.select("slice", F.octet_length("bits").alias("size"), "n", "v", "false").collect():
         own_bits[row["slice"]] = int(row["size"]).bit_length() + 2
         n, v, false = n + row["n"], v + row["v"], false + row["false"]  # pairs are spread evenly over slices
     starts = np.concatenate(([0], np.cumsum(1 << own_bits)))
@@ -348,7 +348,8 @@ def fit(train: DataFrame) -> tuple[DataFrame, Model]:
                 keep = levels(c) > cut
                 yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["hashes", "counts"])
 
-    hot = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in slices.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toLocalIterator()]
+    # a row for each slice; all slices are read side by side
+    hot = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in slices.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").collect()]
     hot = _merge(np.concatenate([x[0] for x in hot] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in hot] or [np.zeros(0, np.int64)]))
     model = Model(bits, slice_bits, own_bits, n, v, hot, false / (1 << slice_bits), cut)
     return slices, model
@@ -416,8 +417,16 @@ def pack(told: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
     return pa.array([x.tobytes() for x in np.split(told, ends[:-1])], pa.binary())
 
 
+def together(parts: pd.Series, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Packed arrays as one, and where each begins, with the end."""
+    cut = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64))) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), cut
+
+
 def _tell(slice_bits: int, cut: int):
-    """The levels that a slice's bits have for the tokens and pairs of each request, or the exact counts for hot tokens."""
+    """The levels that a slice's bits have for the tokens and pairs of each request, or the exact counts for hot tokens.
+
+    The more slices there are, the smaller and the more requests are, so all requests to a slice are read as one array."""
 
     def run(key, known, asked):
         out = {"batch": asked["batch"], "slice": asked["slice"]}
@@ -427,14 +436,16 @@ def _tell(slice_bits: int, cut: int):
         hot = levels(c) > cut
         h, c = h[hot], c[hot]
 
-        def told(grams: bytes, kind: int) -> bytes:
-            grams = np.frombuffer(grams, np.uint64)
+        def told(asked: pd.Series, kind: int) -> list[bytes]:
+            grams, cut = together(asked, np.uint64)
+            grams, back = np.unique(grams, return_inverse=True)  # frequent pairs are asked for by many batches
             q, probed = known_levels(grams, h, c) if kind == 0 else (np.zeros(len(grams), np.int64), np.ones(len(grams), bool))
             q[probed] = read_levels(bits, grams[probed], kind, slice_bits, own, 0)
-            return q.astype(np.uint16).tobytes()
+            q = q.astype(np.uint16)[back]
+            return [q[i:j].tobytes() for i, j in zip(cut, cut[1:])]
 
         for kind, name in enumerate(("hashes", "pairs")):
-            out[name] = [told(x, kind) for x in asked[name]]
+            out[name] = told(asked[name], kind)
         return pd.DataFrame(out)
 
     return run
@@ -454,19 +465,19 @@ def _assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def _answer(key, known, asked):
     h = np.frombuffer(known["hashes"].iloc[0], np.uint64) if len(known) else np.zeros(0, np.uint64)
     c = np.frombuffer(known["counts"].iloc[0], np.int64) if len(known) else np.zeros(0, np.int64)
-    out = {"batch": [], "rows": [], "base": [], "times": []}
-    for label, hashes, rows, times in zip(asked["batch"], asked["hashes"], asked["rows"], asked["times"], strict=True):
-        hashes, rows, times = np.frombuffer(hashes, np.uint64), np.frombuffer(rows, np.uint32), np.frombuffer(times, np.uint32)
-        at = np.minimum(np.searchsorted(h, hashes), max(len(h) - 1, 0))
-        there = h[at] == hashes if len(h) else np.zeros(len(hashes), bool)
-        base = np.bincount(rows[there], times[there] * np.log10(c[at[there]] + 1.0))
-        seen = np.bincount(rows[there], times[there])
-        used = np.flatnonzero(seen)
-        out["batch"].append(label)
-        out["rows"].append(used.astype(np.uint32).tobytes())
-        out["base"].append(base[used].tobytes())
-        out["times"].append(seen[used].astype(np.uint32).tobytes())
-    return pd.DataFrame(out)
+    hashes, cut = together(asked["hashes"], np.uint64)
+    rows, times = (together(asked[x], np.uint32)[0] for x in ("rows", "times"))
+    at = np.minimum(np.searchsorted(h, hashes), max(len(h) - 1, 0))
+    there = h[at] == hashes if len(h) else np.zeros(len(hashes), bool)
+    # the rows of all requests are summed at once, each request's in order
+    code = (np.repeat(np.arange(len(asked)), np.diff(cut)) << 32 | rows)[there]
+    more, times = times[there] * np.log10(c[at[there]] + 1.0) if len(h) else np.zeros(0), times[there].astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    used, new = runs(code[order])
+    base, seen = (np.add.reduceat(x[order], new[:-1]) if len(used) else x for x in (more, times))
+    cut = np.searchsorted(used >> 32, np.arange(len(asked) + 1))
+    packed = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:])] for x in ((used & 0xFFFFFFFF).astype(np.uint32), base, seen.astype(np.uint32))]
+    return pd.DataFrame({"batch": asked["batch"].to_numpy(), "rows": packed[0], "base": packed[1], "times": packed[2]})
 
 
 def _finish(key, docs, answers):

@@ -54,18 +54,34 @@ def with_frontmatter(notes: DataFrame) -> DataFrame:
     return notes.mapInPandas(run, schema)
 
 
+#: What is read of a feed, and how: texts as they are, and an error for what is no XML.
+FEED = "entry array<struct<id array<string>, title array<string>, summary array<string>, published array<string>, author array<struct<name array<string>>>, link array<struct<_title string, _href string>>>>"
+FEED_OPTIONS = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
+FEED_ROOT = r"(?s)\A(?:\s|\x{FEFF}|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<feed[\s/>]"
+
+
 def atom_entry(xml: Column) -> Column:
-    """struct of the first entry: id, title, authors, abstract, published (10 characters), pdf_url; null without an entry."""
+    """struct of the first entry: id, title, authors, abstract, published (10 characters), pdf_url; null without an entry.
 
-    def text(path: str) -> Column:
-        return trim_all(F.xpath_string(xml, F.lit(f"/feed/entry[1]/{path}")))
+    A feed is parsed once for all fields.  Only fields with markup in them are read again, as the parser leaves the markup in.
+    """
 
-    raw = text("id")
-    own = F.coalesce(arxiv_id(raw), raw)
-    authors = F.filter(F.transform(F.xpath(xml, F.lit("/feed/entry[1]/author/name/text()")), trim_all), lambda a: a != "")
-    link = F.nullif(F.xpath_string(xml, F.lit("/feed/entry[1]/link[@title='pdf']/@href")), F.lit(""))
-    entry = F.struct(own.alias("id"), text("title").alias("title"), authors.alias("authors"), text("summary").alias("abstract"), F.substring(text("published"), 1, 10).alias("published"), F.coalesce(link, pdf_url(own)).alias("pdf_url"))
-    return F.when(F.xpath_boolean(xml, F.lit("/feed/entry")), entry)
+    def read(e: Column) -> Column:
+        def text(name: str) -> Column:
+            told = F.coalesce(F.get(e[name], F.lit(0)), F.lit(""))
+            return trim_all(F.when(F.contains(told, F.lit("<")), F.xpath_string(xml, F.lit(f"/feed/entry[1]/{name}"))).otherwise(told))
+
+        raw = text("id")
+        own = F.coalesce(arxiv_id(raw), raw)
+        names = F.array_compact(F.flatten(F.transform(F.coalesce(e["author"], F.array()), lambda a: F.coalesce(a["name"], F.array().cast("array<string>")))))
+        names = F.when(F.exists(names, lambda n: F.contains(n, F.lit("<"))), F.xpath(xml, F.lit("/feed/entry[1]/author/name/text()"))).otherwise(names)
+        authors = F.filter(F.transform(names, trim_all), lambda a: a != "")
+        links = F.filter(e["link"], lambda k: (k["_title"] == "pdf") & k["_href"].isNotNull())
+        link = F.nullif(F.get(links, F.lit(0))["_href"], F.lit(""))
+        return F.struct(own.alias("id"), text("title").alias("title"), authors.alias("authors"), text("summary").alias("abstract"), F.substring(text("published"), 1, 10).alias("published"), F.coalesce(link, pdf_url(own)).alias("pdf_url"))
+
+    entries = F.when(xml.rlike(FEED_ROOT), F.from_xml(xml, FEED, FEED_OPTIONS)["entry"])
+    return F.get(F.transform(F.slice(entries, 1, 1), read), F.lit(0))
 
 
 def _asked_seconds(headers: dict | None) -> float | None:

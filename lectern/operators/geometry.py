@@ -9,10 +9,21 @@ from pyspark.sql import Window as W
 MATH = "[Λ∆πθβσ∑∫≈≠≤≥±∞∼−×÷]"
 
 
+#: Rectangles that a task sorts at a time, on average.
+TASK_ROWS = 500_000
+
+
+def dealt(rects: DataFrame, page: str) -> DataFrame:
+    """Whole pages, dealt to as many partitions as keep TASK_ROWS rectangles each (and all cores busy), so that what a task sorts
+    does not grow with the table.  Its rows are counted for that: give it a table, not what is costly to make."""
+    n = max(-(-rects.count() // TASK_ROWS), rects.sparkSession.sparkContext.defaultParallelism)
+    return rects.repartition(n, page)
+
+
 def clustered(rects: DataFrame) -> DataFrame:
     """rects (page_id, pos, left, right, top, bottom, text) with row_no and cluster_no, by gaps and islands.
 
-    Rectangles without area are left out.  In order of centre and left edge, a new row starts where the
+    Rectangles without area are left out; ``dealt`` rectangles are not shuffled again.  In order of centre and left edge, a new row starts where the
     centre moves by more than 0.55 of the greater height; within a row, a new cluster where the gap or the
     overlap says so.
     """

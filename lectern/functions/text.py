@@ -12,6 +12,9 @@ had what when where who which why how not all can been being each few more most
 just into out if then than so also do did does our we us me my you your
 """.split()
 
+#: What counts as white space in expressions.
+BLANKS = " \t\n\x0b\f\r"
+
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 of two characters or more."""
@@ -94,7 +97,7 @@ def upgrade_inline_math(text: Column) -> Column:
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 trim_all = _trim
@@ -102,8 +105,8 @@ trim_all = _trim
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a with 32 bits over code points, as 8 hexadecimal digits."""
-    codes = F.when(F.char_length(text) > 0, F.transform(F.split(text, ""), F.ascii)).otherwise(F.array().cast("array<int>"))
-    value = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: ((h.bitwiseXOR(b.cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
+    chars = F.when(F.char_length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    value = F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
     return F.lpad(F.lower(F.hex(value)), 8, "0")
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.functions.rules import is_trivial_formula
-from lectern.functions.text import collapse, excerpt, fnv1a, normalize_heading, shorten, strip_markdown_inline, trim_all, unix_lines
+from lectern.functions.text import BLANKS, collapse, excerpt, fnv1a, normalize_heading, shorten, strip_markdown_inline, trim_all, unix_lines
+from lectern.operators.steps import settled
 
 # Patterns of Markdown.
 HEADING = r"(?dm)^#{1,6}[^\S\n]+[^\n]*"
 IMAGE = r'!\[([^\]]*)\]\([^\s)]+(?:\s+"[^"]*")?\)'
 DISPLAY = [r"\$\$[\s\S]+?\$\$", r"\\\[[\s\S]+?\\\]", r"\\begin\{equation\*?\}[\s\S]+?\\end\{equation\*?\}"]
+LEVELS = 6
 INLINE = r"\$(?!\$)([^$\n]{2,}?)\$"
 LONE_IMAGE, LONE_DISPLAY = r"\A!\[[^\]]*\]\([^)]*\)\z", r"\A\$\$[\s\S]*\$\$\z"
 FIGURE_WORD = r"(?i)\A(figure|fig\.?|table|图|表)"
@@ -26,39 +28,50 @@ KINDS = ["section", "paragraph", "formula", "image"]
 
 
 def newlines(text: Column) -> Column:
-    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """An array of (before, match): what lies before each match, and the match."""
-    gaps = F.split(text, pattern, -1)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m, i: F.struct(F.get(gaps, i).alias("before"), m.alias("match")))
+def _pieces(text: Column, pattern: str, mark: str) -> Column:
+    """An array of (before, match): what lies before each match, and the match; every match begins with ``mark``.  The text
+    is scanned from its first mark on, once for each of both, however many matches there are."""
+    head = F.substring_index(text, mark, 1)
+    rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
+    pairs = F.filter(F.arrays_zip(F.split(rest, pattern, -1).alias("before"), F.regexp_extract_all(rest, F.lit(pattern), 0).alias("match")), lambda p: p["match"].isNotNull())
+    found = F.transform(pairs, lambda p, i: F.struct(F.when(i == 0, F.concat(head, p["before"])).otherwise(p["before"]).alias("before"), p["match"].alias("match")))
+    return F.when(F.contains(text, F.lit(mark)), found).otherwise(F.array().cast("array<struct<before:string,match:string>>"))
 
 
 def _section_rows(docs: DataFrame) -> DataFrame:
     """Sections with a number ``rid`` for the row of ``docs`` that they are from."""
     body = trim_all(unix_lines(F.coalesce("markdown", F.lit(""))))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), body.alias("body")).where("body <> ''")
-    heads, gaps = F.regexp_extract_all("body", F.lit(HEADING), 0), F.split("body", HEADING, -1)
-    cut = F.transform(gaps, lambda g, i: F.struct(F.coalesce(F.get(heads, i - 1), F.lit("")).alias("head"), g.alias("text")))
-    bare = trim_all(F.regexp_replace("body", HEADING, "")) == ""  # headings only: one section, of all
-    rows = rows.select("doc_id", "rid", F.posexplode(F.when(bare, F.array(F.struct(F.lit("").alias("head"), F.col("body").alias("text")))).otherwise(cut)).alias("i", "p"))
+    rows = settled(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "markdown"), {"body": body}).drop("markdown").where("body <> ''")
+    rows = settled(rows, {"gaps": F.split("body", HEADING, -1), "heads": F.concat(F.array(F.lit("")), F.regexp_extract_all("body", F.lit(HEADING), 0))})
+    bare = trim_all(F.array_join("gaps", "")) == ""  # headings only: one section, of all
+    cut = F.arrays_zip(F.col("heads").alias("head"), F.col("gaps").alias("text"))
+    rows = settled(rows, {"cut": F.when(bare, F.array(F.struct(F.lit("").alias("head"), F.col("body").alias("text")))).otherwise(cut)})
+    rows = rows.select("doc_id", "rid", F.posexplode("cut").alias("i", "p"))
     level, title = F.char_length(F.regexp_extract("p.head", r"\A#*", 0)), strip_markdown_inline(F.regexp_replace("p.head", r"\A#+\s+", ""))
     rows = rows.select("doc_id", "rid", "i", "p.head", "p.text", F.when(F.col("i") == 0, 1).otherwise(level).alias("level"), F.when(F.col("i") == 0, "Document").otherwise(title).alias("heading"))
     # a heading without text opens no section: its line goes
     rows = rows.withColumn("opens", F.col("heading") != "").withColumn("kept", F.when(F.col("opens"), F.col("text")).otherwise(F.regexp_replace("text", r"\A\n", "")))
     upto = W.partitionBy("rid").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    titles = F.collect_list(F.when(F.col("opens"), F.struct("level", "heading"))).over(upto)
-    path = F.aggregate(titles, F.array().cast("array<string>"), lambda p, t: F.concat(F.slice(p, F.lit(1), t["level"] - 1), F.array(t["heading"])))
     rows = rows.select(
-        "*", F.sum(F.col("opens").cast("int")).over(upto).alias("section"), path.alias("path"),
+        "*", F.sum(F.col("opens").cast("int")).over(upto).alias("section"),
         (F.sum(F.char_length("head") + F.char_length("text")).over(upto) - F.char_length("text")).alias("at"), (F.sum(newlines(F.col("text"))).over(upto) - newlines(F.col("text"))).alias("line"),
     )
+    # a title is at most one deeper than the one before and as deep as its level, so its depth is a running least value; the
+    # path to a title is, for each depth up to its own, the last title of that depth
+    deep = F.col("section") + F.least(F.lit(0), F.min(F.when(F.col("opens"), F.col("level") - F.col("section"))).over(upto))
+    rows = rows.withColumn("deep", deep.cast("int"))
+    trail = [F.last(F.when(F.col("opens") & (F.col("deep") == k), F.col("heading")), ignorenulls=True).over(upto).alias(f"t{k}") for k in range(1, LEVELS + 1)]
+    path = F.slice(F.array(*[f"t{k}" for k in range(1, LEVELS + 1)]), F.lit(1), F.col("deep"))
+    rows = rows.select("*", *trail).withColumn("path", path)
     first = F.min(F.struct("i", "heading", "level", "path", "at", "line")).alias("f")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "kept"))), lambda x: x["kept"]), "")
     found = rows.groupBy("doc_id", "rid", "section").agg(first, whole.alias("raw")).withColumn("content", trim_all(F.col("raw"))).where("content <> ''")
-    lead = F.regexp_extract("raw", r"\A\s*", 0)
-    found = found.select("doc_id", "rid", "section", "f.heading", "f.level", "f.path", "content", (F.col("f.line") + 1 + newlines(lead)).cast("int").alias("line_start"), (F.col("f.at") + F.char_length(lead)).cast("int").alias("char_start"))
+    bare = F.ltrim("raw", F.lit(BLANKS))
+    lead, lead_lines = F.char_length("raw") - F.char_length(bare), newlines(F.col("raw")) - newlines(bare)
+    found = found.select("doc_id", "rid", "section", "f.heading", "f.level", "f.path", "content", (F.col("f.line") + 1 + lead_lines).cast("int").alias("line_start"), (F.col("f.at") + lead).cast("int").alias("char_start"))
     return found.withColumn("pos", F.row_number().over(W.partitionBy("rid").orderBy("section")) - 1)
 
 
@@ -102,23 +115,28 @@ def pointers(docs: DataFrame) -> DataFrame:
     content = F.col("content")
     blocks = F.transform(F.split(content, "\n\n", -1), lambda x, i: F.struct(F.when(i > 0, "\n\n").otherwise("").alias("before"), x.alias("match")))
     scans = [("section", F.array(F.struct(F.lit("").alias("before"), content.alias("match")))), ("paragraph", blocks)]
-    scans += [("formula", _pieces(content, p)) for p in [*DISPLAY, INLINE]] + [("image", _pieces(content, IMAGE))]
+    scans += [("formula", _pieces(content, p, m)) for p, m in zip([*DISPLAY, INLINE], ["$$", "\\[", "\\begin{equation", "$"], strict=True)] + [("image", _pieces(content, IMAGE, "!["))]
     inline = 2 + len(DISPLAY)
 
     def tagged(scan: int, kind: str, pieces: Column) -> Column:
         around = content if kind == "image" else F.lit(None).cast("string")
         return F.transform(pieces, lambda p, j: F.struct(F.lit(scan).alias("scan"), F.lit(kind).alias("kind"), j.alias("j"), p["before"].alias("before"), p["match"].alias("match"), around.alias("around")))
 
-    rows = _section_rows(docs).select("doc_id", "rid", "pos", "path", "line_start", "char_start", F.explode(F.concat(*[tagged(i, k, p) for i, (k, p) in enumerate(scans)])).alias("t"))
+    rows = settled(_section_rows(docs), {"found": F.concat(*[tagged(i, k, p) for i, (k, p) in enumerate(scans)])})
+    rows = rows.select("doc_id", "rid", "pos", "path", "line_start", "char_start", F.explode("found").alias("t"))
     rows = rows.select("doc_id", "rid", "pos", "path", "line_start", "char_start", "t.*")
     upto = W.partitionBy("rid", "pos", "scan").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
-    lead = F.regexp_extract("match", r"\A\s*", 0)  # paragraphs have blanks at their ends, the others none
-    rows = rows.withColumn("b", F.sum(F.char_length("before") + F.char_length("match")).over(upto) - F.char_length("match") + F.char_length(lead))
-    rows = rows.withColumn("line", F.sum(newlines(F.col("before")) + newlines(F.col("match"))).over(upto) - newlines(F.col("match")) + newlines(lead)).withColumn("match", trim_all(F.col("match")))
+    bare = F.ltrim("match", F.lit(BLANKS))  # paragraphs have blanks at their ends, the others none
+    own, own_lines = F.char_length(bare), newlines(bare)
+    rows = rows.select(
+        "doc_id", "rid", "pos", "path", "line_start", "char_start", "scan", "kind", "j", "around", trim_all(F.col("match")).alias("match"), own.alias("own"), own_lines.alias("own_lines"),
+        (F.char_length("before") + F.char_length("match")).alias("n"), (newlines(F.col("before")) + newlines(F.col("match"))).alias("n_lines"),
+    )
+    rows = rows.select("*", (F.sum("n").over(upto) - F.col("own")).alias("b"), (F.sum("n_lines").over(upto) - F.col("own_lines")).alias("line"))
     rows = rows.withColumn("e", F.col("b") + F.char_length("match"))
-    displays = F.collect_list(F.when((F.col("scan") > 1) & (F.col("scan") < inline), F.struct("b", "e"))).over(W.partitionBy("rid", "pos"))
-    within = F.exists(displays, lambda d: (d["b"] <= F.col("b")) & (F.col("e") <= d["e"]))
-    lone = F.col("match").rlike(LONE_IMAGE) | F.col("match").rlike(LONE_DISPLAY)
+    display = F.when((F.col("scan") > 1) & (F.col("scan") < inline), F.col("e"))
+    within = F.coalesce(F.max(display).over(W.partitionBy("rid", "pos").orderBy("b")) >= F.col("e"), F.lit(False))  # of those that begin here or before
+    lone = (F.col("match").startswith("![") & F.col("match").rlike(LONE_IMAGE)) | (F.col("match").startswith("$$") & F.col("match").rlike(LONE_DISPLAY))
     rows = rows.withColumn("within", within).where((F.col("match") != "") & ~((F.col("scan") == inline) & F.col("within")) & ~((F.col("kind") == "paragraph") & lone))
     rows = rows.where((F.col("kind") != "formula") | ~is_trivial_formula(F.col("match")))
     rows = rows.withColumn("ordinal", F.row_number().over(W.partitionBy("rid", "kind").orderBy("pos", "b", "scan")))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.folding import FORMS, fold_pairs, folded, folded_by, place_of, squeezed
+from lectern.operators.steps import settled
 
 # Marks that a span takes in at its end; the least share and score of a prefix by form; the least quote.
 CLOSING = "])}\"'’”.,;:!?"
@@ -25,12 +26,6 @@ PAGE = ("page_pairs", "page_raw", *[f"page_{form}" for form in FORMS])
 SPAN = ("begin_index", "begin_offset", "end_index", "end_offset", "score")
 
 
-def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with ``columns`` made by a generator of one row, so that filters and later columns read them and do not
-    compute them again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 class TrigramIndex:
     """The places of the trigrams of a text, in order of the trigram."""
 
@@ -106,8 +101,8 @@ def page_items(items: DataFrame) -> DataFrame:
 def _with_forms(pages: DataFrame) -> DataFrame:
     """With the folded texts of the items one after the other, a blank after each (but in the dense form)."""
     texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
-    pages = _settled(pages, {"page_pairs": fold_pairs(F.array_join(texts, " "))})
-    pages = _settled(pages, {"page_raw": F.transform(texts, lambda t: folded_by(t, F.col("page_pairs")))})
+    pages = settled(pages, {"page_pairs": fold_pairs(F.array_join(texts, " "))})
+    pages = settled(pages, {"page_raw": F.transform(texts, lambda t: folded_by(t, F.col("page_pairs")))})
 
     def joined(form: str) -> Column:
         return F.array_join(F.transform("page_raw", lambda r: F.concat(squeezed(r, form), F.lit("" if form == "dense" else " "))), "")
@@ -142,14 +137,14 @@ def _exact_hits(quotes: DataFrame) -> DataFrame:
         F.get(items, p["first"])["idx"].cast("int").alias("begin_index"), F.least(p["b"] - p["first_at"], F.char_length(F.get("exact_texts", p["first"]))).alias("begin_offset"),
         F.get(items, p["last"])["idx"].cast("int").alias("end_index"), F.least(p["e"] - p["last_at"], F.char_length(F.get("exact_texts", p["last"]))).alias("end_offset"), F.lit(1.0).alias("score"),
     )
-    return _settled(rows, {"exact_hit": F.when(p.isNotNull(), span)})
+    return settled(rows, {"exact_hit": F.when(p.isNotNull(), span)})
 
 
 def _folded_hits(rows: DataFrame, threshold: float) -> DataFrame:
     """Rows (…, needle, items, page forms, exact_hit) with quote forms and ``told``: struct(form, b, e, score) of the first hit of the
     whole quote in a form, or of its prefix, or null."""
-    raw = _settled(rows, {"quote_raw": folded(F.coalesce("needle", F.lit("")))})
-    rows = _settled(raw, {f"quote_{form}": squeezed(F.col("quote_raw"), form) for form in FORMS}).drop("quote_raw")
+    raw = settled(rows, {"quote_raw": folded(F.coalesce("needle", F.lit("")))})
+    rows = settled(raw, {f"quote_{form}": squeezed(F.col("quote_raw"), form) for form in FORMS}).drop("quote_raw")
 
     def hit(form: str, part: Column, score: float, when: Column) -> Column:
         at, size = F.instr(f"page_{form}", part), F.char_length(f"quote_{form}")
@@ -162,8 +157,8 @@ def _folded_hits(rows: DataFrame, threshold: float) -> DataFrame:
             size = F.greatest(F.lit(PREFIX_LEAST), (F.char_length(f"quote_{form}") * PREFIX_SHARE).cast("int"))
             tries.append(hit(form, F.substring(F.col(f"quote_{form}"), F.lit(1), size), score, F.lit(True)))
     usable = F.col("exact_hit").isNull() & (F.char_length("quote_heavy") >= LEAST) & (F.size("items") > 0)
-    rows = _settled(rows, {"usable": F.coalesce(usable, F.lit(False))})
-    return _settled(rows, {"told": F.when(F.col("usable"), F.coalesce(*tries))})
+    rows = settled(rows, {"usable": F.coalesce(usable, F.lit(False))})
+    return settled(rows, {"told": F.when(F.col("usable"), F.coalesce(*tries))})
 
 
 def _best_windows(threshold: float):
@@ -188,10 +183,10 @@ def _spans(rows: DataFrame, names: list[str]) -> DataFrame:
     """``names`` and the span of ``told`` (form, b, e, score) in the items; nulls without one."""
     told = F.col("told")
     texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
-    rows = _settled(rows, {"span_texts": F.when(told.isNotNull(), texts)})
+    rows = settled(rows, {"span_texts": F.when(told.isNotNull(), texts)})
     raw = F.when(told.isNotNull(), F.col("page_raw"))
     sizes = F.transform(raw, lambda r: F.when(told["form"] == "light", F.char_length(squeezed(r, "light")) + 1).when(told["form"] == "heavy", F.char_length(squeezed(r, "heavy")) + 1).otherwise(F.char_length(squeezed(r, "dense"))))
-    rows = _settled(rows, {"span_sizes": sizes})
+    rows = settled(rows, {"span_sizes": sizes})
 
     def item(at: Column) -> Column:
         """struct(i, before) of the item that holds the form's character ``at``; items without characters hold none."""
@@ -203,11 +198,11 @@ def _spans(rows: DataFrame, names: list[str]) -> DataFrame:
 
         return F.aggregate("span_sizes", start, step)
 
-    rows = _settled(rows, {"span_first": item(told["b"]), "span_last": item(told["e"] - 1)})
+    rows = settled(rows, {"span_first": item(told["b"]), "span_last": item(told["e"] - 1)})
     text = {k: F.get("span_texts", F.col(f"span_{k}")["i"]) for k in ("first", "last")}
     begin = place_of(text["first"], F.col("page_pairs"), told["form"], told["b"] - F.col("span_first")["before"])["begin"]
     end = place_of(text["last"], F.col("page_pairs"), told["form"], told["e"] - 1 - F.col("span_last")["before"])["end"]
-    rows = _settled(rows, {"span_begin": begin, "span_end": end})
+    rows = settled(rows, {"span_begin": begin, "span_end": end})
     rest = F.substring(text["last"], F.col("span_end") + 1, F.char_length(text["last"]))
     closing = F.char_length(rest) - F.char_length(F.ltrim(rest, F.lit(CLOSING)))
     idx = [F.get("items", F.col(f"span_{k}")["i"])["idx"].cast("int") for k in ("first", "last")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ids
 from lectern.functions.text import collapse, trim_all
+from lectern.operators.steps import settled
 
 ARXIV_ALIASES = ["arxiv_id", "arxiv", "arXiv"]
 DOI_ALIASES = ["doi", "DOI"]
@@ -46,7 +47,8 @@ def note_query() -> Column:
 def resolve_notes(notes: DataFrame) -> DataFrame:
     """(path, id, type, matched_field, resolution_source, query_text): by frontmatter, else by the body's first 8000
     characters; notes without an identity are left out."""
-    own = notes.withColumn("fm", frontmatter_identity()).withColumn("txt", ids.paper_identity(F.substring(F.coalesce("body", F.lit("")), 1, BODY_CHARS)))
+    own = settled(notes, {"fm": frontmatter_identity(), "head": F.substring(F.coalesce("body", F.lit("")), 1, BODY_CHARS)})
+    own = settled(own, {"txt": F.when(F.col("fm").isNull(), ids.paper_identity(F.col("head")))})  # only sought where it counts
     query = note_query()
     return own.where("fm is not null or txt is not null").select(
         "path", F.coalesce("fm.id", "txt.id").alias("id"), F.coalesce("fm.type", "txt.type").alias("type"), F.col("fm.matched_field").alias("matched_field"),

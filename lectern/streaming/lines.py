@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions.responses import stream_token
+from lectern.operators.steps import settled
 
 #: Chunks of a stream whose line feeds are added up in one window; blocks are then added up themselves.
 BLOCK = 4096
@@ -37,16 +38,14 @@ def chunk_lines(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     before = W.partitionBy("stream").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = feeds.groupBy("stream", "block").agg(F.sum("feeds").alias("feeds")).select("stream", "block", F.coalesce(F.sum("feeds").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("stream", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    numbered = pieces.withColumn("own", F.coalesce(F.sum(F.regexp_count("chunk", F.lit("\n")).cast("long")).over(inside), F.lit(0))).join(blocks, ["stream", "block"])
-    parts = numbered.select("stream", "seq", (F.col("base") + F.col("own")).alias("first"), F.posexplode(F.split("chunk", "\n")).alias("pos", "piece")).where("piece <> ''")
-    lines = parts.groupBy("stream", (F.col("first") + F.col("pos")).alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("pieces"))
+    count = F.regexp_count("chunk", F.lit("\n")).cast("long")
+    numbered = pieces.withColumn("feeds", count).withColumn("own", F.coalesce(F.sum("feeds").over(inside), F.lit(0))).join(blocks, ["stream", "block"])
+    parts = numbered.select("stream", "seq", "feeds", (F.col("base") + F.col("own")).alias("first"), F.posexplode(F.split("chunk", "\n")).alias("pos", "piece"))
+    # empty pieces are kept, so every line has one; all but the last piece of a chunk end their lines
+    ends = F.max(F.col("pos") < F.col("feeds")).alias("ended")
+    found = parts.groupBy("stream", (F.col("first") + F.col("pos")).alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("pieces"), ends)
     joined = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
-    whole = lines.select("stream", "line_no", F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("line"))
-    ends = feeds.groupBy("stream").agg(F.sum("feeds").alias("n"))
-    # empty lines have no pieces: all numbers below the count of line feeds are lines
-    numbers = ends.where("n > 0").select("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("line_no"))
-    empty = numbers.join(whole, ["stream", "line_no"], "left_anti").select("stream", "line_no", F.lit("").alias("line"))
-    return whole.unionByName(empty)
+    return settled(found, {"line": F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")}).where("ended or line <> ''").select("stream", "line_no", "line")
 
 
 def stream_tokens(lines: DataFrame, provider: Column) -> DataFrame:

@@ -229,10 +229,12 @@ def anchors(highlights: DataFrame, items: DataFrame, threshold: float = 0.55) ->
     there, the page before or after (the better; one of 0.9 or more on the page before ends it)."""
     pages = page_items(items).withColumnRenamed("page_num", "match_page").withColumnRenamed("doc_id", "page_doc")
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), (F.col("page_num") + d).alias("at")) for i, d in enumerate((0, -1, 1))]))
-    tries = highlights.select("*", F.col("exact_text").alias("needle"), steps.alias("try"))
-    tries = tries.select("*", "try.step", "try.at").drop("try")
-    near = tries.join(pages, (F.col("doc_id") == F.col("page_doc")) & (F.col("at") == F.col("match_page"))).drop("page_doc", "at")
-    found = match_spans(near, threshold).where("score is not null")
+    tries = highlights.select("id", F.col("doc_id").alias("page_doc"), F.col("exact_text").alias("needle"), steps.alias("try"))
+    tries = tries.select("id", "page_doc", "needle", F.col("try.at").alias("match_page"), "try.step").dropna()
+    # what several highlights, or several steps, seek on a page is sought there once
+    sought = tries.select("page_doc", "match_page", "needle").distinct()
+    found = match_spans(sought.join(pages, ["page_doc", "match_page"]), threshold).where("score is not null")
+    found = tries.join(found, ["page_doc", "match_page", "needle"])
     good = F.when((F.col("step") == 0) | ((F.col("step") == 1) & (F.col("score") >= 0.9)), 2.0 - F.col("step") / 10).otherwise(F.col("score"))
     best = found.groupBy("id").agg(F.max_by(F.struct("match_page", "begin_index", "begin_offset", "end_index", "end_offset", "score"), F.struct(good, -F.col("step"))).alias("m"))
     page = F.coalesce("m.match_page", "page_num")

@@ -79,29 +79,32 @@ def squeezed(raw: Column, form: str) -> Column:
     return F.trim(F.regexp_replace(raw, pattern, " "))
 
 
-def place_of(text: Column, pairs: Column, form: Column, number: Column) -> Column:
+def place_of(text: Column, pairs: Column, form: Column, number: Column, size: Column) -> Column:
     """struct(begin, end): the places in ``text`` where a span begins, or ends, with the character of that number in its
-    form.  A blank goes with the character after it, and what comes after the form with the text's end.
+    form, which has ``size`` characters.  A blank goes with the character after it, and what comes after the form with the text's end.
 
-    The form of a prefix grows with the prefix, so the shortest one that has the character is found by halving.
+    The form of a prefix grows with the prefix, so the shortest one that has the character is sought between two prefixes.
+    A code point mostly makes one character at most, so the next prefix to try is as many code points from the longer, or
+    the shorter, as characters are missing there; every third one is half way, whatever code points make.
     """
-    size = F.char_length(text)
+    chars = F.char_length(text)
 
     def reach(k: Column) -> Column:
         raw = folded_by(F.substring(text, F.lit(1), k), pairs)
         return F.char_length(F.when(form == "light", squeezed(raw, "light")).when(form == "heavy", squeezed(raw, "heavy")).otherwise(squeezed(raw, "dense")))
 
-    def found(all_of: Column) -> Column:
-        last = F.least(number, all_of - 1)
+    def bounds(low: Column, low_has: Column, high: Column, high_has: Column) -> Column:
+        return F.struct(low.alias("low"), low_has.alias("low_has"), high.alias("high"), high_has.alias("high_has"))
 
-        def halve(acc: Column, _: Column) -> Column:
-            mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-            halves = F.when(reach(mid) > last, F.struct(acc["low"].alias("low"), mid.alias("high"))).otherwise(F.struct(mid.alias("low"), acc["high"].alias("high")))
-            return F.when(acc["high"] - acc["low"] > 1, halves).otherwise(acc)
+    last = F.least(number, size - 1)
 
-        start = F.struct(F.lit(0).alias("low"), size.alias("high"))
-        steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
-        high = F.when(all_of == 0, size).otherwise(F.aggregate(steps, start, halve)["high"])
-        return F.transform(F.array(high), lambda end: F.struct(F.when(number < all_of, end - 1).otherwise(size).alias("begin"), end.alias("end")))[0]
+    def narrow(acc: Column, turn: Column) -> Column:
+        from_high, from_low = acc["high"] - acc["high_has"] + last, acc["low"] + last + 1 - acc["low_has"]
+        guess = F.when(turn % 3 == 0, from_high).when(turn % 3 == 1, from_low).otherwise(F.floor((acc["low"] + acc["high"]) / 2).cast("int"))
+        k = F.greatest(acc["low"] + 1, F.least(acc["high"] - 1, guess))
+        tried = F.transform(F.array(reach(k)), lambda has: F.when(has > last, bounds(acc["low"], acc["low_has"], k, has)).otherwise(bounds(k, has, acc["high"], acc["high_has"])))[0]
+        return F.when(acc["high"] - acc["low"] > 1, tried).otherwise(acc)
 
-    return F.transform(F.array(reach(size)), found)[0]
+    steps = F.sequence(F.lit(0), 3 * F.ceil(F.log2(chars + 1)).cast("int") + 2)
+    high = F.when(size == 0, chars).otherwise(F.aggregate(steps, bounds(F.lit(0), F.lit(0), chars, size), narrow)["high"])
+    return F.transform(F.array(high), lambda end: F.struct(F.when(number < size, end - 1).otherwise(chars).alias("begin"), end.alias("end")))[0]

@@ -21,8 +21,8 @@ from lectern.operators.steps import settled
 CLOSING = "])}\"'’”.,;:!?"
 PREFIX_SHARE, PREFIX_LEAST, PREFIX_SCORES = 0.6, 6, [("light", 0.85), ("heavy", 0.80)]
 LEAST, LEAST_TRIGRAMS, SURE = 3, 6, 0.95
-#: What is made of a page once: folded code points, folded items, and the page in each form.
-PAGE = ("page_pairs", "page_raw", *[f"page_{form}" for form in FORMS])
+#: What is made of a page once: folded code points, and for each form the page in it and how many characters each item has.
+PAGE = ("page_pairs", *[f"{x}_{form}" for x in ("page", "sizes") for form in FORMS])
 SPAN = ("begin_index", "begin_offset", "end_index", "end_offset", "score")
 
 
@@ -102,12 +102,15 @@ def _with_forms(pages: DataFrame) -> DataFrame:
     """With the folded texts of the items one after the other, a blank after each (but in the dense form)."""
     texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
     pages = settled(pages, {"page_pairs": fold_pairs(F.array_join(texts, " "))})
-    pages = settled(pages, {"page_raw": F.transform(texts, lambda t: folded_by(t, F.col("page_pairs")))})
+    raw = settled(pages, {"page_raw": F.transform(texts, lambda t: folded_by(t, F.col("page_pairs")))})
 
-    def joined(form: str) -> Column:
-        return F.array_join(F.transform("page_raw", lambda r: F.concat(squeezed(r, form), F.lit("" if form == "dense" else " "))), "")
+    def items(form: str) -> Column:
+        return F.transform("page_raw", lambda r: F.concat(squeezed(r, form), F.lit(" ")))
 
-    return pages.withColumns({f"page_{form}": joined(form) for form in FORMS})
+    made = settled(raw, {f"made_{form}": items(form) for form in ("light", "heavy")}).drop("page_raw")
+    made = settled(made, {"made_dense": F.transform("made_heavy", lambda x: F.replace(x, F.lit(" "), F.lit("")))})
+    columns = {f"page_{form}": F.array_join(f"made_{form}", "") for form in FORMS} | {f"sizes_{form}": F.transform(f"made_{form}", F.char_length) for form in FORMS}
+    return settled(made, columns).drop(*[f"made_{form}" for form in FORMS])
 
 
 def _exact_hits(quotes: DataFrame) -> DataFrame:
@@ -144,7 +147,8 @@ def _folded_hits(rows: DataFrame, threshold: float) -> DataFrame:
     """Rows (…, needle, items, page forms, exact_hit) with quote forms and ``told``: struct(form, b, e, score) of the first hit of the
     whole quote in a form, or of its prefix, or null."""
     raw = settled(rows, {"quote_raw": folded(F.coalesce("needle", F.lit("")))})
-    rows = settled(raw, {f"quote_{form}": squeezed(F.col("quote_raw"), form) for form in FORMS}).drop("quote_raw")
+    rows = settled(raw, {f"quote_{form}": squeezed(F.col("quote_raw"), form) for form in ("light", "heavy")}).drop("quote_raw")
+    rows = settled(rows, {"quote_dense": F.replace("quote_heavy", F.lit(" "), F.lit(""))})
 
     def hit(form: str, part: Column, score: float, when: Column) -> Column:
         at, size = F.instr(f"page_{form}", part), F.char_length(f"quote_{form}")
@@ -184,8 +188,7 @@ def _spans(rows: DataFrame, names: list[str]) -> DataFrame:
     told = F.col("told")
     texts = F.transform("items", lambda x: F.coalesce(x["text"], F.lit("")))
     rows = settled(rows, {"span_texts": F.when(told.isNotNull(), texts)})
-    raw = F.when(told.isNotNull(), F.col("page_raw"))
-    sizes = F.transform(raw, lambda r: F.when(told["form"] == "light", F.char_length(squeezed(r, "light")) + 1).when(told["form"] == "heavy", F.char_length(squeezed(r, "heavy")) + 1).otherwise(F.char_length(squeezed(r, "dense"))))
+    sizes = F.when(told["form"] == "light", F.col("sizes_light")).when(told["form"] == "heavy", F.col("sizes_heavy")).when(told["form"] == "dense", F.col("sizes_dense"))
     rows = settled(rows, {"span_sizes": sizes})
 
     def item(at: Column) -> Column:
@@ -200,8 +203,9 @@ def _spans(rows: DataFrame, names: list[str]) -> DataFrame:
 
     rows = settled(rows, {"span_first": item(told["b"]), "span_last": item(told["e"] - 1)})
     text = {k: F.get("span_texts", F.col(f"span_{k}")["i"]) for k in ("first", "last")}
-    begin = place_of(text["first"], F.col("page_pairs"), told["form"], told["b"] - F.col("span_first")["before"])["begin"]
-    end = place_of(text["last"], F.col("page_pairs"), told["form"], told["e"] - 1 - F.col("span_last")["before"])["end"]
+    size = {k: F.get("span_sizes", F.col(f"span_{k}")["i"]) - F.when(told["form"] == "dense", 0).otherwise(1) for k in ("first", "last")}
+    begin = place_of(text["first"], F.col("page_pairs"), told["form"], told["b"] - F.col("span_first")["before"], size["first"])["begin"]
+    end = place_of(text["last"], F.col("page_pairs"), told["form"], told["e"] - 1 - F.col("span_last")["before"], size["last"])["end"]
     rows = settled(rows, {"span_begin": begin, "span_end": end})
     rest = F.substring(text["last"], F.col("span_end") + 1, F.char_length(text["last"]))
     closing = F.char_length(rest) - F.char_length(F.ltrim(rest, F.lit(CLOSING)))

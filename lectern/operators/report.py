@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import trim_all
+from lectern.functions.text import BLANKS, trim_all
 
 # Order and titles of sections, and the report's title.
 ORDER = ["abstract", "introduction", "related_work", "method", "experiment", "conclusion"]
@@ -47,9 +47,13 @@ def upsert_block(note: Column, block: Column) -> Column:
     e = F.call_function("locate", F.lit(END), note, F.greatest(b, F.lit(1)))
     there = (b > 0) & (e > 0)
     replaced = F.concat(F.substring(note, F.lit(1), b - 1), block, F.substring(note, e + len(END), F.char_length(note)))
-    rest = F.regexp_replace(note, r"\s+\z", "")
-    added = F.when(rest == "", F.concat(block, F.lit("\n"))).otherwise(F.concat(rest, F.lit("\n\n"), block, F.lit("\n")))
-    return F.when(block == "", note).when(there, replaced).otherwise(added)
+    return F.when(block == "", note).when(there, replaced).otherwise(append_block(note, block))
+
+
+def append_block(note: Column, block: Column, blanks: str = BLANKS) -> Column:
+    """The note without the ``blanks`` at its end, an empty line and the block; the block alone if nothing is left."""
+    rest = F.rtrim(note, F.lit(blanks))
+    return F.when(rest == "", F.concat(block, F.lit("\n"))).otherwise(F.concat(rest, F.lit("\n\n"), block, F.lit("\n")))
 
 
 def summary_source(title: str, chunks: DataFrame) -> DataFrame:

@@ -75,11 +75,12 @@ def unix_lines(text: Column) -> Column:
 
 
 def strip_leading_headings(text: Column) -> Column:
-    return _trim(F.regexp_replace(_trim(unix_lines(text)), r"\A(#{1,6}\s+[^\n]+\n\s*)+", ""))
+    # possessive: otherwise each heading takes a part of the stack
+    return _trim(F.regexp_replace(_trim(unix_lines(text)), r"\A(?:#{1,6}\s+[^\n]+\n\s*)++", ""))
 
 
 def normalize_markdown(text: Column) -> Column:
-    text = F.regexp_replace(strip_leading_headings(text), r"[ \t]+\n", "\n")
+    text = F.regexp_replace(strip_leading_headings(text), r"[ \t](?<![ \t]{2})[ \t]*+\n", "\n")  # tries a run of blanks once
     return _trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
